@@ -6,7 +6,7 @@ import importlib
 
 from horizonkit.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["q_cohort"]
+_MODULES = ["q_cohort", "q_clean", "q_metrics"]
 
 
 def load_all() -> None:

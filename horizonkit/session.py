@@ -26,6 +26,7 @@ def get_session(master: str | None = None, app: str = "horizonkit",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.ansi.enabled": "true",
     }
     if shuffle_partitions:
