@@ -58,7 +58,6 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                       2 * F.col("precision") * F.col("recall")
                                       / (F.col("precision") + F.col("recall"))).otherwise(0.0))
-    per = per.cache()
     tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
                   F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
                   (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),

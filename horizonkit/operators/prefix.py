@@ -52,3 +52,16 @@ def bucketed_running_sum(df: DataFrame, part: list[str], order: list, bucket: st
 def hash_bucket(h: Column, bits: int = 10, hash_bits: int = 32) -> Column:
     """High ``bits`` of a non-negative ``hash_bits``-bit hash (monotone in h)."""
     return F.floor(h / F.lit(1 << (hash_bits - bits))).cast("int")
+
+
+def with_range_bucket(df: DataFrame, part: list[str], col: str, buckets: int = 1024,
+                      out: str = "__vb") -> DataFrame:
+    """Equi-width value bucket per partition (monotone in ``col``).
+
+    The per-partition min/max table has one row per partition key.
+    """
+    mm = df.groupBy(*part).agg(F.min(col).alias("__mn"), F.max(col).alias("__mx"))
+    width = (F.col("__mx") - F.col("__mn")) / F.lit(float(buckets))
+    b = F.when(F.col("__mx") > F.col("__mn"),
+               F.least(F.floor((F.col(col) - F.col("__mn")) / width), F.lit(buckets - 1))).otherwise(0)
+    return df.join(mm, part).withColumn(out, b.cast("int")).drop("__mn", "__mx")

@@ -28,6 +28,7 @@ def get_session(master: str | None = None, app: str = "horizonkit",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.ansi.enabled": "true",
+        "spark.driver.memory": os.environ.get("HORIZONKIT_DRIVER_MEMORY", "16g"),
     }
     if shuffle_partitions:
         cfg["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
