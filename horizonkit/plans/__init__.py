@@ -6,7 +6,7 @@ import importlib
 
 from horizonkit.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["q_cohort", "q_clean", "q_metrics", "q_assoc"]
+_MODULES = ["q_cohort", "q_clean", "q_metrics", "q_assoc", "q_hrv"]
 
 
 def load_all() -> None:
