@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from horizonkit.functions.digamma import digamma_int
 from horizonkit.operators.prefix import (bucketed_row_number, bucketed_running_sum,
                                          with_range_bucket)
+from horizonkit.session import cut_lineage
 
 
 def _ranked(long: DataFrame, id_col: str, buckets: int) -> DataFrame:
@@ -38,7 +39,9 @@ def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int = 1024)
     nc = pts.groupBy("feature", "y").agg(F.count("*").alias("nc"))
     pts = pts.join(nc.where(F.col("nc") > 1), ["feature", "y"])          # drop singleton classes
     pts = pts.withColumn("k", F.least(F.lit(k), F.col("nc") - 1))
-    pts = _ranked(pts, id_col, buckets)
+    # ranks feed two join sides and the radius feeds four: materialise both
+    # (reliable checkpoint in the shared folder) instead of recomputing them
+    pts = cut_lineage(_ranked(pts, id_col, buckets))
 
     # neighbours at rank offsets -K..K (excluding 0): an equi-join, 2K rows per point
     offs = F.array(*[F.lit(a) for a in range(-k, k + 1) if a != 0])
@@ -62,7 +65,7 @@ def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int = 1024)
     r = None
     for kk in range(k, 0, -1):
         r = r_by_k[kk] if r is None else F.when(F.col("k") == kk, r_by_k[kk]).otherwise(r)
-    p = p.withColumn("r", r).select(id_col, "feature", "y", "x", "k", "nc", "r")
+    p = cut_lineage(p.withColumn("r", r).select(id_col, "feature", "y", "x", "k", "nc", "r"))
 
     # m_i: running counts over distinct values merged with range probes.
     # order inside a value: 'lt' probe (0) < data (1) < 'le' probe (2)

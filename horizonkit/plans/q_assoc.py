@@ -13,33 +13,33 @@ from horizonkit.plans import roles as R
 from horizonkit.plans.registry import query
 
 # ------------------------------------------------------------------ inputs
-# (name, is_numeric, spark expression, duckdb expression)
+# (name, is_numeric, spark expression builder, duckdb expression)
 LINE_FEATURES = [
-    ("qty", True, F.when(F.col("l_orderkey") % 13 != 0, F.col("l_quantity")),
+    ("qty", True, lambda: F.when(F.col("l_orderkey") % 13 != 0, F.col("l_quantity")),
      "CASE WHEN l_orderkey % 13 <> 0 THEN l_quantity END"),
-    ("price", True, F.col("l_extendedprice"), "l_extendedprice"),
-    ("disc", True, F.col("l_discount"), "l_discount"),
-    ("tax", True, F.col("l_tax"), "l_tax"),
-    ("line", True, F.col("l_linenumber"), "l_linenumber"),
-    ("status", False, F.col("l_linestatus"), "l_linestatus"),
-    ("const", True, F.lit(1), "1"),
+    ("price", True, lambda: F.col("l_extendedprice"), "l_extendedprice"),
+    ("disc", True, lambda: F.col("l_discount"), "l_discount"),
+    ("tax", True, lambda: F.col("l_tax"), "l_tax"),
+    ("line", True, lambda: F.col("l_linenumber"), "l_linenumber"),
+    ("status", False, lambda: F.col("l_linestatus"), "l_linestatus"),
+    ("const", True, lambda: F.lit(1), "1"),
 ]
-LINE_TARGET = (F.when(F.col("l_returnflag") == "R", 1).otherwise(0), "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")
+LINE_TARGET = (lambda: F.when(F.col("l_returnflag") == "R", 1).otherwise(0), "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")
 
 EMB_CATS = [
-    ("c_sign", False, F.when(F.col("embedding")[0] > 0, "pos").otherwise("neg"),
+    ("c_sign", False, lambda: F.when(F.col("embedding")[0] > 0, "pos").otherwise("neg"),
      "CASE WHEN embedding[1] > 0 THEN 'pos' ELSE 'neg' END"),
-    ("c_bin", True, F.floor(F.col("embedding")[1] * 10).cast("int"),
+    ("c_bin", True, lambda: F.floor(F.col("embedding")[1] * 10).cast("int"),
      "CAST(floor(embedding[2] * 10) AS INTEGER)"),
 ]
-EMB_FEATURES = [(f"f{i}", True, F.col("embedding")[i].cast("double"),
+EMB_FEATURES = [(f"f{i}", True, (lambda i=i: F.col("embedding")[i].cast("double")),
                  f"CAST(embedding[{i + 1}] AS DOUBLE)") for i in range(R.N_EMB)] + EMB_CATS
-EMB_TARGET = (F.when(F.col("label") < 5, 1).otherwise(0), "CASE WHEN label < 5 THEN 1 ELSE 0 END")
+EMB_TARGET = (lambda: F.when(F.col("label") < 5, 1).otherwise(0), "CASE WHEN label < 5 THEN 1 ELSE 0 END")
 
 
 def _wide(spark, d, table, feats, target):
     t = R.table(spark, d, table)
-    return t.select(target[0].alias("y"), *[e.alias(n) for n, _, e, _ in feats])
+    return t.select(target[0]().alias("y"), *[e().alias(n) for n, _, e, _ in feats])
 
 
 def _assoc(spark, d, which):

@@ -27,6 +27,7 @@ def get_session(master: str | None = None, app: str = "horizonkit",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.ansi.enabled": "true",
         "spark.driver.memory": os.environ.get("HORIZONKIT_DRIVER_MEMORY", "16g"),
     }
