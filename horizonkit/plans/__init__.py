@@ -6,7 +6,7 @@ import importlib
 
 from horizonkit.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["q_cohort", "q_clean", "q_metrics", "q_assoc", "q_hrv", "q_ml"]
+_MODULES = ["q_cohort", "q_clean", "q_metrics", "q_assoc", "q_hrv", "q_ml", "q_io"]
 
 
 def load_all() -> None:
