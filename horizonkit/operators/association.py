@@ -9,7 +9,7 @@ single wide aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,10 @@ MIN_NUMERIC_LEVELS = 10
 
 
 def to_long(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """``(feature, is_num, x, level, y)`` with missing pairs removed."""
+    """``(feature, is_num, x, level, y)`` with missing pairs removed.
+
+    ``x`` holds numeric values, ``level`` text values (the other is NULL).
+    """
     structs = []
     for c in features:
         dt = df.schema[c].dataType
@@ -33,60 +36,81 @@ def to_long(df: DataFrame, target: str, features: list[str]) -> DataFrame:
         structs.append(F.struct(
             F.lit(c).alias("feature"), F.lit(num).alias("is_num"),
             (v.cast("double") if num else F.lit(None).cast("double")).alias("x"),
-            v.cast("string").alias("level")))
+            (F.lit(None).cast("string") if num else v.cast("string")).alias("level")))
     y = F.col(f"`{target}`")
     if isinstance(df.schema[target].dataType, (T.DoubleType, T.FloatType)):
         y = nan_to_null(y)
     long = df.select(y.alias("y"), F.explode(F.array(*structs)).alias("kv"))
     return (long.select("kv.*", "y")
-                .where(F.col("y").isNotNull() & F.col("level").isNotNull()))
+                .where(F.col("y").isNotNull() & (F.col("x").isNotNull() | F.col("level").isNotNull())))
 
 
 def contingency(long: DataFrame) -> DataFrame:
-    """``(feature, level, y, o)`` for every observed cell."""
-    return long.groupBy("feature", "level", "y").agg(F.count("*").alias("o"))
+    """``(feature, level, y, o)`` for every observed cell.
+
+    Numeric values are grouped as doubles (so -0.0 and 0.0 are one level, as
+    in pandas) and turned into level text only after the aggregation.
+    """
+    cells = long.groupBy("feature", "x", "level", "y").agg(F.count("*").alias("o"))
+    return cells.select("feature", F.coalesce(F.col("level"), F.col("x").cast("string")).alias("level"),
+                        "y", "o")
 
 
-def route(long: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+def route(long: DataFrame, numeric: dict[str, bool] | None = None) -> DataFrame:
     """``(feature, n, n_unique, kind)``; kind numeric / categorical / skip.
 
     The distinct count is exact (from the per-level table), so a column is
-    never flipped across the 1 / 10 limits by an approximate sketch.
+    never flipped across the 1 / 10 limits by an approximate sketch. Whether a
+    column is numeric comes from the schema (``numeric``), not from a scan.
     """
-    cells = contingency(long) if cells is None else cells
-    per_level = cells.groupBy("feature", "level").agg(F.sum("o").alias("n"))
+    # distinct on the raw (x, level) pair: no text conversion of numeric rows
+    per_level = long.groupBy("feature", "x", "level").agg(F.count("*").alias("n"))
     uniq = per_level.groupBy("feature").agg(F.count("*").alias("n_unique"), F.sum("n").alias("n"))
-    kinds = long.select("feature", "is_num").distinct()
+    if numeric is None:
+        is_num = F.col("is_num")
+        uniq = uniq.join(long.select("feature", "is_num").distinct(), "feature")
+    else:
+        names = [x for k, v in numeric.items() for x in (F.lit(k), F.lit(bool(v)))]
+        is_num = F.coalesce(F.create_map(*names)[F.col("feature")], F.lit(False))
     kind = (F.when(F.col("n_unique") <= 1, "skip")
-             .when(F.col("is_num") & (F.col("n_unique") >= MIN_NUMERIC_LEVELS), "numeric")
+             .when(is_num & (F.col("n_unique") >= MIN_NUMERIC_LEVELS), "numeric")
              .otherwise("categorical"))
-    return uniq.join(kinds, "feature").select("feature", F.col("n").cast("long").alias("n"),
-                                              F.col("n_unique").cast("long").alias("n_unique"),
-                                              kind.alias("kind"))
+    return uniq.select("feature", F.col("n").cast("long").alias("n"),
+                       F.col("n_unique").cast("long").alias("n_unique"), kind.alias("kind"))
 
 
 def numeric_tests(long: DataFrame, routes: DataFrame) -> DataFrame:
-    """Point-biserial r, |r|, ANOVA F (+ p) per numeric feature.
+    """Point-biserial r, |r|, ANOVA F per numeric feature, one pass.
 
-    F uses per-class counts, means and population variances (stable
-    one-pass aggregates): ``SSB = Σ n_c (m_c - m)²``, ``SSW = Σ n_c var_c``.
+    A single ``groupBy(feature, y)`` gives per-class counts, means and
+    population variances (stable aggregates); everything else is algebra on
+    that small table: ``SSB = Σ n_c (m_c - m)²``, ``SSW = Σ n_c var_c``,
+    ``cov(x, y) = Σ n_c (m_c - m)(y_c - ȳ) / n``, ``var(x) = (SSB + SSW) / n``.
     """
-    num = long.join(routes.where(F.col("kind") == "numeric").select("feature"), "feature")
-    r = num.groupBy("feature").agg(F.corr("x", F.col("y").cast("double")).alias("r"),
-                                   F.avg("x").alias("m"), F.count("*").alias("n"))
+    # aggregate every numeric-typed feature first; the route filter is applied
+    # to the small per-feature result, so this scan does not wait for routing
+    num = long.where(F.col("is_num"))
     cls = num.groupBy("feature", "y").agg(F.count("*").alias("nc"), F.avg("x").alias("mc"),
                                           F.var_pop("x").alias("vc"))
-    j = cls.join(r.select("feature", "m"), "feature")
-    ss = j.groupBy("feature").agg(
+    yc = F.col("y").cast("double")
+    wf = Window.partitionBy("feature")                 # one row per class: tiny partitions
+    j = (cls.withColumn("n", F.sum("nc").over(wf))
+            .withColumn("m", F.sum(F.col("nc") * F.col("mc")).over(wf) / F.col("n"))
+            .withColumn("my", F.sum(F.col("nc") * yc).over(wf) / F.col("n"))
+            .withColumn("k", F.count("*").over(wf)))
+    ss = j.groupBy("feature", "n", "k").agg(
         F.sum(F.col("nc") * (F.col("mc") - F.col("m")) ** 2).alias("ssb"),
         F.sum(F.col("nc") * F.col("vc")).alias("ssw"),
-        F.count("*").alias("k"))
-    out = r.join(ss, "feature")
+        F.sum(F.col("nc") * (F.col("mc") - F.col("m")) * (yc - F.col("my"))).alias("sxy"),
+        F.sum(F.col("nc") * (yc - F.col("my")) ** 2).alias("syy"))
+    sxx = F.col("ssb") + F.col("ssw")
+    r = F.when((sxx > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(sxx * F.col("syy")))
     d1 = F.col("k") - 1
     d2 = F.col("n") - F.col("k")
     f = F.when(F.col("ssw") > 0, (F.col("ssb") / d1) / (F.col("ssw") / d2))
-    return out.select("feature", F.col("n").cast("long").alias("n"), "r", F.abs("r").alias("abs_r"),
-                      f.alias("anova_f"), d1.cast("double").alias("df1"), d2.cast("double").alias("df2"))
+    out = ss.select("feature", F.col("n").cast("long").alias("n"), r.alias("r"), F.abs(r).alias("abs_r"),
+                    f.alias("anova_f"), d1.cast("double").alias("df1"), d2.cast("double").alias("df2"))
+    return out.join(routes.where(F.col("kind") == "numeric").select("feature"), "feature")
 
 
 def categorical_tests(long: DataFrame, routes: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -125,13 +149,23 @@ def with_pvalues(num: DataFrame | None = None, cat: DataFrame | None = None):
     return out
 
 
+def associate_long(long: DataFrame, numeric: dict[str, bool]):
+    """Same as ``associate`` for data already in long form
+    ``(feature, is_num, x, level, y)`` (e.g. an exploded array column)."""
+    long = long.where(F.col("y").isNotNull() & (F.col("x").isNotNull() | F.col("level").isNotNull()))
+    cells = contingency(long)
+    routes = route(long, numeric)
+    return routes, numeric_tests(long, routes), categorical_tests(long, routes, cells)
+
+
 def associate(df: DataFrame, target: str, ignore: list[str] | None = None):
     """The whole per-column loop: returns (routes, numeric table, categorical table)."""
     ignore = set(ignore or []) | {target}
     feats = [c for c in df.columns if c not in ignore]
     long = to_long(df, target, feats)
     cells = contingency(long)
-    routes = route(long, cells)
+    numeric = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in feats}
+    routes = route(long, numeric)
     return routes, numeric_tests(long, routes), categorical_tests(long, routes, cells)
 
 

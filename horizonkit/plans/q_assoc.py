@@ -42,12 +42,26 @@ def _wide(spark, d, table, feats, target):
     return t.select(target[0]().alias("y"), *[e().alias(n) for n, _, e, _ in feats])
 
 
+def _emb_long(spark, d):
+    """The embeddings as (feature, is_num, x, level, y): posexplode, not 66 columns."""
+    e = R.table(spark, d, "embeddings").select(EMB_TARGET[0]().alias("y"), "embedding")
+    vec = e.select("y", F.posexplode("embedding").alias("pos", "v")).select(
+        F.format_string("f%d", F.col("pos")).alias("feature"), F.lit(True).alias("is_num"),
+        K.nan_to_null(F.col("v").cast("double")).alias("x"), F.lit(None).cast("string").alias("level"), "y")
+    cats = e.select("y", F.explode(F.array(
+        F.struct(F.lit("c_sign").alias("feature"), F.lit(False).alias("is_num"),
+                 F.lit(None).cast("double").alias("x"), EMB_CATS[0][2]().alias("level")),
+        F.struct(F.lit("c_bin").alias("feature"), F.lit(True).alias("is_num"),
+                 EMB_CATS[1][2]().cast("double").alias("x"), F.lit(None).cast("string").alias("level"))
+    )).alias("kv")).select("kv.*", "y")
+    return vec.unionByName(cats)
+
+
 def _assoc(spark, d, which):
     if which == "line":
-        w = _wide(spark, d, "lineitem", LINE_FEATURES, LINE_TARGET)
-    else:
-        w = _wide(spark, d, "embeddings", EMB_FEATURES, EMB_TARGET)
-    return A.associate(w, "y")
+        return A.associate(_wide(spark, d, "lineitem", LINE_FEATURES, LINE_TARGET), "y")
+    numeric = {n: num for n, num, _, _ in EMB_FEATURES}
+    return A.associate_long(_emb_long(spark, d), numeric)
 
 
 def _assoc_sql(table, feats, target) -> str:
