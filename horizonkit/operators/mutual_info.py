@@ -27,73 +27,89 @@ from horizonkit.operators.prefix import (bucketed_row_number, bucketed_running_s
 from horizonkit.session import cut_lineage
 
 
-def _ranked(long: DataFrame, id_col: str, buckets: int) -> DataFrame:
-    b = with_range_bucket(long, ["feature", "y"], "x", buckets)
-    return bucketed_row_number(b, ["feature", "y"], [F.col("x"), F.col(id_col)], "__vb", "rn").drop("__vb")
+def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None = None) -> DataFrame:
+    """``long``: (id, feature, x, y) -> (feature, mi).
 
-
-def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int = 1024) -> DataFrame:
-    """``long``: (id, feature, x, y) -> (feature, mi)."""
-    pts = long.select(id_col, "feature", F.col("x").cast("double").alias("x"), "y").where(
+    Works on distinct values with multiplicities: equal points have the same
+    radius and count, so a value held by a third of all rows is one row here.
+    """
+    pts = long.select("feature", F.col("x").cast("double").alias("x"), "y").where(
         F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull())
-    nc = pts.groupBy("feature", "y").agg(F.count("*").alias("nc"))
-    pts = pts.join(nc.where(F.col("nc") > 1), ["feature", "y"])          # drop singleton classes
-    pts = pts.withColumn("k", F.least(F.lit(k), F.col("nc") - 1))
+    vals = pts.groupBy("feature", "y", "x").agg(F.count("*").alias("c"))
+    nc = vals.groupBy("feature", "y").agg(F.sum("c").alias("nc"))
+    vals = vals.join(nc.where(F.col("nc") > 1), ["feature", "y"])            # drop singleton classes
+    vals = vals.withColumn("k", F.least(F.lit(k), F.col("nc") - 1))
+    vb = with_range_bucket(vals, ["feature", "y"], "x", buckets)
     # ranks feed two join sides and the radius feeds four: materialise both
     # (reliable checkpoint in the shared folder) instead of recomputing them
-    pts = cut_lineage(_ranked(pts, id_col, buckets))
+    vals = cut_lineage(bucketed_row_number(vb, ["feature", "y"], [F.col("x")], "__vb", "rn").drop("__vb"))
 
-    # neighbours at rank offsets -K..K (excluding 0): an equi-join, 2K rows per point
+    # the K nearest distinct values on each side (each holds >= 1 point)
     offs = F.array(*[F.lit(a) for a in range(-k, k + 1) if a != 0])
-    want = pts.select("feature", "y", "rn", F.explode(offs).alias("a")).withColumn("rn_n", F.col("rn") + F.col("a"))
-    nb = pts.select("feature", "y", F.col("rn").alias("rn_n"), F.col("x").alias("xn"))
-    got = (want.join(nb, ["feature", "y", "rn_n"])
+    want = vals.select("feature", "y", "rn", F.explode(offs).alias("a")).withColumn("rn_n", F.col("rn") + F.col("a"))
+    nb = vals.select("feature", "y", F.col("rn").alias("rn_n"), F.col("x").alias("xn"), F.col("c").alias("cn"))
+    base = vals.select("feature", "y", "rn", F.col("x").alias("x0"))
+    got = (want.join(nb, ["feature", "y", "rn_n"]).join(base, ["feature", "y", "rn"])
                .groupBy("feature", "y", "rn")
-               .agg(*[F.max(F.when(F.col("a") == a, F.col("xn"))).alias(f"n{a + k}")
+               .agg(*[F.max(F.when(F.col("a") == a, F.abs(F.col("xn") - F.col("x0")))).alias(f"d{a + k}")
+                      for a in range(-k, k + 1) if a != 0],
+                    *[F.max(F.when(F.col("a") == a, F.col("cn"))).alias(f"c{a + k}")
                       for a in range(-k, k + 1) if a != 0]))
-    p = pts.join(got, ["feature", "y", "rn"], "left")
-
-    def nbr(a):            # a < 0: a-th left neighbour, a > 0: right, 0: the point
-        return F.col("x") if a == 0 else F.col(f"n{a + k}")
-
-    r_by_k = {}
-    for kk in range(1, k + 1):
-        cands = [F.when(nbr(-a).isNotNull() & nbr(kk - a).isNotNull(),
-                        F.greatest(F.col("x") - nbr(-a), nbr(kk - a) - F.col("x")))
-                 for a in range(0, kk + 1)]
-        r_by_k[kk] = F.least(*cands) if len(cands) > 1 else cands[0]
-    r = None
-    for kk in range(k, 0, -1):
-        r = r_by_k[kk] if r is None else F.when(F.col("k") == kk, r_by_k[kk]).otherwise(r)
-    p = cut_lineage(p.withColumn("r", r).select(id_col, "feature", "y", "x", "k", "nc", "r"))
-
-    # m_i: running counts over distinct values merged with range probes.
+    v = vals.join(got, ["feature", "y", "rn"], "left")
+
+    def side_dist(sign: int, p: int):
+        """Distance of the p-th nearest point on one side (NULL if fewer)."""
+        if p == 0:
+            return F.lit(0.0)
+        expr = None
+        cum = None
+        for i in range(1, k + 1):
+            ci = F.coalesce(F.col(f"c{sign * i + k}"), F.lit(0))
+            cum = ci if cum is None else cum + ci
+            di = F.col(f"d{sign * i + k}")
+            expr = F.when(F.lit(p) <= cum, di) if expr is None else expr.when(F.lit(p) <= cum, di)
+        return expr
+
+    def radius(j: int):
+        cands = []
+        for a in range(0, j + 1):
+            left, right = side_dist(-1, a), side_dist(1, j - a)
+            cands.append(F.when(left.isNotNull() & right.isNotNull(), F.greatest(left, right)))
+        return F.least(*cands) if len(cands) > 1 else cands[0]
+
+    j = F.col("k") - (F.col("c") - 1)              # neighbours still needed beyond the ties
+    r = F.lit(0.0)
+    for jj in range(k, 0, -1):
+        r = F.when(j == jj, radius(jj)).otherwise(r)
+    v = cut_lineage(v.withColumn("r", F.when(j <= 0, F.lit(0.0)).otherwise(r))
+                     .select("feature", "y", "x", "c", "k", "nc", "r"))
+
+    # m: running counts over distinct values merged with range probes.
     # order inside a value: 'lt' probe (0) < data (1) < 'le' probe (2)
-    vals = p.groupBy("feature", F.col("x").alias("v")).agg(F.count("*").alias("w")) \
-            .withColumn("t", F.lit(1))
-    hi = p.select("feature", (F.col("x") + F.col("r")).alias("v"),
+    allw = v.groupBy("feature", F.col("x").alias("v")).agg(F.sum("c").alias("w")).withColumn("t", F.lit(1))
+    hi = v.select("feature", (F.col("x") + F.col("r")).alias("v"),
                   F.when(F.col("r") > 0, 0).otherwise(2).alias("t"))
-    lo = p.select("feature", (F.col("x") - F.col("r")).alias("v"),
+    lo = v.select("feature", (F.col("x") - F.col("r")).alias("v"),
                   F.when(F.col("r") > 0, 2).otherwise(0).alias("t"))
     probes = hi.unionByName(lo).distinct().withColumn("w", F.lit(0).cast("long"))
-    allv = vals.unionByName(probes.select("feature", "v", "w", "t"))
-    allv = with_range_bucket(allv, ["feature"], "v", buckets)
+    allv = with_range_bucket(allw.unionByName(probes.select("feature", "v", "w", "t")), ["feature"], "v", buckets)
     cum = bucketed_running_sum(allv, ["feature"], [F.col("v"), F.col("t")], "__vb", {"cum": "w"})
     cum = cum.where(F.col("t") != 1).select("feature", "v", "t", "cum")
     ch = cum.select("feature", F.col("v").alias("vh"), F.col("t").alias("th"), F.col("cum").alias("c_hi"))
     cl = cum.select("feature", F.col("v").alias("vl"), F.col("t").alias("tl"), F.col("cum").alias("c_lo"))
-    q = (p.withColumn("vh", F.col("x") + F.col("r")).withColumn("th", F.when(F.col("r") > 0, 0).otherwise(2))
+    q = (v.withColumn("vh", F.col("x") + F.col("r")).withColumn("th", F.when(F.col("r") > 0, 0).otherwise(2))
           .withColumn("vl", F.col("x") - F.col("r")).withColumn("tl", F.when(F.col("r") > 0, 2).otherwise(0))
           .join(ch, ["feature", "vh", "th"]).join(cl, ["feature", "vl", "tl"])
           .withColumn("m", F.col("c_hi") - F.col("c_lo")))
+    wsum = lambda e: F.sum(F.col("c") * e)  # noqa: E731 — multiplicity-weighted sums
     mi = q.groupBy("feature").agg(
-        F.count("*").alias("N"), F.avg(digamma_int(F.col("k"))).alias("pk"),
-        F.avg(digamma_int(F.col("nc"))).alias("pnc"), F.avg(digamma_int(F.col("m"))).alias("pm"))
-    val = digamma_int(F.col("N")) + F.col("pk") - F.col("pnc") - F.col("pm")
+        F.sum("c").alias("N"), wsum(digamma_int(F.col("k"))).alias("sk"),
+        wsum(digamma_int(F.col("nc"))).alias("snc"), wsum(digamma_int(F.col("m"))).alias("sm"))
+    val = (digamma_int(F.col("N")) + (F.col("sk") - F.col("snc") - F.col("sm")) / F.col("N"))
     return mi.select("feature", F.greatest(val, F.lit(0.0)).alias("mi"))
 
 
-def mi_binned(long: DataFrame, id_col: str = "id", bins: int = 10, buckets: int = 1024) -> DataFrame:
+def mi_binned(long: DataFrame, id_col: str = "id", bins: int = 10, buckets: int | None = None) -> DataFrame:
     """Plug-in MI on equal-frequency bins (``ntile`` by (x, id) per feature)."""
     pts = long.select(id_col, "feature", F.col("x").cast("double").alias("x"), "y").where(
         F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull())

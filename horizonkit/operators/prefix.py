@@ -54,14 +54,22 @@ def hash_bucket(h: Column, bits: int = 10, hash_bits: int = 32) -> Column:
     return F.floor(h / F.lit(1 << (hash_bits - bits))).cast("int")
 
 
-def with_range_bucket(df: DataFrame, part: list[str], col: str, buckets: int = 1024,
-                      out: str = "__vb") -> DataFrame:
+def with_range_bucket(df: DataFrame, part: list[str], col: str, buckets: int | None = None,
+                      out: str = "__vb", rows_per_bucket: int = 1_000_000,
+                      max_buckets: int = 1 << 16) -> DataFrame:
     """Equi-width value bucket per partition (monotone in ``col``).
 
-    The per-partition min/max table has one row per partition key.
+    The number of buckets is ``buckets`` if given, else it grows with the
+    partition's row count (about ``rows_per_bucket`` rows each), so small
+    groups stay one window partition and huge ones are split. The
+    per-partition min/max/count table has one row per partition key.
     """
-    mm = df.groupBy(*part).agg(F.min(col).alias("__mn"), F.max(col).alias("__mx"))
-    width = (F.col("__mx") - F.col("__mn")) / F.lit(float(buckets))
+    mm = df.groupBy(*part).agg(F.min(col).alias("__mn"), F.max(col).alias("__mx"),
+                               F.count("*").alias("__cnt"))
+    nb = (F.lit(float(buckets)) if buckets else
+          F.least(F.greatest(F.ceil(F.col("__cnt") / F.lit(rows_per_bucket)), F.lit(1)),
+                  F.lit(max_buckets)).cast("double"))
+    width = (F.col("__mx") - F.col("__mn")) / nb
     b = F.when(F.col("__mx") > F.col("__mn"),
-               F.least(F.floor((F.col(col) - F.col("__mn")) / width), F.lit(buckets - 1))).otherwise(0)
-    return df.join(mm, part).withColumn(out, b.cast("int")).drop("__mn", "__mx")
+               F.least(F.floor((F.col(col) - F.col("__mn")) / width), nb - 1)).otherwise(0)
+    return df.join(mm, part).withColumn(out, b.cast("int")).drop("__mn", "__mx", "__cnt")

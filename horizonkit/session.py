@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,9 +67,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The input is persisted for the duration of the checkpoint: a reliable
+    checkpoint writes its files in a second job, which would otherwise
+    recompute the whole input.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = p.checkpoint(eager=eager)
+    if eager:
+        p.unpersist()
+    return out
 
 
 def env_cpus(default: int = 8) -> int:

@@ -253,9 +253,12 @@ def test_pvalues():
     assert math.isclose(S.f_sf(3.0, 2, 10), 0.09537, rel_tol=1e-3)
 
 
-def test_mi_knn_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_mi_knn_brute_force(spark, hot):
     rng = random.Random(4)
     rows = [(i, "f", round(rng.gauss(y, 1), 1), y) for i, y in ((i, rng.randint(0, 2)) for i in range(120))]
+    if hot:   # one value held by a third of all rows, spread over the classes
+        rows += [(1000 + i, "f", 0.5, i % 3) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, feature string, x double, y int")
     got = MI.mi_knn(df).first().mi
     xs = np.array([r[2] for r in rows]); ys = np.array([r[3] for r in rows])
