@@ -35,13 +35,22 @@ def tumble_index(spark, d):
     return _indexed(spark, d).select("user_id", "event_id", "sample_idx", "window_idx")
 
 
-_TIME_SQL = f"""
+W_LONG = 864_000            # 10 days: <= 3 windows per user for the spectral / non-linear features
+
+
+def _time_cte(seconds: int, name: str = "twin") -> str:
+    us = float(seconds) * 1e6
+    return f"""
 WITH sp AS (SELECT user_id, min(ts) AS t0, max(ts) AS t1 FROM events GROUP BY user_id),
 tw AS (SELECT e.user_id, e.event_id, e.ts,
-              CAST(floor((epoch_us(e.ts) - epoch_us(sp.t0)) / {float(W_SECONDS) * 1e6}) AS BIGINT) AS window_idx,
-              floor((epoch_us(sp.t1) - epoch_us(sp.t0)) / {float(W_SECONDS) * 1e6}) AS full_n
+              CAST(floor((epoch_us(e.ts) - epoch_us(sp.t0)) / {us}) AS BIGINT) AS window_idx,
+              floor((epoch_us(sp.t1) - epoch_us(sp.t0)) / {us}) AS full_n
        FROM events e JOIN sp ON e.user_id = sp.user_id),
-twin AS (SELECT user_id, event_id, ts, window_idx FROM tw WHERE window_idx < full_n)"""
+{name} AS (SELECT user_id, event_id, ts, window_idx FROM tw WHERE window_idx < full_n)"""
+
+
+_TIME_SQL = _time_cte(W_SECONDS)
+_LONG_SQL = _time_cte(W_LONG)
 
 
 @query("tumble_time", sql=_TIME_SQL + "\nSELECT user_id, event_id, window_idx FROM twin")
@@ -89,8 +98,10 @@ def _rr_windows(spark, d):
     return H.rr_intervals(tw, ["user_id", "window_idx"], "ts", T_SCALE)
 
 
-def _rr_whole(spark, d):
-    return H.rr_intervals(R.signal(spark, d), ["user_id"], "ts", T_SCALE)
+def _rr_long(spark, d):
+    """RR per (user, 10-day window): every ordered step stays inside a window."""
+    tw = H.tumble_time(R.signal(spark, d), "user_id", "ts", W_LONG)
+    return H.rr_intervals(tw, ["user_id", "window_idx"], "ts", T_SCALE)
 
 
 def _rr_sql(keys: str, src: str) -> str:
@@ -155,73 +166,83 @@ _BAND_SQL = ",\n".join(
     f"THEN power * {_STEP!r} ELSE 0 END) AS {n}" for n, (lo, hi) in H.BANDS.items())
 
 
-@query("hrv_frequency", sql="WITH " + _rr_sql("user_id", "events").strip() + f""",
-x AS (SELECT user_id, rr, (({_F_LO} + j * {_STEP!r}) * {2 * 3.141592653589793!r}) * t_s AS wt, j
+_K = "user_id, window_idx"
+_RRL = _LONG_SQL + "," + _rr_sql(_K, "twin")
+
+
+@query("hrv_frequency", sql=_RRL + f""",
+x AS (SELECT user_id, window_idx, rr, (({_F_LO} + j * {_STEP!r}) * {2 * 3.141592653589793!r}) * t_s AS wt, j
       FROM rr, range(0, {_N_FREQ}) g(j)),
-s AS (SELECT user_id, j, count(*) AS n, avg(rr) AS m,
+s AS (SELECT user_id, window_idx, j, count(*) AS n, avg(rr) AS m,
              sum(rr * cos(wt)) AS rc, sum(cos(wt)) AS c1, sum(rr * sin(wt)) AS rs, sum(sin(wt)) AS s1,
-             sum(cos(2 * wt)) AS c2, sum(sin(2 * wt)) AS s2 FROM x GROUP BY user_id, j),
-t AS (SELECT user_id, j, n, rc - m * c1 AS c, rs - m * s1 AS sn, c2, s2, atan2(s2, c2) AS tw FROM s),
-u AS (SELECT user_id, j, (n + c2 * cos(tw) + s2 * sin(tw)) / 2 AS cc,
+             sum(cos(2 * wt)) AS c2, sum(sin(2 * wt)) AS s2 FROM x GROUP BY user_id, window_idx, j),
+t AS (SELECT user_id, window_idx, j, n, rc - m * c1 AS c, rs - m * s1 AS sn, c2, s2, atan2(s2, c2) AS tw FROM s),
+u AS (SELECT user_id, window_idx, j, (n + c2 * cos(tw) + s2 * sin(tw)) / 2 AS cc,
              n - (n + c2 * cos(tw) + s2 * sin(tw)) / 2 AS ss,
              c * cos(tw / 2) + sn * sin(tw / 2) AS ct, sn * cos(tw / 2) - c * sin(tw / 2) AS st FROM t),
-ps AS (SELECT user_id, {_F_LO} + j * {_STEP!r} AS freq,
+ps AS (SELECT user_id, window_idx, {_F_LO} + j * {_STEP!r} AS freq,
               0.5 * (CASE WHEN cc > 0 THEN ct * ct / cc ELSE 0 END + CASE WHEN ss > 0 THEN st * st / ss ELSE 0 END)
                 AS power FROM u),
-b AS (SELECT user_id, {_BAND_SQL} FROM ps GROUP BY user_id)
-SELECT user_id, round(VLF, 3) AS VLF, round(LF, 3) AS LF, round(HF, 3) AS HF, round(VHF, 3) AS VHF,
+b AS (SELECT user_id, window_idx, {_BAND_SQL} FROM ps GROUP BY user_id, window_idx)
+SELECT user_id, window_idx, round(VLF, 3) AS VLF, round(LF, 3) AS LF, round(HF, 3) AS HF, round(VHF, 3) AS VHF,
        round(VLF + LF + HF + VHF, 3) AS TP, round(LF / HF, 6) AS LFHF,
        round(LF / (VLF + LF + HF + VHF), 6) AS LFn, round(HF / (VLF + LF + HF + VHF), 6) AS HFn,
        round(CASE WHEN HF > 0 THEN ln(HF) END, 6) AS LnHF FROM b""")
 def hrv_frequency(spark, d):
-    """Lomb-Scargle band powers over each user's whole record."""
-    f = H.hrv_frequency(_rr_whole(spark, d), ["user_id"], f_lo=_F_LO, f_hi=_F_HI, n_freq=_N_FREQ)
-    return f.select("user_id", *[K.r6(F.round(c, 3), 6).alias(c) for c in ("VLF", "LF", "HF", "VHF", "TP")],
+    """Lomb-Scargle band powers per (user, 10-day window)."""
+    f = H.hrv_frequency(_rr_long(spark, d), ["user_id", "window_idx"], f_lo=_F_LO, f_hi=_F_HI, n_freq=_N_FREQ)
+    return f.select("user_id", "window_idx", *[K.r6(F.round(c, 3), 6).alias(c) for c in ("VLF", "LF", "HF", "VHF", "TP")],
                     *[K.r6(c).alias(c) for c in ("LFHF", "LFn", "HFn", "LnHF")])
 
 
-@query("hrv_nonlinear", sql="WITH " + _rr_sql("user_id", "events").strip() + "," + _time_sql("user_id") + """,
-pc AS (SELECT user_id, SDSD / sqrt(2) AS SD1,
+@query("hrv_nonlinear", sql=_RRL + "," + _time_sql(_K) + """,
+pc AS (SELECT user_id, window_idx, SDSD / sqrt(2) AS SD1,
               CASE WHEN 2 * SDNN * SDNN - (SDSD / sqrt(2)) * (SDSD / sqrt(2)) >= 0
                    THEN sqrt(2 * SDNN * SDNN - (SDSD / sqrt(2)) * (SDSD / sqrt(2))) END AS SD2 FROM tf)
-SELECT user_id, round(SD1, 6) AS SD1, round(SD2, 6) AS SD2, round(SD1 / SD2, 6) AS SD1SD2,
+SELECT user_id, window_idx, round(SD1, 6) AS SD1, round(SD2, 6) AS SD2, round(SD1 / SD2, 6) AS SD1SD2,
        round(pi() * SD1 * SD2, 6) AS S, round(SD2 / SD1, 6) AS CSI,
        round(CASE WHEN SD1 * SD2 > 0 THEN log10(16 * SD1 * SD2) END, 6) AS CVI FROM pc""")
 def hrv_nonlinear(spark, d):
-    """Poincaré descriptors over each user's whole record."""
-    p = H.poincare(H.hrv_time(_rr_whole(spark, d), ["user_id"]), ["user_id"])
-    return p.select("user_id", *[K.r6(c).alias(c) for c in H.POINCARE_FEATURES])
-
-
-@query("sample_entropy", sql="WITH " + _rr_sql("user_id", "events").strip() + """,
-tp AS (SELECT user_id, beat, rr AS x0, lead(rr, 1) OVER (PARTITION BY user_id ORDER BY beat) AS x1,
-              lead(rr, 2) OVER (PARTITION BY user_id ORDER BY beat) AS x2 FROM rr),
-sd AS (SELECT user_id, 0.2 * stddev_samp(rr) AS r FROM rr GROUP BY user_id),
-t2 AS (SELECT tp.*, sd.r FROM tp JOIN sd USING (user_id) WHERE x2 IS NOT NULL),
-pr AS (SELECT a.user_id,
+    """Poincaré descriptors per (user, 10-day window)."""
+    keys = ["user_id", "window_idx"]
+    p = H.poincare(H.hrv_time(_rr_long(spark, d), keys), keys)
+    return p.select(*keys, *[K.r6(c).alias(c) for c in H.POINCARE_FEATURES])
+
+
+@query("sample_entropy", sql=_RRL + """,
+tp AS (SELECT user_id, window_idx, beat, rr AS x0,
+              lead(rr, 1) OVER (PARTITION BY user_id, window_idx ORDER BY beat) AS x1,
+              lead(rr, 2) OVER (PARTITION BY user_id, window_idx ORDER BY beat) AS x2 FROM rr),
+sd AS (SELECT user_id, window_idx, 0.2 * stddev_samp(rr) AS r FROM rr GROUP BY user_id, window_idx),
+t2 AS (SELECT tp.*, sd.r FROM tp JOIN sd USING (user_id, window_idx) WHERE x2 IS NOT NULL),
+pr AS (SELECT a.user_id, a.window_idx,
               count_if(abs(a.x0 - b.x0) <= a.r AND abs(a.x1 - b.x1) <= a.r) AS B,
               count_if(abs(a.x0 - b.x0) <= a.r AND abs(a.x1 - b.x1) <= a.r AND abs(a.x2 - b.x2) <= a.r) AS A
-       FROM t2 a JOIN t2 b ON a.user_id = b.user_id AND b.beat > a.beat GROUP BY a.user_id)
-SELECT sd.user_id, round(CASE WHEN pr.A > 0 AND pr.B > 0 THEN -ln(pr.A / pr.B) END, 6) AS SampEn
-FROM sd LEFT JOIN pr USING (user_id)""")
+       FROM t2 a JOIN t2 b ON a.user_id = b.user_id AND a.window_idx = b.window_idx AND b.beat > a.beat
+       GROUP BY a.user_id, a.window_idx)
+SELECT sd.user_id, sd.window_idx, round(CASE WHEN pr.A > 0 AND pr.B > 0 THEN -ln(pr.A / pr.B) END, 6) AS SampEn
+FROM sd LEFT JOIN pr USING (user_id, window_idx)""")
 def sample_entropy(spark, d):
-    """Sample entropy (m = 2, r = 0.2 SDNN) via a grid candidate join."""
-    return H.sample_entropy(_rr_whole(spark, d), ["user_id"]).select("user_id", K.r6("SampEn").alias("SampEn"))
+    """Sample entropy (m = 2, r = 0.2 SDNN) per window via a grid candidate join."""
+    keys = ["user_id", "window_idx"]
+    return H.sample_entropy(_rr_long(spark, d), keys).select(*keys, K.r6("SampEn").alias("SampEn"))
 
 
-@query("dfa_alpha1", sql="WITH " + _rr_sql("user_id", "events").strip() + """,
-y0 AS (SELECT *, rr - avg(rr) OVER (PARTITION BY user_id) AS dev, count(*) OVER (PARTITION BY user_id) AS n FROM rr),
-y AS (SELECT *, sum(dev) OVER (PARTITION BY user_id ORDER BY beat ROWS UNBOUNDED PRECEDING) AS yk,
-             row_number() OVER (PARTITION BY user_id ORDER BY beat) AS k FROM y0),
-bx AS (SELECT user_id, s, floor((k - 1) / s) AS box, yk, CAST(k AS DOUBLE) AS kd
+@query("dfa_alpha1", sql=_RRL + """,
+y0 AS (SELECT *, rr - avg(rr) OVER (PARTITION BY user_id, window_idx) AS dev,
+              count(*) OVER (PARTITION BY user_id, window_idx) AS n FROM rr),
+y AS (SELECT *, sum(dev) OVER (PARTITION BY user_id, window_idx ORDER BY beat ROWS UNBOUNDED PRECEDING) AS yk,
+             row_number() OVER (PARTITION BY user_id, window_idx ORDER BY beat) AS k FROM y0),
+bx AS (SELECT user_id, window_idx, s, floor((k - 1) / s) AS box, yk, CAST(k AS DOUBLE) AS kd
        FROM y, range(4, 17) t(s) WHERE floor((k - 1) / s) < floor(n / s)),
-ss AS (SELECT user_id, s, box, regr_syy(yk, kd) - CASE WHEN regr_sxx(yk, kd) > 0
+ss AS (SELECT user_id, window_idx, s, box, regr_syy(yk, kd) - CASE WHEN regr_sxx(yk, kd) > 0
                    THEN power(regr_sxy(yk, kd), 2) / regr_sxx(yk, kd) ELSE 0 END AS ss
-       FROM bx GROUP BY user_id, s, box),
-fs AS (SELECT user_id, s, sqrt(sum(ss) / (s * count(*))) AS fs FROM ss GROUP BY user_id, s)
-SELECT user_id, round(regr_slope(ln(fs), ln(CAST(s AS DOUBLE))), 4) AS DFA_alpha1 FROM fs WHERE fs > 0
-GROUP BY user_id""")
+       FROM bx GROUP BY user_id, window_idx, s, box),
+fs AS (SELECT user_id, window_idx, s, sqrt(sum(ss) / (s * count(*))) AS fs FROM ss GROUP BY user_id, window_idx, s)
+SELECT user_id, window_idx, round(regr_slope(ln(fs), ln(CAST(s AS DOUBLE))), 4) AS DFA_alpha1
+FROM fs WHERE fs > 0 GROUP BY user_id, window_idx""")
 def dfa_alpha1(spark, d):
-    """DFA short-term exponent (box sizes 4..16)."""
-    a = H.dfa_alpha1(_rr_whole(spark, d), ["user_id"])
-    return a.select("user_id", K.r6(F.round("DFA_alpha1", 4)).alias("DFA_alpha1"))
+    """DFA short-term exponent (box sizes 4..16) per window."""
+    keys = ["user_id", "window_idx"]
+    a = H.dfa_alpha1(_rr_long(spark, d), keys)
+    return a.select(*keys, K.r6(F.round("DFA_alpha1", 4)).alias("DFA_alpha1"))
