@@ -45,33 +45,33 @@ def to_long(df: DataFrame, target: str, features: list[str]) -> DataFrame:
                 .where(F.col("y").isNotNull() & (F.col("x").isNotNull() | F.col("level").isNotNull())))
 
 
-def contingency(long: DataFrame) -> DataFrame:
-    """``(feature, level, y, o)`` for every observed cell.
+def raw_cells(long: DataFrame) -> DataFrame:
+    """Observed cells keyed by the raw value: ``(feature, x, level, y, o)``.
 
     Numeric values are grouped as doubles (so -0.0 and 0.0 are one level, as
-    in pandas) and turned into level text only after the aggregation.
+    in pandas); routing and the contingency table both read this one
+    aggregate, so a plan that needs both shares its shuffle.
     """
-    cells = long.groupBy("feature", "x", "level", "y").agg(F.count("*").alias("o"))
+    return long.groupBy("feature", "x", "level", "y").agg(F.count("*").alias("o"))
+
+
+def contingency(cells: DataFrame) -> DataFrame:
+    """``(feature, level, y, o)``; numeric levels become text only here."""
     return cells.select("feature", F.coalesce(F.col("level"), F.col("x").cast("string")).alias("level"),
                         "y", "o")
 
 
-def route(long: DataFrame, numeric: dict[str, bool] | None = None) -> DataFrame:
+def route(cells: DataFrame, numeric: dict[str, bool]) -> DataFrame:
     """``(feature, n, n_unique, kind)``; kind numeric / categorical / skip.
 
     The distinct count is exact (from the per-level table), so a column is
     never flipped across the 1 / 10 limits by an approximate sketch. Whether a
     column is numeric comes from the schema (``numeric``), not from a scan.
     """
-    # distinct on the raw (x, level) pair: no text conversion of numeric rows
-    per_level = long.groupBy("feature", "x", "level").agg(F.count("*").alias("n"))
+    per_level = cells.groupBy("feature", "x", "level").agg(F.sum("o").alias("n"))
     uniq = per_level.groupBy("feature").agg(F.count("*").alias("n_unique"), F.sum("n").alias("n"))
-    if numeric is None:
-        is_num = F.col("is_num")
-        uniq = uniq.join(long.select("feature", "is_num").distinct(), "feature")
-    else:
-        names = [x for k, v in numeric.items() for x in (F.lit(k), F.lit(bool(v)))]
-        is_num = F.coalesce(F.create_map(*names)[F.col("feature")], F.lit(False))
+    names = [x for k, v in numeric.items() for x in (F.lit(k), F.lit(bool(v)))]
+    is_num = F.coalesce(F.create_map(*names)[F.col("feature")], F.lit(False))
     kind = (F.when(F.col("n_unique") <= 1, "skip")
              .when(is_num & (F.col("n_unique") >= MIN_NUMERIC_LEVELS), "numeric")
              .otherwise("categorical"))
@@ -113,12 +113,12 @@ def numeric_tests(long: DataFrame, routes: DataFrame) -> DataFrame:
     return out.join(routes.where(F.col("kind") == "numeric").select("feature"), "feature")
 
 
-def categorical_tests(long: DataFrame, routes: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+def categorical_tests(cells: DataFrame, routes: DataFrame) -> DataFrame:
     """Chi-square over the full level x class grid, Yates when dof = 1,
     and Cramér's V. Unobserved cells are materialised by joining the level
     and class margins of each feature (levels x classes rows, not pairs)."""
     cats = routes.where(F.col("kind") == "categorical").select("feature")
-    cells = (contingency(long) if cells is None else cells).join(cats, "feature")
+    cells = contingency(cells.join(cats, "feature"))
     rows = cells.groupBy("feature", "level").agg(F.sum("o").alias("rs"))
     cols = cells.groupBy("feature", "y").agg(F.sum("o").alias("cs"))
     dims = (rows.groupBy("feature").agg(F.count("*").alias("nr"), F.sum("rs").alias("n"))
@@ -153,20 +153,17 @@ def associate_long(long: DataFrame, numeric: dict[str, bool]):
     """Same as ``associate`` for data already in long form
     ``(feature, is_num, x, level, y)`` (e.g. an exploded array column)."""
     long = long.where(F.col("y").isNotNull() & (F.col("x").isNotNull() | F.col("level").isNotNull()))
-    cells = contingency(long)
-    routes = route(long, numeric)
-    return routes, numeric_tests(long, routes), categorical_tests(long, routes, cells)
+    cells = raw_cells(long)
+    routes = route(cells, numeric)
+    return routes, numeric_tests(long, routes), categorical_tests(cells, routes)
 
 
 def associate(df: DataFrame, target: str, ignore: list[str] | None = None):
     """The whole per-column loop: returns (routes, numeric table, categorical table)."""
     ignore = set(ignore or []) | {target}
     feats = [c for c in df.columns if c not in ignore]
-    long = to_long(df, target, feats)
-    cells = contingency(long)
     numeric = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in feats}
-    routes = route(long, numeric)
-    return routes, numeric_tests(long, routes), categorical_tests(long, routes, cells)
+    return associate_long(to_long(df, target, feats), numeric)
 
 
 def rank(table: DataFrame, score: str, n: int = 20, ascending: bool = False,
@@ -174,7 +171,6 @@ def rank(table: DataFrame, score: str, n: int = 20, ascending: bool = False,
     """Top-n by score (feature name breaks ties)."""
     o = F.col(score).asc() if ascending else F.col(score).desc()
     top = table.orderBy(o, F.col("feature").asc()).limit(n)
-    from pyspark.sql import Window
     w = Window.orderBy(o, F.col("feature").asc())          # over <= n rows
     out = top.select("feature", F.col(score).alias("score"), F.row_number().over(w).alias("rank"))
     return out.withColumn("table", F.lit(label or score)) if label is not None else out
