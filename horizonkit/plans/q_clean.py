@@ -142,8 +142,8 @@ WITH src AS (
          CASE WHEN event_id % 4 <> 0
               THEN CAST(regexp_extract(props, '"k": (\\d+)', 1) AS DOUBLE) END AS k
   FROM events)
-SELECT event_id, coalesce(value, (SELECT median(value) FROM src)) AS value,
-       coalesce(k, (SELECT median(k) FROM src)) AS k
+SELECT event_id, round(coalesce(value, (SELECT median(value) FROM src)), 6) AS value,
+       round(coalesce(k, (SELECT median(k) FROM src)), 6) AS k
 FROM src""")
 def impute_median(spark, d):
     """Exact medians (distributed narrowing), all-missing column dropped."""
@@ -153,5 +153,5 @@ def impute_median(spark, d):
         F.when(F.col("event_id") % 4 != 0,
                F.regexp_extract("props", r'"k": (\d+)', 1).cast("double")).alias("k"),
         F.lit(None).cast("double").alias("empty"))
-    out, _ = CL.impute_median(e, ["value", "k", "empty"])
-    return out
+    out, kept = CL.impute_median(e, ["value", "k", "empty"])
+    return out.select("event_id", *[K.r6(c).alias(c) for c in kept])
