@@ -1,14 +1,14 @@
 """Signal text files: one float per line, one file per patient.
 
-Each file is read whole (``wholetext``) so the line order is the sample
-order; files are the unit of parallelism. The patient id comes from the file
-name by a pattern; files whose name does not match are returned as rejects
-instead of failing the job.
+Files are read line by line in parallel splits (or whole, optionally); the
+sample order is rebuilt from split offsets. The patient id comes from the
+file name by a pattern; files whose name does not match are returned as
+rejects instead of failing the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The reference's signal file naming.
@@ -16,26 +16,46 @@ DEFAULT_ID_PATTERN = r"^sinal(\d+)\.txt$"
 
 
 def read_signal_dir(spark: SparkSession, path: str, id_pattern: str = DEFAULT_ID_PATTERN,
-                    on: str = "name", recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+                    on: str = "name", recursive: bool = False,
+                    mode: str = "lines") -> tuple[DataFrame, DataFrame]:
     """Return ``(samples, rejects)``.
 
     samples: ``(patient_id LONG, sample_idx LONG, value FLOAT)``; bad tokens
-    give NULL values (kept, so indices stay aligned). ``on`` = ``"name"``
-    matches the file name, ``"path"`` the full path (partitioned folders).
+    give NULL values (kept, so indices stay aligned); blank lines are not
+    samples. ``on`` = ``"name"`` matches the file name, ``"path"`` the full
+    path (partitioned folders).
+
+    ``mode="lines"`` (default) reads files split by split in parallel and
+    rebuilds the sample index from each split's start offset: lines inside a
+    split arrive in order, so index = lines in earlier splits of the file +
+    position inside the split. ``mode="whole"`` reads each file as one value.
     """
-    # text() sets its own defaults for these, so they are passed as arguments
-    r = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=recursive)
     src = F.col("_metadata.file_name") if on == "name" else F.col("_metadata.file_path")
-    files = r.select(src.alias("file"), F.trim(F.col("value")).alias("body"))
-    pid = F.regexp_extract(F.col("file"), id_pattern, 1)
-    files = files.withColumn("__pid", pid)
-    rejects = files.where(F.col("__pid") == "").select("file")
-    ok = files.where(F.col("__pid") != "")
-    samples = (ok.select(F.col("__pid").cast("long").alias("patient_id"),
-                         F.posexplode(F.split(F.col("body"), r"\s+")).alias("sample_idx", "tok"))
-                 .where(F.col("tok") != "")
-                 .select("patient_id", F.col("sample_idx").cast("long").alias("sample_idx"),
-                         F.col("tok").try_cast("float").alias("value")))
+    if mode == "whole":
+        # text() sets its own defaults for these, so they are passed as arguments
+        r = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=recursive)
+        files = r.select(src.alias("file"), F.trim(F.col("value")).alias("body"))
+        files = files.withColumn("__pid", F.regexp_extract(F.col("file"), id_pattern, 1))
+        ok = files.where(F.col("__pid") != "")
+        toks = (ok.select(F.col("__pid").cast("long").alias("patient_id"),
+                          F.posexplode(F.split(F.col("body"), r"\s+")).alias("sample_idx", "tok"))
+                  .where(F.col("tok") != ""))
+    else:
+        r = spark.read.text(path, pathGlobFilter="*.txt", recursiveFileLookup=recursive)
+        lines = (r.select(src.alias("file"), F.col("_metadata.file_block_start").alias("__blk"),
+                          F.monotonically_increasing_id().alias("__mid"), F.trim("value").alias("tok"))
+                  .withColumn("__pid", F.regexp_extract(F.col("file"), id_pattern, 1)))
+        files = lines.select("file", "__pid")
+        ok = lines.where((F.col("__pid") != "") & (F.col("tok") != ""))
+        blocks = ok.groupBy("file", "__blk").agg(F.count("*").alias("__n"), F.min("__mid").alias("__m0"))
+        w = Window.partitionBy("file").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))   # splits per file
+        toks = (ok.join(blocks, ["file", "__blk"])
+                  .select(F.col("__pid").cast("long").alias("patient_id"),
+                          (F.col("__off") + F.col("__mid") - F.col("__m0")).alias("sample_idx"), "tok"))
+    rejects = files.where(F.col("__pid") == "").select("file").distinct()
+    samples = toks.select("patient_id", F.col("sample_idx").cast("long").alias("sample_idx"),
+                          F.col("tok").try_cast("float").alias("value"))
     return samples, rejects
 
 

@@ -36,3 +36,26 @@ def test_stream_appends_features_per_file(spark):
     # a second run with no new files appends nothing
     SS.start(spark, src, out, **args).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_signal_scan_lines_equals_whole_across_splits(spark):
+    """Line mode rebuilds the sample order across many small splits."""
+    from horizonkit.sources import signals as SG
+    root = tempfile.mkdtemp(prefix="hk-sig-")
+    vals = {3: [float(i % 17) + 0.25 for i in range(5000)], 12: [float(i) for i in range(700)]}
+    for pid, vs in vals.items():
+        with open(os.path.join(root, f"sinal{pid}.txt"), "w") as f:
+            f.write("\n".join(f"{v:.2f}" for v in vs) + "\n\n")
+    with open(os.path.join(root, "notes.txt"), "w") as f:
+        f.write("1\n2\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")          # force many splits per file
+    try:
+        lines, rej = SG.read_signal_dir(spark, root, mode="lines")
+        got = {(r.patient_id, r.sample_idx): r.value for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole, _ = SG.read_signal_dir(spark, root, mode="whole")
+    exp = {(r.patient_id, r.sample_idx): r.value for r in whole.collect()}
+    assert got == exp and len(got) == 5700
+    assert [r.file for r in rej.collect()] == ["notes.txt"]
