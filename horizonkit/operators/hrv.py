@@ -262,3 +262,22 @@ def patient_stats(window_feats: DataFrame, key: str, feats: list[str], prefix: s
     means = [F.avg(f).alias(f"{prefix}{f}") for f in feats]
     stds = [F.stddev_samp(f).alias(f"std_{prefix}{f}") for f in feats]
     return window_feats.groupBy(key).agg(F.count("*").alias("n_windows"), *means, *stds)
+
+
+# ---------------------------------------------------------------------- C4
+def assemble_families(keys: list[str], *families: DataFrame, drop: tuple[str, ...] = ("ULF",)) -> DataFrame:
+    """Feature families side by side per window (full outer join on the keys).
+
+    A family that failed for a window leaves NULLs there, like an empty frame
+    in a side-by-side concat; a ULF band, if a family has one, is dropped.
+    """
+    out = None
+    for fam in families:
+        fam = fam.drop(*[c for c in drop if c in fam.columns])
+        out = fam if out is None else out.join(fam, keys, "full_outer")
+    return out
+
+
+def feature_rejects(patients: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """Patients with no feature row from any window."""
+    return patients.select(key).distinct().join(features.select(key).distinct(), key, "left_anti")

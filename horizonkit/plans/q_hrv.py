@@ -170,7 +170,7 @@ _K = "user_id, window_idx"
 _RRL = _LONG_SQL + "," + _rr_sql(_K, "twin")
 
 
-@query("hrv_frequency", sql=_RRL + f""",
+_FREQ_CTES = f"""
 x AS (SELECT user_id, window_idx, rr, (({_F_LO} + j * {_STEP!r}) * {2 * 3.141592653589793!r}) * t_s AS wt, j
       FROM rr, range(0, {_N_FREQ}) g(j)),
 s AS (SELECT user_id, window_idx, j, count(*) AS n, avg(rr) AS m,
@@ -183,7 +183,10 @@ u AS (SELECT user_id, window_idx, j, (n + c2 * cos(tw) + s2 * sin(tw)) / 2 AS cc
 ps AS (SELECT user_id, window_idx, {_F_LO} + j * {_STEP!r} AS freq,
               0.5 * (CASE WHEN cc > 0 THEN ct * ct / cc ELSE 0 END + CASE WHEN ss > 0 THEN st * st / ss ELSE 0 END)
                 AS power FROM u),
-b AS (SELECT user_id, window_idx, {_BAND_SQL} FROM ps GROUP BY user_id, window_idx)
+b AS (SELECT user_id, window_idx, {_BAND_SQL} FROM ps GROUP BY user_id, window_idx)"""
+
+
+@query("hrv_frequency", sql=_RRL + "," + _FREQ_CTES + """
 SELECT user_id, window_idx, round(VLF, 3) AS VLF, round(LF, 3) AS LF, round(HF, 3) AS HF, round(VHF, 3) AS VHF,
        round(VLF + LF + HF + VHF, 3) AS TP, round(LF / HF, 6) AS LFHF,
        round(LF / (VLF + LF + HF + VHF), 6) AS LFn, round(HF / (VLF + LF + HF + VHF), 6) AS HFn,
@@ -246,3 +249,47 @@ def dfa_alpha1(spark, d):
     keys = ["user_id", "window_idx"]
     a = H.dfa_alpha1(_rr_long(spark, d), keys)
     return a.select(*keys, K.r6(F.round("DFA_alpha1", 4)).alias("DFA_alpha1"))
+
+
+_FAM_COLS = ", ".join([f"round(t.{f}, 4) AS {f}" for f in H.TIME_FEATURES]
+                      + [f"round(fq.{c}, 3) AS {c}" for c in ("VLF", "LF", "HF", "VHF", "TP")]
+                      + [f"round(fq.{c}, 6) AS {c}" for c in ("LFHF", "LFn", "HFn", "LnHF")]
+                      + [f"round(p.{c}, 6) AS {c}" for c in H.POINCARE_FEATURES])
+
+
+def _families(spark, d):
+    keys = ["user_id", "window_idx"]
+    rr = _rr_long(spark, d)
+    t = H.hrv_time(rr, keys)
+    fq = H.hrv_frequency(rr, keys, f_lo=_F_LO, f_hi=_F_HI, n_freq=_N_FREQ)
+    p = H.poincare(t, keys)
+    return H.assemble_families(keys, t, fq, p)
+
+
+@query("hrv_window_features", sql=_RRL + "," + _time_sql(_K) + "," + _FREQ_CTES + """,
+pc AS (SELECT user_id, window_idx, SDSD / sqrt(2) AS SD1,
+              CASE WHEN 2 * SDNN * SDNN - (SDSD / sqrt(2)) * (SDSD / sqrt(2)) >= 0
+                   THEN sqrt(2 * SDNN * SDNN - (SDSD / sqrt(2)) * (SDSD / sqrt(2))) END AS SD2 FROM tf),
+p AS (SELECT user_id, window_idx, SD1, SD2, SD1 / SD2 AS SD1SD2, pi() * SD1 * SD2 AS S, SD2 / SD1 AS CSI,
+             CASE WHEN SD1 * SD2 > 0 THEN log10(16 * SD1 * SD2) END AS CVI FROM pc),
+fq AS (SELECT user_id, window_idx, VLF, LF, HF, VHF, VLF + LF + HF + VHF AS TP, LF / HF AS LFHF,
+              LF / (VLF + LF + HF + VHF) AS LFn, HF / (VLF + LF + HF + VHF) AS HFn,
+              CASE WHEN HF > 0 THEN ln(HF) END AS LnHF FROM b)
+SELECT user_id, window_idx, """ + _FAM_COLS + """
+FROM tf t FULL OUTER JOIN fq USING (user_id, window_idx) FULL OUTER JOIN p USING (user_id, window_idx)""")
+def hrv_window_features(spark, d):
+    """Time, frequency and Poincaré families side by side per window."""
+    f = _families(spark, d)
+    cols = ([K.r6(c, 4).alias(c) for c in H.TIME_FEATURES]
+            + [K.r6(F.round(c, 3), 6).alias(c) for c in ("VLF", "LF", "HF", "VHF", "TP")]
+            + [K.r6(c).alias(c) for c in ("LFHF", "LFn", "HFn", "LnHF")]
+            + [K.r6(c).alias(c) for c in H.POINCARE_FEATURES])
+    return f.select("user_id", "window_idx", *cols)
+
+
+@query("hrv_rejects", sql=_LONG_SQL + "," + _rr_sql(_K, "twin") + """
+SELECT DISTINCT user_id FROM events
+WHERE user_id NOT IN (SELECT user_id FROM rr)""")
+def hrv_rejects(spark, d):
+    """Users without any RR interval in a complete 10-day window."""
+    return H.feature_rejects(R.signal(spark, d), _rr_long(spark, d), "user_id")
