@@ -78,6 +78,8 @@ class MISelector(Estimator, _SelParams, DefaultParamsReadable, DefaultParamsWrit
 
     def _fit(self, df: DataFrame) -> "MISelectorModel":
         cols = self.getOrDefault("inputCols")
+        if self.getOrDefault("k") >= len(cols):          # keeps everything: no scoring pass
+            return MISelectorModel(selected=list(cols), outputCol=self.getOrDefault("outputCol"))
         key = (df.semanticHash(), tuple(cols), self.getOrDefault("labelCol"))
         if key not in _MI_CACHE:
             long = df.select(F.col(self.getOrDefault("idCol")).alias("id"),

@@ -115,3 +115,32 @@ def perm_importance(spark, d):
     m = ML.make_pipeline("RandomForest", RF_FIXED, 15, COLS, "weight").fit(train)
     imp = ML.permutation_importance(m, test.withColumn("label", F.col("label").cast("int")), COLS[:], repeats=10)
     return imp.select("feature", K.r6("importance").alias("importance"))
+
+
+@query("horizon_study")
+def horizon_study(spark, d):
+    """horizons x models on the merged cohort (prep, split, weights, fit,
+    out-of-fold threshold, test metrics, summaries written to the shared folder)."""
+    from horizonkit.operators import cohort as C
+    from horizonkit.operators.study import run_horizon_study
+    from horizonkit.plans.q_cohort import merged
+    from horizonkit.session import scratch_path
+    lab = C.label_horizons(merged(spark, d), event_col="Obito_MS", time_col="Tempo")
+    lab = lab.withColumnRenamed("exam_ts", "Date Holter")
+    out = run_horizon_study(
+        lab, drop_cols=["ID", "Name", "Obito_MS", "Time"], nominal=["o_orderpriority"],
+        models={"RandomForest": {"n_estimators": 20, "max_depth": 8}}, out_dir=scratch_path(spark, "study"))
+    return out.select("horizon", "model", "k", K.r6("threshold").alias("threshold"), "n_train", "n_test",
+                      *[K.r6(c).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1", "gmean")])
+
+
+@query("pipeline_roundtrip")
+def pipeline_roundtrip(spark, d):
+    """A10: fitted pipeline saved to the shared folder, loaded, used to score."""
+    from horizonkit.session import scratch_path
+    from horizonkit.sources import sinks as SK
+    train, test = _data(spark, d)
+    model = ML.make_pipeline("RandomForest", RF_FIXED, 20, COLS, "weight").fit(train)
+    path = scratch_path(spark, "pipeline")
+    SK.save_pipeline(model, path)
+    return _preds(SK.load_pipeline(path), test)
