@@ -60,16 +60,16 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                                       / (F.col("precision") + F.col("recall"))).otherwise(0.0))
     tot = per.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
                   F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                  (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                  (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
+                  F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
+                  F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
+                  F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
     cols = ["class", "precision", "recall", "f1", "support"]
     macro = tot.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"),
                        F.col("mr").alias("recall"), F.col("mf").alias("f1"), F.col("n").alias("support"))
     weighted = tot.select(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"),
                           F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support"))
     acc = tot.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), (F.col("tp") / F.col("n")).alias("f1"),
+                     F.lit(None).cast("double").alias("recall"), F.try_divide("tp", "n").alias("f1"),
                      F.col("n").alias("support"))
     return per.select(*cols).unionByName(macro).unionByName(weighted).unionByName(acc)
 
@@ -146,14 +146,15 @@ def roc_points(df: DataFrame, label: str = "label", p: str = "p", buckets: int =
         t = tot.first()
         cum = cum.withColumn("n_pos", F.lit(t["n_pos"] or 0)).withColumn("n_neg", F.lit(t["n_neg"] or 0))
     pts = cum.select(*g, F.col(p).alias("threshold"), "tp_s", "fp_s", "tp_c", "fp_c", "n_pos", "n_neg",
-                     (F.col("fp_c") / F.col("n_neg")).alias("fpr"), (F.col("tp_c") / F.col("n_pos")).alias("tpr"))
+                     F.try_divide("fp_c", "n_neg").alias("fpr"), F.try_divide("tp_c", "n_pos").alias("tpr"))
     return pts
 
 
 def auc_from_points(pts: DataFrame, group: list[str] | None = None) -> DataFrame:
     """trapezoid area, summed per distinct score (no ordered pass)."""
     g = group or []
-    area = (F.col("fp_s") / F.col("n_neg")) * ((F.col("tp_c") - F.col("tp_s")) + F.col("tp_s") / 2.0) / F.col("n_pos")
+    area = F.try_divide(F.col("fp_s") * ((F.col("tp_c") - F.col("tp_s")) + F.col("tp_s") / 2.0),
+                        F.col("n_neg") * F.col("n_pos"))
     return pts.groupBy(*g).agg(F.sum(area).alias("auc"))
 
 
@@ -169,8 +170,8 @@ def model_comparison(preds: DataFrame, model: str = "Model", label: str = "label
                      pred: str = "pred") -> DataFrame:
     """D19 + B23: sensitivity, specificity, G-Mean per model, in long form."""
     r = preds.groupBy(model).agg(
-        (F.count_if((F.col(label) == 1) & (F.col(pred) == 1)) / F.count_if(F.col(label) == 1)).alias("sens"),
-        (F.count_if((F.col(label) == 0) & (F.col(pred) == 0)) / F.count_if(F.col(label) == 0)).alias("spec"))
+        F.try_divide(F.count_if((F.col(label) == 1) & (F.col(pred) == 1)), F.count_if(F.col(label) == 1)).alias("sens"),
+        F.try_divide(F.count_if((F.col(label) == 0) & (F.col(pred) == 0)), F.count_if(F.col(label) == 0)).alias("spec"))
     wide = r.select(model, F.sqrt(F.col("sens") * F.col("spec")).alias("G-Mean"),
                     F.col("sens").alias("Sensitivity"), F.col("spec").alias("Specificity"))
     return wide.unpivot([model], ["G-Mean", "Sensitivity", "Specificity"], "Metric", "Score")

@@ -130,8 +130,8 @@ def hrv_time(rr: DataFrame, keys: list[str]) -> DataFrame:
     out = base.join(mad, keys)
     return out.select(
         *keys, "MeanNN", "SDNN", "RMSSD", "SDSD",
-        (F.col("SDNN") / F.col("MeanNN")).alias("CVNN"), (F.col("RMSSD") / F.col("MeanNN")).alias("CVSD"),
-        "MedianNN", "MadNN", (F.col("MadNN") / F.col("MedianNN")).alias("MCVNN"),
+        F.try_divide("SDNN", "MeanNN").alias("CVNN"), F.try_divide("RMSSD", "MeanNN").alias("CVSD"),
+        "MedianNN", "MadNN", F.try_divide("MadNN", "MedianNN").alias("MCVNN"),
         (F.col("__p75") - F.col("__p25")).alias("IQRNN"), "Prc20NN", "Prc80NN", "pNN50", "pNN20",
         "MinNN", "MaxNN")
 
@@ -177,8 +177,8 @@ def hrv_frequency(rr: DataFrame, keys: list[str], **kw) -> DataFrame:
     b = ps.groupBy(*keys).agg(*aggs)
     tp = F.col("VLF") + F.col("LF") + F.col("HF") + F.col("VHF")
     return b.select(*keys, "VLF", "LF", "HF", "VHF", tp.alias("TP"),
-                    (F.col("LF") / F.col("HF")).alias("LFHF"), (F.col("LF") / tp).alias("LFn"),
-                    (F.col("HF") / tp).alias("HFn"),
+                    F.try_divide("LF", "HF").alias("LFHF"), F.try_divide(F.col("LF"), tp).alias("LFn"),
+                    F.try_divide(F.col("HF"), tp).alias("HFn"),
                     F.when(F.col("HF") > 0, F.log(F.col("HF"))).alias("LnHF"))
 
 
@@ -189,9 +189,9 @@ def poincare(time_feats: DataFrame, keys: list[str]) -> DataFrame:
     v2 = F.lit(2) * F.col("SDNN") * F.col("SDNN") - sd1 * sd1
     sd2 = F.when(v2 >= 0, F.sqrt(v2))
     x = time_feats.select(*keys, sd1.alias("SD1"), sd2.alias("SD2"))
-    return x.select(*keys, "SD1", "SD2", (F.col("SD1") / F.col("SD2")).alias("SD1SD2"),
+    return x.select(*keys, "SD1", "SD2", F.try_divide("SD1", "SD2").alias("SD1SD2"),
                     (F.lit(math.pi) * F.col("SD1") * F.col("SD2")).alias("S"),
-                    (F.col("SD2") / F.col("SD1")).alias("CSI"),
+                    F.try_divide("SD2", "SD1").alias("CSI"),
                     F.when(F.col("SD1") * F.col("SD2") > 0,
                            F.log10(16 * F.col("SD1") * F.col("SD2"))).alias("CVI"))
 

@@ -50,7 +50,7 @@ def event_rate(spark, d):
         F.when(F.col("doc_id") % 17 != 0, F.col("toxic")).alias("y"))
     return lab.agg(F.count("*").alias("n_rows"), F.count_if(F.col("y") == 0).cast("long").alias("n0"),
                    F.count_if(F.col("y") == 1).cast("long").alias("n1"),
-                   K.r6(F.count_if(F.col("y") == 1) * 100.0 / F.count("*")).alias("event_pct"))
+                   K.r6(F.try_divide(F.count_if(F.col("y") == 1) * 100.0, F.count("*"))).alias("event_pct"))
 
 
 @query("confusion", sql=f"""

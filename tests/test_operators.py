@@ -327,3 +327,17 @@ def test_sample_entropy_matches_brute_force(spark):
                 if abs(x[i + m] - x[j + m]) <= r:
                     A_ += 1
     assert math.isclose(got, -math.log(A_ / B), rel_tol=1e-12)
+
+
+def test_zero_denominators_give_null_not_errors(spark):
+    """ANSI mode raises on x / 0; ratios with a zero denominator are NULL."""
+    rr = spark.createDataFrame([(1, i + 1, float(i), 800.0) for i in range(6)], "k int, beat int, t_s double, rr double")
+    t = H.hrv_time(rr, ["k"])
+    p = H.poincare(t, ["k"]).first()
+    assert p.SD1 == 0.0 and p.CSI is None
+    only_pos = spark.createDataFrame([(1, 1, 0.3), (2, 1, 0.7)], "id int, label int, p double")
+    pts = EV.roc_points(only_pos).collect()
+    assert all(r.fpr is None for r in pts)
+    assert EV.auc_from_points(EV.roc_points(only_pos)).first().auc is None
+    mc = EV.model_comparison(only_pos.withColumn("Model", F.lit("m")).withColumn("pred", F.lit(1)))
+    assert {r.Metric: r.Score for r in mc.collect()}["Specificity"] is None
