@@ -92,11 +92,13 @@ def thresholds_passed(p: str = "p", n: int = N_THRESHOLDS):
 
 
 def threshold_sweep(df: DataFrame, label: str = "label", p: str = "p",
-                    n: int = N_THRESHOLDS) -> DataFrame:
-    """confusion counts and strict G-Mean for all 99 thresholds, one scan.
+                    n: int = N_THRESHOLDS, metric=None) -> DataFrame:
+    """confusion counts and a score for all 99 thresholds, one scan.
 
     Rows are reduced to a histogram of "thresholds passed" (<= 2 x 100 rows);
     threshold i predicts positive exactly for rows that passed >= i.
+    ``metric`` (L3) maps the confusion columns to a score Column; the default
+    is the strict G-Mean.
     """
     spark = df.sparkSession
     hist = (df.select(F.col(label).alias("y"), thresholds_passed(p, n).alias("c"))
@@ -113,7 +115,7 @@ def threshold_sweep(df: DataFrame, label: str = "label", p: str = "p",
                       F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"),
                       (F.col("n_pos") - F.col("tp")).cast("long").alias("fn"),
                       (F.col("n_neg") - F.col("fp")).cast("long").alias("tn")))
-    return out.withColumn("score", M.gmean_strict())
+    return out.withColumn("score", (metric or M.gmean_strict)())
 
 
 def best_threshold(sweep: DataFrame, default: float = 0.5) -> DataFrame:

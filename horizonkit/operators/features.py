@@ -7,8 +7,12 @@ d x d matrix — bounded by the number of features — reaches the driver.
 
 from __future__ import annotations
 
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.stat import Correlation
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +71,35 @@ def selection_overlap(selected: DataFrame, model: str = "model") -> DataFrame:
         F.concat_ws("|", F.sort_array(F.collect_set(model))).alias("models"))
     return per.groupBy("models").agg(F.count("*").alias("n_features"),
                                      F.concat_ws(",", F.sort_array(F.collect_list("feature"))).alias("features"))
+
+
+class CorrelationReducer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """L1: the reducer as a fit / transform stage on named columns."""
+
+    inputCols = Param(Params._dummy(), "inputCols", "columns to reduce", TypeConverters.toListString)
+    threshold = Param(Params._dummy(), "threshold", "|r| above which a later column is dropped",
+                      TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, inputCols=None, threshold=0.9):
+        super().__init__()
+        self._setDefault(threshold=0.9)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> "CorrelationReducerModel":
+        table = correlation_reducer(df, self.getOrDefault("inputCols"), self.getOrDefault("threshold"))
+        keep = [r["feature"] for r in table.orderBy("idx").collect() if r["kept"] == 1]   # one row per column
+        return CorrelationReducerModel(keep=keep, drop=[c for c in self.getOrDefault("inputCols") if c not in keep])
+
+
+class CorrelationReducerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    keep = Param(Params._dummy(), "keep", "kept columns", TypeConverters.toListString)
+    drop = Param(Params._dummy(), "drop", "dropped columns", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, keep=None, drop=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.getOrDefault("drop"))

@@ -341,3 +341,14 @@ def test_zero_denominators_give_null_not_errors(spark):
     assert EV.auc_from_points(EV.roc_points(only_pos)).first().auc is None
     mc = EV.model_comparison(only_pos.withColumn("Model", F.lit("m")).withColumn("pred", F.lit(1)))
     assert {r.Metric: r.Score for r in mc.collect()}["Specificity"] is None
+
+
+def test_reducer_stage_and_custom_sweep_metric(spark):
+    rows = [(float(i), 2.0 * i + 1, float((i * 7) % 11)) for i in range(50)]
+    df = spark.createDataFrame(rows, "a double, b double, d double")
+    m = FE.CorrelationReducer(inputCols=["a", "b", "d"], threshold=0.9).fit(df)
+    assert m.transform(df).columns == ["a", "d"]
+    sc = spark.createDataFrame([(1, 1, 0.8), (2, 0, 0.2), (3, 1, 0.6)], "id int, label int, p double")
+    acc = lambda: (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
+    best = EV.best_threshold(EV.threshold_sweep(sc, metric=acc)).first()
+    assert best.best_score == 1.0 and 0.2 < best.best_threshold <= 0.6
