@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
+from pyspark import SparkConf, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,12 +30,15 @@ def get_session(master: str | None = None, app: str = "horizonkit",
         "spark.ui.showConsoleProgress": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.ansi.enabled": "true",
-        "spark.driver.memory": os.environ.get("HORIZONKIT_DRIVER_MEMORY", "16g"),
     }
+    if master and master.startswith("local"):  # one JVM: the driver's heap is all there is
+        cfg["spark.driver.memory"] = os.environ.get("HORIZONKIT_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         cfg["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    submitted = SparkConf()  # what spark-submit or spark-defaults already set
     for k, v in cfg.items():
-        b = b.config(k, v)
+        if not submitted.contains(k):
+            b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -44,21 +47,19 @@ def get_session(master: str | None = None, app: str = "horizonkit",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a scratch
-    folder is created and registered, so lineage cuts and sinks never land
-    on a machine-local path on a real cluster.
+    Read from the session. Where it is unset, a local session (one machine,
+    as in tests) gets a scratch folder; a cluster gets an error, because a
+    machine-local folder would lose data with its executor.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="horizonkit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    # setCheckpointDir creates a uuid sub-folder; remember the root we chose.
-    if not (sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None):
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    return d.rstrip("/")
+    return (sc.getCheckpointDir() or d).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -81,8 +82,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return out
 
 
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, written once and reread.
+
+    Cuts lineage like ``cut_lineage`` with one job and compressed columns;
+    a lost executor costs no recomputation of what stands before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,12 +18,8 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "8g")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hk-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    # tests own the session: the checkpoint folder is unset, so set a scratch one
-    if not s.sparkContext.getCheckpointDir():
-        d = tempfile.mkdtemp(prefix="hk-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
     yield s
     s.stop()
