@@ -1,0 +1,132 @@
+"""Exact tokenization of whole texts through their space-separated units.
+
+Both vocabularies' rules never join characters across the start of a run of
+white space, so the ids of a text are those of its units (white space and what follows
+it), one after the other. Each unit goes through the tokenizers library once
+for as long as its ids are remembered; many new units go in one call, apart
+by a separator whose id nothing else gives.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+from collections.abc import Iterable
+
+import numpy as np
+
+_SPACE = rb"\x20\x09-\x0d"
+_UNIT = re.compile(rb"[%s]*[^%s]+|[%s]+" % (_SPACE, _SPACE, _SPACE))
+_PLAIN = re.compile(rb"\x20[^%s]+" % _SPACE)
+_CUT = re.compile(rb"(?<=[^%s])[%s]" % (_SPACE, _SPACE))
+#: Bytes of a text whose units are listed at a time.
+PART = 1 << 20
+#: Units remembered in each of two generations; longer ones are not remembered.
+REMEMBERED, LONGEST = 250_000, 96
+CALL = 4096
+
+
+def parts(text: bytes) -> Iterable[bytes]:
+    """A text cut before white space into parts of about ``PART`` bytes."""
+    at = 0
+    while len(text) - at > PART and (m := _CUT.search(text, at + PART)):
+        yield text[at:m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+class UnitEncoder:
+    """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as bytes."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # where white space is dropped, a lone control character is a word of its own; else a line feed between
+        # a word and the space of the next is
+        self.drops = self._ids("a  b") == self._ids("a b")
+        self.between = " \x01 " if self.drops else "\n"
+        self.mark = self._ids(" \x01 " if self.drops else "\n")[0]
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.open: set[bytes] = set()  # units that may join with what follows them
+
+    def _ids(self, *texts: str) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _open_end(self, unit: bytes) -> bool:
+        """Ends in white space other than ASCII's, which may join with what follows."""
+        return not self.drops and unit[-1] >= 0x80 and unit.decode()[-1:].isspace()
+
+    def _encode_units(self, units: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
+        plain = [u for u in units if self._joins(u)]
+        for i in range(0, len(plain), CALL):
+            some = plain[i:i + CALL]
+            ids = np.array(self._ids(self.between.join(map(bytes.decode, some)))[0], "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
+            if len(self.mark) == 1 and len(ends) == len(some):
+                raw = ids.tobytes()
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                yield from ((u, raw[4 * a:4 * b]) for u, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
+            else:
+                yield from self._singly(some)
+        yield from self._singly([u for u in units if not self._joins(u)])
+
+    def _joins(self, unit: bytes) -> bool:
+        if b"\x01" in unit:
+            return False
+        return True if self.drops else bool(_PLAIN.fullmatch(unit)) and not self._open_end(unit)
+
+    def _singly(self, units: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
+        for i in range(0, len(units), CALL):
+            some = units[i:i + CALL]
+            yield from zip(some, (np.array(x, "<u4").tobytes() for x in self._ids(*map(bytes.decode, some))), strict=True)
+
+    def _learn(self, lists: list[list[bytes]]) -> dict[bytes, bytes]:
+        """Ids of all these units; what can be remembered stays for later calls."""
+        new, old = self.new, self.old
+        missing = {u for units in lists for u in units if u not in new}
+        if len(new) + len(missing) > REMEMBERED:
+            missing |= {u for units in lists for u in units if u in new}
+            self.old, self.new = old, new = new, {}
+        known = {u: old[u] for u in missing if u in old}
+        new.update(known)
+        fresh = [u for u in missing if u not in known]
+        self.open.update(filter(self._open_end, fresh))
+        once: dict[bytes, bytes] = {}
+        for u, ids in self._encode_units(fresh):
+            (new if len(u) <= LONGEST else once)[u] = ids
+        return once
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        small = [_UNIT.findall(t) if len(t) <= PART else [] for t in texts]
+        once = self._learn(small)
+        out = [self._join(units, once) for units in small]
+        for i, t in enumerate(texts):
+            if len(t) > PART:
+                got = []
+                for part in parts(t):
+                    units = _UNIT.findall(part)
+                    got.append(self._join(units, self._learn([units])))
+                out[i] = None if None in got else b"".join(got)
+            if out[i] is None:  # an end that may join with what follows: the whole text at once
+                out[i] = np.array(self._ids(t.decode())[0], "<u4").tobytes()
+        return out
+
+    def _join(self, units: list[bytes], once: dict[bytes, bytes]) -> bytes | None:
+        if self.open and not self.open.isdisjoint(units):
+            return None
+        if once:
+            return b"".join([once[u] if u in once else self.new[u] for u in units])
+        return b"".join(map(self.new.__getitem__, units))
+
+
+_ENCODERS: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """The worker process's encoder for a vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitEncoder(path)
+    return _ENCODERS[path]
