@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from horizonkit.llm.common import added, as_bytes, slices
 
-#: Hashed words (presence), and the least share of training rows a word must be in.
-WORDS, LEAST_ROWS = 1 << 18, 4
+#: Hashed words (presence), the lengths of beginnings in bytes, and the least z-score of a word that a model reads.
+WORDS, STEMS, LEAST_Z = 1 << 19, (4, 5, 7), 3.0
 #: At most this many labelled rows fit the chain (those with the smallest hash of their id).
 MAX_LABELLED = 8_000
 FOLDS = 3
@@ -28,8 +28,11 @@ _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
 def word_set(text: bytes) -> np.ndarray:
-    """Sorted hashes of the words a text holds."""
-    return np.array(sorted({zlib.crc32(w) & (WORDS - 1) for w in set(_WORD.findall(text.lower()))}), np.int32)
+    """Sorted hashes of the words a text holds, and of their beginnings, which inflected forms share."""
+    words = set(_WORD.findall(text.lower()))
+    stems = {b"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+    hashed = np.fromiter(map(zlib.crc32, words | stems), np.int64, len(words) + len(stems))
+    return np.unique(hashed & (WORDS - 1)).astype(np.int32)
 
 
 @dataclass
@@ -52,6 +55,11 @@ class Rows:
     def back(self, err: np.ndarray, size: int) -> np.ndarray:
         return np.bincount(self.words, np.repeat(err, np.diff(self.starts)), size)
 
+    def only(self, words: np.ndarray) -> Rows:
+        """The rows with these words alone."""
+        keep = words[self.words]
+        return Rows(self.words[keep], np.concatenate(([0], np.cumsum(keep)))[self.starts], self.dense)
+
     def take(self, keep: np.ndarray) -> Rows:
         n = np.diff(self.starts)
         return Rows(self.words[np.repeat(keep, n)], np.concatenate(([0], np.cumsum(n[keep]))), self.dense[keep])
@@ -68,20 +76,39 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_linear(rows: Rows, y: np.ndarray, steps: int = 60, rate: float = 0.3, decay: float = 1e-3, size: int = WORDS) -> Linear:
-    """Logistic regression on words in at least ``LEAST_ROWS`` rows, both classes of equal weight; Adagrad."""
-    seen = np.bincount(rows.words, minlength=size) >= LEAST_ROWS
+def evidence(rows: Rows, y: np.ndarray, size: int) -> np.ndarray:
+    """Log-odds of each word between the classes, 0 where chance explains it.
+
+    Weighing presence by it keeps the thousands of indifferent words of a
+    long text from drowning the few that tell.
+    """
+    bad, good = rows.back(y, size) + 0.5, rows.back(1 - y, size) + 0.5
+    odds = np.log(bad / (y.sum() + 1)) - np.log(good / (len(y) - y.sum() + 1))
+    z = odds / np.sqrt(1 / bad + 1 / good)
+    return np.where(np.abs(z) >= LEAST_Z, odds, 0.0)
+
+
+def fit_linear(rows: Rows, y: np.ndarray, steps: int = 60, rate: float = 0.3, decay: float = 1e-4, size: int = WORDS) -> Linear:
+    """Logistic regression on the words with evidence, both classes of equal weight; Adagrad."""
+    odds = evidence(rows, y, size)
+    used = np.flatnonzero(odds)
+    place = np.zeros(size, np.int64)
+    place[used] = np.arange(len(used))
+    rows = rows.only(odds != 0)
+    rows = Rows(place[rows.words], rows.starts, rows.dense)
+    scale = odds[used]
     share = y.mean()
     weight = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
-    w, d, b = np.zeros(size), np.zeros(rows.dense.shape[1]), 0.0
-    gw, gd, gb = np.full(size, 1e-8), np.full(len(d), 1e-8), 1e-8
+    w, d, b = np.zeros(len(used)), np.zeros(rows.dense.shape[1]), 0.0
+    gw, gd, gb = np.full(len(used), 1e-8), np.full(len(d), 1e-8), 1e-8
     for _ in range(steps):
-        err = (1 / (1 + np.exp(-np.clip(rows.sums(w) + rows.dense @ d + b, -60, 60))) - y) * weight
-        g = np.where(seen, rows.back(err, size) + decay * w, 0)
-        k, c = rows.dense.T @ err + decay * d, err.sum()
+        err = (1 / (1 + np.exp(-np.clip(rows.sums(w * scale) + rows.dense @ d + b, -60, 60))) - y) * weight
+        g, k, c = rows.back(err, len(used)) * scale + decay * w, rows.dense.T @ err + decay * d, err.sum()
         gw, gd, gb = gw + g * g, gd + k * k, gb + c * c
         w, d, b = w - rate * g / np.sqrt(gw), d - rate * k / np.sqrt(gd), b - rate * c / np.sqrt(gb)
-    return Linear(w, d, float(b))
+    out = np.zeros(size)
+    out[used] = w * scale
+    return Linear(out, d, float(b))
 
 
 @dataclass
