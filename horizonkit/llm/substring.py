@@ -35,6 +35,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n - 1), modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
     """Rabin-Karp hash of every ``width`` consecutive values, modulo 2**64.
 
@@ -44,9 +51,8 @@ def window_hashes(words: np.ndarray, width: int, base: int) -> np.ndarray:
     n = len(words)
     if n < width:
         return np.empty(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
-    powers = lambda b, k: np.cumprod(np.concatenate(([1], np.full(k - 1, b, np.uint64))).astype(np.uint64), dtype=np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(inverse, n), dtype=np.uint64)))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * powers(pow(base, -1, 1 << 64), n), dtype=np.uint64, out=sums[1:])
     return (sums[width:] - sums[:-width]) * powers(base, n - width + 1)
 
 
