@@ -164,8 +164,8 @@ _SENT = {"bucket": pa.int32(), "h": pa.binary(), "doc": pa.binary(), "pos": pa.b
 _SENT_SQL = "bucket int, h binary, doc binary, pos binary, ids binary, keys binary, known boolean"
 
 
-def _flagged(table: pa.Table) -> pa.Table:
-    """A bucket's rows -> per document the positions of windows that a smaller id has too."""
+def _flagged(table: pa.Table, groups: int) -> pa.Table:
+    """A bucket's rows -> the positions of windows that a smaller id has too, a row for each group of documents."""
     h, ids, keys, pos, known = [], [], [], [], []
     for r in table.select(["h", "doc", "pos", "ids", "keys", "known"]).to_batches():
         for x in r.to_pylist():
@@ -190,12 +190,38 @@ def _flagged(table: pa.Table) -> pa.Table:
         first = some[np.maximum.accumulate(np.where(head, np.arange(len(some)), 0))]
         flag[some] = ids[first] < ids[some]
     at = np.flatnonzero(flag)
-    at = at[np.lexsort((pos[at], keys[at], ids[at]))]
-    i, k = ids[at], keys[at]
-    cuts = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (k[1:] != k[:-1])))) if len(at) else at
-    parts = [p.astype("<u4").tobytes() for p in np.split(pos[at], cuts[1:])] if len(at) else []
-    return pa.table({"id": pa.array([None if x == NO_ID else int(x) for x in i[cuts]], pa.int64()),
-                     "key": pa.array(k[cuts], pa.int64()), "pos": pa.array(parts, pa.binary())})
+    group = (mixed(ids[at].view(np.uint64) ^ keys[at].view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    at, group = at[order], group[order]
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    out = [(int(group[c]), *_packed(ids[part], keys[part], pos[part])) for c, part in
+           zip(cuts.tolist(), np.split(at, cuts[1:]) if len(cuts) else [], strict=True)]
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "ids", "keys", "n", "pos"])
+
+
+def _packed(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Documents, their number of positions, and the positions."""
+    order = np.lexsort((pos, keys, ids))
+    ids, keys, pos = ids[order], keys[order], pos[order]
+    head = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
+    return ids[head].tobytes(), keys[head].tobytes(), planes(np.diff(head, append=len(ids)), 4), planes(pos, 4)
+
+
+def _marks(table: pa.Table) -> pa.Table:
+    """All buckets' positions of some documents -> a row per document."""
+    ids, keys, pos = [], [], []
+    for x in table.select(["ids", "keys", "n", "pos"]).to_pylist():
+        n = from_planes(x["n"], 4).astype(np.int64)
+        ids.append(np.repeat(np.frombuffer(x["ids"], np.int64), n))
+        keys.append(np.repeat(np.frombuffer(x["keys"], np.int64), n))
+        pos.append(from_planes(x["pos"], 4).astype("<u4"))
+    ids, keys, pos = map(np.concatenate, (ids, keys, pos))
+    order = np.lexsort((pos, keys, ids))
+    ids, keys, pos = ids[order], keys[order], pos[order]
+    head = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
+    return pa.table({"id": pa.array(ids[head], pa.int64(), mask=ids[head] == NO_ID), "key": pa.array(keys[head]),
+                     "pos": pa.array([p.tobytes() for p in np.split(pos, head[1:])], pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50,
@@ -218,6 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if buckets is None:
         chars = part.agg(F.sum(F.length("text"))).first()[0] or 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    groups = 1 + buckets // 4
     keyed = part.withColumn("key", F.xxhash64("text"))
 
     def send(batches):
@@ -232,8 +259,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield chunk.rows()
 
     marks = (keyed.mapInArrow(send, _SENT_SQL).groupBy("bucket")
-             .applyInArrow(_flagged, "id long, key long, pos binary")
-             .groupBy("id", "key").agg(F.collect_list("pos").alias("pos")))
+             .applyInArrow(lambda t: _flagged(t, groups), "part int, ids binary, keys binary, n binary, pos binary")
+             .groupBy("part").applyInArrow(_marks, "id long, key long, pos binary"))
 
     def cut(batches):
         for b in slices(batches):
@@ -243,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if not marked:
                     out.append((doc, len(words), 0, [], b" ".join(words).decode()))
                     continue
-                at = np.frombuffer(b"".join(marked), "<u4")
+                at = np.frombuffer(marked, "<u4")
                 h = window_hashes(word_hashes(words), width, BASES[0])
                 mask = covered(np.isin(h, h[at]), len(words), width)
                 kept = [words[i] for i in np.flatnonzero(~mask)]
