@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horizonkit.llm.common import as_bytes, slices
-from horizonkit.llm.word_units import encoder
+from horizonkit.llm.encode import encoder
 from horizonkit.session import written
 
 #: Pieces packed together; bounds a task's memory and its steps.
@@ -62,8 +62,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches):
             out = []
-            for doc, ids in zip(b.column(0).to_pylist(), encoder(vocabulary).encode(as_bytes(b.column(1))), strict=True):
-                ids += int(end_id).to_bytes(4, "little")
+            enc = encoder(vocabulary)
+            for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                ids = enc.encode(text) + int(end_id).to_bytes(4, "little")
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     out.append((row, doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonkit.llm.common import as_bytes, slices
-from horizonkit.llm.word_units import encoder
+from horizonkit.llm.encode import encoder
 
 NULL_ID = np.iinfo(np.int64).min
 #: Rows of a result batch read back from the files.
@@ -93,7 +93,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
             enc = encoder(vocabulary)
             dtype = id_type(enc.tokenizer.get_vocab_size())
             out = out or _Output(folder, f"{part:05d}.ids")
-            for ids in enc.encode(as_bytes(b.column(1))):
+            for ids in map(enc.encode, as_bytes(b.column(1))):
                 out.write(np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)).astype(dtype).tobytes())
                 local.append((total, 0))
                 total += len(ids) // 4 + 1
