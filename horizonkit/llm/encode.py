@@ -19,7 +19,7 @@ import numpy as np
 #: Characters of a text handled at a time.
 PART = 1 << 18
 #: Words remembered in each of two generations; longer ones are not remembered.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHER = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{_LETTER}]")
