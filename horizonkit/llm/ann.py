@@ -141,23 +141,28 @@ def closest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     product finds which can be among the nearest, with room for its rounding;
     these are then measured by differences.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
     unique, inverse = np.unique(x, axis=0, return_inverse=True)
-    by = np.argsort(inverse.reshape(-1), kind="stable")  # ids ascend within a vector
-    starts = np.searchsorted(inverse.reshape(-1)[by], np.arange(len(unique) + 1))
+    pairs = np.unique(np.column_stack((inverse.reshape(-1), ids)), axis=0)  # by vector, then id; repeated rows once
+    ids = pairs[:, 1]
+    starts = np.searchsorted(pairs[:, 0], np.arange(len(unique) + 1))
+    vectors_of_an_id = int(np.unique(ids, return_counts=True)[1].max())
     square, qsquare = (unique * unique).sum(1), (q * q).sum(1)
     rough = square[None, :] + qsquare[:, None] - 2 * q @ unique.T
-    want = min(k + 1, len(unique))
+    want = min((k + 1) * vectors_of_an_id, len(unique))
     kth = np.partition(rough, want - 1, axis=1)[:, want - 1]
     room = 1e-9 * (qsquare + square.max())
     out = []
     for i, query in enumerate(query_ids.tolist()):
         some = np.flatnonzero(rough[i] <= kth[i] + room[i])
         d = np.sqrt(((unique[some] - q[i]) ** 2).sum(1))
-        found = [(float(dist), r) for u, dist in zip(some.tolist(), d.tolist(), strict=True)
-                 for r in ids[by[starts[u]:starts[u + 1]][:k + 1]].tolist() if r != query]
-        out += [(query, r, dist) for dist, r in sorted(found)[:k]]
+        found: dict[int, float] = {}
+        for dist, r in sorted((dist, r) for u, dist in zip(some.tolist(), d.tolist(), strict=True)
+                              for r in ids[starts[u]:starts[u + 1]][:(k + 1) * vectors_of_an_id].tolist()):
+            if r != query and r not in found:
+                found[r] = dist
+                if len(found) == k:
+                    break
+        out += [(query, r, dist) for r, dist in found.items()]
     return out
 
 
