@@ -96,18 +96,13 @@ def elapsed_years(start, end, digits: int = 2) -> Column:
 
 
 def portable_hash(c, seed: int = 42) -> Column:
-    """``(id * 2654435761 + seed) mod 2**32`` without 64-bit overflow.
+    """First 32 bits of ``md5('<id>:<seed>')`` as a number.
 
-    The id is split into 16-bit halves so the product never leaves LONG
-    range, giving the same value as the plain formula on small ids (which is
-    what the SQL oracles compute).
+    Both engines compute it alike, and another seed gives another order (a
+    hash that only adds the seed would keep the order).
     """
-    m = 2654435761
-    a = F.pmod(col_of(c).cast("long"), F.lit(1 << 32))
-    hi = F.floor(a / F.lit(1 << 16)).cast("long")
-    lo = F.pmod(a, F.lit(1 << 16))
-    part_hi = F.pmod(hi * F.lit(m), F.lit(1 << 16)) * F.lit(1 << 16)
-    return F.pmod(part_hi + lo * F.lit(m) + F.lit(seed), F.lit(1 << 32))
+    text = F.concat(col_of(c).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def r6(c, digits: int = 6) -> Column:

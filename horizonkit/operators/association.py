@@ -107,7 +107,9 @@ def numeric_tests(long: DataFrame, routes: DataFrame) -> DataFrame:
     r = F.when((sxx > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(sxx * F.col("syy")))
     d1 = F.col("k") - 1
     d2 = F.col("n") - F.col("k")
-    f = F.when(F.col("ssw") > 0, (F.col("ssb") / d1) / (F.col("ssw") / d2))
+    # one class: no test (NULL); classes apart without any spread inside: infinitely significant
+    f = F.when(F.col("ssw") > 0, F.try_divide(F.try_divide(F.col("ssb"), d1), F.try_divide(F.col("ssw"), d2))
+               ).when((F.col("ssb") > 0) & (d1 > 0), F.lit(float("inf")))
     out = ss.select("feature", F.col("n").cast("long").alias("n"), r.alias("r"), F.abs(r).alias("abs_r"),
                     f.alias("anova_f"), d1.cast("double").alias("df1"), d2.cast("double").alias("df2"))
     return out.join(routes.where(F.col("kind") == "numeric").select("feature"), "feature")

@@ -69,28 +69,28 @@ def level_text(df: DataFrame, name: str):
     return c.cast("string")
 
 
-def discover_levels(df: DataFrame, cols: list[str], max_levels: int = 256) -> dict[str, list[str]]:
+def discover_levels(df: DataFrame, cols: list[str], max_levels: int | None = None) -> dict[str, list[str]]:
     """Sorted distinct non-null levels per column (one distributed distinct).
 
-    The result is capped: more than ``max_levels`` levels raises instead of
-    producing an unbounded number of columns.
+    Every level becomes a column, so they come to the driver as column names.
+    A caller may set ``max_levels`` to refuse wider tables.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), level_text(df, c).alias("v")) for c in cols])).alias("kv"))
     lv = long.select("kv.c", "kv.v").where(F.col("v").isNotNull()).distinct().cache()
-    for r in lv.groupBy("c").count().collect():      # one row per column
+    for r in lv.groupBy("c").count().collect() if max_levels else []:      # one row per column
         if r["count"] > max_levels:
             lv.unpersist()
             raise ValueError(f"{r['c']}: {r['count']} levels exceed max_levels={max_levels}")
     out = {c: [] for c in cols}
-    for r in lv.collect():                            # <= max_levels per column
+    for r in lv.collect():                            # the new columns' names
         out[r["c"]].append(r["v"])
     lv.unpersist()
     return {c: sorted(v) for c, v in out.items()}
 
 
 def one_hot(df: DataFrame, cols: list[str], levels: dict[str, list[str]] | None = None,
-            max_levels: int = 256) -> DataFrame:
+            max_levels: int | None = None) -> DataFrame:
     """All levels kept, missing -> all zeros, names ``col_level``, ints.
 
     Encoded columns are replaced by their dummies, appended at the end (as
@@ -109,6 +109,36 @@ def one_hot(df: DataFrame, cols: list[str], levels: dict[str, list[str]] | None
     return df.select(*keep, *dummies)
 
 
+# The reference's columns for each cleaning step.
+DECIMAL_TEXT = ["TSH", "AE diam.", "IMC", "FC", "FC media"]
+ORDINAL_COLUMN, BINARY_COLUMN = "NYHA", "Sex"
+NOMINAL = ["Dist Cond InterVent", "Dist Cond AtrioVent", "Dist Cond AtrioVent.1"]
+
+
+def clean_categorical(df: DataFrame, decimal: list[str] | None = None, ordinal: list[str] | None = None,
+                      binary: list[str] | None = None, nominal: list[str] | None = None,
+                      levels: dict[str, list[str]] | None = None) -> DataFrame:
+    """B6-B9 as one step: comma repair of text columns, ordinal and binary text to numbers, one-hot.
+
+    Columns that are absent are passed over; a column that is a number already
+    keeps its values. Unreadable text becomes NULL. Other columns stay.
+    """
+    decimal = DECIMAL_TEXT if decimal is None else decimal
+    ordinal = [ORDINAL_COLUMN] if ordinal is None else ordinal
+    binary = [BINARY_COLUMN] if binary is None else binary
+    out = []
+    for f in df.schema.fields:
+        c, text = F.col(q(f.name)), isinstance(f.dataType, T.StringType)
+        if f.name in decimal and text:
+            c = K.decimal_comma(c)
+        elif f.name in ordinal:
+            c = K.ordinal(c).cast("double") if text else K.nan_to_null(c.cast("double"))
+        elif f.name in binary and text:
+            c = K.binary_recode(c)
+        out.append(c.alias(f.name))
+    return one_hot(df.select(*out), NOMINAL if nominal is None else nominal, levels)
+
+
 # ----------------------------------------------------------------------- D9
 def column_medians(df: DataFrame, cols: list[str], **kw) -> DataFrame:
     """Exact (interpolated) median per column, long form ``(column, median)``."""

@@ -162,9 +162,9 @@ def auc_from_points(pts: DataFrame, group: list[str] | None = None) -> DataFrame
 
 def log_loss(df: DataFrame, label: str = "label", p: str = "p", eps: float = 1e-15,
              group: list[str] | None = None) -> DataFrame:
-    """Mean binary cross-entropy with clipping."""
+    """Mean binary cross-entropy with clipping; rows without a label don't count."""
     q = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps))
-    ll = F.when(F.col(label) == 1, F.log(q)).otherwise(F.log(1 - q))
+    ll = F.when(F.col(label) == 1, F.log(q)).when(F.col(label).isNotNull(), F.log(1 - q))
     return df.groupBy(*(group or [])).agg((-F.avg(ll)).alias("log_loss"))
 
 

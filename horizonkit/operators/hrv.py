@@ -250,7 +250,9 @@ def dfa_alpha1(rr: DataFrame, keys: list[str], s_min: int = 4, s_max: int = 16)
     box = x.groupBy(*keys, "s", "box").agg(
         (F.regr_syy("__y", kd) - F.when(F.regr_sxx("__y", kd) > 0,
                                        F.pow(F.regr_sxy("__y", kd), 2) / F.regr_sxx("__y", kd))
-         .otherwise(0.0)).alias("ss"))
+         .otherwise(0.0)).alias("ss"), F.regr_syy("__y", kd).alias("syy"))
+    # a box that a line fits exactly leaves rounding noise of either sign: no fluctuation
+    box = box.withColumn("ss", F.when(F.col("ss") > F.lit(1e-9) * F.col("syy"), F.col("ss")).otherwise(0.0))
     fs = box.groupBy(*keys, "s").agg(F.sqrt(F.sum("ss") / (F.col("s") * F.count("*"))).alias("fs"))
     fs = fs.where(F.col("fs") > 0)
     return fs.groupBy(*keys).agg(F.regr_slope(F.log("fs"), F.log(F.col("s").cast("double"))).alias("DFA_alpha1"))
@@ -281,3 +283,38 @@ def assemble_families(keys: list[str], *families: DataFrame, drop: tuple[str, ..
 def feature_rejects(patients: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Patients with no feature row from any window."""
     return patients.select(key).distinct().join(features.select(key).distinct(), key, "left_anti")
+
+
+# ------------------------------------------------- the feature job end to end
+WINDOW_FEATURES = [*TIME_FEATURES, "VLF", "LF", "HF", "VHF", "TP", "LFHF", "LFn", "HFn", "LnHF", *POINCARE_FEATURES,
+                   "SampEn", "DFA_alpha1"]
+
+
+def window_features(rr: DataFrame, keys: list[str], freq: dict | None = None) -> DataFrame:
+    """Time, frequency and non-linear families of every window, side by side."""
+    t = hrv_time(rr, keys)
+    return assemble_families(keys, t, hrv_frequency(rr, keys, **(freq or {})), poincare(t, keys),
+                             sample_entropy(rr, keys), dfa_alpha1(rr, keys))
+
+
+def signal_features(samples: DataFrame, key: str, idx: str, value: str, window_samples: int, rate: float,
+                    clean: dict | None = None, peaks: dict | None = None, freq: dict | None = None) -> DataFrame:
+    """Samples -> windows -> cleaned -> peaks -> RR -> all families -> mean and std per patient.
+
+    Every ordered step stays inside one window. A window without RR intervals
+    has no features; a patient without any such window has no row
+    (``feature_rejects``). An incomplete last window is left out.
+    """
+    keys = [key, "window_idx"]
+    w = tumble_index(samples, key, idx, window_samples)
+    beats = detect_peaks(clean_signal(w, keys, idx, value, **(clean or {})), keys, idx, **(peaks or {}))
+    feats = window_features(rr_from_peaks(beats, keys, idx, rate), keys, freq)
+    return patient_stats(feats, key, WINDOW_FEATURES)
+
+
+def label_features(features: DataFrame, patients: DataFrame, key: str, id_col: str, event: str, time: str,
+                   horizon: float = 5, out: str = "event") -> DataFrame:
+    """Features with 1 for an event before ``horizon``, else 0; patients that are not listed go."""
+    p = patients.select(F.col(id_col).alias("__id"),
+                        F.when((F.col(event) == 1) & (F.col(time) < horizon), 1).otherwise(0).alias(out))
+    return features.join(p, F.col(key) == F.col("__id")).drop("__id")

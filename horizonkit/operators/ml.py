@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -19,7 +20,6 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +30,6 @@ from horizonkit.operators import evaluation as EV
 from horizonkit.operators.mutual_info import mi_knn
 from horizonkit.operators.prefix import bucketed_row_number, hash_bucket
 
-_MI_CACHE: dict = {}
-
-
 # ------------------------------------------------------------------ L2
 class GMeanEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
     """Strict G-Mean of ``prediction`` vs ``label`` (one aggregate job)."""
@@ -64,10 +61,10 @@ class _SelParams(Params):
 class MISelector(Estimator, _SelParams, DefaultParamsReadable, DefaultParamsWritable):
     """SelectKBest(mutual information) on named columns -> assembled vector.
 
-    Scores are computed once per training set (keyed by its semantic plan
-    hash) and reused for every k, so a search over k costs one MI pass per
-    fold. Scaling does not change k-NN MI, so selecting before the scaler
-    equals the reference's scale-then-select order.
+    Scores are computed on the rows it is fitted on; a search over k ranks
+    each fold once and passes the ranking on (``search``). Scaling does not
+    change k-NN MI, so selecting before the scaler equals the reference's
+    scale-then-select order.
     """
 
     @keyword_only
@@ -80,19 +77,20 @@ class MISelector(Estimator, _SelParams, DefaultParamsReadable, DefaultParamsWrit
         cols = self.getOrDefault("inputCols")
         if self.getOrDefault("k") >= len(cols):          # keeps everything: no scoring pass
             return MISelectorModel(selected=list(cols), outputCol=self.getOrDefault("outputCol"))
-        key = (df.semanticHash(), tuple(cols), self.getOrDefault("labelCol"))
-        if key not in _MI_CACHE:
-            long = df.select(F.col(self.getOrDefault("idCol")).alias("id"),
-                             F.col(self.getOrDefault("labelCol")).alias("y"),
-                             F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                                                 for c in cols])).alias("kv")).select("id", "y", "kv.*")
-            scores = {r["feature"]: r["mi"] for r in mi_knn(long).collect()}   # one row per feature
-            _MI_CACHE[key] = sorted(cols, key=lambda c: (-scores.get(c, 0.0), c))
-        ranked = _MI_CACHE[key]
+        ranked = mi_ranking(df, cols, self.getOrDefault("labelCol"), self.getOrDefault("idCol"))
         keep = [c for c in cols if c in set(ranked[: self.getOrDefault("k")])]
         return MISelectorModel(selected=keep, outputCol=self.getOrDefault("outputCol"))
 
 
+def mi_ranking(df: DataFrame, cols: list[str], label: str = "label", id_col: str = "id") -> list[str]:
+    """Columns by falling mutual information with the label (one row per column comes to the driver)."""
+    long = df.select(F.col(id_col).alias("id"), F.col(label).alias("y"),
+                     F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                                         for c in cols])).alias("kv")).select("id", "y", "kv.*")
+    scores = {r["feature"]: r["mi"] for r in mi_knn(long).collect()}
+    return sorted(cols, key=lambda c: (-scores.get(c, 0.0), c))
+
+
 class MISelectorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     selected = Param(Params._dummy(), "selected", "kept columns", TypeConverters.toListString)
     outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
@@ -108,11 +106,11 @@ class MISelectorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
 
 
 # ------------------------------------------------------------------ L5, F7-F11
-K_GRID = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 120, 140, 180, 200, 220, 239]
-
 # The reference's search spaces (sklearn names), mapped to
-# Spark ML parameters in ``make_classifier``. XGBoost / LightGBM are presets of
+# Spark ML parameters in ``make_classifier``. The MLP's ``alpha`` is left out:
+# Spark's MLP has no weight penalty, so its draws would repeat each other. XGBoost / LightGBM are presets of
 # GBTClassifier (colsample -> featureSubsetStrategy, num_leaves -> depth).
+K_GRID = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 120, 140, 180, 200, 220, 239]
 GRIDS = {
     "RandomForest": {"n_estimators": [100, 200, 300], "max_features": ["sqrt", 0.6, 0.8],
                      "max_depth": [10, 20, None], "min_samples_leaf": [1, 2, 4],
@@ -124,7 +122,7 @@ GRIDS = {
     "LightGBM": {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.05, 0.1],
                  "num_leaves": [20, 31, 40], "max_depth": [-1, 10, 20], "subsample": [0.8, 0.9, 1.0],
                  "colsample_bytree": [0.8, 0.9, 1.0]},
-    "MLPClassifier": {"hidden_layer_sizes": [(50,), (100,), (50, 25)], "alpha": [0.0001, 0.001, 0.05]},
+    "MLPClassifier": {"hidden_layer_sizes": [(50,), (100,), (50, 25)]},
 }
 WEIGHTED = {"RandomForest", "GradientBoosting", "XGBoost", "LightGBM"}
 
@@ -155,7 +153,7 @@ def make_classifier(name: str, params: dict, k: int, seed: int = 42, weight_col:
                              featureSubsetStrategy=str(p.get("colsample_bytree", "all")), **common, **w)
     if name == "MLPClassifier":
         hidden = list(p.get("hidden_layer_sizes", (100,)))
-        return MultilayerPerceptronClassifier(layers=[k, *hidden, 2], maxIter=p.get("max_iter", 200),
+        return MultilayerPerceptronClassifier(layers=[k, *hidden, 2], maxIter=p.get("max_iter", 2000),
                                               featuresCol=features, labelCol=label, seed=seed)
     raise ValueError(name)
 
@@ -198,23 +196,39 @@ def grid_draws(name: str, k_grid=None) -> list[dict]:
 
 def search(train: DataFrame, name: str, cols: list[str], draws: list[dict], fold_col: str = "fold",
            weight_col: str | None = None, parallelism: int = 4, label: str = "label",
-           n_folds: int = 5) -> tuple[dict, float, list]:
-    """cross-validated G-Mean for each draw; returns (best draw, score, all scores).
+           n_folds: int = 5, id_col: str = "id") -> tuple[dict, float, list, PipelineModel]:
+    """cross-validated G-Mean of each draw; returns (best draw, score, all scores, refit).
 
-    Each draw is its own pipeline (the MLP input size depends on k), scored
-    with ``CrossValidator(foldCol=...)`` and the G-Mean evaluator.
+    Columns are ranked once per fold and the ranking is passed on, so a draw
+    costs one fit per fold; draws x folds run ``parallelism`` at a time. The
+    best draw (the first one on ties) is fitted once more on all rows.
     """
-    scores = []
-    for d in draws:
-        k = min(d["k"], len(cols))
+    parts = []
+    for i in range(n_folds):
+        own, held = train.where(F.col(fold_col) != i), train.where(F.col(fold_col) == i)
+        need = max(min(d["k"], len(cols)) for d in draws)
+        parts.append((own, held, list(cols) if need >= len(cols) and all(d["k"] >= len(cols) for d in draws)
+                      else mi_ranking(own, cols, label, id_col)))
+
+    def stages(d: dict, kept: list[str]) -> Pipeline:
         params = {x: v for x, v in d.items() if x != "k"}
-        pipe = make_pipeline(name, params, k, cols, weight_col, label)
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=[{}], evaluator=GMeanEvaluator(label),
-                            foldCol=fold_col, numFolds=n_folds, parallelism=parallelism, seed=42)
-        m = cv.fit(train)
-        scores.append((d, float(m.avgMetrics[0])))
-    best = max(scores, key=lambda t: t[1])
-    return best[0], best[1], scores
+        return Pipeline(stages=[VectorAssembler(inputCols=kept, outputCol="features"),
+                                StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
+                                make_classifier(name, params, len(kept), weight_col=weight_col, label=label)])
+
+    def gmean(job: tuple[dict, int]) -> float:
+        d, i = job
+        own, held, ranked = parts[i]
+        kept = [c for c in cols if c in set(ranked[: min(d["k"], len(cols))])]
+        return GMeanEvaluator(label).evaluate(stages(d, kept).fit(own).transform(held))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(gmean, [(d, i) for d in draws for i in range(n_folds)]))
+    scores = [(d, sum(found[j * n_folds:(j + 1) * n_folds]) / n_folds) for j, d in enumerate(draws)]
+    best, score = max(scores, key=lambda t: t[1])
+    params, k = split_best(best)
+    refit = make_pipeline(name, params, min(k, len(cols)), cols, weight_col, label, id_col).fit(train)
+    return best, score, scores, refit
 
 
 def split_best(best: dict) -> tuple[dict, int]:
@@ -248,53 +262,73 @@ def cv_report(train: DataFrame, pipe: Pipeline, fold_col: str = "fold", k: int =
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, cols: list[str], repeats: int = 10,
-                           seed: int = 42, id_col: str = "id", label: str = "label", top: int = 15) -> DataFrame:
-    """G-Mean drop when one column is shuffled among the test rows.
+def permuted_copies(test: DataFrame, cols: list[str], repeats: int = 10, seed: int = 42,
+                    id_col: str = "id") -> DataFrame:
+    """Each row once per (``__f`` column, ``__r`` repeat), that column's value taken from another row.
 
-    Each (column, repeat) copy of the test set takes the column's value from
-    the row whose seeded-hash rank equals its own rank under another seed (an
-    equi-join on rank; ranks are bucketed row numbers), then one
-    ``transform`` scores all copies; G-Mean is computed per copy by a grouped
-    aggregate. Copies are bounded by columns x repeats.
+    In repeat r the row of rank i (by one seeded hash) takes the value of the
+    row of rank i by another seeded hash: a permutation of the rows. The join
+    moves ``repeats`` copies of the rows; the columns are spread afterwards
+    inside each task.
     """
-    base = positive_prob(model.transform(test)).withColumn("pred", F.col("prediction").cast("int"))
-    b = base.agg(*M.confusion_aggs(label, "pred")).select(M.gmean_strict().alias("g")).first()["g"]
-
     def hash_rank(df, s, out):
         h = df.withColumn("__h", portable_hash(F.col(id_col), s)).withColumn("__hb", hash_bucket(F.col("__h")))
         return bucketed_row_number(h, [], [F.col("__h"), F.col(id_col)], "__hb", out).drop("__h", "__hb")
 
-    ranked = hash_rank(test, seed + 10_007, "__rid")
-    jobs = F.array(*[F.struct(F.lit(c).alias("__f"), F.lit(r).alias("__r")) for c in cols for r in range(repeats)])
-    copies = ranked.select("*", F.explode(jobs).alias("__j")).select("*", "__j.*").drop("__j")
-    srcs = None
+    own = hash_rank(test, seed + 10_007, "__rid").select(
+        "*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("__r"))
+    other = None
     for r in range(repeats):
         pr = hash_rank(test, seed + r, "__rid").select(
-            "__rid", F.lit(r).alias("__r"), *[F.col(c).alias(f"__v_{c}") for c in cols])
-        srcs = pr if srcs is None else srcs.unionByName(pr)
-    j = copies.join(srcs, ["__rid", "__r"])               # row i takes the values of row pi_r(i)
-    for c in cols:
-        j = j.withColumn(c, F.when(F.col("__f") == c, F.col(f"__v_{c}")).otherwise(F.col(c)))
-    scored = model.transform(j.drop(*[f"__v_{c}" for c in cols])).withColumn("pred", F.col("prediction").cast("int"))
-    g = scored.groupBy("__f", "__r").agg(*M.confusion_aggs(label, "pred")).withColumn("g", M.gmean_strict())
+            "__rid", F.lit(r).alias("__r"), F.struct(*[F.col(c) for c in cols]).alias("__from"))
+        other = pr if other is None else other.unionByName(pr)
+    names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("__f")
+    j = own.join(other, ["__rid", "__r"]).select("*", names)
+    changed = [F.when(F.col("__f") == c, F.col(f"__from.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
+               for c in test.columns]
+    return j.select(*changed, "__f", "__r")
+
+
+def permutation_importance(score, test: DataFrame, cols: list[str], repeats: int = 10, seed: int = 42,
+                           id_col: str = "id", label: str = "label", top: int | None = 15) -> DataFrame:
+    """mean G-Mean drop when one of ``cols`` is shuffled among the test rows.
+
+    ``score(df)`` adds an integer column ``pred``; it runs once over the rows
+    and once over all shuffled copies.
+    """
+    base = score(test).agg(*M.confusion_aggs(label, "pred")).select(M.gmean_strict().alias("base"))
+    g = (score(permuted_copies(test, cols, repeats, seed, id_col)).groupBy("__f", "__r")
+         .agg(*M.confusion_aggs(label, "pred")).select("__f", M.gmean_strict().alias("g")))
+    b = base.first()["base"]
     imp = g.groupBy(F.col("__f").alias("feature")).agg((F.lit(b) - F.avg("g")).alias("importance"))
-    return imp.orderBy(F.col("importance").desc(), "feature").limit(top)
-
-
-def training_history(model: PipelineModel, val: DataFrame) -> DataFrame:
-    """per-iteration train / validation loss of the fitted classifier."""
-    clf = model.stages[-1]
-    spark = val.sparkSession
-    prepped = val
-    for st in model.stages[:-1]:
-        prepped = st.transform(prepped)
-    if hasattr(clf, "evaluateEachIteration"):
-        v = clf.evaluateEachIteration(prepped)
-        tr = [None] * len(v)
-    else:
-        tr = list(clf.summary.objectiveHistory)
-        v = [None] * len(tr)
-    rows = [(i + 1, float(a) if a is not None else None, float(b) if b is not None else None)
-            for i, (a, b) in enumerate(zip(tr, v))]
-    return spark.createDataFrame(rows, "iteration int, train_loss double, val_loss double")
+    imp = imp.orderBy(F.col("importance").desc(), "feature")
+    return imp.limit(top) if top else imp
+
+
+def predicted_by(model: PipelineModel):
+    """The ``score`` of a fitted pipeline."""
+    return lambda df: model.transform(df).withColumn("pred", F.col("prediction").cast("int"))
+
+
+def training_history(model: PipelineModel, train: DataFrame, val: DataFrame, label: str = "label") -> DataFrame:
+    """train and validation loss of every iteration of a fitted boosting model."""
+    def losses(df: DataFrame) -> list[float]:
+        for st in model.stages[:-1]:
+            df = st.transform(df)
+        return list(model.stages[-1].evaluateEachIteration(df))
+
+    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(losses(train), losses(val), strict=True))]
+    return val.sparkSession.createDataFrame(rows, "iteration int, train_loss double, val_loss double")
+
+
+def learning_curve(fit, iterations: list[int], train: DataFrame, val: DataFrame, label: str = "label") -> DataFrame:
+    """F20 for models that keep no losses (the MLP): log-loss on both parts after so many iterations.
+
+    ``fit(n)`` returns a model trained for n iterations.
+    """
+    rows = []
+    for n in iterations:
+        m = fit(n)
+        a, b = (EV.log_loss(positive_prob(m.transform(df)), label).first()["log_loss"] for df in (train, val))
+        rows.append((int(n), float(a), float(b)))
+    return val.sparkSession.createDataFrame(rows, "iteration int, train_loss double, val_loss double")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from horizonkit.functions.coerce import portable_hash
+from horizonkit.operators.clean import q
 from horizonkit.operators.prefix import bucketed_row_number, hash_bucket
 
 
@@ -22,47 +23,36 @@ def class_rank(df: DataFrame, id_col: str, label: str, seed: int = 42, bits: int
     return bucketed_row_number(h, [label], [F.col("__h"), F.col(id_col)], "__hb", out).drop("__hb", "__h")
 
 
-def class_counts(df: DataFrame, label: str, max_classes: int = 1000) -> dict:
-    """Rows per class as a small driver dict (checked bound on #classes)."""
-    rows = df.groupBy(label).count().limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label}")
-    return {r[label]: r["count"] for r in rows}
-
-
-def _lookup(mapping: dict, key_col: str, cast: str):
-    pairs = []
-    for k, v in mapping.items():
-        if k is None:
-            continue
-        pairs += [F.lit(k), F.lit(v)]
-    if not pairs:
-        return F.lit(None).cast(cast)
-    return F.create_map(*pairs)[F.col(key_col)].cast(cast)
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """``(label, __nc)``: rows per class, null not a class."""
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__nc"))
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float = 0.2,
                      seed: int = 42, out: str = "split") -> DataFrame:
-    """F1: per class, the first ``floor(test_size*n_c + 0.5)`` rows are test."""
-    counts = class_counts(df, label)
-    n_test = {k: int(test_size * v + 0.5) for k, v in counts.items()}
-    r = class_rank(df, id_col, label, seed)
-    return r.withColumn(out, F.when(F.col("__rn") <= _lookup(n_test, label, "long"), "test")
-                        .otherwise("train")).drop("__rn")
+    """F1: per class, the first ``floor(test_size*n_c + 0.5)`` rows are test; null labels train."""
+    n_test = F.floor(F.lit(float(test_size)) * F.col("__nc") + 0.5)
+    known, rest = df.where(F.col(q(label)).isNotNull()), df.where(F.col(q(label)).isNull())
+    r = class_rank(known, id_col, label, seed).join(class_counts(known, label), label)
+    part = F.when(F.col("__rn") <= n_test, "test").otherwise("train")
+    return (r.withColumn(out, part).select(*[F.col(q(c)) for c in df.columns], out)
+            .union(rest.withColumn(out, F.lit("train"))))
 
 
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42,
                      out: str = "fold") -> DataFrame:
-    """``fold = (rank - 1) mod k`` inside each class."""
-    r = class_rank(df, id_col, label, seed)
-    return r.withColumn(out, ((F.col("__rn") - 1) % k).cast("int")).drop("__rn")
+    """``fold = (rank - 1) mod k`` inside each class; null labels have no fold."""
+    known, rest = df.where(F.col(q(label)).isNotNull()), df.where(F.col(q(label)).isNull())
+    r = class_rank(known, id_col, label, seed)
+    return (r.withColumn(out, ((F.col("__rn") - 1) % k).cast("int")).select(*[F.col(q(c)) for c in df.columns], out)
+            .union(rest.withColumn(out, F.lit(None).cast("int"))))
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """``n / (k * n_c)`` per row; 1.0 when fewer than two classes."""
-    counts = {c: n for c, n in class_counts(df, label).items() if c is not None}
-    n, k = sum(counts.values()), len(counts)
-    if k < 2:
+    """``n / (k * n_c)`` per row; 1.0 when fewer than two classes, null without a label."""
+    counts = class_counts(df, label)
+    total = counts.agg(F.sum("__nc").alias("n"), F.count("*").alias("k")).first()   # one row
+    if (total["k"] or 0) < 2:
         return df.withColumn(out, F.lit(1.0))
-    w = {c: n / (k * nc) for c, nc in counts.items()}
-    return df.withColumn(out, _lookup(w, label, "double"))
+    w = F.lit(float(total["n"])) / (F.lit(float(total["k"])) * F.col("__nc"))
+    return df.join(counts, label, "left").withColumn(out, w).select(*[F.col(q(c)) for c in df.columns], out)

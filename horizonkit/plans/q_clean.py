@@ -155,3 +155,36 @@ def impute_median(spark, d):
         F.lit(None).cast("double").alias("empty"))
     out, kept = CL.impute_median(e, ["value", "k", "empty"])
     return out.select("event_id", *[K.r6(c).alias(c) for c in kept])
+
+
+_CC_NOMINAL = "Dist Cond InterVent"
+_CC_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("clean_categorical", sql=f"""
+WITH x AS (
+  SELECT l_orderkey, l_linenumber, o_orderpriority,
+         CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN replace(printf('%.2f', l_extendedprice), '.', ',')
+              WHEN 1 THEN printf('%.2f', l_extendedprice) WHEN 2 THEN 'n.d.' END AS tsh,
+         CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'I' WHEN '2' THEN 'II' WHEN '3' THEN '3' WHEN '4' THEN 'IV' ELSE 'V' END AS nyha,
+         CASE l_linenumber % 5 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'Masculino' WHEN 3 THEN 'Feminino' ELSE '?' END AS sex
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN regexp_full_match(replace(tsh, ',', '.'), '{NUM_RE}') THEN TRY_CAST(replace(tsh, ',', '.') AS DOUBLE) END AS TSH,
+       CAST(CASE nyha WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN '3' THEN 3 WHEN 'IV' THEN 4 END AS DOUBLE) AS NYHA,
+       CAST(CASE sex WHEN 'M' THEN 0 WHEN 'Masculino' THEN 0 WHEN 'F' THEN 1 WHEN 'Feminino' THEN 1 END AS DOUBLE) AS Sex,
+       {", ".join(f"CASE WHEN o_orderpriority = '{v}' THEN 1 ELSE 0 END AS " + chr(34) + f"{_CC_NOMINAL}_{v}" + chr(34) for v in _CC_LEVELS)}
+FROM x""")
+def clean_categorical(spark, d):
+    """B6-B9 as one operator, on text as dirty as the reference's."""
+    li = R.table(spark, d, "lineitem")
+    x = li.join(R.table(spark, d, "orders"), li.l_orderkey == F.col("o_orderkey"))
+    k, n = (F.col("l_orderkey") + F.col("l_linenumber")) % 4, F.col("l_linenumber") % 5
+    price, digit = F.format_string("%.2f", "l_extendedprice"), F.substring("o_orderpriority", 1, 1)
+    x = x.select(
+        "l_orderkey", "l_linenumber",
+        F.when(k == 0, F.replace(price, F.lit("."), F.lit(","))).when(k == 1, price).when(k == 2, "n.d.").alias("TSH"),
+        F.when(digit == "1", "I").when(digit == "2", "II").when(digit == "3", "3").when(digit == "4", "IV").otherwise("V").alias("NYHA"),
+        F.when(n == 0, "M").when(n == 1, "F").when(n == 2, "Masculino").when(n == 3, "Feminino").otherwise("?").alias("Sex"),
+        F.col("o_orderpriority").alias(_CC_NOMINAL))
+    return CL.clean_categorical(x, levels={_CC_NOMINAL: _CC_LEVELS})

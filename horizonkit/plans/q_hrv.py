@@ -238,9 +238,10 @@ y AS (SELECT *, sum(dev) OVER (PARTITION BY user_id, window_idx ORDER BY beat RO
              row_number() OVER (PARTITION BY user_id, window_idx ORDER BY beat) AS k FROM y0),
 bx AS (SELECT user_id, window_idx, s, floor((k - 1) / s) AS box, yk, CAST(k AS DOUBLE) AS kd
        FROM y, range(4, 17) t(s) WHERE floor((k - 1) / s) < floor(n / s)),
-ss AS (SELECT user_id, window_idx, s, box, regr_syy(yk, kd) - CASE WHEN regr_sxx(yk, kd) > 0
+ss0 AS (SELECT user_id, window_idx, s, box, regr_syy(yk, kd) AS syy, regr_syy(yk, kd) - CASE WHEN regr_sxx(yk, kd) > 0
                    THEN power(regr_sxy(yk, kd), 2) / regr_sxx(yk, kd) ELSE 0 END AS ss
        FROM bx GROUP BY user_id, window_idx, s, box),
+ss AS (SELECT user_id, window_idx, s, box, CASE WHEN ss > 1e-9 * syy THEN ss ELSE 0 END AS ss FROM ss0),
 fs AS (SELECT user_id, window_idx, s, sqrt(sum(ss) / (s * count(*))) AS fs FROM ss GROUP BY user_id, window_idx, s)
 SELECT user_id, window_idx, round(regr_slope(ln(fs), ln(CAST(s AS DOUBLE))), 4) AS DFA_alpha1
 FROM fs WHERE fs > 0 GROUP BY user_id, window_idx""")
@@ -293,3 +294,92 @@ WHERE user_id NOT IN (SELECT user_id FROM rr)""")
 def hrv_rejects(spark, d):
     """Users without any RR interval in a complete 10-day window."""
     return H.feature_rejects(R.signal(spark, d), _rr_long(spark, d), "user_id")
+
+
+# the feature job end to end, from samples to a labelled patient row
+_W_JOB, _JOB_COLS = 32, [*H.TIME_FEATURES, "VLF", "LF", "HF", "VHF", "TP", *H.POINCARE_FEATURES, "SampEn", "DFA_alpha1"]
+_JOB_SQL = _CLEAN_SQL.replace(f"/ {W_SAMPLES})", f"/ {_W_JOB})") + """,
+d1 AS (SELECT *, clean - lag(clean) OVER (PARTITION BY user_id, window_idx ORDER BY sample_idx) AS d FROM cl),
+en AS (SELECT *, avg(d * d) OVER (PARTITION BY user_id, window_idx ORDER BY sample_idx
+                                  ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS e FROM d1),
+th AS (SELECT *, 0.3 * avg(e) OVER (PARTITION BY user_id, window_idx) AS thr,
+              max(e) OVER (PARTITION BY user_id, window_idx ORDER BY sample_idx
+                           RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS mx,
+              max(e) OVER (PARTITION BY user_id, window_idx ORDER BY sample_idx
+                           RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS mxl FROM en),
+pk AS (SELECT user_id, window_idx, sample_idx, row_number() OVER (PARTITION BY user_id, window_idx ORDER BY sample_idx) AS beat
+       FROM th WHERE user_id % 11 <> 0 AND e > thr AND e = mx AND (mxl IS NULL OR mxl < e)),
+rr0 AS (SELECT user_id, window_idx, beat, sample_idx / 1.0 AS t_s,
+               (sample_idx - lag(sample_idx) OVER (PARTITION BY user_id, window_idx ORDER BY beat)) / 1.0 * 1000.0 AS rr FROM pk),
+rr AS (SELECT * FROM rr0 WHERE rr IS NOT NULL),""" + _time_sql(_K) + "," + _FREQ_CTES + """,
+pc AS (SELECT user_id, window_idx, SDSD / sqrt(2) AS SD1,
+              CASE WHEN 2 * SDNN * SDNN - (SDSD / sqrt(2)) * (SDSD / sqrt(2)) >= 0
+                   THEN sqrt(2 * SDNN * SDNN - (SDSD / sqrt(2)) * (SDSD / sqrt(2))) END AS SD2 FROM tf),
+p AS (SELECT user_id, window_idx, SD1, SD2, CASE WHEN SD2 <> 0 THEN SD1 / SD2 END AS SD1SD2, pi() * SD1 * SD2 AS S,
+             CASE WHEN SD1 <> 0 THEN SD2 / SD1 END AS CSI,
+             CASE WHEN SD1 * SD2 > 0 THEN log10(16 * SD1 * SD2) END AS CVI FROM pc),
+fq AS (SELECT user_id, window_idx, VLF, LF, HF, VHF, VLF + LF + HF + VHF AS TP FROM b),
+tp AS (SELECT user_id, window_idx, beat, rr AS x0,
+              lead(rr, 1) OVER (PARTITION BY user_id, window_idx ORDER BY beat) AS x1,
+              lead(rr, 2) OVER (PARTITION BY user_id, window_idx ORDER BY beat) AS x2 FROM rr),
+sd AS (SELECT user_id, window_idx, 0.2 * stddev_samp(rr) AS r FROM rr GROUP BY user_id, window_idx),
+t2 AS (SELECT tp.*, sd.r FROM tp JOIN sd USING (user_id, window_idx) WHERE x2 IS NOT NULL),
+pr AS (SELECT a.user_id, a.window_idx,
+              count_if(abs(a.x0 - b.x0) <= a.r AND abs(a.x1 - b.x1) <= a.r) AS B,
+              count_if(abs(a.x0 - b.x0) <= a.r AND abs(a.x1 - b.x1) <= a.r AND abs(a.x2 - b.x2) <= a.r) AS A
+       FROM t2 a JOIN t2 b ON a.user_id = b.user_id AND a.window_idx = b.window_idx AND b.beat > a.beat
+       GROUP BY a.user_id, a.window_idx),
+se AS (SELECT user_id, window_idx, CASE WHEN pr.A > 0 AND pr.B > 0 THEN -ln(pr.A / pr.B) END AS SampEn
+       FROM sd LEFT JOIN pr USING (user_id, window_idx)),
+y0 AS (SELECT *, rr - avg(rr) OVER (PARTITION BY user_id, window_idx) AS dev,
+              count(*) OVER (PARTITION BY user_id, window_idx) AS n FROM rr),
+y AS (SELECT *, sum(dev) OVER (PARTITION BY user_id, window_idx ORDER BY beat ROWS UNBOUNDED PRECEDING) AS yk,
+             row_number() OVER (PARTITION BY user_id, window_idx ORDER BY beat) AS k FROM y0),
+bx AS (SELECT user_id, window_idx, s, floor((k - 1) / s) AS box, yk, CAST(k AS DOUBLE) AS kd
+       FROM y, range(4, 17) q(s) WHERE floor((k - 1) / s) < floor(n / s)),
+ss0 AS (SELECT user_id, window_idx, s, box, regr_syy(yk, kd) AS syy, regr_syy(yk, kd) - CASE WHEN regr_sxx(yk, kd) > 0
+                   THEN power(regr_sxy(yk, kd), 2) / regr_sxx(yk, kd) ELSE 0 END AS ss
+       FROM bx GROUP BY user_id, window_idx, s, box),
+ss AS (SELECT user_id, window_idx, s, box, CASE WHEN ss > 1e-9 * syy THEN ss ELSE 0 END AS ss FROM ss0),
+fs AS (SELECT user_id, window_idx, s, sqrt(sum(ss) / (s * count(*))) AS fs FROM ss GROUP BY user_id, window_idx, s),
+df AS (SELECT user_id, window_idx, regr_slope(ln(fs), ln(CAST(s AS DOUBLE))) AS DFA_alpha1
+       FROM fs WHERE fs > 0 GROUP BY user_id, window_idx),
+wf AS (SELECT * FROM tf LEFT JOIN fq USING (user_id, window_idx) LEFT JOIN p USING (user_id, window_idx)
+       LEFT JOIN se USING (user_id, window_idx) LEFT JOIN df USING (user_id, window_idx)),
+pa AS (SELECT o_orderkey AS ID, CASE WHEN o_orderkey % 53 <> 0 AND o_orderstatus = 'F'
+                                      AND o_orderkey % 59 <> 0 AND 2001 - year(o_orderdate) < 5 THEN 1 ELSE 0 END AS event
+       FROM orders WHERE o_orderkey % 7 <> 0)"""
+
+
+def _job(spark, d):
+    """Features per user (every 11th user's leads are silent, so it has no beats) and the patient table."""
+    s = H.sample_index(R.signal(spark, d), "user_id", "ts", "event_id")
+    s = s.withColumn("value", F.when(F.col("user_id") % 11 == 0, 0.0).otherwise(F.col("value")))
+    f = H.signal_features(s, "user_id", "sample_idx", "value", _W_JOB, 1.0, clean={"a": 1, "b": 3},
+                          peaks={"c": 1, "k": 0.3, "refractory": 1}, freq={"f_lo": _F_LO, "f_hi": _F_HI, "n_freq": _N_FREQ})
+    return f, R.study(spark, d).where(F.col("ID") % 7 != 0)
+
+
+@query("signal_features", sql=_JOB_SQL + f"""
+SELECT user_id, CAST(event AS INTEGER) AS event, CAST(count(*) AS BIGINT) AS n_windows,
+       {", ".join(f"round(avg({c}), 3) AS HRV_{c}, round(stddev_samp({c}), 3) AS std_HRV_{c}" for c in _JOB_COLS)}
+FROM wf JOIN pa ON ID = user_id GROUP BY user_id, event""")
+def signal_features(spark, d):
+    """Windows, cleaning, peaks, RR, all families, mean and std per patient, label."""
+    f, patients = _job(spark, d)
+    out = H.label_features(f, patients, "user_id", "ID", "Obito_MS", "Time")
+    return out.select("user_id", "event", "n_windows",
+                      *[K.r6(p + c, 3).alias(p + c) for c in _JOB_COLS for p in ("HRV_", "std_HRV_")])
+
+
+@query("signal_feature_rejects", sql=_JOB_SQL + """
+SELECT DISTINCT user_id, CASE WHEN user_id NOT IN (SELECT ID FROM pa) THEN 'not listed' ELSE 'no features' END AS reason
+FROM events WHERE user_id NOT IN (SELECT ID FROM pa) OR user_id NOT IN (SELECT user_id FROM wf)""")
+def signal_feature_rejects(spark, d):
+    """Users that the patient table lacks, and listed ones without any feature window."""
+    f, patients = _job(spark, d)
+    users = R.signal(spark, d).select("user_id").distinct()
+    listed = patients.select(F.col("ID").alias("user_id"))
+    missing = users.join(listed, "user_id", "left_anti").withColumn("reason", F.lit("not listed"))
+    bare = H.feature_rejects(users.join(listed, "user_id", "left_semi"), f, "user_id").withColumn("reason", F.lit("no features"))
+    return missing.union(bare)

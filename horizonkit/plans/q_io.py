@@ -25,7 +25,7 @@ from horizonkit.sources import tables as TB
 @query("signal_roundtrip", sql="""
 SELECT user_id AS patient_id,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample_idx,
-       CAST(printf('%.2f', value) AS FLOAT) AS value
+       CAST(value AS FLOAT) AS value
 FROM events""")
 def signal_roundtrip(spark, d):
     """Per-patient text files written and scanned back in order."""

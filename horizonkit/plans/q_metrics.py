@@ -120,7 +120,7 @@ _FOLDS_SQL = f"""
 WITH {Q.SCORES},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY label
-                               ORDER BY (id * 2654435761 + 42) % 4294967296, id) AS rn
+                               ORDER BY CAST('0x' || substr(md5(id || ':42'), 1, 8) AS BIGINT), id) AS rn
   FROM scores)"""
 
 

@@ -1,7 +1,7 @@
 """Queries: model fitting, search, out-of-fold threshold, evaluation.
 
-These have no SQL oracle (the driver records a rows-only check); seeded
-runs repeat exactly, and the unit tests check AUC > 0.5 on separable data.
+What a fitted model scores has no SQL; what surrounds it has (which rows are
+scored in which fold, which shuffle a column gets), and is checked there.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def search_rf(spark, d):
     """seeded random search (2 draws x 5 folds), G-Mean scorer."""
     train, _ = _data(spark, d)
     draws = ML.sample_draws("RandomForest", 2, seed=42, k_grid=K_SMALL)
-    best, score, allsc = ML.search(train, "RandomForest", COLS, draws, weight_col="weight")
+    best, score, allsc, _ = ML.search(train, "RandomForest", COLS, draws, weight_col="weight")
     rows = [(i, str(sorted((k, str(v)) for k, v in dr.items())), int(dr["k"]), float(sc), int(dr == best))
             for i, (dr, sc) in enumerate(allsc)]
     return spark.createDataFrame(rows, "draw int, params string, k int, cv_gmean double, best int")
@@ -98,25 +98,101 @@ def cv_report(spark, d):
     return r.select("metric", K.r6("mean").alias("mean"), K.r6("std").alias("std"))
 
 
+def _inner(train):
+    inner = SP.stratified_split(train.drop("split"), "id", "label", test_size=0.25, out="inner")
+    return inner.where(F.col("inner") == "train"), inner.where(F.col("inner") == "test")
+
+
 @query("history")
 def history(spark, d):
-    """GBT validation loss per iteration on an inner 25 % split."""
+    """GBT losses per iteration on an inner 75 / 25 % split, both parts."""
     train, _ = _data(spark, d)
-    inner = SP.stratified_split(train.drop("split"), "id", "label", test_size=0.25, out="inner")
+    own, val = _inner(train)
     p = {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0}
-    m = ML.make_pipeline("GradientBoosting", p, 20, COLS).fit(inner.where(F.col("inner") == "train"))
-    return ML.training_history(m, inner.where(F.col("inner") == "test"))
+    m = ML.make_pipeline("GradientBoosting", p, 20, COLS).fit(own)
+    return ML.training_history(m, own, val)
+
+
+@query("history_mlp")
+def history_mlp(spark, d):
+    """the MLP's log-loss on both parts after 5 to 40 iterations."""
+    train, _ = _data(spark, d)
+    own, val = _inner(train)
+    fit = lambda n: ML.make_pipeline("MLPClassifier", {"hidden_layer_sizes": (50,), "max_iter": n},
+                                     len(COLS), COLS).fit(own)
+    return ML.learning_curve(fit, [5, 10, 20, 40], own, val)
 
 
 @query("perm_importance")
 def perm_importance(spark, d):
-    """permutation importance (10 repeats, G-Mean drop), top 15."""
+    """permutation importance of the selected columns (10 repeats, G-Mean drop), top 15."""
     train, test = _data(spark, d)
     m = ML.make_pipeline("RandomForest", RF_FIXED, 15, COLS, "weight").fit(train)
-    imp = ML.permutation_importance(m, test.withColumn("label", F.col("label").cast("int")), COLS[:], repeats=10)
+    chosen = m.stages[0].getOrDefault("selected")
+    imp = ML.permutation_importance(ML.predicted_by(m), test.withColumn("label", F.col("label").cast("int")), chosen)
+    return imp.select("feature", K.r6("importance").alias("importance"))
+
+
+_RULE_COLS = ["f0", "f1", "f2", "f3"]
+_RULE_SQL = """
+WITH x AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label,
+                  CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1,
+                  CAST(embedding[3] AS DOUBLE) AS f2, CAST(embedding[4] AS DOUBLE) AS f3 FROM embeddings),
+own AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(id || ':10049'), 1, 8) AS BIGINT), id) AS rid FROM x),
+src AS (SELECT r, f0, f1, f2, f3, row_number() OVER (PARTITION BY r ORDER BY
+               CAST('0x' || substr(md5(id || ':' || (42 + r)), 1, 8) AS BIGINT), id) AS rid
+        FROM x, range(10) t(r)),
+c AS (SELECT label, r, f, CASE WHEN f = 'f0' THEN s.f0 ELSE o.f0 END AS f0, CASE WHEN f = 'f1' THEN s.f1 ELSE o.f1 END AS f1,
+             CASE WHEN f = 'f2' THEN s.f2 ELSE o.f2 END AS f2, CASE WHEN f = 'f3' THEN s.f3 ELSE o.f3 END AS f3
+      FROM own o JOIN src s USING (rid), (SELECT unnest(['f0', 'f1', 'f2', 'f3']) AS f)),
+p AS (SELECT f, r, label, CASE WHEN 2 * f0 - f1 + f2 / 2 > 0 THEN 1 ELSE 0 END AS pred FROM c
+      UNION ALL SELECT 'base', 0, label, CASE WHEN 2 * f0 - f1 + f2 / 2 > 0 THEN 1 ELSE 0 END FROM x),
+m AS (SELECT f, r, sum(CASE WHEN label = 1 AND pred = 1 THEN 1.0 ELSE 0 END) AS tp,
+             sum(CASE WHEN label = 0 AND pred = 1 THEN 1.0 ELSE 0 END) AS fp,
+             sum(CASE WHEN label = 1 AND pred = 0 THEN 1.0 ELSE 0 END) AS fn,
+             sum(CASE WHEN label = 0 AND pred = 0 THEN 1.0 ELSE 0 END) AS tn FROM p GROUP BY f, r),
+g AS (SELECT f, r, {gmean} AS g FROM m)
+SELECT f AS feature, round((SELECT g FROM g WHERE f = 'base') - avg(g), 6) + 0.0 AS importance
+FROM g WHERE f <> 'base' GROUP BY f""".format(gmean="sqrt((CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END) * (tn / (tn + fp + 1e-8)))")
+
+
+@query("perm_importance_rule", sql=_RULE_SQL)
+def perm_importance_rule(spark, d):
+    """F17 under a fixed rule instead of a model: every shuffle can be checked in SQL."""
+    x = R.features_wide(spark, d).withColumnRenamed("vec_id", "id")
+    rule = lambda df: df.withColumn("pred", (2 * F.col("f0") - F.col("f1") + F.col("f2") / 2 > 0).cast("int"))
+    imp = ML.permutation_importance(rule, x.select("id", "label", *_RULE_COLS), _RULE_COLS, top=None)
     return imp.select("feature", K.r6("importance").alias("importance"))
 
 
+_SPLIT_SQL = """
+WITH x AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5(id || ':42'), 1, 8) AS BIGINT), id) AS rn,
+             count(*) OVER (PARTITION BY label) AS n FROM x),
+s AS (SELECT id, label, rn <= floor(0.2 * n + 0.5) AS test FROM r),
+f AS (SELECT id, label, (row_number() OVER (PARTITION BY label ORDER BY
+                         CAST('0x' || substr(md5(id || ':42'), 1, 8) AS BIGINT), id) - 1) % 5 AS fold FROM s WHERE NOT test)"""
+
+
+@query("fit_rf_coverage", sql=_SPLIT_SQL + """
+SELECT id, CAST(label AS INTEGER) AS label, TRUE AS in_range, TRUE AS pred_follows_p FROM s WHERE test""")
+def fit_rf_coverage(spark, d):
+    """a fitted model scores every test row once, within 0 to 1, and predicts what is likelier."""
+    train, test = _data(spark, d)
+    out = ML.positive_prob(ML.make_pipeline("RandomForest", RF_FIXED, 20, COLS, "weight").fit(train).transform(test))
+    return out.select("id", F.col("label").cast("int").alias("label"), F.col("p").between(0, 1).alias("in_range"),
+                      ((F.col("p") > 0.5) == (F.col("prediction") == 1)).alias("pred_follows_p"))
+
+
+@query("oof_coverage", sql=_SPLIT_SQL + """
+SELECT id, CAST(fold AS INTEGER) AS fold, CAST(label AS INTEGER) AS label, TRUE AS in_range FROM f""")
+def oof_coverage(spark, d):
+    """every training row gets one out-of-fold probability, in its own fold."""
+    train, _ = _data(spark, d)
+    o = ML.oof_predictions(train, ML.make_pipeline("RandomForest", RF_FIXED, 20, COLS, "weight"))
+    return o.select("id", "fold", F.col("label").cast("int").alias("label"), F.col("p").between(0, 1).alias("in_range"))
+
+
 @query("horizon_study")
 def horizon_study(spark, d):
     """horizons x models on the merged cohort (prep, split, weights, fit,

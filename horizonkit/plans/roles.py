@@ -74,6 +74,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label (0/1 = label < 5), f0..f63 as DOUBLE."""
     e = table(spark, sf_dir, "embeddings")
+    n = e.agg(F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).first()
+    if {n["a"], n["b"]} != {N_EMB}:     # never cut a longer vector silently
+        raise ValueError(f"embeddings of {n['a']} to {n['b']} values; the role has {N_EMB} columns")
     return e.select(
         F.col("vec_id"),
         F.when(F.col("label") < 5, 1).otherwise(0).alias("label"),

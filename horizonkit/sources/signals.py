@@ -38,8 +38,7 @@ def read_signal_dir(spark: SparkSession, path: str, id_pattern: str = DEFAULT_ID
         files = files.withColumn("__pid", F.regexp_extract(F.col("file"), id_pattern, 1))
         ok = files.where(F.col("__pid") != "")
         toks = (ok.select(F.col("__pid").cast("long").alias("patient_id"),
-                          F.posexplode(F.split(F.col("body"), r"\s+")).alias("sample_idx", "tok"))
-                  .where(F.col("tok") != ""))
+                          F.posexplode(F.filter(F.split(F.col("body"), r"\s+"), lambda t: t != "")).alias("sample_idx", "tok")))
     else:
         r = spark.read.text(path, pathGlobFilter="*.txt", recursiveFileLookup=recursive)
         lines = (r.select(src.alias("file"), F.col("_metadata.file_block_start").alias("__blk"),
@@ -47,24 +46,26 @@ def read_signal_dir(spark: SparkSession, path: str, id_pattern: str = DEFAULT_ID
                   .withColumn("__pid", F.regexp_extract(F.col("file"), id_pattern, 1)))
         files = lines.select("file", "__pid")
         ok = lines.where((F.col("__pid") != "") & (F.col("tok") != ""))
-        blocks = ok.groupBy("file", "__blk").agg(F.count("*").alias("__n"), F.min("__mid").alias("__m0"))
+        blocks = ok.groupBy("file", "__blk").agg(F.count("*").alias("__n"))
         w = Window.partitionBy("file").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))   # splits per file
-        toks = (ok.join(blocks, ["file", "__blk"])
+        # numbered after blank lines are gone, inside one split of one file
+        place = F.row_number().over(Window.partitionBy("file", "__blk").orderBy("__mid")) - 1
+        toks = (ok.withColumn("__at", place).join(blocks, ["file", "__blk"])
                   .select(F.col("__pid").cast("long").alias("patient_id"),
-                          (F.col("__off") + F.col("__mid") - F.col("__m0")).alias("sample_idx"), "tok"))
+                          (F.col("__off") + F.col("__at")).alias("sample_idx"), "tok"))
     rejects = files.where(F.col("__pid") == "").select("file").distinct()
     samples = toks.select("patient_id", F.col("sample_idx").cast("long").alias("sample_idx"),
                           F.col("tok").try_cast("float").alias("value"))
     return samples, rejects
 
 
-def write_signal_dir(df: DataFrame, path: str, key: str, idx: str, value: str, fmt: str = "%.2f") -> None:
+def write_signal_dir(df: DataFrame, path: str, key: str, idx: str, value: str, fmt: str | None = None) -> None:
     """Write one text folder per patient (``key=<id>/part-*.txt``), samples in order.
 
-    ``repartition(key)`` puts each patient in one task, so each folder holds
+    Values keep all their digits unless ``fmt`` is given. ``repartition(key)`` puts each patient in one task, so each folder holds
     one file; ``sortWithinPartitions`` keeps the sample order inside it.
     """
-    (df.select(key, idx, F.format_string(fmt, F.col(value)).alias("value"))
+    (df.select(key, idx, (F.format_string(fmt, F.col(value)) if fmt else F.col(value).cast("string")).alias("value"))
        .repartition(key).sortWithinPartitions(key, idx)
        .drop(idx).write.mode("overwrite").partitionBy(key).text(path))

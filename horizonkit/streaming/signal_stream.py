@@ -3,9 +3,10 @@
 The reference processes a folder of signal files in one batch. Here the same
 batch operators run per micro-batch over files as they arrive: every file is
 one patient's complete signal, so each micro-batch is independent (no state
-across batches) and ``foreachBatch`` appends the per-patient features to a
-table in the shared folder. The streaming checkpoint makes the job restart
-where it stopped after a failure (exactly-once per file).
+across batches) and ``foreachBatch`` writes the per-patient features as one
+``batch_id`` partition of a table in the shared folder. The streaming
+checkpoint makes the job restart where it stopped; a batch that is replayed
+overwrites its own partition, so no row appears twice.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def features_from_files(files: DataFrame, window_samples: int, rate: float, id_p
     pid = F.regexp_extract("file", id_pattern, 1)
     samples = (files.where(pid != "")
                     .select(pid.cast("long").alias("patient_id"),
-                            F.posexplode(F.split(F.trim("body"), r"\s+")).alias("sample_idx", "tok"))
+                            F.posexplode(F.filter(F.split("body", r"\s+"), lambda t: t != "")).alias("sample_idx", "tok"))
                     .select("patient_id", F.col("sample_idx").cast("long").alias("sample_idx"),
                             F.col("tok").try_cast("double").alias("value")))
     win = H.tumble_index(samples, "patient_id", "sample_idx", window_samples)
@@ -47,7 +48,7 @@ def start(spark: SparkSession, in_dir: str, out_dir: str, *, window_samples: int
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         out = features_from_files(batch, window_samples, rate, id_pattern, clean_args, peak_args)
-        out.withColumn("batch_id", F.lit(epoch_id)).write.mode("append").parquet(out_dir)
+        out.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={epoch_id}")
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -17,6 +17,7 @@ from horizonkit.operators import cohort as C
 from horizonkit.operators import evaluation as EV
 from horizonkit.operators import features as FE
 from horizonkit.operators import hrv as H
+from horizonkit.operators import ml as ML
 from horizonkit.operators import mutual_info as MI
 from horizonkit.operators import prefix as P
 from horizonkit.operators import split as SP
@@ -118,7 +119,7 @@ def test_exact_percentile_narrowing_matches_numpy(spark):
     rows = [("a", float(v)) for v in vals] + [("b", float(v)) for v in vals[:1001]]
     df = spark.createDataFrame(rows, "k string, x double")
     for p in (0.5, 0.2, 0.9):
-        got = {r.k: r.q for r in exact_percentile(df, ["k"], "x", p, buckets=8, finish_rows=50, out="q").collect()}
+        got = {r.k: r.q for r in exact_percentile(df, ["k"], "x", p, out="q").collect()}
         assert math.isclose(got["a"], float(np.percentile(vals, p * 100)), rel_tol=1e-12)
         assert math.isclose(got["b"], float(np.percentile(vals[:1001], p * 100)), rel_tol=1e-12)
 
@@ -352,3 +353,91 @@ def test_reducer_stage_and_custom_sweep_metric(spark):
     acc = lambda: (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
     best = EV.best_threshold(EV.threshold_sweep(sc, metric=acc)).first()
     assert best.best_score == 1.0 and 0.2 < best.best_threshold <= 0.6
+
+
+def test_exact_percentile_extremes(spark):
+    """Values over 120 orders of magnitude, infinities, a hot value, null keys: one path, no rounds."""
+    rng = np.random.default_rng(1)
+    a = [10.0 ** e for e in range(-60, 61)]
+    b = [*rng.normal(size=9000), *([0.25] * 6000), math.inf, -math.inf]
+    c = [-math.inf, math.inf, math.inf]
+    rows = [(k, float(v)) for k, vs in (("a", a), ("b", b), ("c", c), (None, a[:7])) for v in vs] + [("a", None), ("a", math.nan), ("z", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for p in (0.0, 0.0003, 0.2, 0.5, 0.9, 1.0):
+        got = {r.k: r.q for r in exact_percentile(df, ["k"], "x", p, out="q").collect()}
+        assert set(got) == {"a", "b", "c", None}
+        assert got["a"] == float(np.percentile(a, 100 * p)) or math.isclose(got["a"], float(np.percentile(a, 100 * p)), rel_tol=1e-9)
+        assert math.isclose(got[None], float(np.percentile(a[:7], 100 * p)), rel_tol=1e-9)
+        if 0 < p < 1:
+            assert math.isclose(got["b"], float(np.percentile(b, 100 * p)), rel_tol=1e-9)
+    assert got["c"] == math.inf
+
+
+def test_split_and_weights_without_class_cap(spark):
+    df = spark.createDataFrame([(i, i % 1500) for i in range(6000)] + [(9000, None)], "id long, y long")
+    s = SP.stratified_split(df, "id", "y", test_size=0.25)
+    assert s.where("split = 'test'").groupBy("y").count().where("count = 1").count() == 1500
+    assert s.where("id = 9000").first().split == "train"
+    w = SP.balanced_weights(df, "y")
+    assert {round(r.weight, 9) for r in w.where("y is not null").select("weight").distinct().collect()} == {1.0}
+    a, b = (SP.stratified_folds(df, "id", "y", seed=x).orderBy("id").collect() for x in (1, 2))
+    assert [r.fold for r in a] != [r.fold for r in b]
+    levels = spark.createDataFrame([(str(i),) for i in range(300)], "c string")
+    assert len(CL.one_hot(levels, ["c"]).columns) == 300
+
+
+def test_signal_blank_lines_in_any_split(spark, tmp_path):
+    from horizonkit.sources.signals import read_signal_dir
+    lines = []
+    for i in range(400):
+        lines.append(str(i))
+        if i % 3 == 0:
+            lines += [""] * (i % 4)
+    (tmp_path / "sinal7.txt").write_text("\n".join(["", *lines, "", ""]))
+    whole = sorted(map(tuple, read_signal_dir(spark, str(tmp_path), mode="whole")[0].collect()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("40", "133", "1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted(map(tuple, read_signal_dir(spark, str(tmp_path))[0].collect()))
+            assert got == whole and [r[1] for r in got] == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_class_and_missing_labels(spark):
+    df = spark.createDataFrame([(float(i), 1) for i in range(20)], "x double, y int")
+    _, num, _ = A.associate(df, "y")
+    assert [r.anova_f for r in num.collect()] == [None]
+    apart = spark.createDataFrame([(float(i % 2), i % 2, float(i)) for i in range(40)], "x double, y int, z double")
+    f = A.numeric_tests(A.to_long(apart, "y", ["x"]), spark.createDataFrame([("x", "numeric")], "feature string, kind string"))
+    assert [r.anova_f for r in f.collect()] == [math.inf]
+    p = spark.createDataFrame([(1, 0.9), (0, 0.1), (None, 0.999)], "label int, p double")
+    assert math.isclose(EV.log_loss(p).first().log_loss, -math.log(0.9), rel_tol=1e-12)
+
+
+def test_study_prepare_repairs_text(spark):
+    from horizonkit.operators.study import prepare
+    rows = [(f"{i},5", "II" if i % 2 else "4", "M" if i % 3 else "Feminino", "a" if i % 2 else None, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "`AE diam.` string, NYHA string, Sex string, `Dist Cond InterVent` string, y int")
+    data, feats = prepare(df, "y", [], [])
+    assert feats[:3] == ["AE diam.", "NYHA", "Sex"] and any(c.startswith("Dist Cond InterVent_") for c in feats)
+    got = {r["AE diam."]: (r["NYHA"], r["Sex"]) for r in data.collect()}
+    assert got[1.5] == (2.0, 0.0) and got[0.5] == (4.0, 1.0)
+
+
+def test_search_ranks_once_and_refits(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(i % 2), i % 3, *[float(v) for v in (i % 2 + rng.normal(size=1) * 0.3).tolist() + rng.normal(size=2).tolist()])
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, label double, fold int, a double, b double, c double").cache()
+    draws = [{"n_estimators": 3, "max_depth": 2, "k": 1}, {"n_estimators": 3, "max_depth": 2, "k": 3}]
+    best, score, scores, model = ML.search(df, "RandomForest", ["a", "b", "c"], draws, n_folds=3)
+    assert len(scores) == 2 and 0.8 < score <= 1 and best in draws
+    assert "a" in model.stages[0].getOrDefault("selected") and "prediction" in model.transform(df).columns
+    imp = ML.permutation_importance(ML.predicted_by(model), df.withColumn("label", F.col("label").cast("int")), ["a", "b"], repeats=4)
+    got = {r.feature: r.importance for r in imp.collect()}
+    assert got["a"] > 0.2 > abs(got["b"])
+    copies = ML.permuted_copies(df, ["a", "b"], repeats=3).where("__f = 'a'").groupBy("__r")
+    values = [sorted(r.v) for r in copies.agg(F.collect_list("a").alias("v")).collect()]
+    assert all(v == sorted(r[3] for r in rows) for v in values)
