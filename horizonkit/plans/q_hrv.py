@@ -342,7 +342,7 @@ ss0 AS (SELECT user_id, window_idx, s, box, regr_syy(yk, kd) AS syy, regr_syy(yk
        FROM bx GROUP BY user_id, window_idx, s, box),
 ss AS (SELECT user_id, window_idx, s, box, CASE WHEN ss > 1e-9 * syy THEN ss ELSE 0 END AS ss FROM ss0),
 fs AS (SELECT user_id, window_idx, s, sqrt(sum(ss) / (s * count(*))) AS fs FROM ss GROUP BY user_id, window_idx, s),
-df AS (SELECT user_id, window_idx, regr_slope(ln(fs), ln(CAST(s AS DOUBLE))) AS DFA_alpha1
+df AS (SELECT user_id, window_idx, CASE WHEN count(*) > 1 THEN regr_slope(ln(fs), ln(CAST(s AS DOUBLE))) END AS DFA_alpha1
        FROM fs WHERE fs > 0 GROUP BY user_id, window_idx),
 wf AS (SELECT * FROM tf LEFT JOIN fq USING (user_id, window_idx) LEFT JOIN p USING (user_id, window_idx)
        LEFT JOIN se USING (user_id, window_idx) LEFT JOIN df USING (user_id, window_idx)),

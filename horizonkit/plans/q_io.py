@@ -1,7 +1,7 @@
 """Queries: sources and sinks round trips through the shared folder.
 
 Each call writes Spark-derived data under ``spark.checkpoint.dir`` (a fresh
-sub-folder) and returns what it reads back; the oracle is the input.
+sub-folder) and returns what it reads back; the oracle computes the same from the tables.
 """
 
 from __future__ import annotations
@@ -38,15 +38,19 @@ def signal_roundtrip(spark, d):
 
 @query("horizon_sink_roundtrip", sql=f"""
 WITH {Q.MERGED}
-SELECT m.ID, m.Name, m.Obito_MS, m.Tempo, 5 AS horizon,
-       CASE WHEN Obito_MS = 1 AND Tempo < 5 THEN 1 ELSE 0 END AS Target
-FROM merged m WHERE (Obito_MS = 1 AND Tempo < 5) OR (Obito_MS = 0 OR Tempo >= 5)""")
+SELECT m.ID, m.Name, m.Obito_MS, m.Tempo, CAST(h AS INTEGER) AS horizon,
+       CASE WHEN Obito_MS = 1 AND Tempo < h THEN 1 ELSE 0 END AS Target
+FROM merged m, (SELECT unnest([3, 5, 7, 10]) AS h)
+WHERE (Obito_MS = 1 AND Tempo < h) OR (Obito_MS = 0 OR Tempo >= h)""")
 def horizon_sink_roundtrip(spark, d):
-    """Labelled rows written partitioned by horizon, one horizon read back."""
+    """Labelled rows written partitioned by horizon, each horizon's folder read back by itself."""
     lab = C.label_horizons(merged(spark, d), event_col="Obito_MS", time_col="Tempo")
     path = scratch_path(spark, "horizons")
     SK.write_horizons(lab.select("ID", "Name", "Obito_MS", "Tempo", "horizon", "Target"), path)
-    back = spark.read.parquet(path).where(F.col("horizon") == 5)        # partition pruning
+    back = None
+    for h in (3, 5, 7, 10):
+        part = spark.read.parquet(f"{path}/horizon={h}").withColumn("horizon", F.lit(h))
+        back = part if back is None else back.unionByName(part)
     return back.select("ID", "Name", "Obito_MS", "Tempo", F.col("horizon").cast("int"), "Target")
 
 
