@@ -79,6 +79,32 @@ def route(cells: DataFrame, numeric: dict[str, bool]) -> DataFrame:
                        F.col("n_unique").cast("long").alias("n_unique"), kind.alias("kind"))
 
 
+def proven_numeric(long: DataFrame) -> DataFrame:
+    """``(feature)`` of numeric columns that surely have ``MIN_NUMERIC_LEVELS`` values.
+
+    Each value sets one bit of 64; that many set bits need that many values.
+    One word per feature leaves a task, whatever the column holds; a column
+    that isn't proven here is counted exactly elsewhere.
+    """
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(x + 0.0D), 64) as int))")  # -0.0 and 0.0 are one value
+    return (long.where(F.col("is_num")).groupBy("feature").agg(F.bit_or(bit).alias("bits"))
+                .where(F.bit_count("bits") >= MIN_NUMERIC_LEVELS).select("feature"))
+
+
+def doubtful_cells(long: DataFrame, proven: DataFrame) -> DataFrame:
+    """Raw cells of the other columns. ``proven`` has a row per column of the table, so it is broadcast."""
+    return raw_cells(long.join(F.broadcast(proven), "feature", "left_anti"))
+
+
+def kinds(long: DataFrame, numeric: dict[str, bool], proven: DataFrame | None = None,
+          cells: DataFrame | None = None) -> DataFrame:
+    """``(feature, kind)`` as ``route`` gives it, raw values grouped only where the kind is in doubt."""
+    proven = proven if proven is not None else proven_numeric(long)
+    cells = cells if cells is not None else doubtful_cells(long, proven)
+    return (proven.select("feature", F.lit("numeric").alias("kind"))
+                  .unionByName(route(cells, numeric).select("feature", "kind")))
+
+
 def numeric_tests(long: DataFrame, routes: DataFrame) -> DataFrame:
     """Point-biserial r, |r|, ANOVA F per numeric feature, one pass.
 
@@ -153,11 +179,16 @@ def with_pvalues(num: DataFrame | None = None, cat: DataFrame | None = None):
 
 def associate_long(long: DataFrame, numeric: dict[str, bool]):
     """Same as ``associate`` for data already in long form
-    ``(feature, is_num, x, level, y)`` (e.g. an exploded array column)."""
+    ``(feature, is_num, x, level, y)`` (e.g. an exploded array column).
+
+    The exact distinct counts of the routes table group raw values of every
+    column; the two test tables need the kind alone and don't.
+    """
     long = long.where(F.col("y").isNotNull() & (F.col("x").isNotNull() | F.col("level").isNotNull()))
-    cells = raw_cells(long)
-    routes = route(cells, numeric)
-    return routes, numeric_tests(long, routes), categorical_tests(cells, routes)
+    proven = proven_numeric(long)
+    cells = doubtful_cells(long, proven)
+    kind = kinds(long, numeric, proven, cells)
+    return route(raw_cells(long), numeric), numeric_tests(long, kind), categorical_tests(cells, kind)
 
 
 def associate(df: DataFrame, target: str, ignore: list[str] | None = None):

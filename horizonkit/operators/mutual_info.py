@@ -10,24 +10,30 @@ a discrete label (Ross 2014, PLoS ONE 9(2)), exact in 1-D:
   single row are left out entirely.
 
 No step orders a whole feature in one task: ranks come from bucketed row
-numbers, neighbours are fetched by an equi-join on ``rank ± a`` (2K rows per
-point), and m_i comes from a bucketed running count over the distinct values
-merged with the two range probes of every point. Ties are not broken by
-random noise (the library adds some), so tied data can differ slightly.
+numbers, neighbours from ``lag`` / ``lead`` inside blocks of equal row count
+(each block also gets the K rows beyond its edges), and m_i from a bucketed
+running count over the values merged with the two range probes of every
+point. Ties are not broken by random noise (the library adds some), so tied
+data can differ slightly.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from horizonkit.functions.digamma import digamma_int
-from horizonkit.operators.prefix import (bucketed_row_number, bucketed_running_sum,
+from horizonkit.operators.prefix import (bucketed_row_number, bucketed_running_sum, range_bucket,
                                          with_range_bucket)
 from horizonkit.session import cut_lineage
 
 
-def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None = None) -> DataFrame:
+#: Rows of a block within which neighbours are looked up.
+BLOCK_ROWS = 200_000
+
+
+def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None = None,
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``long``: (id, feature, x, y) -> (feature, mi).
 
     Works on distinct values with multiplicities: equal points have the same
@@ -36,26 +42,27 @@ def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None
     pts = long.select("feature", F.col("x").cast("double").alias("x"), "y").where(
         F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull())
     vals = pts.groupBy("feature", "y", "x").agg(F.count("*").alias("c"))
-    nc = vals.groupBy("feature", "y").agg(F.sum("c").alias("nc"))
-    vals = vals.join(nc.where(F.col("nc") > 1), ["feature", "y"])            # drop singleton classes
-    vals = vals.withColumn("k", F.least(F.lit(k), F.col("nc") - 1))
-    vb = with_range_bucket(vals, ["feature", "y"], "x", buckets)
-    # ranks feed two join sides and the radius feeds four: materialise both
-    # (reliable checkpoint in the shared folder) instead of recomputing them
-    vals = cut_lineage(bucketed_row_number(vb, ["feature", "y"], [F.col("x")], "__vb", "rn").drop("__vb"))
-
-    # the K nearest distinct values on each side (each holds >= 1 point)
-    offs = F.array(*[F.lit(a) for a in range(-k, k + 1) if a != 0])
-    want = vals.select("feature", "y", "rn", F.explode(offs).alias("a")).withColumn("rn_n", F.col("rn") + F.col("a"))
-    nb = vals.select("feature", "y", F.col("rn").alias("rn_n"), F.col("x").alias("xn"), F.col("c").alias("cn"))
-    base = vals.select("feature", "y", "rn", F.col("x").alias("x0"))
-    got = (want.join(nb, ["feature", "y", "rn_n"]).join(base, ["feature", "y", "rn"])
-               .groupBy("feature", "y", "rn")
-               .agg(*[F.max(F.when(F.col("a") == a, F.abs(F.col("xn") - F.col("x0")))).alias(f"d{a + k}")
-                      for a in range(-k, k + 1) if a != 0],
-                    *[F.max(F.when(F.col("a") == a, F.col("cn"))).alias(f"c{a + k}")
-                      for a in range(-k, k + 1) if a != 0]))
-    v = vals.join(got, ["feature", "y", "rn"], "left")
+    st = vals.groupBy("feature", "y").agg(F.sum("c").alias("nc"), F.min("x").alias("__mn"), F.max("x").alias("__mx"),
+                                          F.count("*").alias("__n"))
+    vals = (vals.join(st.where(F.col("nc") > 1), ["feature", "y"])           # drop singleton classes
+                .withColumn("k", F.least(F.lit(k), F.col("nc") - 1))
+                .withColumn("__vb", range_bucket(F.col("x"), F.col("__mn"), F.col("__mx"), F.col("__n"), buckets))
+                .drop("__mn", "__mx", "__n"))
+    vals = bucketed_row_number(vals, ["feature", "y"], [F.col("x")], "__vb", "rn").drop("__vb")
+
+    # the K nearest distinct values on each side (each holds >= 1 point): a row goes to its
+    # block, and to the next one too if it is within K rows of the edge between them
+    at = (F.col("rn") - 1) % F.lit(block_rows)
+    own = F.floor((F.col("rn") - 1) / F.lit(block_rows))
+    blocks = F.array(own, F.when(at < k, own - 1), F.when(at >= block_rows - k, own + 1))
+    spread = vals.select("*", own.alias("__own"), F.explode(F.array_compact(blocks)).alias("__block"))
+    w = Window.partitionBy("feature", "y", "__block").orderBy("rn")
+    near = {}
+    for a in range(1, k + 1):
+        for sign, step in ((-1, F.lag), (1, F.lead)):
+            near[f"d{sign * a + k}"] = F.abs(step("x", a).over(w) - F.col("x"))
+            near[f"c{sign * a + k}"] = step("c", a).over(w)
+    v = spread.withColumns(near).where(F.col("__own") == F.col("__block"))
 
     def side_dist(sign: int, p: int):
         """Distance of the p-th nearest point on one side (NULL if fewer)."""
@@ -84,23 +91,20 @@ def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None
     v = cut_lineage(v.withColumn("r", F.when(j <= 0, F.lit(0.0)).otherwise(r))
                      .select("feature", "y", "x", "c", "k", "nc", "r"))
 
-    # m: running counts over distinct values merged with range probes.
+    # m: each row as one data value and two range probes; a running count over all of a
+    # feature's rows, then the two probes of a row meet again.
     # order inside a value: 'lt' probe (0) < data (1) < 'le' probe (2)
-    allw = v.groupBy("feature", F.col("x").alias("v")).agg(F.sum("c").alias("w")).withColumn("t", F.lit(1))
-    hi = v.select("feature", (F.col("x") + F.col("r")).alias("v"),
-                  F.when(F.col("r") > 0, 0).otherwise(2).alias("t"))
-    lo = v.select("feature", (F.col("x") - F.col("r")).alias("v"),
-                  F.when(F.col("r") > 0, 2).otherwise(0).alias("t"))
-    probes = hi.unionByName(lo).distinct().withColumn("w", F.lit(0).cast("long"))
-    allv = with_range_bucket(allw.unionByName(probes.select("feature", "v", "w", "t")), ["feature"], "v", buckets)
-    cum = bucketed_running_sum(allv, ["feature"], [F.col("v"), F.col("t")], "__vb", {"cum": "w"})
-    cum = cum.where(F.col("t") != 1).select("feature", "v", "t", "cum")
-    ch = cum.select("feature", F.col("v").alias("vh"), F.col("t").alias("th"), F.col("cum").alias("c_hi"))
-    cl = cum.select("feature", F.col("v").alias("vl"), F.col("t").alias("tl"), F.col("cum").alias("c_lo"))
-    q = (v.withColumn("vh", F.col("x") + F.col("r")).withColumn("th", F.when(F.col("r") > 0, 0).otherwise(2))
-          .withColumn("vl", F.col("x") - F.col("r")).withColumn("tl", F.when(F.col("r") > 0, 2).otherwise(0))
-          .join(ch, ["feature", "vh", "th"]).join(cl, ["feature", "vl", "tl"])
-          .withColumn("m", F.col("c_hi") - F.col("c_lo")))
+    some = F.col("r") > 0
+    rows = F.array(F.struct(F.col("x").alias("v"), F.lit(1).alias("t"), F.col("c").alias("w"), F.lit(0).alias("s")),
+                   F.struct((F.col("x") + F.col("r")).alias("v"), F.when(some, 0).otherwise(2).alias("t"),
+                            F.lit(0).cast("long").alias("w"), F.lit(1).alias("s")),
+                   F.struct((F.col("x") - F.col("r")).alias("v"), F.when(some, 2).otherwise(0).alias("t"),
+                            F.lit(0).cast("long").alias("w"), F.lit(-1).alias("s")))
+    events = with_range_bucket(v.select("*", F.explode(rows).alias("e")).select("feature", "y", "x", "c", "k", "nc", "e.*"),
+                               ["feature"], "v", buckets)
+    cum = bucketed_running_sum(events, ["feature"], [F.col("v"), F.col("t")], "__vb", {"cum": "w"})
+    q = (cum.where(F.col("s") != 0).groupBy("feature", "y", "x", "c", "k", "nc")
+            .agg(F.sum(F.col("s") * F.col("cum")).alias("m")))
     wsum = lambda e: F.sum(F.col("c") * e)  # noqa: E731 — multiplicity-weighted sums
     mi = q.groupBy("feature").agg(
         F.sum("c").alias("N"), wsum(digamma_int(F.col("k"))).alias("sk"),

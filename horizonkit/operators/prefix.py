@@ -54,6 +54,14 @@ def hash_bucket(h: Column, bits: int = 10, hash_bits: int = 32) -> Column:
     return F.floor(h / F.lit(1 << (hash_bits - bits))).cast("int")
 
 
+def range_bucket(x: Column, lo: Column, hi: Column, n: Column, buckets: int | None = None,
+                 rows_per_bucket: int = 1_000_000, max_buckets: int = 1 << 16) -> Column:
+    """Equi-width bucket of ``x`` between ``lo`` and ``hi``: ``buckets`` of them, or enough for ``n`` rows."""
+    nb = (F.lit(float(buckets)) if buckets else
+          F.least(F.greatest(F.ceil(n / F.lit(rows_per_bucket)), F.lit(1)), F.lit(max_buckets)).cast("double"))
+    return F.when(hi > lo, F.least(F.floor((x - lo) / ((hi - lo) / nb)), nb - 1)).otherwise(0).cast("int")
+
+
 def with_range_bucket(df: DataFrame, part: list[str], col: str, buckets: int | None = None,
                       out: str = "__vb", rows_per_bucket: int = 1_000_000,
                       max_buckets: int = 1 << 16) -> DataFrame:
@@ -66,10 +74,5 @@ def with_range_bucket(df: DataFrame, part: list[str], col: str, buckets: int | N
     """
     mm = df.groupBy(*part).agg(F.min(col).alias("__mn"), F.max(col).alias("__mx"),
                                F.count("*").alias("__cnt"))
-    nb = (F.lit(float(buckets)) if buckets else
-          F.least(F.greatest(F.ceil(F.col("__cnt") / F.lit(rows_per_bucket)), F.lit(1)),
-                  F.lit(max_buckets)).cast("double"))
-    width = (F.col("__mx") - F.col("__mn")) / nb
-    b = F.when(F.col("__mx") > F.col("__mn"),
-               F.least(F.floor((F.col(col) - F.col("__mn")) / width), nb - 1)).otherwise(0)
-    return df.join(mm, part).withColumn(out, b.cast("int")).drop("__mn", "__mx", "__cnt")
+    b = range_bucket(F.col(col), F.col("__mn"), F.col("__mx"), F.col("__cnt"), buckets, rows_per_bucket, max_buckets)
+    return df.join(mm, part).withColumn(out, b).drop("__mn", "__mx", "__cnt")

@@ -262,6 +262,7 @@ def test_mi_knn_brute_force(spark, hot):
         rows += [(1000 + i, "f", 0.5, i % 3) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, feature string, x double, y int")
     got = MI.mi_knn(df).first().mi
+    assert math.isclose(MI.mi_knn(df, buckets=5, block_rows=7).first().mi, got, rel_tol=1e-9)  # many blocks, same result
     xs = np.array([r[2] for r in rows]); ys = np.array([r[3] for r in rows])
     from math import fsum
     def psi(n): return fsum(1.0 / k for k in range(1, n)) - 0.5772156649015329
@@ -276,6 +277,19 @@ def test_mi_knn_brute_force(spark, hot):
     assert math.isclose(got, exp, rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_wide_columns_are_proven_numeric(spark):
+    """Ten occupied cells of a hash prove ten values; other columns are counted exactly."""
+    rows = [(float(i), i % 9, float(i % 10), "ab"[i % 2], i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "wide double, nine int, ten double, text string, y int")
+    long = A.to_long(df, "y", ["wide", "nine", "ten", "text"])
+    numeric = {"wide": True, "nine": True, "ten": True, "text": False}
+    found = A.proven_numeric(long)
+    assert "wide" in {r.feature for r in found.collect()} and "nine" not in {r.feature for r in found.collect()}
+    kinds = {r.feature: r.kind for r in A.kinds(long, numeric).collect()}
+    assert kinds == {"wide": "numeric", "nine": "categorical", "ten": "numeric", "text": "categorical"}
+    assert kinds == {r.feature: r.kind for r in A.associate(df, "y")[0].collect()}
+
+
 def test_correlation_reducer_constant_column_kept(spark):
     rows = [(float(i), 2.0 * i + 1, 5.0, float((i * 7) % 11)) for i in range(50)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
