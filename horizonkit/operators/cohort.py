@@ -78,28 +78,28 @@ def clinical_merge(study: DataFrame, clinical: DataFrame, *, name_col: str,
     * death date: first non-null per name over the *whole* clinical history
       (not only the matched visit), applied only where ``event == 1``;
     * ``Tempo`` = floor(days)/365.25 rounded to 2, negative allowed;
+    * both depend on the study row alone and are joined before the visits fan it out;
+    * a NULL name meets the visits of NULL names of its day (pandas ``merge``), and no death date;
     * output order: first ``lead`` study columns, ``Data_MSC``, ``Tempo``,
       clinical columns, the rest.
     """
     rename = rename or {}
     present = [c for c in clinical_cols if c in clinical.columns]          # B15
-    overlap = [rename.get(c, c) for c in present if rename.get(c, c) in study.columns]
+    taken = [*study.columns, msc_col, tempo_col]
+    overlap = [rename.get(c, c) for c in present if rename.get(c, c) in taken]
     if overlap:
-        raise ValueError(f"clinical columns already in the study table: {overlap}")
+        raise ValueError(f"clinical columns already in the merged table: {overlap}")
     key_date = "__merge_date"
-    s = study.withColumn(key_date, F.to_date(F.col(study_date_col)))       # B18
-    c = clinical.withColumn(key_date, F.to_date(F.col(clinical_date_col)))
-    sub = c.select(F.col(name_col), F.col(key_date),
-                   *[F.col(f"`{x}`").alias(rename.get(x, x)) for x in present])  # B14
-    merged = null_safe_left_join(s, sub, [name_col, key_date]).drop(key_date)   # C1
-
+    c = clinical.withColumn(key_date, F.to_date(F.col(clinical_date_col)))  # B18
     deaths = first_non_null_by(c, name_col, death_date_col, order_cols, "__death")  # D1
     # Single-valued lookup by name; plain '=' (null names never looked up).
-    looked = merged.join(deaths, on=name_col, how="left")
-    looked = looked.withColumn(                                             # B19
-        msc_col, F.when(F.col(event_col) == 1, F.col("__death")).cast("timestamp_ntz")
-    ).drop("__death")
+    looked = study.join(deaths, on=name_col, how="left").withColumn(        # B19
+        msc_col, F.when(F.col(event_col) == 1, F.col("__death")).cast("timestamp_ntz")).drop("__death")
     looked = looked.withColumn(tempo_col, elapsed_years(study_date_col, msc_col))  # B17
+    looked = looked.withColumn(key_date, F.to_date(F.col(study_date_col)))
+    sub = c.select(F.col(name_col), F.col(key_date),
+                   *[F.col(f"`{x}`").alias(rename.get(x, x)) for x in present])  # B14
+    looked = null_safe_left_join(looked, sub, [name_col, key_date])         # C1
 
     orig = [x for x in study.columns]
     inserted = [msc_col, tempo_col] + [rename.get(x, x) for x in present]

@@ -54,3 +54,28 @@ features_long AS (
 THRESHOLDS = """
 thresholds AS (
   SELECT i, 0.01 + CAST(i - 1 AS DOUBLE) * 0.01 AS t FROM range(1, 100) r(i))"""
+
+#: Needs ``scores`` and ``thresholds``: the threshold of best strict G-Mean in ``b``.
+BEST = """
+c AS (SELECT t.i, t.t,
+        count_if(s.label = 1 AND s.p >= t.t) AS tp, count_if(s.label = 0 AND s.p >= t.t) AS fp,
+        count_if(s.label = 1 AND s.p < t.t) AS fn, count_if(s.label = 0 AND s.p < t.t) AS tn
+      FROM thresholds t, scores s GROUP BY t.i, t.t),
+g AS (SELECT i, t, sqrt(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END * (tn / (tn + fp + 1e-8)))
+             AS score FROM c),
+b AS (SELECT * FROM g ORDER BY score DESC, i ASC LIMIT 1)"""
+
+#: Needs predictions ``pr (label, pred)``: per-class figures in ``f``.
+REPORT = """
+cls AS (SELECT label AS k FROM pr UNION SELECT pred FROM pr),
+per AS (
+  SELECT CAST(k AS VARCHAR) AS class,
+         (SELECT count(*) FROM pr WHERE label = k) AS support,
+         (SELECT count(*) FROM pr WHERE label = k AND pred = k) AS tp,
+         (SELECT count(*) FROM pr WHERE pred = k) AS npred FROM cls),
+m AS (
+  SELECT class, support, tp,
+         CASE WHEN npred > 0 THEN tp / npred ELSE 0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM per),
+f AS (SELECT *, CASE WHEN precision + recall > 0
+                     THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM m)"""

@@ -84,7 +84,18 @@ def csv_roundtrip(spark, d):
     return back.select("l_orderkey", "l_linenumber", "raw", K.decimal_comma("raw").alias("value"))
 
 
-@query("summary_roundtrip")
+@query("summary_roundtrip", sql=f"""
+WITH {Q.SCORES}, {Q.THRESHOLDS}, {Q.BEST},
+best AS (SELECT CASE WHEN score > 0 THEN t ELSE 0.5 END AS t FROM b),
+pr AS (SELECT label, CASE WHEN p >= best.t THEN 1 ELSE 0 END AS pred FROM scores, best),
+{Q.REPORT},
+rep AS (SELECT class, f1, support FROM f
+        UNION ALL SELECT 'macro avg', avg(f1), sum(support) FROM f
+        UNION ALL SELECT 'weighted avg', sum(f1 * support) / sum(support), sum(support) FROM f
+        UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(support) FROM f)
+SELECT '5anos' AS horizon_dir, 'chars_mod' AS model_dir, 'chars_mod' AS model_name,
+       printf('%.4f', best.t) AS optimal_threshold, class, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support
+FROM rep, best""")
 def summary_roundtrip(spark, d):
     """Summary JSON per (horizon, model) written, discovered, read back."""
     sc = R.scores(spark, d)

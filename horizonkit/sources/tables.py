@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
               "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+#: A number in text: decimals and exponents, or an infinity.
+NUMBER = r"[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))"
+
 _FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc", ".txt": "text"}
 
 
@@ -37,9 +40,42 @@ def na_to_null(df: DataFrame, na: list[str] | None = None) -> DataFrame:
     return df.select(*cols)
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """A2: text columns get the type pandas would infer, from one pass over all rows.
+
+    Whole numbers without missing values become ``long``; numbers otherwise,
+    and columns without any value, ``double``; True / False without missing values
+    ``boolean``; all else stays text.
+    """
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df
+
+    def every(c: str, ok) -> Column:
+        return F.count_if(F.col(f"`{c}`").isNotNull() & ~F.coalesce(ok, F.lit(False))) == 0
+
+    aggs = []
+    for c in text:
+        v = F.trim(F.col(f"`{c}`"))
+        aggs.append(F.struct(
+            (F.count_if(F.col(f"`{c}`").isNull()) == 0).alias("full"),
+            every(c, v.rlike(r"^[+-]?[0-9]+$") & v.try_cast("long").isNotNull()).alias("whole"),
+            every(c, v.rlike(f"^{NUMBER}$")).alias("number"),
+            every(c, F.lower(F.col(f"`{c}`")).isin("true", "false")).alias("truth"), F.count("*").alias("rows")))
+    found = df.agg(*[a.alias(str(i)) for i, a in enumerate(aggs)]).first()  # one row
+    types = {}
+    for i, c in enumerate(text):
+        t = found[str(i)]
+        if t["rows"]:
+            types[c] = ("long" if t["whole"] and t["full"] else "double" if t["number"] else
+                        "boolean" if t["truth"] and t["full"] else "string")
+    return df.select(*[F.trim(F.col(f"`{c}`")).cast(types[c]).alias(c) if types.get(c, "string") != "string"
+                       else F.col(f"`{c}`") for c in df.columns])
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                fmt: str | None = None) -> DataFrame:
-    """A1-A3: one entry point for the exported tables."""
+    """A1-A3: one entry point for the exported tables. CSV without a schema gets inferred types."""
     fmt = fmt or format_of(path)
     r = spark.read.format(fmt)
     if schema is not None:
@@ -47,8 +83,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if fmt == "csv":
         # read every field as text, then apply the pandas NA set
         r = r.option("header", True).option("nullValue", "\u0000").option("emptyValue", "")
-        df = r.load(path)
-        return na_to_null(df)
+        df = na_to_null(r.load(path))
+        return df if schema is not None else infer_types(df)
     return r.load(path)
 
 

@@ -290,6 +290,18 @@ def test_wide_columns_are_proven_numeric(spark):
     assert kinds == {r.feature: r.kind for r in A.associate(df, "y")[0].collect()}
 
 
+def test_csv_types_are_inferred(spark, tmp_path):
+    from horizonkit.sources import tables as TB
+    (tmp_path / "t.csv").write_text("a,b,c,d,e,f\n1,1,1.5,True,x,NA\n2,NA,-2e3,false,3,\n3,4,inf,TRUE,NA,null\n")
+    df = TB.read_table(spark, str(tmp_path / "t.csv"))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "double", "c": "double", "d": "boolean", "e": "string", "f": "double"}
+    rows = sorted(df.collect(), key=lambda r: r.a)
+    assert [r.b for r in rows] == [1.0, None, 4.0] and [r.d for r in rows] == [True, False, True]
+    assert [r.c for r in rows] == [1.5, -2000.0, float("inf")] and [r.e for r in rows] == ["x", "3", None]
+    (tmp_path / "none.csv").write_text("a,b\n")
+    assert dict(TB.read_table(spark, str(tmp_path / "none.csv")).dtypes) == {"a": "string", "b": "string"}
+
+
 def test_correlation_reducer_constant_column_kept(spark):
     rows = [(float(i), 2.0 * i + 1, 5.0, float((i * 7) % 11)) for i in range(50)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
