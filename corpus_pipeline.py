@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horizonkit.llm import decontam, packing, quality, secrets, simhash
+from horizonkit.llm.common import unused
 from horizonkit.llm.queries import THRESHOLD, learnable, table, vocabulary
 from horizonkit.session import written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold stay."""
-    scored = quality.score_quality(docs, learnable(table(spark, sf_dir, "labels"), "quality"), out="__score")
-    return scored.where(F.col("__score") >= THRESHOLD).drop("__score")
+    score = unused(docs, "__score")
+    scored = quality.score_quality(docs, learnable(table(spark, sf_dir, "labels"), "quality"), out=score)
+    return scored.where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no test item stay."""
-    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), out="__leaks")
-    return found.where(F.size("__leaks") == 0).drop("__leaks")
+    leaks = unused(docs, "__leaks")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), out=leaks)
+    return found.where(F.size(leaks) == 0).drop(leaks)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

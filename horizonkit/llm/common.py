@@ -33,6 +33,14 @@ def crc_fold(col: Column, mod: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(mod))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def added(docs: DataFrame, fields: list) -> tuple[DataFrame, object, dict[str, str]]:
     """``docs`` with positional column names, for a task that adds ``fields``.
 

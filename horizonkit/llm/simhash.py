@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from horizonkit.llm.common import as_bytes, slices
+from horizonkit.llm.common import as_bytes, slices, unused
 from horizonkit.llm.components import connected_components
 from horizonkit.session import written
 
@@ -151,11 +151,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("least"))
+    key = [unused(docs, "__k"), unused(docs, "__c")]
     stay = (first.join(_groups(fps, radius), "fp").groupBy("root").agg(F.min("least").alias("least"))
-            .select(F.xxhash64("least.none", "least.id").alias("__k"), F.col("least.content").alias("__c")).distinct())
+            .select(F.xxhash64("least.none", "least.id").alias(key[0]), F.col("least.content").alias(key[1])).distinct())
     number = F.col(id_col).cast("long")
-    plain = docs.withColumns({"__k": F.xxhash64(number.isNull(), number), "__c": F.xxhash64(F.col(text_col).cast("string"))})
-    return plain.join(stay, ["__k", "__c"]).dropDuplicates(["__k", "__c"]).select(*docs.columns)
+    plain = docs.withColumns({key[0]: F.xxhash64(number.isNull(), number), key[1]: F.xxhash64(F.col(text_col).cast("string"))})
+    return plain.join(stay, key).dropDuplicates(key).select(*docs.columns)
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -12,13 +12,13 @@ from horizonkit.llm import (ann, components, decontam, encode, packing, quality,
                             token_files, toxicity)
 from horizonkit.session import scratch_path
 
-DOCS = "doc_id long, text string, leaks string, score string, spans string, __tie string"
+DOCS = "doc_id long, text string, leaks string, score string, spans string, __tie string, __k string, __C string"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def docs(spark, rows):
     """(doc_id, text) rows among columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "a", None, "b", "c") for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, "a", None, "b", "c", "d", "e") for i, t in rows], DOCS)
 
 
 LONG = " ".join(f"word{i}" for i in range(60_000))
@@ -81,6 +81,7 @@ def test_simhash_edges(spark):
     kept = simhash.one_of_each_group(docs(spark, [*MIXED, (3, "one two three four")]))
     assert kept.columns == docs(spark, []).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 7]
+    assert {r["__k"] for r in kept.collect()} == {"d"} and {r["__C"] for r in kept.collect()} == {"e"}
     assert simhash.one_of_each_group(docs(spark, [(None, "a b"), (None, "a b")])).count() == 1
     assert simhash.fingerprint(LONG.encode()) == simhash.fingerprint(LONG.upper().encode())
 
@@ -217,6 +218,29 @@ def test_ann_edges(spark):
     assert ann.search(table, table.where("false"), k=3).count() == 0
 
 
+def test_pipeline_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+    names = "doc_id long, text string, lang string, source string, n_chars long, __score string, __LEAKS string, __k string"
+    rows = [(i, t, None, None, None, "a", "b", "c") for i, t in [*MIXED[:6], (9, "the river runs to the sea " * 9)]]
+    for table in (rows, []):
+        frame = spark.createDataFrame(table, names)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, frame, "/root/testdata/sf0.001")
+            assert kept.columns == frame.columns
+            assert {(r["__score"], r["__LEAKS"], r["__k"]) for r in kept.collect()} <= {("a", "b", "c")}
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, "/root/testdata/sf0.001").count() == len(table)
+
+
+def test_tested_tokens_touch_no_base_span():
+    rng = random.Random(9)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("aZ9kQ3x") for _ in range(rng.randrange(15, 40))) for _ in range(12)).encode()
+        base = [(rng.randrange(3), a, a + rng.randrange(1, 60)) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(6)))]
+        want = [m.span() for m in secrets.TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in base)
+                and secrets.randomness_p(m.group()) is not None]
+        assert [(a, z) for a, z, _ in secrets.tested(text, base)] == want
+
+
 def test_secret_edges(spark):
     rng = random.Random(8)
     keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(60)]
