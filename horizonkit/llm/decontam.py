@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole pieces and bit-parallel edit distance.
 
-A test item may occur with up to ``rate`` of its length in edits. Cut into one
+A test item may occur with up to ``rate`` of its length (in characters) in edits. Cut into one
 piece more than that, at least one piece stands unchanged where the item
 occurs. One automaton finds the pieces of all items of a block, and around
 each hit Myers' bit-parallel distance tells whether the item is there.
@@ -8,9 +8,13 @@ each hit Myers' bit-parallel distance tells whether the item is there.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +24,33 @@ from horizonkit.llm.common import added, as_bytes, slices
 
 #: Bytes of test items sent to the executors at a time; larger sets go in more blocks.
 BLOCK_BYTES = 4_000_000
-_APART = bytes.maketrans(bytes(c for c in range(33, 127) if not chr(c).isalnum()),
-                         b" " * sum(not chr(c).isalnum() for c in range(33, 127)))
+#: Punctuation, signs and white space, of ASCII and of all of Unicode.
+_ASCII_APART = bytes.maketrans(bytes(c for c in range(28, 127) if not chr(c).isalnum()),
+                               b" " * sum(not chr(c).isalnum() for c in range(28, 127)))
+
+
+@cache
+def _apart() -> np.ndarray:
+    """For each code point, what stands for it: itself, or a space."""
+    codes = np.arange(sys.maxunicode + 1, dtype="<u4")
+    apart = [c.isspace() or unicodedata.category(c)[0] in "PSZ" for c in map(chr, codes.tolist())]
+    codes[apart] = ord(" ")
+    return codes
 
 
 def normal(text: bytes) -> bytes:
-    """Small letters, ASCII punctuation and white space as single spaces."""
-    return b" ".join(text.lower().translate(_APART).split())
+    """Composed characters, case folded; punctuation, signs and white space as single spaces."""
+    if text.isascii():
+        return b" ".join(text.lower().translate(_ASCII_APART).split())
+    t = text.decode(errors="surrogateescape")  # what is no UTF-8 stays as it is
+    t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold())
+    codes = _apart()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")]
+    return " ".join(codes.tobytes().decode("utf-32-le", "surrogatepass").split()).encode(errors="surrogateescape")
+
+
+def letters(text: bytes) -> str:
+    """The normal form as characters, in which lengths and distances count."""
+    return normal(text).decode(errors="surrogateescape")
 
 
 def budget_of(length: int, rate: float) -> int:
@@ -36,7 +60,7 @@ def budget_of(length: int, rate: float) -> int:
 @dataclass(frozen=True)
 class Item:
     item_id: int | None
-    text: str  # normal form, a character for each byte
+    text: str  # normal form
     budget: int
     peq: dict[str, int]
 
@@ -77,7 +101,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, bytes]], rate: float):
         self.items, pieces = [], {}
         for item_id, text in items:
-            t = normal(text).decode("latin-1")
+            t = letters(text)
             if not t:
                 continue  # an item without words occurs nowhere
             k = budget_of(len(t), rate)
@@ -98,7 +122,7 @@ class Matcher:
         """Items that occur in the text: the least distance of each, and the end of its place in the normal form."""
         if not self.items:
             return []
-        t = normal(text).decode("latin-1")
+        t = letters(text)
         windows: dict[int, list[tuple[int, int]]] = {}
         for last, (length, where) in self.automaton.iter(t):
             for n, a in where:

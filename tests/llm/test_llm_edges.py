@@ -1,6 +1,7 @@
 """Edge cases of the operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -152,6 +153,19 @@ def test_decontam_edges(spark):
     assert decontam.find_leaks(docs(spark, []), bench).count() == 0
 
 
+def test_decontam_folds_all_letters(spark):
+    """Case, composition, and signs beyond ASCII cost no edit; an accent costs one, not two bytes."""
+    item = "l'été où élève zélé révéla à grand-mère sa théorie préférée, « l'âme éthérée » déçoit côté Noël"
+    capitals = item.upper().replace("'", "\u2019").replace(" ", "\u2003").replace("\u2003«", "\u2014\u201c")
+    apart = unicodedata.normalize("NFD", item)
+    plain = item.replace("é", "e", 4)  # four edits
+    bench = spark.createDataFrame([(1, item), (2, "Ελληνικός λόγος ΤΗΣ ΠΌΛΗΣ ς")], "item_id long, text string")
+    rows = [(1, f"AVANT {capitals} APRÈS"), (2, f"x {apart} y"), (3, f"x {plain} y"), (4, "ΕΛΛΗΝΙΚΌΣ ΛΌΓΟΣ της πόλης Σ"), (5, "été")]
+    got = {r[0]: [(x["item_id"], x["distance"]) for x in r[len(r) - 1]] for r in decontam.find_leaks(docs(spark, rows), bench).collect()}
+    assert got == {1: [(1, 0)], 2: [(1, 0)], 3: [(1, 4)], 4: [(2, 0)], 5: []}
+    assert decontam.normal(b"A \xff\xe9. B") == b"a \xff\xe9 b"
+
+
 def test_myers_distance():
     rng = random.Random(4)
     for _ in range(300):
