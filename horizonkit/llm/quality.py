@@ -1,18 +1,18 @@
 """Quality classifier: random-indexing word vectors, pooled, and a small network.
 
 Every word has a sparse index vector of +1 and -1 entries; its word vector is the
-sum of the index vectors of its neighbours over the whole corpus. Words are
-hashed into a table of fixed size, so that tasks can add up their part of it
-and the table's size does not depend on the corpus. A document is the mean and
+sum of the index vectors of its neighbours over the whole corpus. Each word has a
+vector of its own: tasks add up the sums of the words they meet, the sums of a
+bucket of words are added up and written to files of the shared folder, and the
+vectors of a document's words are looked up there. A document is the mean and
 spread of its words' vectors, and a two-layer network, calibrated by one
 temperature, scores it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,38 +21,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from horizonkit.llm.common import as_bytes, slices
+from horizonkit.llm.encode import _Remembered
+from horizonkit.llm.token_files import _array, _Output
+from horizonkit.session import scratch_path
 
-#: Size of the word table and of its vectors, +-1 entries of an index vector, neighbours on each side.
-WORDS, DIM, ENTRIES, REACH = 1 << 14, 32, 4, 2
-#: Parts the table is summed in, and words taken at a time.
+#: Words whose sums a task holds before it hands them on; size of the vectors, +-1 entries of an index vector, neighbours on each side.
+WORDS, DIM, ENTRIES, REACH = 1 << 18, 32, 4, 2
+#: Least number of buckets of words, and words of texts taken at a time.
 PARTS, AT_ONCE = 32, 1 << 17
 #: At most this many labelled rows fit the classifier (those with the smallest hash of their id).
 MAX_LABELLED = 20_000
+#: In the files, sums that fit a byte take one.
+KINDS = "<i1", "<i8"
+#: Stands between documents; no word has it.
+APART = -1
 _WORD = re.compile(rb"[a-z\x80-\xff']+|[0-9]+|[^\sa-z0-9\x80-\xff']+")
+_IDS = _Remembered(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
 
 
 def word_ids(text: bytes) -> np.ndarray:
-    """Table rows of a text's words: runs of letters, digits, or other signs, in small letters."""
+    """63-bit hashes of a text's words: runs of letters, digits, or other signs, in small letters."""
     words = _WORD.findall(text.lower())
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.int64) & (WORDS - 1)
+    _IDS.turn()
+    return np.fromiter(map(_IDS.__getitem__, words), np.int64, len(words))
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Columns and signs of each word's entries; the last row, all zero, parts documents."""
-    rng = np.random.RandomState(12345)
-    columns = rng.randint(0, DIM, (WORDS + 1, ENTRIES))
-    signs = rng.choice([-1.0, 1.0], (WORDS + 1, ENTRIES))
-    signs[WORDS] = 0
-    return columns, signs
+def index_vectors(words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and signs of the words' entries, from the low bits of their hashes; by default of 0 to ``WORDS - 1``."""
+    words = np.arange(WORDS) if words is None else words
+    bits = DIM.bit_length() - 1
+    at = np.arange(ENTRIES)
+    return (words[:, None] >> bits * at) & (DIM - 1), 1.0 - 2 * ((words[:, None] >> bits * ENTRIES + at) & 1)
+
+
+def by_word(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word once, the rows in the words' order, and the last of each word's places there."""
+    order = np.argsort(words)
+    ordered = words[order]
+    last = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True)) if len(words) else order
+    return ordered[last], order, last
+
+
+def totals(rows: np.ndarray, order: np.ndarray, last: np.ndarray, kind: type, columns: int = 8) -> np.ndarray:
+    """Sums of each word's rows, some columns at a time: differences of running totals, exact even if those wrap round."""
+    out = np.empty((len(last), rows.shape[1]), kind)
+    for c in range(0, rows.shape[1], columns):
+        running = np.cumsum(rows[order, c:c + columns], axis=0, dtype=kind)[last]
+        out[:1, c:c + columns] = running[:1]
+        np.subtract(running[1:], running[:-1], out=out[1:, c:c + columns])
+    return out
+
+
+def added_up(words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, in order, with the total of its rows."""
+    words, order, last = by_word(words)
+    return words, totals(sums, order, last, sums.dtype.type)
 
 
 class ContextSums:
     """Sums of neighbours' index vectors by word."""
 
     def __init__(self):
-        self.columns, self.signs = index_vectors()
-        self.sums = np.zeros((WORDS + 1) * DIM)
-        self.last = np.full(REACH, WORDS)  # as long as the reach
+        self.held, self.rows = [], 0
+        self.last = np.full(REACH, APART)  # as long as the reach
         self.waiting, self.size = [], 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -62,57 +93,159 @@ class ContextSums:
             self.size += len(self.waiting[-1])
             if self.size >= AT_ONCE:
                 self.flush()
-        self.waiting.append(np.full(REACH, WORDS))
+        self.waiting.append(np.full(REACH, APART))
 
     def flush(self) -> None:
         """Count the pairs that end in the words waiting; the last words stay for the next ones' pairs."""
         ids = np.concatenate([self.last, *self.waiting])
         new = len(self.last)
+        words, order, last = by_word(ids)
+        at = np.empty(len(ids), np.int64)
+        at[order] = np.repeat(np.arange(len(words)), np.diff(last, prepend=-1))
+        columns, signs = index_vectors(words)
+        own = np.zeros((len(words), DIM), np.int8)
+        for j in range(ENTRIES):
+            own[np.arange(len(words)), columns[:, j]] += signs[:, j].astype(np.int8)
+        own[words == APART] = 0
+        own, near = own[at], np.zeros((len(ids), DIM), np.int8)  # at most 2 * REACH * ENTRIES
         for d in range(1, REACH + 1):
-            before, after = ids[new - d:-d], ids[new:]
-            keep = (before != WORDS) & (after != WORDS)
-            for own, other in ((before[keep], after[keep]), (after[keep], before[keep])):
-                for j in range(ENTRIES):
-                    self.sums += np.bincount(own * DIM + self.columns[other, j], self.signs[other, j], len(self.sums))
+            near[new:] += own[new - d:-d]
+            near[new - d:-d] += own[new:]
+        sums, met = totals(near, order, last, np.int32), words != APART
+        self.held.append((words[met], sums[met]))
+        self.rows += len(self.held[-1][0])
         self.last, self.waiting, self.size = ids[-REACH:], [], 0
 
-    def table(self) -> np.ndarray:
-        self.flush()
-        return self.sums.reshape(-1, DIM)[:WORDS]
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words held, each once, and their sums."""
+        words, sums = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty((0, DIM), np.int32)), *self.held, strict=True))
+        self.held = [added_up(words, sums)]
+        self.rows = len(self.held[0][0])
+        return self.held[0]
 
+    def full(self) -> bool:
+        """Whether more than ``WORDS`` words are held; rows of the same word are added up first."""
+        if self.rows > 2 * WORDS:
+            self.merge()
+        return self.rows > WORDS and len(self.held) == 1
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Unit word vectors from all texts: a table of ``WORDS * DIM`` numbers, whatever the corpus holds."""
-    rows = WORDS // PARTS
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = self.merge()
+        self.held, self.rows = [], 0
+        return out
+
+    def table(self) -> np.ndarray:
+        """The sums of the words 0 to ``WORDS - 1``."""
+        self.flush()
+        words, sums = self.merge()
+        out = np.zeros((WORDS, DIM))
+        low = words < WORDS
+        out[words[low]] = sums[low]
+        return out
+
+
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (words >> 32) % buckets
+
+
+class Vectors:
+    """Unit word vectors by their sums in files of the shared folder: for each bucket its words in order, by the width of their sums."""
+
+    def __init__(self, folder: str, buckets: int, written: set[int]):
+        self.folder, self.buckets, self.written, self.mapped = folder, buckets, written, {}
+
+    def bucket(self, b: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if b in self.mapped:
+            return self.mapped[b]
+        parts = [(_array(self.folder, f"{b:05d}.words{kind[-1]}", "<i8"),
+                  _array(self.folder, f"{b:05d}.sums{kind[-1]}", kind).reshape(-1, DIM)) for kind in KINDS]
+        if any(isinstance(w, np.memmap) for w, _ in parts):  # what is read whole does not stay
+            self.mapped[b] = parts
+        return parts
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """A row for each word; zeros for one that the corpus has not."""
+        out = np.zeros((len(words), DIM), np.float32)
+        bucket = bucket_of(words, self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(rows) and (b := int(bucket[rows[0]])) in self.written:
+                for known, sums in self.bucket(b):
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, words[rows]), len(known) - 1)
+                        hit = known[at] == words[rows]
+                        found = sums[at[hit]].astype(np.float64)
+                        length = np.linalg.norm(found, axis=1, keepdims=True)
+                        out[rows[hit]] = found / np.where(length > 0, length, 1)
+        return out
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
+    """Unit word vectors from all texts, one for each word, in as many buckets as a shuffle has partitions."""
+    spark = docs.sparkSession
+    folder, buckets = scratch_path(spark, "words"), max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def handed_on(words, sums):
+        """Rows of a bucket's words, those with small sums in a byte each."""
+        bucket = bucket_of(words, buckets)
+        wide = np.abs(sums).max(1, initial=0) > 127
+        for kind, rows in (("<i4", np.flatnonzero(wide)), ("i1", np.flatnonzero(~wide))):
+            rows = rows[np.argsort(bucket[rows], kind="stable")]
+            parts = [r for r in np.split(rows, np.flatnonzero(np.diff(bucket[rows])) + 1) if len(r)]
+            if parts:
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([int(bucket[r[0]]) for r in parts], pa.int32()),
+                    "words": pa.array([words[r].astype("<i8").tobytes() for r in parts], pa.binary()),
+                    "sums": pa.array([sums[r].astype(kind).tobytes() for r in parts], pa.binary())})
 
     def run(batches):
         acc = ContextSums()
         for b in slices(batches):
             for text in as_bytes(b.column(0)):
                 acc.add(word_ids(text))
-        table = acc.table().astype("<i4")
-        parts = [p for p in range(PARTS) if table[p * rows:(p + 1) * rows].any()]
-        if parts:
-            yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "sums": pa.array(
-                [table[p * rows:(p + 1) * rows].view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts], pa.binary())})
-
-    def total(t: pa.Table) -> pa.Table:
-        acc = np.zeros(rows * DIM, np.int64)
-        for s in t["sums"].to_pylist():
-            acc += np.ascontiguousarray(np.frombuffer(s, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
-        return pa.table({"part": t["part"][:1], "sums": pa.array([acc.tobytes()], pa.binary())})
+                if acc.full():
+                    yield from handed_on(*acc.take())
+        acc.flush()
+        yield from handed_on(*acc.take())
+
+    def write(t: pa.Table) -> pa.Table:
+        words, sums = [], []
+        for w, s in zip(t["words"].to_pylist(), t["sums"].to_pylist(), strict=True):
+            words.append(np.frombuffer(w, "<i8"))
+            kind = "i1" if len(s) == len(words[-1]) * DIM else "<i4"
+            sums.append(np.frombuffer(s, kind).reshape(-1, DIM).astype(np.int64))
+        words, total = added_up(np.concatenate(words), np.concatenate(sums))
+        b, small = t["bucket"][0].as_py(), np.abs(total).max(1) <= 127
+        for kind, rows in zip(KINDS, (small, ~small), strict=True):
+            for name, values in (("words", words[rows].astype("<i8")), ("sums", total[rows].astype(kind))):
+                f = _Output(folder, f"{b:05d}.{name}{kind[-1]}")
+                f.write(values.tobytes())
+                f.close()
+        return pa.table({"bucket": t["bucket"][:1]})
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    table = np.zeros((WORDS, DIM))
-    for r in (texts.mapInArrow(run, "part int, sums binary").groupBy("part")
-              .applyInArrow(total, "part int, sums binary").collect()):  # PARTS rows of a fixed size
-        table[r["part"] * rows:(r["part"] + 1) * rows] = np.frombuffer(r["sums"], np.int64).reshape(rows, DIM)
-    length = np.linalg.norm(table, axis=1, keepdims=True)
-    return (table / np.where(length > 0, length, 1)).astype(np.float32)
-
-
-def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of a document's word vectors; zeros without words."""
+    written = (texts.mapInArrow(run, "bucket int, words binary, sums binary").groupBy("bucket")
+               .applyInArrow(write, "bucket int").collect())  # a number for each bucket
+    return Vectors(folder, buckets, {r["bucket"] for r in written})
+
+
+def pooled(texts: list[bytes], vectors: Vectors) -> np.ndarray:
+    """A row for each text: mean and standard deviation of its word vectors; zeros without words."""
+    out, many, size = [], [], 0
+    for k, text in enumerate(texts):
+        many.append(word_ids(text))
+        size += len(many[-1])
+        if size >= AT_ONCE or k == len(texts) - 1:
+            words, at = np.unique(np.concatenate(many), return_inverse=True)
+            rows, start = vectors.of(words), 0
+            for ids in many:
+                out.append(_mean_and_spread(at[start:start + len(ids)], rows))
+                start += len(ids)
+            many, size = [], 0
+    return np.array(out).reshape(len(texts), 2 * DIM)
+
+
+def _mean_and_spread(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     first, second = np.zeros(DIM), np.zeros(DIM)
     for at in range(0, len(ids), AT_ONCE):
         v = vectors[ids[at:at + AT_ONCE]]
@@ -180,7 +313,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60
     return net
 
 
-def labelled_vectors(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id_col: str, text_col: str,
+def labelled_vectors(docs: DataFrame, labels: DataFrame, vectors: Vectors, id_col: str, text_col: str,
                      limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Pooled vectors and labels of at most ``limit`` labelled documents; ``labels`` is ``(id, y)``."""
     chosen = (labels.where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
@@ -190,8 +323,8 @@ def labelled_vectors(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, id
 
     def run(batches):
         for b in slices(batches):
-            x = [pooled(word_ids(t), sent.value) for t in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+            x = pooled(as_bytes(b.column(2)), sent.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = (texts.join(F.broadcast(chosen), "id").select("id", F.col("y").cast("double").alias("y"), "text")
@@ -228,7 +361,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches):
         vectors, net = sent.value
         for b in slices(batches):
-            x = np.array([pooled(word_ids(t), vectors) for t in as_bytes(b.column(at))])
+            x = pooled(as_bytes(b.column(at)), vectors)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(net.score(x))], [*b.schema.names, "s"])
 
     return plain.mapInArrow(run, schema).toDF(*docs.columns, out)

@@ -126,6 +126,43 @@ def test_context_sums_do_not_depend_on_cuts(monkeypatch):
     assert np.array_equal(whole, plain)
 
 
+def test_each_word_has_its_own_vector(spark, monkeypatch):
+    """More words than any table of fixed size has rows for: each has the sum of its own neighbours alone."""
+    rng = random.Random(6)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(40_000)]
+    texts = [" ".join(words[i:i + 500]) for i in range(0, 40_000, 500)] + [" ".join(rng.choices(words[:3000], k=800)) for _ in range(30)]
+    plain = {}
+    for text in texts:
+        t = text.split()
+        columns, signs = quality.index_vectors(quality.word_ids(text.encode()))
+        for i, w in enumerate(t):
+            for j in range(max(0, i - 2), min(len(t), i + 3)):
+                if i != j:
+                    np.add.at(plain.setdefault(w, np.zeros(quality.DIM)), columns[j], signs[j])
+    frame = docs(spark, list(enumerate(texts))).repartition(3)
+    ids = quality.word_ids(" ".join(words).encode())
+    assert len(set(ids.tolist())) == len(words)
+    got = quality.word_vectors(frame).of(ids)
+    want = np.array([plain[w] / (np.linalg.norm(plain[w]) or 1) for w in words])
+    assert np.allclose(got, want, atol=1e-6)
+    assert not quality.word_vectors(frame).of(quality.word_ids(b"nowhere")).any()
+    acc = quality.ContextSums()
+    monkeypatch.setattr(quality, "AT_ONCE", 100)
+    monkeypatch.setattr(quality, "WORDS", 300)  # handed on in many parts
+    parts = []
+    for text in texts[:20]:
+        acc.add(quality.word_ids(text.encode()))
+        if acc.full():
+            parts.append(acc.take())
+    acc.flush()
+    parts.append(acc.take())
+    whole, sums = quality.added_up(np.concatenate([w for w, _ in parts]), np.concatenate([x for _, x in parts]))
+    assert len(parts) > 2 and len(whole) == 10_000
+    first = [plain[w] for w in words[5000:9990]]  # not met in the drawn texts
+    rows = np.searchsorted(whole, ids[5000:9990])
+    assert np.array_equal(sums[rows], np.array(first))
+
+
 def test_toxicity_edges(spark):
     rows = [(i, f"some plain words here number{i % 7}" + (" vilething" if i % 4 == 0 else "")) for i in range(160)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)] + [(None, 1), (1, None)], "id long, y int")
