@@ -3,7 +3,8 @@
 For texts of ASCII and Latin-1 letters the two vocabularies' splitting rules
 are plain patterns; their words then go through the library's model once, for
 as long as its ids are remembered. Any other text, or another kind of vocabulary file, goes through
-the library whole. Long texts are cut where no rule can join characters, so
+the library whole. A text holding an added token's string gets that token's id there, as in the
+library's plain call. Long texts are cut where no rule can join characters, so
 that memory stays bounded.
 """
 
@@ -61,7 +62,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items() if t.content}
+        #: Added tokens part a text before any rule of the vocabulary; those with rules of their own are left to the library.
+        self.own_rules = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.parted = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.split = splitter(json.loads(self.tokenizer.to_str()))
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words = _Remembered(self._word)
@@ -78,8 +83,17 @@ class Encoder:
         yield text[at:] if at else text
 
     def encode(self, text: bytes) -> bytes:
+        whole = text.decode()
+        if self.own_rules:
+            return np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if any(map(whole.__contains__, self.added)):
+            return b"".join(self.added.get(x) or self._ordinary(x) for x in self.parted.split(whole) if x)
+        return self._ordinary(whole)
+
+    def _ordinary(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         out = []
-        for part in self._parts(text.decode()):
+        for part in self._parts(text):
             if self.split and not _OTHER.search(part):
                 out.append(b"".join(map(self.words.__getitem__, self.split(part))))
                 self.words.turn()

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from horizonkit.llm import (ann, components, decontam, encode, packing, quality, secrets, sharding, simhash, substring,
                             token_files, toxicity)
@@ -323,6 +324,19 @@ def test_encoder_is_the_library(monkeypatch):
             assert e.encode(s.encode()) == want, repr(s)
 
 
+def test_added_tokens_keep_their_ids(monkeypatch):
+    """The library's plain call, with its flags as they are, gives an added token's string one id."""
+    rng = random.Random(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "Bc", "é", "日本", "e\u0301", "1", "."]
+    monkeypatch.setattr(encode, "PART", 5)
+    for path, one in ((BYTES, 50256), (WORDS, 49407)):
+        e, plain = encode.Encoder(path), Tokenizer.from_file(path)
+        assert np.frombuffer(e.encode(b"<|endoftext|>"), "<u4").tolist() == [one]
+        for _ in range(3000):
+            s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+            assert np.frombuffer(e.encode(s.encode()), "<u4").tolist() == plain.encode(s, add_special_tokens=False).ids, repr(s)
+
+
 def test_packing_edges(spark):
     rows = [*MIXED, *[(9, "same words here")] * 300]
     got = packing.pack(docs(spark, rows), WORDS, capacity=64, block=100).collect()
