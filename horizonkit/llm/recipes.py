@@ -25,7 +25,7 @@ LEAST, MOST = 256, 4096
 #: Upper and lower case of A-Z have the same remainder, so a text may be cut before it is lower-cased.
 REMAINDERS = (1, 2, 0)
 #: Characters that ``lower`` leaves as they are, besides ASCII: others go letter by letter.
-_PLAIN = r"\x00-\x7F -¿ß-ÿ‐-‧"
+_PLAIN = r"\x00-\x7F" + "".join(f"\\u{a:04X}-\\u{z:04X}" for a, z in ((0xA0, 0xBF), (0xDF, 0xFF), (0x2010, 0x2027)))
 
 
 def _class(remainder: int) -> str:
