@@ -11,24 +11,25 @@ temperature, scores it.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from horizonkit.llm.common import as_bytes, slices
-from horizonkit.llm.encode import _Remembered
 from horizonkit.llm.token_files import _array, _Output
 from horizonkit.session import scratch_path
 
-#: Words whose sums a task holds before it hands them on; size of the vectors, +-1 entries of an index vector, neighbours on each side.
-WORDS, DIM, ENTRIES, REACH = 1 << 18, 32, 4, 2
-#: Least number of buckets of words, and words of texts taken at a time.
-PARTS, AT_ONCE = 32, 1 << 17
+#: Words whose sums a task holds; beyond them it hands on all but the ``WORDS // 2`` met most often.
+WORDS = 1 << 18
+#: Size of the vectors, +-1 entries of an index vector, neighbours on each side.
+DIM, ENTRIES, REACH = 32, 4, 2
+#: Characters of text whose words' sums make a bucket, and words of texts taken at a time.
+BUCKET_CHARS, AT_ONCE = 16_000_000, 1 << 17
 #: At most this many labelled rows fit the classifier (those with the smallest hash of their id).
 MAX_LABELLED = 20_000
 #: In the files, sums that fit a byte take one.
@@ -36,19 +37,16 @@ KINDS = "<i1", "<i8"
 #: Stands between documents; no word has it.
 APART = -1
 _WORD = re.compile(rb"[a-z\x80-\xff']+|[0-9]+|[^\sa-z0-9\x80-\xff']+")
-_IDS = _Remembered(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 1)
 
 
 def word_ids(text: bytes) -> np.ndarray:
     """63-bit hashes of a text's words: runs of letters, digits, or other signs, in small letters."""
     words = _WORD.findall(text.lower())
-    _IDS.turn()
-    return np.fromiter(map(_IDS.__getitem__, words), np.int64, len(words))
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).view(np.int64)
 
 
-def index_vectors(words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and signs of the words' entries, from the low bits of their hashes; by default of 0 to ``WORDS - 1``."""
-    words = np.arange(WORDS) if words is None else words
+def index_vectors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and signs of the words' entries, from the low bits of their hashes."""
     bits = DIM.bit_length() - 1
     at = np.arange(ENTRIES)
     return (words[:, None] >> bits * at) & (DIM - 1), 1.0 - 2 * ((words[:, None] >> bits * ENTRIES + at) & 1)
@@ -62,27 +60,18 @@ def by_word(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[last], order, last
 
 
-def totals(rows: np.ndarray, order: np.ndarray, last: np.ndarray, kind: type, columns: int = 8) -> np.ndarray:
-    """Sums of each word's rows, some columns at a time: differences of running totals, exact even if those wrap round."""
-    out = np.empty((len(last), rows.shape[1]), kind)
-    for c in range(0, rows.shape[1], columns):
-        running = np.cumsum(rows[order, c:c + columns], axis=0, dtype=kind)[last]
-        out[:1, c:c + columns] = running[:1]
-        np.subtract(running[1:], running[:-1], out=out[1:, c:c + columns])
-    return out
-
-
-def added_up(words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word once, in order, with the total of its rows."""
-    words, order, last = by_word(words)
-    return words, totals(sums, order, last, sums.dtype.type)
+def totals(rows: np.ndarray, order: np.ndarray, last: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of each word's rows, added in ``kind``; the rows themselves stay as wide as they are."""
+    if not len(last):
+        return np.empty((0, rows.shape[1]), kind)
+    return np.add.reduceat(rows[order], np.append(0, last[:-1] + 1), axis=0, dtype=kind)
 
 
 class ContextSums:
-    """Sums of neighbours' index vectors by word."""
+    """Sums of neighbours' index vectors by word; ``surplus`` takes out what a task need not hold."""
 
     def __init__(self):
-        self.held, self.rows = [], 0
+        self.words, self.sums, self.met = np.empty(0, np.int64), np.empty((0, DIM), np.int32), np.empty(0, np.int64)
         self.last = np.full(REACH, APART)  # as long as the reach
         self.waiting, self.size = [], 0
 
@@ -111,37 +100,34 @@ class ContextSums:
         for d in range(1, REACH + 1):
             near[new:] += own[new - d:-d]
             near[new - d:-d] += own[new:]
-        sums, met = totals(near, order, last, np.int32), words != APART
-        self.held.append((words[met], sums[met]))
-        self.rows += len(self.held[-1][0])
+        counts = np.diff(last, prepend=-1)
+        known = words != APART
+        self._add(words[known], totals(near, order, last, np.int32)[known], counts[known])
         self.last, self.waiting, self.size = ids[-REACH:], [], 0
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        """The words held, each once, and their sums."""
-        words, sums = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty((0, DIM), np.int32)), *self.held, strict=True))
-        self.held = [added_up(words, sums)]
-        self.rows = len(self.held[0][0])
-        return self.held[0]
-
-    def full(self) -> bool:
-        """Whether more than ``WORDS`` words are held; rows of the same word are added up first."""
-        if self.rows > 2 * WORDS:
-            self.merge()
-        return self.rows > WORDS and len(self.held) == 1
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out = self.merge()
-        self.held, self.rows = [], 0
+    def _add(self, words: np.ndarray, sums: np.ndarray, met: np.ndarray) -> None:
+        """Each of ``words`` once; new ones are put in their places."""
+        at = np.searchsorted(self.words, words)
+        old = np.zeros(len(words), bool)
+        old[at < len(self.words)] = self.words[at[at < len(self.words)]] == words[at < len(self.words)]
+        self.sums[at[old]] += sums[old]
+        self.met[at[old]] += met[old]
+        self.words, self.sums, self.met = (np.insert(a, at[~old], b[~old], axis=0) for a, b in (
+            (self.words, words), (self.sums, sums), (self.met, met)))
+
+    def surplus(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Words and sums to hand on, if more than ``WORDS`` are held."""
+        if len(self.words) <= WORDS:
+            return None
+        stay = np.zeros(len(self.words), bool)
+        stay[np.argpartition(self.met, -(WORDS // 2))[-(WORDS // 2):]] = True
+        out = self.words[~stay], self.sums[~stay]
+        self.words, self.sums, self.met = self.words[stay], self.sums[stay], self.met[stay] // 2
         return out
 
-    def table(self) -> np.ndarray:
-        """The sums of the words 0 to ``WORDS - 1``."""
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
         self.flush()
-        words, sums = self.merge()
-        out = np.zeros((WORDS, DIM))
-        low = words < WORDS
-        out[words[low]] = sums[low]
-        return out
+        return self.words, self.sums
 
 
 def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -180,10 +166,30 @@ class Vectors:
         return out
 
 
+def added_up(blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed words and sums (a byte or four each) -> each word once, in order, and its total."""
+    words = np.frombuffer(b"".join(w for w, _ in blobs), "<i8")
+    small = [len(s) == len(w) // 8 * DIM for w, s in blobs]
+    rows = np.repeat(small, [len(w) // 8 for w, _ in blobs])
+    parts = []
+    for kind, chosen in (("i1", True), ("<i4", False)):  # sums stay as wide as they came
+        sums = np.frombuffer(b"".join(s for (_, s), is_small in zip(blobs, small, strict=True) if is_small == chosen), kind)
+        own, order, last = by_word(words[rows == chosen])
+        parts.append((own, totals(sums.reshape(-1, DIM), order, last, np.int64)))
+    (words, total), (wide, more) = parts
+    at = np.searchsorted(words, wide)
+    old = np.zeros(len(wide), bool)
+    old[at < len(words)] = words[at[at < len(words)]] == wide[at < len(words)]
+    total[at[old]] += more[old]
+    return np.insert(words, at[~old], wide[~old]), np.insert(total, at[~old], more[~old], axis=0)
+
+
 def word_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
-    """Unit word vectors from all texts, one for each word, in as many buckets as a shuffle has partitions."""
+    """Unit word vectors from all texts, one for each word, in as many buckets as the texts' length asks for."""
     spark = docs.sparkSession
-    folder, buckets = scratch_path(spark, "words"), max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0  # one number
+    folder, buckets = scratch_path(spark, "words"), 1 + chars // BUCKET_CHARS
 
     def handed_on(words, sums):
         """Rows of a bucket's words, those with small sums in a byte each."""
@@ -200,21 +206,15 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
 
     def run(batches):
         acc = ContextSums()
-        for b in slices(batches):
+        for b in slices(batches, 64):
             for text in as_bytes(b.column(0)):
                 acc.add(word_ids(text))
-                if acc.full():
-                    yield from handed_on(*acc.take())
-        acc.flush()
-        yield from handed_on(*acc.take())
+                if (out := acc.surplus()) is not None:
+                    yield from handed_on(*out)
+        yield from handed_on(*acc.rest())
 
     def write(t: pa.Table) -> pa.Table:
-        words, sums = [], []
-        for w, s in zip(t["words"].to_pylist(), t["sums"].to_pylist(), strict=True):
-            words.append(np.frombuffer(w, "<i8"))
-            kind = "i1" if len(s) == len(words[-1]) * DIM else "<i4"
-            sums.append(np.frombuffer(s, kind).reshape(-1, DIM).astype(np.int64))
-        words, total = added_up(np.concatenate(words), np.concatenate(sums))
+        words, total = added_up(list(zip(t["words"].to_pylist(), t["sums"].to_pylist(), strict=True)))
         b, small = t["bucket"][0].as_py(), np.abs(total).max(1) <= 127
         for kind, rows in zip(KINDS, (small, ~small), strict=True):
             for name, values in (("words", words[rows].astype("<i8")), ("sums", total[rows].astype(kind))):
@@ -223,8 +223,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
                 f.close()
         return pa.table({"bucket": t["bucket"][:1]})
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    written = (texts.mapInArrow(run, "bucket int, words binary, sums binary").groupBy("bucket")
+    written = (texts.mapInArrow(run, "bucket int, words binary, sums binary").repartition(buckets, "bucket").groupBy("bucket")
                .applyInArrow(write, "bucket int").collect())  # a number for each bucket
     return Vectors(folder, buckets, {r["bucket"] for r in written})
 

@@ -108,17 +108,19 @@ def test_context_sums_do_not_depend_on_cuts(monkeypatch):
     rng = np.random.RandomState(0)
     texts = [rng.randint(0, 50, n) for n in (0, 1, 2, 3, 40, 700)]
 
-    def table():
+    def sums():
         acc = quality.ContextSums()
         for t in texts:
             acc.add(t)
-        return acc.table()
+        words, rows = acc.rest()
+        assert len(words) == 50
+        return rows
 
-    whole = table()
+    whole = sums()
     monkeypatch.setattr(quality, "AT_ONCE", 7)
-    assert np.array_equal(whole, table())
-    columns, signs = quality.index_vectors()
-    plain = np.zeros((quality.WORDS, quality.DIM))
+    assert np.array_equal(whole, sums())
+    columns, signs = quality.index_vectors(np.arange(50))
+    plain = np.zeros((50, quality.DIM))
     for t in texts:
         for i in range(len(t)):
             for j in range(max(0, i - quality.REACH), min(len(t), i + quality.REACH + 1)):
@@ -127,6 +129,48 @@ def test_context_sums_do_not_depend_on_cuts(monkeypatch):
     assert np.array_equal(whole, plain)
 
 
+def test_context_sums_take_bounded_memory():
+    """Far more different words than are held: what a task holds stays below 150 MB."""
+    import tracemalloc
+    rng = np.random.RandomState(1)
+    common = rng.randint(0, 1 << 62, 5000)
+    acc, handed = quality.ContextSums(), 0
+    tracemalloc.start()
+    for _ in range(12):
+        acc.add(np.where(rng.rand(150_000) < 0.5, rng.choice(common, 150_000), rng.randint(0, 1 << 62, 150_000)))
+        if (out := acc.surplus()) is not None:
+            handed += len(out[0])
+            assert not np.isin(common, out[0]).any()  # what is met often stays
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words, _ = acc.rest()
+    assert handed > 400_000 and len(words) >= quality.WORDS // 2 and peak < 150e6
+
+
+def test_sums_of_a_bucket_stay_narrow():
+    import tracemalloc
+    rng = np.random.RandomState(2)
+    blobs, plain = [], {}
+    for k in range(40):
+        words = np.sort(rng.choice(30_000, 8000, replace=False))
+        sums = rng.randint(-100, 100, (8000, quality.DIM)) * (1 if k % 8 else 1000)
+        blobs.append((words.astype("<i8").tobytes(), sums.astype("<i4" if k % 8 == 0 else "i1").tobytes()))
+        for w in (int(words[0]), int(words[-1])):
+            plain.setdefault(w, 0)
+    tracemalloc.start()
+    got, total = quality.added_up(blobs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for w in plain:
+        want = np.zeros(quality.DIM, np.int64)
+        for b, s in blobs:
+            at = np.flatnonzero(np.frombuffer(b, "<i8") == w)
+            want += np.frombuffer(s, "i1" if len(s) == 8000 * quality.DIM else "<i4").reshape(-1, quality.DIM)[at].astype(np.int64).sum(0)
+        assert np.array_equal(total[np.searchsorted(got, w)], want)
+    assert len(got) == len(set(np.concatenate([np.frombuffer(b, "<i8") for b, _ in blobs]).tolist()))
+    assert peak < 8 * sum(len(b) + len(s) for b, s in blobs)
+
+
 def test_each_word_has_its_own_vector(spark, monkeypatch):
     """More words than any table of fixed size has rows for: each has the sum of its own neighbours alone."""
     rng = random.Random(6)
@@ -141,6 +185,7 @@ def test_each_word_has_its_own_vector(spark, monkeypatch):
                 if i != j:
                     np.add.at(plain.setdefault(w, np.zeros(quality.DIM)), columns[j], signs[j])
     frame = docs(spark, list(enumerate(texts))).repartition(3)
+    monkeypatch.setattr(quality, "BUCKET_CHARS", 40_000)  # several buckets
     ids = quality.word_ids(" ".join(words).encode())
     assert len(set(ids.tolist())) == len(words)
     got = quality.word_vectors(frame).of(ids)
@@ -153,11 +198,10 @@ def test_each_word_has_its_own_vector(spark, monkeypatch):
     parts = []
     for text in texts[:20]:
         acc.add(quality.word_ids(text.encode()))
-        if acc.full():
-            parts.append(acc.take())
-    acc.flush()
-    parts.append(acc.take())
-    whole, sums = quality.added_up(np.concatenate([w for w, _ in parts]), np.concatenate([x for _, x in parts]))
+        if (out := acc.surplus()) is not None:
+            parts.append(out)
+    parts.append(acc.rest())
+    whole, sums = quality.added_up([(w.astype("<i8").tobytes(), x.astype("<i4").tobytes()) for w, x in parts])
     assert len(parts) > 2 and len(whole) == 10_000
     first = [plain[w] for w in words[5000:9990]]  # not met in the drawn texts
     rows = np.searchsorted(whole, ids[5000:9990])
