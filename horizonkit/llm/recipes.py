@@ -22,37 +22,35 @@ from horizonkit.session import written
 #: Characters of a chunk at least and at most; in between it ends where the rule says so.
 LEAST, MOST = 256, 4096
 #: The rule: the last characters' codes have these remainders modulo 4 (one place in 64 of even text).
-#: Upper and lower case of A-Z have the same remainder, so a text may be cut before it is lower-cased.
 REMAINDERS = (1, 2, 0)
-#: Characters that ``lower`` leaves as they are, besides ASCII: others go letter by letter.
-_PLAIN = r"\x00-\x7F" + "".join(f"\\u{a:04X}-\\u{z:04X}" for a, z in ((0xA0, 0xBF), (0xDF, 0xFF), (0x2010, 0x2027)))
 
 
 def _class(remainder: int) -> str:
-    """Regular-expression class of the Latin code points with a remainder modulo 4."""
-    return "[" + "".join(f"\\u{c:04X}" for c in range(0x20, 0x250) if c % 4 == remainder) + "]"
+    """Regular-expression class of the Latin-1 characters with a remainder modulo 4."""
+    return "[" + "".join(f"\\u{c:04X}" for c in range(0x20, 0x100) if c % 4 == remainder) + "]"
 
 
 def chunk_pattern(least: int = LEAST, most: int = MOST) -> str:
     """Matches chunk after chunk of a text, and all of it."""
-    rule = "".join(_class(r) for r in REMAINDERS)
-    return f"(?s).{{{least},{most - 1}}}?(?<={rule})|.{{1,{most}}}"
+    n = len(REMAINDERS)
+    return f"(?s).{{{least - n},{most - n}}}?{''.join(map(_class, REMAINDERS))}|.{{1,{most}}}"
 
 
 def lower_ascii(text: Column) -> Column:
     """A-Z in small letters, all else as it is."""
-    return F.when(text.rlike(f"[^{_PLAIN}]"), F.translate(text, ascii_uppercase, ascii_lowercase)).otherwise(F.lower(text))
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     """A text's chunks in order, lower-cased; none for an empty text."""
-    found = F.regexp_extract_all(text, F.lit(chunk_pattern(least, most)), F.lit(0))
-    return F.transform(found, lower_ascii)
+    return F.regexp_extract_all(lower_ascii(text), F.lit(chunk_pattern(least, most)), F.lit(0))
 
 
 def _verified(cut: DataFrame, lists: DataFrame, name: Callable[[Column], Column]) -> DataFrame:
     """``lists`` with ``ranks``: each chunk's rank among the texts of its name; empty where every name has one text."""
-    texts = cut.select(F.explode("chunks").alias("chunk")).select(name(F.col("chunk")).alias("name"), "chunk").distinct()
+    # the outer form: a plain explode would first ask for the size of the chunks, and so make them twice
+    texts = (cut.select(F.explode_outer("chunks").alias("chunk")).where(F.col("chunk").isNotNull())
+             .select(name(F.col("chunk")).alias("name"), "chunk").distinct())
     shared = written(texts.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "shared_names")
     plain = lists.withColumn("ranks", F.array().cast("array<int>"))
     if shared.isEmpty():
@@ -85,10 +83,10 @@ def equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal texts may be a third of all rows: their rows and counts spread over this many parts
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = texts.select(F.monotonically_increasing_id().alias("row"), "id", chunks(F.col("text"), least, most).alias("chunks"))
-    lists = written(cut.select("row", "id", F.transform("chunks", lambda c: name(c)).alias("recipe"),
-                               F.sha2(F.array_join("chunks", ""), 256).alias("sha256"),
-                               F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")), "recipes")
-    lists = _verified(cut, lists, name)
+    cut = written(cut.select("row", "id", "chunks", F.transform("chunks", lambda c: name(c)).alias("recipe"),
+                             F.sha2(F.array_join("chunks", ""), 256).alias("sha256"),
+                             F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")), "chunks")
+    lists = _verified(cut, cut.drop("chunks"), name)
     same = ["recipe", "ranks"]
     some = lists.groupBy(*same, "part").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("last"))
     whole = some.groupBy(*same).agg(F.sum("n").alias("group_size"), F.max("last").alias("last"))
