@@ -1,24 +1,23 @@
-"""Model stages: selector, evaluator, registry, search, out-of-fold, importance.
+"""Model stages: selector, scaler, evaluator, classifiers, search, out-of-fold, importance.
 
-Spark ML does the fitting (trees and MLP train distributed over the rows);
-the Python driver only loops over models and parameter draws. Feature
-columns stay named until the ML boundary, where ``VectorAssembler`` builds
-the vector.
+Trees (``trees``) and networks (``networks``) train many models at once over
+one binned or packed table; here they become stages of Spark ML pipelines.
+Feature columns stay named until the ML boundary, where ``VectorAssembler``
+builds the vector.
 """
 
 from __future__ import annotations
 
+import base64
 import itertools
+import json
 import random
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -27,23 +26,27 @@ from pyspark.sql import functions as F
 from horizonkit.functions import metrics as M
 from horizonkit.functions.coerce import portable_hash
 from horizonkit.operators import evaluation as EV
+from horizonkit.operators import networks as NN
+from horizonkit.operators import trees as TR
 from horizonkit.operators.mutual_info import mi_knn
 from horizonkit.operators.prefix import bucketed_row_number, hash_bucket
 
 # ------------------------------------------------------------------ L2
 class GMeanEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
-    """Strict G-Mean of ``prediction`` vs ``label`` (one aggregate job)."""
+    """Strict G-Mean of ``prediction`` vs ``label`` (one aggregate job); the columns are kept when it is saved."""
 
-    def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
+    labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
+    predictionCol = Param(Params._dummy(), "predictionCol", "predicted class", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, labelCol="label", predictionCol="prediction"):
         super().__init__()
-        self.labelCol = labelCol
-        self.predictionCol = predictionCol
+        self._setDefault(labelCol="label", predictionCol="prediction")
+        self._set(**self._input_kwargs)
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        c = dataset.agg(*M.confusion_aggs(self.labelCol, self.predictionCol)).first()
-        tp, fp, fn, tn = c["tp"], c["fp"], c["fn"], c["tn"]
-        rec = tp / (tp + fn) if tp + fn > 0 else 0.0
-        return (rec * (tn / (tn + fp + 1e-8))) ** 0.5
+        counts = M.confusion_aggs(self.getOrDefault("labelCol"), self.getOrDefault("predictionCol"))
+        return dataset.agg(*counts).select(M.gmean_strict().alias("g")).first()["g"]
 
     def isLargerBetter(self) -> bool:
         return True
@@ -91,6 +94,17 @@ def mi_ranking(df: DataFrame, cols: list[str], label: str = "label", id_col: str
     return sorted(cols, key=lambda c: (-scores.get(c, 0.0), c))
 
 
+def fold_rankings(df: DataFrame, cols: list[str], label: str, id_col: str, fold_col: str, n_folds: int) -> list[list[int]]:
+    """For each fold the places of ``cols`` by falling mutual information on the rows outside it, all folds in one pass."""
+    outside = F.explode(F.array(*[F.lit(i) for i in range(n_folds)])).alias("out")
+    rows = df.select(F.col(id_col).alias("id"), F.col(label).alias("y"), F.col(fold_col).alias("fold"), *cols, outside).where("fold <> out")
+    long = rows.select("id", "y", F.explode(F.array(*[
+        F.struct(F.concat_ws(":", F.col("out").cast("string"), F.lit(str(i))).alias("feature"), F.col(c).cast("double").alias("x"))
+        for i, c in enumerate(cols)])).alias("kv")).select("id", "y", "kv.*")
+    score = {r["feature"]: r["mi"] for r in mi_knn(long).collect()}  # a row for each fold and column
+    return [sorted(range(len(cols)), key=lambda i: (-score.get(f"{f}:{i}", 0.0), cols[i])) for f in range(n_folds)]
+
+
 class MISelectorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
     selected = Param(Params._dummy(), "selected", "kept columns", TypeConverters.toListString)
     outputCol = Param(Params._dummy(), "outputCol", "vector column", TypeConverters.toString)
@@ -105,11 +119,46 @@ class MISelectorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
                                outputCol=self.getOrDefault("outputCol")).transform(df)
 
 
+# ------------------------------------------------------------------ D17 as a stage
+class PopulationScaler(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """(x - mean) / population standard deviation of a vector column; constant columns become 0."""
+
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "scaled vector column", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCol="features", outputCol="scaled"):
+        super().__init__()
+        self._setDefault(inputCol="features", outputCol="scaled")
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> "PopulationScalerModel":
+        col = vector_to_array(F.col(self.getOrDefault("inputCol")))
+        rows = (df.select(F.posexplode(col).alias("at", "v")).groupBy("at")
+                .agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("at").collect())  # a row for each column
+        return PopulationScalerModel(inputCol=self.getOrDefault("inputCol"), outputCol=self.getOrDefault("outputCol"),
+                                     mean=[r["m"] for r in rows], std=[r["s"] or 1.0 for r in rows])
+
+
+class PopulationScalerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    inputCol = Param(Params._dummy(), "inputCol", "vector column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "scaled vector column", TypeConverters.toString)
+    mean = Param(Params._dummy(), "mean", "column means", TypeConverters.toListFloat)
+    std = Param(Params._dummy(), "std", "column deviations", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, inputCol="features", outputCol="scaled", mean=None, std=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        mean, std = (F.array(*[F.lit(v) for v in self.getOrDefault(n)]) for n in ("mean", "std"))
+        scaled = F.transform(vector_to_array(F.col(self.getOrDefault("inputCol"))), lambda x, i: (x - mean[i]) / std[i])
+        return df.withColumn(self.getOrDefault("outputCol"), array_to_vector(scaled))
+
+
 # ------------------------------------------------------------------ L5, F7-F11
-# The reference's search spaces (sklearn names), mapped to
-# Spark ML parameters in ``make_classifier``. The MLP's ``alpha`` is left out:
-# Spark's MLP has no weight penalty, so its draws would repeat each other. XGBoost / LightGBM are presets of
-# GBTClassifier (colsample -> featureSubsetStrategy, num_leaves -> depth).
+# The reference's search spaces (sklearn names).
 K_GRID = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 120, 140, 180, 200, 220, 239]
 GRIDS = {
     "RandomForest": {"n_estimators": [100, 200, 300], "max_features": ["sqrt", 0.6, 0.8],
@@ -122,48 +171,110 @@ GRIDS = {
     "LightGBM": {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.05, 0.1],
                  "num_leaves": [20, 31, 40], "max_depth": [-1, 10, 20], "subsample": [0.8, 0.9, 1.0],
                  "colsample_bytree": [0.8, 0.9, 1.0]},
-    "MLPClassifier": {"hidden_layer_sizes": [(50,), (100,), (50, 25)]},
+    "MLPClassifier": {"hidden_layer_sizes": [(50,), (100,), (50, 25)], "activation": ["tanh", "relu"], "solver": ["adam"],
+                      "alpha": [0.0001, 0.001, 0.05], "learning_rate": ["constant", "adaptive"]},
 }
 WEIGHTED = {"RandomForest", "GradientBoosting", "XGBoost", "LightGBM"}
 
 
-def _depth(v, cap=30):
-    return cap if v is None or v == -1 else min(int(v), cap)
-
-
-def make_classifier(name: str, params: dict, k: int, seed: int = 42, weight_col: str | None = None,
-                    features: str = "scaled", label: str = "label"):
-    """One Spark ML classifier from a sampled parameter dict."""
-    p = dict(params)
-    common = {"featuresCol": features, "labelCol": label, "seed": seed}
-    w = {"weightCol": weight_col} if (weight_col and name in WEIGHTED) else {}
-    if name == "RandomForest":
-        mf = p.get("max_features", "sqrt")
-        return RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=_depth(p.get("max_depth")),
-                                      minInstancesPerNode=p.get("min_samples_leaf", 1),
-                                      impurity=p.get("criterion", "gini"),
-                                      featureSubsetStrategy=str(mf), **common, **w)
-    if name in ("GradientBoosting", "XGBoost", "LightGBM"):
-        depth = p.get("max_depth", 3)
-        if name == "LightGBM":
-            leaves_depth = max(1, (int(p.get("num_leaves", 31)) - 1).bit_length())
-            depth = leaves_depth if depth in (-1, None) else min(_depth(depth), leaves_depth)
-        return GBTClassifier(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
-                             maxDepth=_depth(depth), subsamplingRate=p.get("subsample", 1.0),
-                             featureSubsetStrategy=str(p.get("colsample_bytree", "all")), **common, **w)
-    if name == "MLPClassifier":
-        hidden = list(p.get("hidden_layer_sizes", (100,)))
-        return MultilayerPerceptronClassifier(layers=[k, *hidden, 2], maxIter=p.get("max_iter", 2000),
-                                              featuresCol=features, labelCol=label, seed=seed)
-    raise ValueError(name)
+class _FitParams(Params):
+    name = Param(Params._dummy(), "name", "model of the registry", TypeConverters.toString)
+    params = Param(Params._dummy(), "params", "its parameters as JSON", TypeConverters.toString)
+    featuresCol = Param(Params._dummy(), "featuresCol", "vector column", TypeConverters.toString)
+    labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
+    weightCol = Param(Params._dummy(), "weightCol", "weight column, if any", TypeConverters.toString)
+    idCol = Param(Params._dummy(), "idCol", "row id column", TypeConverters.toString)
+    seed = Param(Params._dummy(), "seed", "seed of all draws", TypeConverters.toInt)
+
+
+class RegistryClassifier(Estimator, _FitParams, DefaultParamsReadable, DefaultParamsWritable):
+    """A tree ensemble or network of the registry on a vector column."""
+
+    @keyword_only
+    def __init__(self, name=None, params="{}", featuresCol="scaled", labelCol="label", weightCol="", idCol="id", seed=42):
+        super().__init__()
+        self._setDefault(params="{}", featuresCol="scaled", labelCol="label", weightCol="", idCol="id", seed=42)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> "ScoringModel":
+        name, params, weight = self.getOrDefault("name"), json.loads(self.getOrDefault("params")), self.getOrDefault("weightCol")
+        rows = df.select(F.col(self.getOrDefault("idCol")).alias("id"), vector_to_array(F.col(self.getOrDefault("featuresCol"))).alias("x"),
+                         F.col(self.getOrDefault("labelCol")).cast("double").alias("y"),
+                         (F.col(weight) if weight and name in WEIGHTED else F.lit(1.0)).alias("w"), F.lit(0).alias("fold"))
+        first = rows.select(F.size("x")).first()
+        if first is None:
+            raise ValueError("no rows to fit")
+        if name == "MLPClassifier":
+            table = NN.matrix(rows, first[0])
+            job = NN.job(table, NN.net_of(params), range(first[0]), None, self.getOrDefault("seed"))
+            job = NN.train(table, [job])[0]
+            state = job.state.packed()
+            return ScoringModel(kind="network", state=base64.b64encode(state).decode(), featuresCol=self.getOrDefault("featuresCol"),
+                                mean=job.mean.tolist(), std=job.std.tolist())
+        table = TR.binned(rows, first[0])
+        model = TR.fit(table, TR.spec_of(name, params), seed=self.getOrDefault("seed"))
+        return ScoringModel(kind="trees", state=base64.b64encode(model.packed(table.edges)).decode(),
+                            featuresCol=self.getOrDefault("featuresCol"), mean=[], std=[])
+
+
+class ScoringModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted model of the registry: adds ``probability`` and ``prediction`` (a tie at one half is class 0)."""
+
+    kind = Param(Params._dummy(), "kind", "trees or network", TypeConverters.toString)
+    state = Param(Params._dummy(), "state", "its arrays, compressed", TypeConverters.toString)
+    featuresCol = Param(Params._dummy(), "featuresCol", "vector column", TypeConverters.toString)
+    mean = Param(Params._dummy(), "mean", "shift of a network's inputs", TypeConverters.toListFloat)
+    std = Param(Params._dummy(), "std", "scale of a network's inputs", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, kind="trees", state="", featuresCol="scaled", mean=None, std=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def unpacked(self):
+        """Trees with the edges of their bins, or a network's state."""
+        data = base64.b64decode(self.getOrDefault("state"))
+        return TR.Ensemble.unpacked(data) if self.getOrDefault("kind") == "trees" else NN.State.unpacked(data)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        import numpy as np
+        import pandas as pd
+        sent = df.sparkSession.sparkContext.broadcast(self.unpacked())  # the model's size
+        trees = self.getOrDefault("kind") == "trees"
+        mean, std = np.array(self.getOrDefault("mean")), np.array(self.getOrDefault("std"))
+
+        @F.pandas_udf("double")
+        def positive(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype="float64")
+            values = np.stack(x.to_numpy())
+            if trees:
+                model, edges = sent.value
+                return pd.Series(model.probability(TR.bin_values(values, edges)))
+            z = NN.logits((values - mean) / std, sent.value.weights, sent.value.net)
+            return pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+
+        p = F.col("probability")
+        return (df.withColumn("probability", positive(vector_to_array(F.col(self.getOrDefault("featuresCol")))))
+                .withColumn("prediction", (p > 0.5).cast("double"))
+                .withColumn("probability", array_to_vector(F.array(1 - p, p))))
+
+
+def make_classifier(name: str, params: dict, seed: int = 42, weight_col: str | None = None,
+                    features: str = "scaled", label: str = "label", id_col: str = "id") -> RegistryClassifier:
+    """One classifier from a sampled parameter dict."""
+    if name not in GRIDS:
+        raise ValueError(name)
+    (NN.net_of(params) if name == "MLPClassifier" else TR.spec_of(name, params))  # fails here, not in a job
+    return RegistryClassifier(name=name, params=json.dumps(params), featuresCol=features, labelCol=label,
+                              weightCol=weight_col or "", idCol=id_col, seed=seed)
 
 
 def make_pipeline(name: str, params: dict, k: int, cols: list[str], weight_col: str | None = None,
                   label: str = "label", id_col: str = "id") -> Pipeline:
-    """select(k) -> standard scaler (mean, std) -> classifier."""
+    """select(k) -> standard scaler (mean, population std) -> classifier."""
     sel = MISelector(inputCols=cols, labelCol=label, k=k, outputCol="features", idCol=id_col)
-    sc = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    return Pipeline(stages=[sel, sc, make_classifier(name, params, k, weight_col=weight_col, label=label)])
+    return Pipeline(stages=[sel, PopulationScaler(), make_classifier(name, params, weight_col=weight_col, label=label, id_col=id_col)])
 
 
 def sample_draws(name: str, n_draws: int, seed: int = 42, k_grid=None) -> list[dict]:
@@ -195,42 +306,40 @@ def grid_draws(name: str, k_grid=None) -> list[dict]:
 
 
 def search(train: DataFrame, name: str, cols: list[str], draws: list[dict], fold_col: str = "fold",
-           weight_col: str | None = None, parallelism: int = 4, label: str = "label",
+           weight_col: str | None = None, label: str = "label",
            n_folds: int = 5, id_col: str = "id") -> tuple[dict, float, list, PipelineModel]:
-    """cross-validated G-Mean of each draw; returns (best draw, score, all scores, refit).
+    """cross-validated G-Mean of each draw; returns (best draw, score, all scores, refit).
 
-    Columns are ranked once per fold and the ranking is passed on, so a draw
-    costs one fit per fold; draws x folds run ``parallelism`` at a time. The
-    best draw (the first one on ties) is fitted once more on all rows.
+    Columns are ranked once for all folds, features binned (or packed) once, and
+    all draws of all folds are trained over that one table. The best draw (the
+    first one on ties) is fitted once more on all rows.
     """
-    parts = []
-    for i in range(n_folds):
-        own, held = train.where(F.col(fold_col) != i), train.where(F.col(fold_col) == i)
-        need = max(min(d["k"], len(cols)) for d in draws)
-        parts.append((own, held, list(cols) if need >= len(cols) and all(d["k"] >= len(cols) for d in draws)
-                      else mi_ranking(own, cols, label, id_col)))
-
-    def stages(d: dict, kept: list[str]) -> Pipeline:
-        params = {x: v for x, v in d.items() if x != "k"}
-        return Pipeline(stages=[VectorAssembler(inputCols=kept, outputCol="features"),
-                                StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-                                make_classifier(name, params, len(kept), weight_col=weight_col, label=label)])
-
-    def gmean(job: tuple[dict, int]) -> float:
-        d, i = job
-        own, held, ranked = parts[i]
-        kept = [c for c in cols if c in set(ranked[: min(d["k"], len(cols))])]
-        return GMeanEvaluator(label).evaluate(stages(d, kept).fit(own).transform(held))
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        found = list(pool.map(gmean, [(d, i) for d in draws for i in range(n_folds)]))
-    scores = [(d, sum(found[j * n_folds:(j + 1) * n_folds]) / n_folds) for j, d in enumerate(draws)]
+    scores = search_scores(train, name, cols, draws, fold_col, weight_col, label, n_folds, id_col)
     best, score = max(scores, key=lambda t: t[1])
     params, k = split_best(best)
     refit = make_pipeline(name, params, min(k, len(cols)), cols, weight_col, label, id_col).fit(train)
     return best, score, scores, refit
 
 
+def search_scores(train: DataFrame, name: str, cols: list[str], draws: list[dict], fold_col: str = "fold", weight_col: str | None = None,
+                  label: str = "label", n_folds: int = 5, id_col: str = "id") -> list[tuple[dict, float]]:
+    """Every draw with its mean G-Mean over the folds (a row for each draw comes back)."""
+    if all(d["k"] >= len(cols) for d in draws):
+        ranked = [list(range(len(cols)))] * n_folds
+    else:
+        ranked = fold_rankings(train, cols, label, id_col, fold_col, n_folds)
+    capped = [d | {"k": min(d["k"], len(cols))} for d in draws]
+    rows = train.select(F.col(id_col).alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x"),
+                        F.col(label).cast("double").alias("y"),
+                        (F.col(weight_col) if weight_col and name in WEIGHTED else F.lit(1.0)).alias("w"), F.col(fold_col).alias("fold"))
+    if name == "MLPClassifier":
+        counts = NN.search_counts(NN.matrix(rows, len(cols)), capped, ranked)
+    else:
+        counts = TR.search_counts(TR.binned(rows, len(cols)), name, capped, ranked)
+    found = {r["draw"]: r["g"] for r in counts.select("draw", M.gmean_strict().alias("g")).groupBy("draw").agg(F.avg("g").alias("g")).collect()}
+    return [(d, found[i]) for i, d in enumerate(draws)]
+
+
 def split_best(best: dict) -> tuple[dict, int]:
     """model parameters and k apart."""
     return {k: v for k, v in best.items() if k != "k"}, best["k"]
@@ -310,25 +419,33 @@ def predicted_by(model: PipelineModel):
     return lambda df: model.transform(df).withColumn("pred", F.col("prediction").cast("int"))
 
 
-def training_history(model: PipelineModel, train: DataFrame, val: DataFrame, label: str = "label") -> DataFrame:
-    """train and validation loss of every iteration of a fitted boosting model."""
+def training_history(model: PipelineModel, train: DataFrame, val: DataFrame, label: str = "label", id_col: str = "id") -> DataFrame:
+    """train and validation log-loss after every tree of a fitted boosting model."""
+    ensemble, edges = model.stages[-1].unpacked()
+
     def losses(df: DataFrame) -> list[float]:
         for st in model.stages[:-1]:
             df = st.transform(df)
-        return list(model.stages[-1].evaluateEachIteration(df))
+        rows = df.select(F.col(id_col).alias("id"), vector_to_array(model.stages[-1].getOrDefault("featuresCol")).alias("x"),
+                         F.col(label).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(0).alias("fold"))
+        return TR.stage_losses(TR.binned(rows, len(edges), edges=edges), ensemble)
 
     rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(losses(train), losses(val), strict=True))]
     return val.sparkSession.createDataFrame(rows, "iteration int, train_loss double, val_loss double")
 
 
-def learning_curve(fit, iterations: list[int], train: DataFrame, val: DataFrame, label: str = "label") -> DataFrame:
-    """F20 for models that keep no losses (the MLP): log-loss on both parts after so many iterations.
+def learning_curve(data: DataFrame, cols: list[str], params: dict, part_col: str, label: str = "label", id_col: str = "id",
+                   seed: int = 42, state: NN.State | None = None, epochs: int | None = None) -> tuple[DataFrame, NN.State]:
+    """F20 for the network: both parts' log-loss after every epoch of one training run, and where it stands.
 
-    ``fit(n)`` returns a model trained for n iterations.
+    ``part_col`` is ``train`` or ``test``; with a ``state`` of an earlier call training goes on from there.
     """
-    rows = []
-    for n in iterations:
-        m = fit(n)
-        a, b = (EV.log_loss(positive_prob(m.transform(df)), label).first()["log_loss"] for df in (train, val))
-        rows.append((int(n), float(a), float(b)))
-    return val.sparkSession.createDataFrame(rows, "iteration int, train_loss double, val_loss double")
+    rows = data.select(F.col(id_col).alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x"),
+                       F.col(label).cast("double").alias("y"), F.when(F.col(part_col) == "train", 0).otherwise(1).alias("fold"))
+    table = NN.matrix(rows, len(cols))
+    job = NN.job(table, NN.net_of(params), range(len(cols)), 1, seed)
+    if state is not None:
+        job.state = state
+    done = NN.train(table, [job], epochs, watch=True)[0].state
+    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(done.losses)]  # a row for each epoch
+    return data.sparkSession.createDataFrame(rows, "iteration int, train_loss double, val_loss double"), done

@@ -14,9 +14,11 @@ from horizonkit.operators import ml as ML
 from horizonkit.operators import split as SP
 from horizonkit.plans import roles as R
 from horizonkit.plans.registry import query
+from horizonkit.session import written
 
 COLS = [f"f{i}" for i in range(R.N_EMB)]
-K_SMALL = [10, 20, 30, 40, 50, 60]
+#: Boosting at the search spaces' first values.
+GBT_FIXED = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.9, "colsample_bytree": 0.8}
 RF_FIXED = {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 1, "criterion": "gini",
             "max_features": "sqrt"}
 
@@ -26,8 +28,9 @@ def _data(spark, d):
     w = R.features_wide(spark, d).withColumnRenamed("vec_id", "id").withColumn("label", F.col("label").cast("double"))
     s = SP.stratified_split(w, "id", "label")
     train = SP.stratified_folds(s.where(F.col("split") == "train"), "id", "label")
-    train = SP.balanced_weights(train, "label")
-    test = s.where(F.col("split") == "test")
+    # fits, folds and draws read them many times: written once
+    train = written(SP.balanced_weights(train, "label"), "train")
+    test = written(s.where(F.col("split") == "test"), "test")
     return train, test
 
 
@@ -46,10 +49,17 @@ def fit_rf(spark, d):
 
 @query("fit_gbt")
 def fit_gbt(spark, d):
-    """Weighted gradient-boosted trees (XGBoost/LightGBM presets share it)."""
+    """weighted boosting by the hessian, rows and columns drawn for each tree."""
     train, test = _data(spark, d)
-    p = {"n_estimators": 30, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.9, "colsample_bytree": 0.8}
-    return _preds(ML.make_pipeline("XGBoost", p, 20, COLS, "weight").fit(train), test)
+    return _preds(ML.make_pipeline("XGBoost", GBT_FIXED, 20, COLS, "weight").fit(train), test)
+
+
+@query("fit_lightgbm")
+def fit_lightgbm(spark, d):
+    """weighted boosting with best-first growth up to 31 leaves."""
+    train, test = _data(spark, d)
+    p = {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1, "colsample_bytree": 0.8}
+    return _preds(ML.make_pipeline("LightGBM", p, 20, COLS, "weight").fit(train), test)
 
 
 @query("fit_mlp")
@@ -59,15 +69,110 @@ def fit_mlp(spark, d):
     return _preds(ML.make_pipeline("MLPClassifier", {"hidden_layer_sizes": (50,)}, 20, COLS).fit(train), test)
 
 
+def _search(spark, d, name, draws):
+    """All draws over five folds: their parameters, cross-validated G-Mean, and which is best."""
+    train, _ = _data(spark, d)
+    scores = ML.search_scores(train, name, COLS, draws, weight_col="weight")
+    best = max(range(len(scores)), key=lambda i: scores[i][1])
+    rows = [(i, str(sorted((k, str(v)) for k, v in dr.items())), int(dr["k"]), float(sc), int(i == best)) for i, (dr, sc) in enumerate(scores)]
+    out = spark.createDataFrame(rows, "draw int, params string, k int, cv_gmean double, best int")
+    return out.withColumn("cv_gmean", K.r6("cv_gmean"))
+
+
 @query("search_rf")
 def search_rf(spark, d):
-    """seeded random search (2 draws x 5 folds), G-Mean scorer."""
-    train, _ = _data(spark, d)
-    draws = ML.sample_draws("RandomForest", 2, seed=42, k_grid=K_SMALL)
-    best, score, allsc, _ = ML.search(train, "RandomForest", COLS, draws, weight_col="weight")
-    rows = [(i, str(sorted((k, str(v)) for k, v in dr.items())), int(dr["k"]), float(sc), int(dr == best))
-            for i, (dr, sc) in enumerate(allsc)]
-    return spark.createDataFrame(rows, "draw int, params string, k int, cv_gmean double, best int")
+    """seeded random search as declared, 200 draws x 5 folds, G-Mean scorer."""
+    return _search(spark, d, "RandomForest", ML.sample_draws("RandomForest", 200, seed=42))
+
+
+@query("search_lightgbm")
+def search_lightgbm(spark, d):
+    """200 draws x 5 folds of best-first boosted trees."""
+    return _search(spark, d, "LightGBM", ML.sample_draws("LightGBM", 200, seed=42))
+
+
+@query("search_mlp")
+def search_mlp(spark, d):
+    """200 draws x 5 folds of networks; draws that make the same network are trained once."""
+    return _search(spark, d, "MLPClassifier", ML.sample_draws("MLPClassifier", 200, seed=42))
+
+
+@query("search_grid")
+def search_grid(spark, d):
+    """a whole grid: every number of columns for one forest."""
+    draws = [dr for dr in ML.grid_draws("RandomForest") if {k: v for k, v in dr.items() if k != "k"} == RF_FIXED]
+    return _search(spark, d, "RandomForest", draws)
+
+
+_GAINS_SQL = """
+WITH x AS (SELECT vec_id AS id, label < 5 AS y, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(64)) AS feature FROM embeddings),
+n AS (SELECT count(*) AS n, sum(CASE WHEN label < 5 THEN 1 ELSE 0 END) AS n1 FROM embeddings),
+placed AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY v) AS place FROM x),
+edges AS (SELECT DISTINCT feature, v AS edge FROM placed, n, range(1, 32) t(i) WHERE place = ceil(i * n / 32.0)),
+binned AS (SELECT id, x.feature, CASE WHEN y THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS w, CASE WHEN y THEN n / (2.0 * n1) ELSE 0.0 END AS g,
+                  (SELECT count(*) FROM edges e WHERE e.feature = x.feature AND e.edge < x.v) AS bin FROM x, n),
+{root},
+best AS (SELECT feature, bin FROM gains0 ORDER BY gain DESC, feature, bin LIMIT 1),
+side AS (SELECT id, CASE WHEN b.bin <= best.bin THEN 1 ELSE 2 END AS node FROM binned b JOIN best ON b.feature = best.feature),
+{children}
+SELECT CAST(node AS INTEGER) AS node, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, round(gain, 6) + 0.0 AS gain,
+       CAST(n_left AS BIGINT) AS n_left, CAST(n_all AS BIGINT) AS n_all
+FROM (SELECT * FROM gains0 UNION ALL SELECT * FROM gains1)"""
+
+
+def _gains_sql(name: str, rows: str, node: str) -> str:
+    score = lambda g, d: f"({g} * {g} + ({d} - {g}) * ({d} - {g})) / {d}"
+    return f"""cells{name} AS (SELECT {node} AS node, feature, bin, count(*) AS n, sum(w) AS d, sum(g) AS g FROM {rows} GROUP BY ALL),
+sums{name} AS (SELECT node, feature, bin, sum(n) OVER o AS nl, sum(d) OVER o AS dl, sum(g) OVER o AS gl,
+                      sum(n) OVER a AS nt, sum(d) OVER a AS dt, sum(g) OVER a AS gt FROM cells{name}
+               WINDOW o AS (PARTITION BY node, feature ORDER BY bin), a AS (PARTITION BY node, feature)),
+gains{name} AS (SELECT node, feature, bin, round(({score('gl', 'dl')} + {score('(gt - gl)', '(dt - dl)')} - {score('gt', 'dt')}) / dt, 10) AS gain,
+                       nl AS n_left, nt AS n_all FROM sums{name} WHERE nl >= 2 AND nt - nl >= 2)"""
+
+
+@query("tree_split_gains", sql=_GAINS_SQL.format(root=_gains_sql("0", "binned", "0"), children=_gains_sql("1", "binned JOIN side USING (id)", "node")))
+def tree_split_gains(spark, d):
+    """every admissible cut of a weighted tree's root and of the root's children, with its gain."""
+    from horizonkit.operators import trees as TR
+    w = SP.balanced_weights(R.features_wide(spark, d).withColumn("label", F.col("label").cast("double")), "label")
+    table = TR.binned(w.select(F.col("vec_id").alias("id"), F.array(*[F.col(c).cast("double") for c in COLS]).alias("x"),
+                               F.col("label").alias("y"), F.col("weight").alias("w"), F.lit(0).alias("fold")), len(COLS))
+    spec = TR.Spec(boost=False, trees=1, depth=2, min_leaf=2)
+    return TR.first_gains(table, spec, rounds=2).select("node", "feature", "bin", K.r6("gain").alias("gain"), "n_left", "n_all")
+
+
+#: Weights of a network of four inputs and two hidden units: sin(1) / 2, sin(2) / 2, ...
+_NET_WEIGHTS = 13
+_NET_SQL = """
+WITH x AS (SELECT CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS y, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b,
+                  CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d FROM embeddings),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc, avg(d) AS md, stddev_pop(d) AS sd FROM x),
+z AS (SELECT y, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c, (d - md) / sd AS d FROM x, m),
+h AS (SELECT *, tanh(a * sin(1) / 2 + b * sin(3) / 2 + c * sin(5) / 2 + d * sin(7) / 2 + sin(9) / 2) AS p,
+                tanh(a * sin(2) / 2 + b * sin(4) / 2 + c * sin(6) / 2 + d * sin(8) / 2 + sin(10) / 2) AS q FROM z),
+o AS (SELECT *, p * sin(11) / 2 + q * sin(12) / 2 + sin(13) / 2 AS s FROM h),
+e AS (SELECT *, 1 / (1 + exp(-s)) - y AS r, (1 / (1 + exp(-s)) - y) * sin(11) / 2 * (1 - p * p) AS u,
+             (1 / (1 + exp(-s)) - y) * sin(12) / 2 * (1 - q * q) AS t FROM o)
+SELECT CAST(k AS INTEGER) AS weight, round(sum(CASE k WHEN -1 THEN ln(1 + exp(s)) - y * s WHEN 0 THEN u * a WHEN 1 THEN t * a WHEN 2 THEN u * b
+       WHEN 3 THEN t * b WHEN 4 THEN u * c WHEN 5 THEN t * c WHEN 6 THEN u * d WHEN 7 THEN t * d WHEN 8 THEN u WHEN 9 THEN t
+       WHEN 10 THEN r * p WHEN 11 THEN r * q ELSE r END), 6) + 0.0 AS value
+FROM e, range(-1, 13) w(k) GROUP BY k"""
+
+
+@query("mlp_gradient", sql=_NET_SQL)
+def mlp_gradient(spark, d):
+    """a tanh network's loss (weight -1) and gradient, summed over all rows, at given weights."""
+    import numpy as np
+
+    from horizonkit.operators import networks as NN
+    rows = R.features_wide(spark, d).select(F.col("vec_id").alias("id"), F.array(*[F.col(c).cast("double") for c in COLS[:4]]).alias("x"),
+                                            F.col("label").cast("double").alias("y"), F.lit(0).alias("fold"))
+    table = NN.matrix(rows, 4)
+    job = NN.job(table, NN.Net((2,), "tanh"), range(4), None)
+    job.state.weights = np.sin(np.arange(1, _NET_WEIGHTS + 1)) / 2
+    found = NN.gradients(table, [job]).select("loss", F.posexplode(NN.unpacked_sums("g", _NET_WEIGHTS)).alias("weight", "value"))
+    loss = found.where("weight = 0").select(F.lit(-1).alias("weight"), F.col("loss").alias("value"))
+    return found.select("weight", "value").unionByName(loss).select("weight", K.r6("value").alias("value"))
 
 
 @query("oof_predictions")
@@ -105,22 +210,19 @@ def _inner(train):
 
 @query("history")
 def history(spark, d):
-    """GBT losses per iteration on an inner 75 / 25 % split, both parts."""
+    """losses after every boosted tree on an inner 75 / 25 % split, both parts."""
     train, _ = _data(spark, d)
     own, val = _inner(train)
-    p = {"n_estimators": 20, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0}
-    m = ML.make_pipeline("GradientBoosting", p, 20, COLS).fit(own)
-    return ML.training_history(m, own, val)
+    p = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "subsample": 1.0}
+    return ML.training_history(ML.make_pipeline("GradientBoosting", p, 20, COLS).fit(own), own, val)
 
 
 @query("history_mlp")
 def history_mlp(spark, d):
-    """the MLP's log-loss on both parts after 5 to 40 iterations."""
+    """the network's log-loss on both parts after every epoch of one run, up to 2,000 of them."""
     train, _ = _data(spark, d)
-    own, val = _inner(train)
-    fit = lambda n: ML.make_pipeline("MLPClassifier", {"hidden_layer_sizes": (50,), "max_iter": n},
-                                     len(COLS), COLS).fit(own)
-    return ML.learning_curve(fit, [5, 10, 20, 40], own, val)
+    inner = SP.stratified_split(train.drop("split"), "id", "label", test_size=0.25, out="inner")
+    return ML.learning_curve(inner, COLS, {"hidden_layer_sizes": (50,)}, "inner")[0]
 
 
 @query("perm_importance")
