@@ -100,4 +100,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     dealt = pieces.withColumn("block", F.floor(F.shiftrightunsigned(F.xxhash64("row"), 2) / F.lit(step)).cast("long"))
     dealt = dealt.withColumn("block", F.least("block", F.lit(blocks - 1)))
     out = "id long, piece long, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("block").applyInArrow(run, out)
+    packed = dealt.groupBy("block").applyInArrow(run, out)
+    return packed.withColumn("piece", F.col("piece").cast("int"))

@@ -95,7 +95,9 @@ def near_pairs(fps: DataFrame, radius: int = 3, hot: int = HOT_VARIANT) -> DataF
     off = F.array(*[F.lit(o) for o, w in segs for _ in range(w)])
     mask = F.array(*[F.lit(((1 << w) - 1) & ~(1 << p)).cast("long") for _, w in segs for p in range(w)])
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = (fps.repartition(n, "fp").select("fp", seg.alias("s"), off.alias("o"), mask.alias("m"))
+    # a table of its own: the scan deals the few bytes before the variants to all cores, adaptive coalescing would not
+    fps = written(fps.select("fp").repartition(n), "distinct")
+    keys = (fps.select("fp", seg.alias("s"), off.alias("o"), mask.alias("m"))
             .select("fp", F.expr("explode(transform(sequence(0, 63), i -> struct(i AS i, s[i] AS s, "
                                  "shiftrightunsigned(fp, o[i]) & m[i] AS bits)))").alias("k"))
             .select("fp", "k.*"))

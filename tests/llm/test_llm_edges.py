@@ -477,3 +477,11 @@ def test_substring_edges(spark, monkeypatch):
     spans = {r["id"]: [(x["start"], x["end"]) for x in r["removed"]] for r in cut.where(F.col("id") == 202).collect()}
     assert spans == {202: [(0, 60_000)]}
     assert substring.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_mark_of_many_edges(spark):
+    """24 million edges under ANSI arithmetic; the mark tells one moved edge."""
+    edges = spark.range(24_000_000).select((F.col("id") * 7919).alias("u"), (F.col("id") + 1).alias("v"))
+    moved = edges.where("v <> 5").union(spark.createDataFrame([(4 * 7919, 6)], "u long, v long"))
+    a, b, c = (tuple(components._mark(x)) for x in (edges, edges.repartition(3), moved))
+    assert a == b and a[0] == 24_000_000 and a != c
