@@ -13,6 +13,8 @@ import itertools
 import json
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
@@ -237,8 +239,6 @@ class ScoringModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         return TR.Ensemble.unpacked(data) if self.getOrDefault("kind") == "trees" else NN.State.unpacked(data)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        import numpy as np
-        import pandas as pd
         sent = df.sparkSession.sparkContext.broadcast(self.unpacked())  # the model's size
         trees = self.getOrDefault("kind") == "trees"
         mean, std = np.array(self.getOrDefault("mean")), np.array(self.getOrDefault("std"))

@@ -17,6 +17,7 @@ import io
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -337,7 +338,7 @@ def gradients(table: Matrix, jobs: list[Job], batch: int = 0, batches: int = 1)
 def unpacked_sums(col: str, n: int):
     """The ``n`` numbers of a packed sum as an array column."""
     @F.pandas_udf("array<double>")
-    def numbers(packed):
+    def numbers(packed: pd.Series) -> pd.Series:
         return packed.map(lambda b: np.frombuffer(b, "<f8", n))
 
     return numbers(col)

@@ -30,3 +30,24 @@ def test_thresholds_passed_matches_float_loop(spark, ps):
     df = spark.createDataFrame([(p,) for p in ps], "p double")
     got = [r.c for r in df.select(thresholds_passed("p").alias("c")).collect()]
     assert got == [int((THRESHOLDS <= p).sum()) for p in ps]
+
+
+def test_core_queries_stay_without_the_optional_ones(monkeypatch):
+    """A package that the optional queries need is missing: all others remain."""
+    import builtins
+    import sys
+
+    import __spark_entry__ as entry
+    for name in [m for m in sys.modules if m.startswith("horizonkit.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name in ("ahocorasick", "xxhash", "tokenizers"):
+            raise ImportError(name)
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    names = set(entry.queries())
+    assert "cohort_horizons" in names and len(names) >= 81 and not any(n.startswith("op1_") for n in names)
+    assert set(entry.oracle_sql()) <= names
