@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from horizonkit.functions import metrics as M
-from horizonkit.operators.prefix import bucketed_running_sum
+from horizonkit.operators.prefix import bucketed_running_sum, with_quantile_bucket
 
 N_THRESHOLDS = 99
 
@@ -126,21 +126,20 @@ def best_threshold(sweep: DataFrame, default: float = 0.5) -> DataFrame:
                       F.when(F.col("score") > 0, F.col("score")).otherwise(F.lit(0.0)).alias("best_score"))
 
 
-def roc_points(df: DataFrame, label: str = "label", p: str = "p", buckets: int = 4096,
-               group: list[str] | None = None) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", p: str = "p", group: list[str] | None = None,
+               rows_per_bucket: int = 1_000_000) -> DataFrame:
     """one ROC point per distinct score (descending); (0, 0) is implicit.
 
     Rows collapse to distinct scores first (a hot score becomes one row);
-    cumulative counts use score bins as window buckets. All points are kept
+    cumulative counts use quantile buckets of the scores. All points are kept
     (no dropping of collinear points); AUC is unaffected.
     """
     g = group or []
     per = (df.groupBy(*g, p).agg(F.count_if(F.col(label) == 1).alias("tp_s"),
                                  F.count_if(F.col(label) == 0).alias("fp_s")))
     tot = per.groupBy(*g).agg(F.sum("tp_s").alias("n_pos"), F.sum("fp_s").alias("n_neg"))
-    b = (F.lit(buckets - 1) - F.least(F.greatest(F.floor(F.col(p) * buckets), F.lit(0)),
-                                      F.lit(buckets - 1))).cast("int")
-    per = per.withColumn("__b", b)
+    per = per.where(F.col(p).isNotNull())                                # no score: no point, but one of the totals
+    per = with_quantile_bucket(per.withColumn("__down", -F.col(p).cast("double")), g, "__down", "__b", rows_per_bucket).drop("__down")
     cum = bucketed_running_sum(per, g, [F.col(p).desc()], "__b", {"tp_c": "tp_s", "fp_c": "fp_s"})
     if g:
         cum = cum.join(tot, g)

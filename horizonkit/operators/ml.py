@@ -381,7 +381,7 @@ def permuted_copies(test: DataFrame, cols: list[str], repeats: int = 10, seed: i
     inside each task.
     """
     def hash_rank(df, s, out):
-        h = df.withColumn("__h", portable_hash(F.col(id_col), s)).withColumn("__hb", hash_bucket(F.col("__h")))
+        h = df.withColumn("__h", portable_hash(F.col(id_col), s)).withColumn("__hb", hash_bucket(F.col("__h"), 0))
         return bucketed_row_number(h, [], [F.col("__h"), F.col(id_col)], "__hb", out).drop("__h", "__hb")
 
     own = hash_rank(test, seed + 10_007, "__rid").select(

@@ -19,12 +19,11 @@ data can differ slightly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from horizonkit.functions.digamma import digamma_int
-from horizonkit.operators.prefix import (bucketed_row_number, bucketed_running_sum, range_bucket,
-                                         with_range_bucket)
+from horizonkit.operators.prefix import bucketed_row_number, bucketed_running_sum, with_quantile_bucket
 from horizonkit.session import cut_lineage
 
 
@@ -32,8 +31,8 @@ from horizonkit.session import cut_lineage
 BLOCK_ROWS = 200_000
 
 
-def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None = None,
-           block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, block_rows: int = BLOCK_ROWS,
+           rows_per_bucket: int = 1_000_000) -> DataFrame:
     """``long``: (id, feature, x, y) -> (feature, mi).
 
     Works on distinct values with multiplicities: equal points have the same
@@ -42,12 +41,10 @@ def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None
     pts = long.select("feature", F.col("x").cast("double").alias("x"), "y").where(
         F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull())
     vals = pts.groupBy("feature", "y", "x").agg(F.count("*").alias("c"))
-    st = vals.groupBy("feature", "y").agg(F.sum("c").alias("nc"), F.min("x").alias("__mn"), F.max("x").alias("__mx"),
-                                          F.count("*").alias("__n"))
+    st = vals.groupBy("feature", "y").agg(F.sum("c").alias("nc"))
     vals = (vals.join(st.where(F.col("nc") > 1), ["feature", "y"])           # drop singleton classes
-                .withColumn("k", F.least(F.lit(k), F.col("nc") - 1))
-                .withColumn("__vb", range_bucket(F.col("x"), F.col("__mn"), F.col("__mx"), F.col("__n"), buckets))
-                .drop("__mn", "__mx", "__n"))
+                .withColumn("k", F.least(F.lit(k), F.col("nc") - 1)))
+    vals = with_quantile_bucket(vals, ["feature", "y"], "x", rows_per_bucket=rows_per_bucket)
     vals = bucketed_row_number(vals, ["feature", "y"], [F.col("x")], "__vb", "rn").drop("__vb")
 
     # the K nearest distinct values on each side (each holds >= 1 point): a row goes to its
@@ -100,8 +97,8 @@ def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None
                             F.lit(0).cast("long").alias("w"), F.lit(1).alias("s")),
                    F.struct((F.col("x") - F.col("r")).alias("v"), F.when(some, 2).otherwise(0).alias("t"),
                             F.lit(0).cast("long").alias("w"), F.lit(-1).alias("s")))
-    events = with_range_bucket(v.select("*", F.explode(rows).alias("e")).select("feature", "y", "x", "c", "k", "nc", "e.*"),
-                               ["feature"], "v", buckets)
+    events = with_quantile_bucket(v.select("*", F.explode(rows).alias("e")).select("feature", "y", "x", "c", "k", "nc", "e.*"),
+                                  ["feature"], "v", rows_per_bucket=rows_per_bucket)
     cum = bucketed_running_sum(events, ["feature"], [F.col("v"), F.col("t")], "__vb", {"cum": "w"})
     q = (cum.where(F.col("s") != 0).groupBy("feature", "y", "x", "c", "k", "nc")
             .agg(F.sum(F.col("s") * F.col("cum")).alias("m")))
@@ -113,19 +110,35 @@ def mi_knn(long: DataFrame, id_col: str = "id", k: int = 3, buckets: int | None
     return mi.select("feature", F.greatest(val, F.lit(0.0)).alias("mi"))
 
 
-def mi_binned(long: DataFrame, id_col: str = "id", bins: int = 10, buckets: int | None = None) -> DataFrame:
-    """Plug-in MI on equal-frequency bins (``ntile`` by (x, id) per feature)."""
+def mi_binned(long: DataFrame, id_col: str = "id", bins: int = 10, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Plug-in MI on equal-frequency bins (``ntile`` by (x, id) per feature).
+
+    Rows are counted by value first: only a value that lies on the edge of two
+    bins needs its rows in the order of their ids, and those are numbered in
+    blocks of ids, so a value held by a third of all rows is no group of one task.
+    """
     pts = long.select(id_col, "feature", F.col("x").cast("double").alias("x"), "y").where(
         F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull())
     n = pts.groupBy("feature").agg(F.count("*").alias("n"))
-    b = with_range_bucket(pts, ["feature"], "x", buckets)
-    r = bucketed_row_number(b, ["feature"], [F.col("x"), F.col(id_col)], "__vb", "rn").join(n, "feature")
-    qn = F.floor(F.col("n") / bins)
-    rem = F.col("n") % bins
-    big = rem * (qn + 1)
-    ntile = F.when(F.col("rn") <= big, F.floor((F.col("rn") - 1) / (qn + 1)) + 1) \
-             .otherwise(F.floor((F.col("rn") - 1 - big) / qn) + rem + 1)
-    cells = r.withColumn("bin", ntile.cast("int")).groupBy("feature", "bin", "y").agg(F.count("*").alias("c"))
+    counts = pts.groupBy("feature", "x", "y").agg(F.count("*").alias("c"))
+    values = with_quantile_bucket(counts.groupBy("feature", "x").agg(F.sum("c").alias("cx")), ["feature"], "x", rows_per_bucket=rows_per_bucket)
+    values = cut_lineage(bucketed_running_sum(values, ["feature"], [F.col("x")], "__vb", {"until": "cx"}).join(n, "feature")
+                         .select("feature", "x", (F.col("until") - F.col("cx")).alias("before"), "until", "n"))
+
+    def ntile(rn: Column) -> Column:
+        qn, rem = F.floor(F.col("n") / bins), F.col("n") % bins
+        big = rem * (qn + 1)
+        return (F.when(rn <= big, F.floor((rn - 1) / (qn + 1)) + 1)
+                .otherwise(F.floor(F.try_divide(rn - 1 - big, qn)) + rem + 1).cast("int"))
+
+    first, last = ntile(F.col("before") + 1), ntile(F.col("until"))
+    whole = counts.join(values.where(first == last), ["feature", "x"]).select("feature", first.alias("bin"), "y", "c")
+    edge = values.where(first != last)                                    # fewer than ``bins`` values a feature
+    rows = with_quantile_bucket(pts.join(edge, ["feature", "x"]), ["feature", "x"], id_col, rows_per_bucket=rows_per_bucket)
+    rows = bucketed_row_number(rows, ["feature", "x"], [F.col(id_col)], "__vb", "rn")
+    parted = (rows.withColumn("bin", ntile(F.col("before") + F.col("rn"))).groupBy("feature", "bin", "y")
+              .agg(F.count("*").alias("c")))
+    cells = whole.unionByName(parted).groupBy("feature", "bin", "y").agg(F.sum("c").alias("c"))
     pb = cells.groupBy("feature", "bin").agg(F.sum("c").alias("cb"))
     py = cells.groupBy("feature", "y").agg(F.sum("c").alias("cy"))
     j = cells.join(pb, ["feature", "bin"]).join(py, ["feature", "y"]).join(n, "feature")

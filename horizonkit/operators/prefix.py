@@ -24,6 +24,15 @@ def _offsets(df: DataFrame, part: list[str], bucket: str, sums: dict[str, Column
         F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"__off_{k}") for k in sums])
 
 
+def _joined(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``small``'s other columns beside ``df``'s, a null key being a key."""
+    named = small.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(named[f"__of_{k}"])
+    return df.join(named, on).drop(*[f"__of_{k}" for k in keys])
+
+
 def bucketed_row_number(df: DataFrame, part: list[str], order: list, bucket: str,
                         out: str = "rn") -> DataFrame:
     """``row_number() over (partition by part order by order)``, exactly.
@@ -32,7 +41,7 @@ def bucketed_row_number(df: DataFrame, part: list[str], order: list, bucket: str
     """
     offs = _offsets(df, part, bucket, {"n": F.count("*")})
     w = Window.partitionBy(*part, bucket).orderBy(*order)
-    return (df.join(offs, part + [bucket])
+    return (_joined(df, offs, part + [bucket])
               .withColumn(out, F.col("__off_n") + F.row_number().over(w))
               .drop("__off_n"))
 
@@ -43,36 +52,48 @@ def bucketed_running_sum(df: DataFrame, part: list[str], order: list, bucket: st
     offs = _offsets(df, part, bucket, {k: F.sum(v) for k, v in values.items()})
     w = (Window.partitionBy(*part, bucket).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, 0))
-    out = df.join(offs, part + [bucket])
+    out = _joined(df, offs, part + [bucket])
     for k, v in values.items():
         out = out.withColumn(k, F.col(f"__off_{k}") + F.sum(v).over(w)).drop(f"__off_{k}")
     return out
 
 
-def hash_bucket(h: Column, bits: int = 10, hash_bits: int = 32) -> Column:
+def hash_bits_for(rows: int, rows_per_bucket: int = 1_000_000) -> int:
+    """Bits of a hash that deal so many rows to buckets of at most about ``rows_per_bucket``."""
+    return min(31, (rows // rows_per_bucket).bit_length())
+
+
+def hash_bucket(h: Column, bits: int, hash_bits: int = 32) -> Column:
     """High ``bits`` of a non-negative ``hash_bits``-bit hash (monotone in h)."""
     return F.floor(h / F.lit(1 << (hash_bits - bits))).cast("int")
 
 
-def range_bucket(x: Column, lo: Column, hi: Column, n: Column, buckets: int | None = None,
-                 rows_per_bucket: int = 1_000_000, max_buckets: int = 1 << 16) -> Column:
-    """Equi-width bucket of ``x`` between ``lo`` and ``hi``: ``buckets`` of them, or enough for ``n`` rows."""
-    nb = (F.lit(float(buckets)) if buckets else
-          F.least(F.greatest(F.ceil(n / F.lit(rows_per_bucket)), F.lit(1)), F.lit(max_buckets)).cast("double"))
-    return F.when(hi > lo, F.least(F.floor((x - lo) / ((hi - lo) / nb)), nb - 1)).otherwise(0).cast("int")
+def lower_bound(bounds: Column, x: Column, size: int) -> Column:
+    """How many of at most ``size`` ascending ``bounds`` are below ``x``: a binary search inside the row; 0 for a null."""
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        more = (s["lo"] < s["hi"]) & (F.get(bounds, mid) < x)
+        less = (s["lo"] < s["hi"]) & ~F.coalesce(more, F.lit(False))
+        return F.struct(F.when(more, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(less, mid).otherwise(s["hi"]).alias("hi"))
+
+    rounds = F.sequence(F.lit(0), F.lit(max(1, size).bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(rounds, start, step, lambda s: s["lo"])
 
 
-def with_range_bucket(df: DataFrame, part: list[str], col: str, buckets: int | None = None,
-                      out: str = "__vb", rows_per_bucket: int = 1_000_000,
-                      max_buckets: int = 1 << 16) -> DataFrame:
-    """Equi-width value bucket per partition (monotone in ``col``).
+def with_quantile_bucket(df: DataFrame, part: list[str], col: str, out: str = "__vb", rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Buckets of nearly equal row counts, monotone in ``col`` (a number), whatever its distribution.
 
-    The number of buckets is ``buckets`` if given, else it grows with the
-    partition's row count (about ``rows_per_bucket`` rows each), so small
-    groups stay one window partition and huge ones are split. The
-    per-partition min/max/count table has one row per partition key.
+    A sketch per partition key gives the boundaries, as many as the largest
+    partition needs for ``rows_per_bucket`` rows each, so buckets grow in number and not in size. Rows of
+    one value share a bucket: collapse repeated values first. Nulls stand in the first bucket; a null key is a key.
     """
-    mm = df.groupBy(*part).agg(F.min(col).alias("__mn"), F.max(col).alias("__mx"),
-                               F.count("*").alias("__cnt"))
-    b = range_bucket(F.col(col), F.col("__mn"), F.col("__mx"), F.col("__cnt"), buckets, rows_per_bucket, max_buckets)
-    return df.join(mm, part).withColumn(out, b).drop("__mn", "__mx", "__cnt")
+    x = F.col(col).cast("double")
+    most = df.groupBy(*part).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one number
+    buckets = 1 + most // rows_per_bucket
+    if buckets == 1:
+        return df.withColumn(out, F.lit(0))
+    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = df.groupBy(*part).agg(F.percentile_approx(x, probs, max(10_000, 20 * buckets)).alias("__bounds"))
+    own = F.coalesce("__bounds", F.array().cast("array<double>"))        # a key without a number has none
+    return _joined(df, bounds, part).withColumn(out, lower_bound(own, x, buckets)).drop("__bounds")

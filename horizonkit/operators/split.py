@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from horizonkit.functions.coerce import portable_hash
 from horizonkit.operators.clean import q
-from horizonkit.operators.prefix import bucketed_row_number, hash_bucket
+from horizonkit.operators.prefix import bucketed_row_number, hash_bits_for, hash_bucket
 
 
-def class_rank(df: DataFrame, id_col: str, label: str, seed: int = 42, bits: int = 10,
-               out: str = "__rn") -> DataFrame:
-    """1-based position of each row inside its class in seeded-hash order."""
+def class_rank(df: DataFrame, id_col: str, label: str, seed: int = 42, out: str = "__rn",
+               rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """1-based position of each row inside its class in seeded-hash order; as many buckets as the largest class asks for."""
+    most = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0  # one number
     h = df.withColumn("__h", portable_hash(id_col, seed))
-    h = h.withColumn("__hb", hash_bucket(F.col("__h"), bits))
+    h = h.withColumn("__hb", hash_bucket(F.col("__h"), hash_bits_for(most, rows_per_bucket)))
     return bucketed_row_number(h, [label], [F.col("__h"), F.col(id_col)], "__hb", out).drop("__hb", "__h")
 
 

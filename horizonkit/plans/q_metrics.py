@@ -240,7 +240,7 @@ cum AS (SELECT p, tp_s, fp_s,
 SELECT round(p, 6) AS threshold, round(fp_c / n_neg, 6) AS fpr, round(tp_c / n_pos, 6) AS tpr FROM cum, tot""")
 def roc_points(spark, d):
     """ROC points per distinct score."""
-    pts = EV.roc_points(R.scores(spark, d), buckets=64)
+    pts = EV.roc_points(R.scores(spark, d), rows_per_bucket=100)
     return pts.select(K.r6("threshold").alias("threshold"), K.r6("fpr").alias("fpr"), K.r6("tpr").alias("tpr"))
 
 
@@ -248,6 +248,6 @@ def roc_points(spark, d):
 SELECT round(sum((fp_s / n_neg) * ((tp_c - tp_s) + tp_s / 2.0) / n_pos), 6) AS auc FROM cum, tot""")
 def auc(spark, d):
     """trapezoid AUC from the ROC histogram."""
-    return EV.auc_from_points(EV.roc_points(R.scores(spark, d), buckets=64)).select(K.r6("auc").alias("auc"))
+    return EV.auc_from_points(EV.roc_points(R.scores(spark, d), rows_per_bucket=100)).select(K.r6("auc").alias("auc"))
 
 

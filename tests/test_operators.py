@@ -173,7 +173,7 @@ def test_auc_trapezoid_equals_rank_auc(spark):
     rng = random.Random(5)
     rows = [(i, rng.randint(0, 1), round(rng.random(), 1)) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, label int, p double")
-    auc = EV.auc_from_points(EV.roc_points(df, buckets=4)).first().auc
+    auc = EV.auc_from_points(EV.roc_points(df, rows_per_bucket=2)).first().auc
     pos = [r[2] for r in rows if r[1] == 1]; neg = [r[2] for r in rows if r[1] == 0]
     mw = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert math.isclose(auc, mw, rel_tol=1e-12)
@@ -262,7 +262,7 @@ def test_mi_knn_brute_force(spark, hot):
         rows += [(1000 + i, "f", 0.5, i % 3) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, feature string, x double, y int")
     got = MI.mi_knn(df).first().mi
-    assert math.isclose(MI.mi_knn(df, buckets=5, block_rows=7).first().mi, got, rel_tol=1e-9)  # many blocks, same result
+    assert math.isclose(MI.mi_knn(df, rows_per_bucket=8, block_rows=7).first().mi, got, rel_tol=1e-9)  # many blocks, same result
     xs = np.array([r[2] for r in rows]); ys = np.array([r[3] for r in rows])
     from math import fsum
     def psi(n): return fsum(1.0 / k for k in range(1, n)) - 0.5772156649015329
@@ -467,3 +467,54 @@ def test_search_ranks_once_and_refits(spark):
     copies = ML.permuted_copies(df, ["a", "b"], repeats=3).where("__f = 'a'").groupBy("__r")
     values = [sorted(r.v) for r in copies.agg(F.collect_list("a").alias("v")).collect()]
     assert all(v == sorted(r[3] for r in rows) for v in values)
+
+
+def test_quantile_buckets_are_even_whatever_the_values(spark):
+    """Heavy-tailed values: no bucket holds more than three times its share, and buckets keep the order."""
+    from horizonkit.operators.prefix import with_quantile_bucket
+    rng = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in rng.pareto(0.4, 20_000)] + [("b", float(v)) for v in rng.normal(size=3_000)]
+    rows += [("b", None), (None, 1.0), (None, 2.0), ("c", None)]
+    got = with_quantile_bucket(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", rows_per_bucket=500).collect()
+    assert len(got) == len(rows)
+    for k, share in (("a", 20_000 / 41), ("b", 3_000 / 41)):
+        own = sorted((r["x"], r["__vb"]) for r in got if r["k"] == k and r["x"] is not None)
+        assert [b for _, b in own] == sorted(b for _, b in own)
+        sizes = np.bincount([b for _, b in own])
+        assert len(sizes) == 41 and sizes.max() <= 3 * share
+    assert [r["__vb"] for r in got if r["x"] is None] == [0, 0]
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 40])
+def test_binned_information_with_a_hot_value(spark, rows_per_bucket):
+    """A value held by a third of the rows lies over several bins; its rows are dealt by their ids."""
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(907) < 0.34, 0.5, rng.pareto(0.7, 907))
+    y = ((x > 0.7) ^ (rng.random(907) < 0.2)).astype(int)
+    df = spark.createDataFrame([(i, "f", float(x[i]), int(y[i])) for i in range(907)] + [(i, "g", 1.0 * (i % 2), i % 2) for i in range(7)],
+                               "id long, feature string, x double, y int")
+
+    def plain(x, y):
+        n = len(x)
+        order = np.lexsort((np.arange(n), x))
+        sizes = [n // 10 + (i < n % 10) for i in range(10)]
+        b = np.empty(n, int)
+        b[order] = np.repeat(np.arange(10), sizes)
+        return sum(c / n * math.log(c * n / ((b == i).sum() * (y == j).sum())) for i in range(10) for j in (0, 1)
+                   if (c := ((b == i) & (y == j)).sum()))
+
+    got = {r["feature"]: r["mi"] for r in MI.mi_binned(df, rows_per_bucket=rows_per_bucket).collect()}
+    assert math.isclose(got["f"], plain(x, y), rel_tol=1e-9)
+    assert math.isclose(got["g"], plain(np.arange(7) % 2, np.arange(7) % 2), rel_tol=1e-9)
+
+
+def test_percentile_and_ranks_in_many_buckets(spark):
+    from horizonkit.operators.quantiles import exact_percentile
+    rng = np.random.default_rng(5)
+    x = rng.pareto(0.5, 1001)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [(None, float(v)) for v in x[:10]] + [("a", None)], "k string, x double")
+    got = {r["k"]: r["percentile"] for r in exact_percentile(df, ["k"], "x", 0.3, rows_per_bucket=50).collect()}
+    assert math.isclose(got["a"], np.percentile(x, 30), rel_tol=1e-12) and math.isclose(got[None], np.percentile(x[:10], 30), rel_tol=1e-12)
+    rows = spark.createDataFrame([(i, i % 3) for i in range(600)], "id long, label int")
+    one, many = (sorted(map(tuple, SP.class_rank(rows, "id", "label", rows_per_bucket=n).collect())) for n in (1_000_000, 10))
+    assert one == many
