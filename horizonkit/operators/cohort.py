@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from horizonkit.functions.coerce import elapsed_years, nan_to_null, numeric_or_text_to_double
 
@@ -66,12 +67,69 @@ def null_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> D
     return left.join(r, cond, "left").drop(*rk.values())
 
 
+#: Rows of one key on one side beyond which they are dealt to several tasks.
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> list[tuple]:
+    """``(*keys, tasks)`` of the keys with more than ``hot_rows`` rows: the largest, at most as many as a shuffle has partitions.
+
+    More hot keys than partitions need no dealing: they fill all tasks anyway.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows)
+    tasks = F.ceil(F.col("__n") / F.lit(hot_rows)).cast("int")
+    return [tuple(r) for r in counts.orderBy(F.col("__n").desc()).limit(most).select(*keys, tasks).collect()]
+
+
+def skew_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool = True,
+                        hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left equi-join, ``null_safe`` or not, in which no key is bound to one task.
+
+    Rows per key are counted on both sides (the keys alone are read). A hot key's
+    left rows are dealt to l tasks and its right rows to r: each of the l x r
+    tasks joins one part with one part, so every pair of rows meets once. Only
+    hot keys' rows are copied. Parts go by a hash of the whole row, so a task
+    that is run again deals alike. Without ``null_safe``, rows with a null key match nothing and are
+    spread over all tasks. The columns are ``left``'s and ``right``'s without its keys; right duplicates fan out.
+    """
+    spark = left.sparkSession
+    same = [left.select(*keys).schema[k].dataType == right.schema[k].dataType for k in keys]
+    if not all(same):
+        raise ValueError(f"keys of different types: {keys}")
+    known = lambda df: df if null_safe else df.dropna(subset=keys)
+    of = [{r[:-1]: r[-1] for r in hot_keys(known(df), keys, hot_rows)} for df in (left, right)]
+    parts = [(*k, of[0].get(k, 1), of[1].get(k, 1)) for k in dict.fromkeys([*of[0], *of[1]])]
+    fields = [left.schema[k] for k in keys]
+    hot = spark.createDataFrame(parts, T.StructType([T.StructField(f"__h{i}", f.dataType) for i, f in enumerate(fields)]
+                                                    + [T.StructField(c, T.IntegerType()) for c in ("__l", "__r")]))
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, its: str, nulls: Column | None) -> DataFrame:
+        on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"__h{i}"]) for i, k in enumerate(keys)])
+        out = df.join(F.broadcast(hot), on, "left").drop(*[f"__h{i}" for i in range(len(keys))])  # two rows a partition at most
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        spread = F.coalesce(own, F.lit(1)) if nulls is None else F.when(nulls, F.lit(512)).otherwise(F.coalesce(own, F.lit(1)))
+        out = out.withColumn(mine, F.pmod(row, spread).cast("int"))
+        return out.withColumn(its, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+
+    none = None if null_safe else reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    a = dealt(left, F.col("__l"), F.col("__r"), "__i", "__j", none).drop("__l").withColumnRenamed("__r", "__copies")
+    b = dealt(known(right), F.col("__r"), F.col("__l"), "__j", "__i", None).drop("__l", "__r").withColumn("__hit", F.lit(True))
+    b = b.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, "__i", "__j"]})
+    cond = (a["__i"] == b["__k___i"]) & (a["__j"] == b["__k___j"])
+    for k in keys:
+        cond = cond & (a[k].eqNullSafe(b[f"__k_{k}"]) if null_safe else a[k] == b[f"__k_{k}"])
+    # a copied left row has a match in some part of its key's right rows; in the others it gives no row
+    out = a.join(b, cond, "left").where((F.coalesce("__copies", F.lit(1)) == 1) | F.col("__hit").isNotNull())
+    return out.drop("__copies", "__hit", "__i", "__j", *[f"__k_{k}" for k in [*keys, "__i", "__j"]])
+
+
 # ------------------------------------------------------------- B14-B19, C2
 def clinical_merge(study: DataFrame, clinical: DataFrame, *, name_col: str,
                    study_date_col: str, clinical_date_col: str, event_col: str,
                    death_date_col: str, order_cols: list[str], clinical_cols: list[str],
                    rename: dict[str, str] | None = None, lead: int = 15,
-                   msc_col: str = "Data_MSC", tempo_col: str = "Tempo") -> DataFrame:
+                   msc_col: str = "Data_MSC", tempo_col: str = "Tempo", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Study ⟕ clinical on (name, exam day) + global death date + elapsed years.
 
     * keys: ``to_date`` of both exam timestamps; NULL names match NULL names;
@@ -93,13 +151,13 @@ def clinical_merge(study: DataFrame, clinical: DataFrame, *, name_col: str,
     c = clinical.withColumn(key_date, F.to_date(F.col(clinical_date_col)))  # B18
     deaths = first_non_null_by(c, name_col, death_date_col, order_cols, "__death")  # D1
     # Single-valued lookup by name; plain '=' (null names never looked up).
-    looked = study.join(deaths, on=name_col, how="left").withColumn(        # B19
+    looked = skew_safe_left_join(study, deaths, [name_col], False, hot_rows).withColumn(  # B19
         msc_col, F.when(F.col(event_col) == 1, F.col("__death")).cast("timestamp_ntz")).drop("__death")
     looked = looked.withColumn(tempo_col, elapsed_years(study_date_col, msc_col))  # B17
     looked = looked.withColumn(key_date, F.to_date(F.col(study_date_col)))
     sub = c.select(F.col(name_col), F.col(key_date),
                    *[F.col(f"`{x}`").alias(rename.get(x, x)) for x in present])  # B14
-    looked = null_safe_left_join(looked, sub, [name_col, key_date])         # C1
+    looked = skew_safe_left_join(looked, sub, [name_col, key_date], True, hot_rows)  # C1
 
     orig = [x for x in study.columns]
     inserted = [msc_col, tempo_col] + [rename.get(x, x) for x in present]

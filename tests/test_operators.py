@@ -518,3 +518,41 @@ def test_percentile_and_ranks_in_many_buckets(spark):
     rows = spark.createDataFrame([(i, i % 3) for i in range(600)], "id long, label int")
     one, many = (sorted(map(tuple, SP.class_rank(rows, "id", "label", rows_per_bucket=n).collect())) for n in (1_000_000, 10))
     assert one == many
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_skew_safe_join(spark, null_safe):
+    """A third of the names null, a hot name on each side, one on both: the same rows as a plain join, dealt to many tasks."""
+    rng = random.Random(11)
+    left = [(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"n{i % 40}") for i in range(900)]
+    right = [(100 + i, rng.choice([None, "hot", "busy", "n1", "n2", "n77"])) for i in range(260)] + [(7, "n5"), (7, "n5")]
+    a, b = spark.createDataFrame(left, "id long, name string"), spark.createDataFrame(right, "v long, name string")
+    got = C.skew_safe_left_join(a, b, ["name"], null_safe, hot_rows=25)
+    assert got.columns == ["id", "name", "v"]
+    want = []
+    for i, name in left:
+        hits = [v for v, n in right if n == name and (null_safe or name is not None)]
+        want += [(i, name, v) for v in hits] or [(i, name, None)]
+    key = lambda r: (r[0], r[1] or "", -1 if r[2] is None else r[2])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    hot = C.hot_keys(a, ["name"], 25)
+    assert {k for k, _ in hot} == {None, "hot"} and all(t == 12 for _, t in hot)
+
+
+def test_no_task_of_the_join_holds_a_hot_key(spark):
+    """Rows of the join per task: none above three times its share, where a plain join puts a third of them into one."""
+    a = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("name"))
+    b = spark.range(60).select(F.when(F.col("id") > 2, F.col("id")).alias("name"), F.col("id").alias("v"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in (("spark.sql.shuffle.partitions", "16"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+            spark.conf.set(k, v)
+        sizes = {}
+        for name, got in (("dealt", C.skew_safe_left_join(a, b, ["name"], True, hot_rows=200)), ("plain", C.null_safe_left_join(a, b, ["name"]))):
+            rows = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            sizes[name] = [r["count"] for r in rows]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes["dealt"]) == sum(sizes["plain"]) == 20_000 + 3 * 10_000
+    assert max(sizes["dealt"]) <= 3 * 50_000 / 16 < max(sizes["plain"])
