@@ -3,7 +3,7 @@
 Sub-packages:
 
 * ``sources``   — table, signal-file and result scans; sinks.
-* ``functions`` — column expressions (coercion, metrics, special functions).
+* ``functions`` — column expressions (coercion, metrics, tail probabilities).
 * ``operators`` — DataFrame -> DataFrame operators (cohort merge, cleaning,
   statistics, association, evaluation, splits, HRV windows, ML stages).
 * ``plans``     — named queries over the driver tables and their SQL oracles.

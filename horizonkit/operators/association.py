@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from horizonkit.functions import special as S
+from horizonkit.functions import tails as TL
 from horizonkit.functions.coerce import nan_to_null
 
 # A numeric column with at least this many distinct values is
@@ -168,12 +168,12 @@ def categorical_tests(cells: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def with_pvalues(num: DataFrame | None = None, cat: DataFrame | None = None):
-    """Add p-values (pandas UDF on the per-feature rows only)."""
+    """Add p-values (column expressions on the per-feature rows)."""
     out = []
     if num is not None:
-        out.append(num.withColumn("p_anova", S.f_pvalue("anova_f", "df1", "df2")))
+        out.append(num.withColumn("p_anova", TL.f_tail(F.col("anova_f"), F.col("df1"), F.col("df2"))))
     if cat is not None:
-        out.append(cat.withColumn("p_chi2", S.chi2_pvalue("chi2", F.col("dof").cast("double"))))
+        out.append(cat.withColumn("p_chi2", TL.chi2_tail(F.col("chi2"), F.col("dof"))))
     return out
 
 

@@ -158,9 +158,29 @@ def cramers_v(spark, d):
     return cat.select("feature", K.r6("cramers_v").alias("cramers_v"))
 
 
-@query("association_pvalues")
+_TAILS_SQL = f"""
+WITH {LINE_SQL},
+f0 AS (SELECT n.feature, n.anova_f AS f, (s.k - 1)::DOUBLE AS d1, (n.n - s.k)::DOUBLE AS d2 FROM numres n JOIN ss s ON n.feature = s.feature),
+f1 AS (SELECT feature, d2 / 2 AS a, d1 / 2 AS b, d2 / (d2 + d1 * f) AS x, d1 * f / (d2 + d1 * f) AS r FROM f0),
+f2 AS (SELECT feature, x >= (a + 1) / (a + b + 2) AS turn, a, b, x, r FROM f1),
+f3 AS (SELECT feature, turn, CASE WHEN turn THEN b ELSE a END AS a, CASE WHEN turn THEN a ELSE b END AS b,
+              CASE WHEN turn THEN r ELSE x END AS x, CASE WHEN turn THEN x ELSE r END AS r FROM f2),
+f4 AS (SELECT *, list_reduce([1.0::DOUBLE] || list_transform(range(0, 200 + 8 * ceil(sqrt(greatest(a, b)))::BIGINT),
+                lambda i: (200 + 8 * ceil(sqrt(greatest(a, b)))::BIGINT - i)::DOUBLE),
+              lambda v, m: 1 + (CASE WHEN m % 2 = 1 THEN -(a + floor(m / 2)) * (a + b + floor(m / 2)) ELSE floor(m / 2) * (b - floor(m / 2)) END)
+                                * x / ((a + m - 1) * (a + m)) / v) AS fraction FROM f3),
+f5 AS (SELECT feature, turn, exp(a * ln(x) + b * ln(r) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a / fraction AS share FROM f4),
+c1 AS (SELECT feature, dof / 2.0 AS a, chi2 / 2 AS x, 200 + 8 * ceil(sqrt(dof / 2.0))::BIGINT AS terms FROM catres WHERE dof > 0 AND chi2 > 0),
+c2 AS (SELECT *, exp(a * ln(x) - x - lgamma(a)) AS lead, list_transform(range(0, terms), lambda i: (terms - i)::DOUBLE) AS ms FROM c1),
+c3 AS (SELECT feature, CASE WHEN x < a + 1 THEN 1 - lead / a * list_reduce([1.0::DOUBLE] || ms, lambda v, m: 1 + v * x / (a + m))
+              ELSE lead / list_reduce([(x + 2 * terms + 1 - a)::DOUBLE] || ms, lambda v, m: x + 2 * m - 1 - a - m * (m - a) / v) END AS p FROM c2)
+SELECT feature, 'anova' AS test, round(CASE WHEN turn THEN 1 - share ELSE share END, 6) + 0.0 AS p_value FROM f5
+UNION ALL SELECT c.feature, 'chi2', round(coalesce(p, 1.0), 6) + 0.0 FROM catres c LEFT JOIN c3 ON c.feature = c3.feature"""
+
+
+@query("association_pvalues", sql=_TAILS_SQL)
 def association_pvalues(spark, d):
-    """E3/E4 p-values (F and chi-square survival functions; rows-only check)."""
+    """E3/E4 p-values: tails of the F and chi-square distributions."""
     _, num, cat = _assoc(spark, d, "line")
     n2, c2 = A.with_pvalues(num, cat)
     a = n2.select("feature", F.lit("anova").alias("test"), K.r6("p_anova").alias("p_value"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from horizonkit.functions import coerce as K
-from horizonkit.functions import special as S
+from horizonkit.functions import tails as TL
 from horizonkit.operators import association as A
 from horizonkit.operators import clean as CL
 from horizonkit.operators import cohort as C
@@ -247,11 +247,26 @@ def test_router_skips_constant_and_routes_low_cardinality(spark):
     assert kinds == {"k": "skip", "c": "categorical", "x": "numeric"}
 
 
-def test_pvalues():
-    assert math.isclose(S.chi2_sf(3.841458820694124, 1), 0.05, rel_tol=1e-9)
-    assert math.isclose(S.chi2_sf(5.991464547107979, 2), 0.05, rel_tol=1e-9)
-    assert math.isclose(S.f_sf(4.0, 1, 1e9), S.chi2_sf(4.0, 1), rel_tol=1e-6)
-    assert math.isclose(S.f_sf(3.0, 2, 10), 0.09537, rel_tol=1e-3)
+def test_tail_probabilities(spark):
+    """Against closed forms: even degrees of freedom, one degree by the error function, an exact F."""
+    even = lambda x, d: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(d // 2))
+    cases = [("c", x, 0.0, d, even(x, d)) for x in (0.01, 1.0, 5.991464547107979, 40.0, 300.0) for d in (2, 4, 10, 60)]
+    cases += [("c", x, 0.0, 1, math.erfc(math.sqrt(x / 2))) for x in (1e-6, 0.3, 3.841458820694124, 25.0, 200.0)]
+    # F with two degrees above: (1 + 2 f / d2) ** (-d2 / 2); with one and one: 1 - 2 / pi * atan(sqrt(f))
+    cases += [("f", f, 2, d2, (1 + 2 * f / d2) ** (-d2 / 2)) for f in (1e-4, 0.7, 3.0, 50.0) for d2 in (1, 7, 498, 10 ** 6)]
+    cases += [("f", f, 1, 1, 1 - 2 / math.pi * math.atan(math.sqrt(f))) for f in (0.2, 4.0, 900.0)]
+    cases += [("f", 4.0, 1, 10 ** 9, math.erfc(math.sqrt(2.0))), ("c", 0.0, 0.0, 3, 1.0), ("c", 5.0, 0.0, 0, 1.0), ("f", math.inf, 1, 5, 0.0),
+              ("f", 0.0, 1, 5, 1.0), ("f", 2.0, 0, 5, None), ("c", None, 0.0, 2, None), ("f", None, 1, 2, None)]
+    df = spark.createDataFrame([(i, k, float(x) if x is not None else None, float(a), float(b)) for i, (k, x, a, b, _) in enumerate(cases)],
+                               "i int, k string, x double, a double, b double")
+    p = F.when(F.col("k") == "f", TL.f_tail(F.col("x"), F.col("a"), F.col("b"))).otherwise(TL.chi2_tail(F.col("x"), F.col("b")))
+    got = {r["i"]: r["p"] for r in df.select("i", p.alias("p")).collect()}
+    for i, (*_, want) in enumerate(cases):
+        if want is None:
+            assert got[i] is None
+        else:
+            assert math.isclose(got[i], want, rel_tol=1e-6, abs_tol=1e-300), cases[i]
+
 
 
 @pytest.mark.parametrize("hot", [False, True])
