@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -31,7 +32,8 @@ from horizonkit.operators import evaluation as EV
 from horizonkit.operators import networks as NN
 from horizonkit.operators import trees as TR
 from horizonkit.operators.mutual_info import mi_knn
-from horizonkit.operators.prefix import bucketed_row_number, hash_bucket
+from horizonkit.operators.prefix import bucketed_row_number, hash_bits_for, hash_bucket
+from horizonkit.session import written
 
 # ------------------------------------------------------------------ L2
 class GMeanEvaluator(Evaluator, DefaultParamsReadable, DefaultParamsWritable):
@@ -371,28 +373,38 @@ def cv_report(train: DataFrame, pipe: Pipeline, fold_col: str = "fold", k: int =
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def multipliers(n: int, repeats: int, seed: int = 42) -> list[tuple[int, int]]:
+    """For each repeat (a, b): place i of n rows -> (a i + b) mod n is a permutation, as a and n share no factor."""
+    out = []
+    for r in range(repeats):
+        a = 1 + ((r + 1) * 2_654_435_761 + seed) % n
+        while math.gcd(a, n) != 1:
+            a += 1
+        out.append((a, ((r + 1) * 40_503 + seed * 7_919) % n))
+    return out
+
+
 def permuted_copies(test: DataFrame, cols: list[str], repeats: int = 10, seed: int = 42,
                     id_col: str = "id") -> DataFrame:
     """Each row once per (``__f`` column, ``__r`` repeat), that column's value taken from another row.
 
-    In repeat r the row of rank i (by one seeded hash) takes the value of the
-    row of rank i by another seeded hash: a permutation of the rows. The join
-    moves ``repeats`` copies of the rows; the columns are spread afterwards
+    Rows are numbered once, in the order of a seeded hash; in repeat r the row of
+    number i takes the value of the row of number (a_r i + b_r) mod n. One
+    join moves ``repeats`` copies of the rows; the columns are spread afterwards
     inside each task.
     """
-    def hash_rank(df, s, out):
-        h = df.withColumn("__h", portable_hash(F.col(id_col), s)).withColumn("__hb", hash_bucket(F.col("__h"), 0))
-        return bucketed_row_number(h, [], [F.col("__h"), F.col(id_col)], "__hb", out).drop("__h", "__hb")
-
-    own = hash_rank(test, seed + 10_007, "__rid").select(
-        "*", F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("__r"))
-    other = None
-    for r in range(repeats):
-        pr = hash_rank(test, seed + r, "__rid").select(
-            "__rid", F.lit(r).alias("__r"), F.struct(*[F.col(c) for c in cols]).alias("__from"))
-        other = pr if other is None else other.unionByName(pr)
+    n = test.count()
+    bits = hash_bits_for(n)
+    h = test.withColumn("__h", portable_hash(F.col(id_col), seed + 10_007)).withColumn("__hb", hash_bucket(F.col("__h"), bits))
+    numbered = written(bucketed_row_number(h, [], [F.col("__h"), F.col(id_col)], "__hb", "__rid").drop("__h", "__hb"), "numbered")
+    number = F.col("__rid").cast("long") - 1
+    wide = number.cast("decimal(19,0)") if n >= 1 << 31 else number                # products stay exact
+    places = [F.struct(F.lit(r).alias("__r"), ((wide * F.lit(a) + F.lit(b)) % F.lit(n)).cast("long").alias("__to"))
+              for r, (a, b) in enumerate(multipliers(max(1, n), repeats, seed))]
+    own = numbered.select("*", F.explode(F.array(*places)).alias("__p")).select(*test.columns, "__p.*")
+    other = numbered.select(number.alias("__to"), F.struct(*[F.col(c) for c in cols]).alias("__from"))
     names = F.explode(F.array(*[F.lit(c) for c in cols])).alias("__f")
-    j = own.join(other, ["__rid", "__r"]).select("*", names)
+    j = own.join(other, "__to").select("*", names)
     changed = [F.when(F.col("__f") == c, F.col(f"__from.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                for c in test.columns]
     return j.select(*changed, "__f", "__r")

@@ -241,9 +241,11 @@ WITH x AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label,
                   CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1,
                   CAST(embedding[3] AS DOUBLE) AS f2, CAST(embedding[4] AS DOUBLE) AS f3 FROM embeddings),
 own AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(id || ':10049'), 1, 8) AS BIGINT), id) AS rid FROM x),
-src AS (SELECT r, f0, f1, f2, f3, row_number() OVER (PARTITION BY r ORDER BY
-               CAST('0x' || substr(md5(id || ':' || (42 + r)), 1, 8) AS BIGINT), id) AS rid
-        FROM x, range(10) t(r)),
+n AS (SELECT count(*) AS n FROM x),
+m AS (SELECT r, min(a) AS a, ((r + 1) * 40503 + 42 * 7919) % min(n) AS b
+      FROM (SELECT r, n, unnest(range(1 + ((r + 1) * 2654435761 + 42) % n, 1000 + ((r + 1) * 2654435761 + 42) % n)) AS a FROM n, range(10) t(r))
+      WHERE gcd(a, n) = 1 GROUP BY r),
+src AS (SELECT m.r, o.rid, s.f0, s.f1, s.f2, s.f3 FROM own o, m, n JOIN own s ON s.rid = 1 + (m.a * (o.rid - 1) + m.b) % n.n),
 c AS (SELECT label, r, f, CASE WHEN f = 'f0' THEN s.f0 ELSE o.f0 END AS f0, CASE WHEN f = 'f1' THEN s.f1 ELSE o.f1 END AS f1,
              CASE WHEN f = 'f2' THEN s.f2 ELSE o.f2 END AS f2, CASE WHEN f = 'f3' THEN s.f3 ELSE o.f3 END AS f3
       FROM own o JOIN src s USING (rid), (SELECT unnest(['f0', 'f1', 'f2', 'f3']) AS f)),

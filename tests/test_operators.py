@@ -571,3 +571,32 @@ def test_no_task_of_the_join_holds_a_hot_key(spark):
             spark.conf.set(k, v)
     assert sum(sizes["dealt"]) == sum(sizes["plain"]) == 20_000 + 3 * 10_000
     assert max(sizes["dealt"]) <= 3 * 50_000 / 16 < max(sizes["plain"])
+
+
+@pytest.mark.parametrize("n", [1, 2, 12, 97, 360])
+def test_multipliers_make_permutations(n):
+    for a, b in ML.multipliers(n, 10):
+        assert sorted((a * i + b) % n for i in range(n)) == list(range(n))
+    assert n < 90 or len({m for m in ML.multipliers(n, 10)}) == 10
+
+
+def test_block_correlation(spark):
+    """Blocks that don't divide the columns, several passes, a constant column and one with a null."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(70, 11)) + 1000
+    x[:, 4] = 0.6 * x[:, 1] + 0.1 * rng.normal(size=70)
+    x[:, 7] = 3.0
+    x[:, 10] = -x[:, 9]
+    rows = [[float(v) for v in r] for r in x]
+    rows[5][2] = None
+    cols = [f"c{i}" for i in range(11)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3)
+    assert [len(p) for p in FE.block_pairs(11, 3, 27)] == [3, 3, 3, 1]
+    r = np.abs(np.corrcoef(x.T))
+    good = [i for i in range(11) if i not in (2, 7)]
+    for block, held in ((256, 1 << 23), (3, 27)):
+        got = FE.strongest_earlier(df, cols, block, held)
+        assert set(got) == {j for j in good if j}
+        assert all(math.isclose(got[j], max(r[i, j] for i in good if i < j), rel_tol=1e-9) for j in got)
+    kept = {v["feature"]: v["kept"] for v in FE.correlation_reducer(df, cols).collect()}
+    assert [c for c in cols if not kept[c]] == ["c4", "c10"]
