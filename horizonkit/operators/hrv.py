@@ -305,11 +305,39 @@ def signal_features(samples: DataFrame, key: str, idx: str, value: str, window_s
     has no features; a patient without any such window has no row
     (``feature_rejects``). An incomplete last window is left out.
     """
+    return patient_stats(signal_windows(samples, key, idx, value, window_samples, rate, clean, peaks, freq), key, WINDOW_FEATURES)
+
+
+def signal_windows(samples: DataFrame, key: str, idx: str, value: str, window_samples: int, rate: float,
+                   clean: dict | None = None, peaks: dict | None = None, freq: dict | None = None) -> DataFrame:
+    """The windows' features that ``signal_features`` sums up by patient."""
     keys = [key, "window_idx"]
     w = tumble_index(samples, key, idx, window_samples)
     beats = detect_peaks(clean_signal(w, keys, idx, value, **(clean or {})), keys, idx, **(peaks or {}))
-    feats = window_features(rr_from_peaks(beats, keys, idx, rate), keys, freq)
-    return patient_stats(feats, key, WINDOW_FEATURES)
+    return window_features(rr_from_peaks(beats, keys, idx, rate), keys, freq)
+
+
+#: A family of window features by the column that tells whether it has values.
+FAMILIES = {"time": "SDNN", "frequency": "TP", "poincare": "SD1", "entropy": "SampEn", "dfa": "DFA_alpha1"}
+
+
+def window_rejects(samples: DataFrame, features: DataFrame, key: str, window_samples: int) -> DataFrame:
+    """What gave no value, and why: ``(key, window_idx, family, reason)``.
+
+    ``features`` holds the windows' features side by side. A last window that is
+    incomplete, a complete one without RR intervals (family null) and each
+    family without a value in a window that has some are rows.
+    """
+    n = samples.groupBy(key).agg(F.count("*").alias("__n"))
+    windows = F.floor(F.col("__n") / F.lit(window_samples))
+    none = F.lit(None).cast("string").alias("family")
+    cut = n.where(F.col("__n") % window_samples > 0).select(key, windows.alias("window_idx"), none, F.lit("incomplete window").alias("reason"))
+    whole = n.where(windows > 0).select(key, F.explode(F.sequence(F.lit(0).cast("long"), windows - 1)).alias("window_idx"))
+    bare = whole.join(features.select(key, "window_idx"), [key, "window_idx"], "left_anti").select(
+        key, "window_idx", none, F.lit("no RR interval").alias("reason"))
+    empty = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(name)) for name, c in FAMILIES.items()]))
+    part = features.select(key, "window_idx", F.explode(empty).alias("family"), F.lit("no value").alias("reason"))
+    return cut.unionByName(bare).unionByName(part)
 
 
 def label_features(features: DataFrame, patients: DataFrame, key: str, id_col: str, event: str, time: str,

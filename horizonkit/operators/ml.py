@@ -352,12 +352,23 @@ def positive_prob(df: DataFrame, out: str = "p") -> DataFrame:
     return df.withColumn(out, vector_to_array("probability")[1])
 
 
+def fold_pipelines(train: DataFrame, pipe: Pipeline, fold_col: str = "fold", k: int = 5) -> list[Pipeline]:
+    """The pipeline for each held-out fold, columns ranked for all folds in one pass."""
+    sel, *rest = pipe.getStages()
+    if not isinstance(sel, MISelector) or sel.getOrDefault("k") >= len(sel.getOrDefault("inputCols")):
+        return [pipe] * k
+    cols, n = sel.getOrDefault("inputCols"), sel.getOrDefault("k")
+    ranked = fold_rankings(train, cols, sel.getOrDefault("labelCol"), sel.getOrDefault("idCol"), fold_col, k)
+    return [Pipeline(stages=[MISelectorModel(selected=[cols[i] for i in sorted(r[:n])], outputCol=sel.getOrDefault("outputCol")), *rest])
+            for r in ranked]
+
+
 def oof_predictions(train: DataFrame, pipe: Pipeline, fold_col: str = "fold", k: int = 5) -> DataFrame:
     """fit on the other folds, predict the held-out fold, union (weights
     are those of the whole training set, as in the reference)."""
     parts = []
-    for i in range(k):
-        m = pipe.fit(train.where(F.col(fold_col) != i))
+    for i, own in enumerate(fold_pipelines(train, pipe, fold_col, k)):
+        m = own.fit(train.where(F.col(fold_col) != i))
         parts.append(positive_prob(m.transform(train.where(F.col(fold_col) == i))))
     out = parts[0]
     for p in parts[1:]:

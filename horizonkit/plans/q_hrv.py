@@ -8,6 +8,7 @@ from horizonkit.functions import coerce as K
 from horizonkit.operators import hrv as H
 from horizonkit.plans import roles as R
 from horizonkit.plans.registry import query
+from horizonkit.session import cut_lineage
 
 W_SAMPLES = 16              # samples per window on the events fixture
 W_SECONDS = 259_200         # 3 days: <= 10 windows per user over 30 days
@@ -351,12 +352,18 @@ pa AS (SELECT o_orderkey AS ID, CASE WHEN o_orderkey % 53 <> 0 AND o_orderstatus
        FROM orders WHERE o_orderkey % 7 <> 0)"""
 
 
-def _job(spark, d):
-    """Features per user (every 11th user's leads are silent, so it has no beats) and the patient table."""
+_JOB_ARGS = {"clean": {"a": 1, "b": 3}, "peaks": {"c": 1, "k": 0.3, "refractory": 1}, "freq": {"f_lo": _F_LO, "f_hi": _F_HI, "n_freq": _N_FREQ}}
+
+
+def _job_samples(spark, d):
+    """Every 11th user's leads are silent, so it has no beats."""
     s = H.sample_index(R.signal(spark, d), "user_id", "ts", "event_id")
-    s = s.withColumn("value", F.when(F.col("user_id") % 11 == 0, 0.0).otherwise(F.col("value")))
-    f = H.signal_features(s, "user_id", "sample_idx", "value", _W_JOB, 1.0, clean={"a": 1, "b": 3},
-                          peaks={"c": 1, "k": 0.3, "refractory": 1}, freq={"f_lo": _F_LO, "f_hi": _F_HI, "n_freq": _N_FREQ})
+    return s.withColumn("value", F.when(F.col("user_id") % 11 == 0, 0.0).otherwise(F.col("value")))
+
+
+def _job(spark, d):
+    """Features per user and the patient table."""
+    f = H.signal_features(_job_samples(spark, d), "user_id", "sample_idx", "value", _W_JOB, 1.0, **_JOB_ARGS)
     return f, R.study(spark, d).where(F.col("ID") % 7 != 0)
 
 
@@ -383,3 +390,18 @@ def signal_feature_rejects(spark, d):
     missing = users.join(listed, "user_id", "left_anti").withColumn("reason", F.lit("not listed"))
     bare = H.feature_rejects(users.join(listed, "user_id", "left_semi"), f, "user_id").withColumn("reason", F.lit("no features"))
     return missing.union(bare)
+
+
+@query("signal_window_rejects", sql=_JOB_SQL + f""",
+sz AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+al AS (SELECT user_id, unnest(range(0, n // {_W_JOB})) AS window_idx FROM sz)
+SELECT user_id, n // {_W_JOB} AS window_idx, NULL AS family, 'incomplete window' AS reason FROM sz WHERE n % {_W_JOB} > 0
+UNION ALL SELECT user_id, window_idx, NULL, 'no RR interval' FROM al ANTI JOIN wf USING (user_id, window_idx)
+UNION ALL SELECT user_id, window_idx, unnest(list_filter([CASE WHEN SDNN IS NULL THEN 'time' END, CASE WHEN TP IS NULL THEN 'frequency' END,
+  CASE WHEN SD1 IS NULL THEN 'poincare' END, CASE WHEN SampEn IS NULL THEN 'entropy' END, CASE WHEN DFA_alpha1 IS NULL THEN 'dfa' END],
+  lambda f: f IS NOT NULL)), 'no value' FROM wf""")
+def signal_window_rejects(spark, d):
+    """Incomplete windows, windows without RR intervals, and families without a value, each with its reason."""
+    s = _job_samples(spark, d)
+    f = cut_lineage(H.signal_windows(s, "user_id", "sample_idx", "value", _W_JOB, 1.0, **_JOB_ARGS))
+    return H.window_rejects(s, f, "user_id", _W_JOB)

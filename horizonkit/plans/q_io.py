@@ -110,3 +110,81 @@ def summary_roundtrip(spark, d):
                        F.explode("classification_report").alias("r")).select(
         "horizon_dir", "model_dir", "model_name", "optimal_threshold", "r.class",
         K.r6("r.f1").alias("f1"), "r.support")
+
+
+_RULES = {"chars_mod": "(n_chars % 101) / 100.0D", "chars_div": "least(1.0D, n_chars / 5000.0D)"}
+_RULES_SQL = {"chars_mod": "(n_chars % 101) / 100.0", "chars_div": "least(1.0, n_chars / 5000.0)"}
+_SAVED_SQL = "WITH t AS (" + " UNION ALL ".join(
+    f"""SELECT '{h}anos' AS horizon_dir, '{m}' AS model, l.toxic AS label, CAST({e} AS DOUBLE) AS p, {t} AS cut
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % {h} = 0""" for h in (3, 5) for m, e in _RULES_SQL.items()
+    for t in [0.3 if m == "chars_mod" else 0.6]) + """),
+c AS (SELECT horizon_dir, model, count_if(label = 1) AS n1, count_if(label = 0) AS n0,
+             count_if(label = 1 AND p >= cut) / count_if(label = 1) AS sens, count_if(label = 0 AND p < cut) / count_if(label = 0) AS spec
+      FROM t GROUP BY horizon_dir, model),
+a AS (SELECT x.horizon_dir, x.model, sum(CASE WHEN x.p > y.p THEN 1.0 WHEN x.p = y.p THEN 0.5 ELSE 0 END) AS wins
+      FROM t x JOIN t y ON x.horizon_dir = y.horizon_dir AND x.model = y.model WHERE x.label = 1 AND y.label = 0 GROUP BY x.horizon_dir, x.model)
+SELECT horizon_dir, model, 'Sensitivity' AS metric, round(sens, 6) + 0.0 AS score FROM c
+UNION ALL SELECT horizon_dir, model, 'Specificity', round(spec, 6) + 0.0 FROM c
+UNION ALL SELECT horizon_dir, model, 'G-Mean', round(sqrt(sens * spec), 6) + 0.0 FROM c
+UNION ALL SELECT horizon_dir, model, 'AUC', round(wins / (n1 * n0), 6) + 0.0 FROM a JOIN c USING (horizon_dir, model)"""
+
+
+def _write_study(spark, d, root):
+    """Two horizons of two rule models with all artefacts, and a folder with the summary or the pipeline alone."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+    rows = (R.table(spark, d, "documents").select("doc_id", "n_chars").join(R.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
+            .select(F.col("doc_id").alias("id"), "n_chars", F.col("toxic").alias("label")))
+    for h in (3, 5):
+        test = rows.where(F.col("id") % h == 0)
+        SK.write_test_split(test, ["n_chars"], f"{root}/{h}anos")
+        for name, rule in _RULES.items():
+            model = Pipeline(stages=[SQLTransformer(statement=f"SELECT *, {rule} AS p FROM __THIS__")]).fit(test)
+            t = 0.3 if name == "chars_mod" else 0.6
+            rep = EV.classification_report(EV.predict_at(model.transform(test), "p", t))
+            summary = SK.summary_frame(spark, name, 1, t, {"rule": rule}, ["n_chars"], rep)
+            for base, whole in ((f"{root}/{h}anos/{name}", True), (f"{root}/{h}anos/{name}_unfitted", False)):
+                SK.write_summary(summary, f"{base}/summary")
+                SK.write_report(rep, f"{base}/report")
+                if whole:
+                    SK.save_pipeline(model, f"{base}/pipeline")
+        SK.save_pipeline(model, f"{root}/{h}anos/unreported/pipeline")
+
+
+@query("study_from_artifacts", sql=_SAVED_SQL)
+def study_from_artifacts(spark, d):
+    """Saved models found by both artefacts, run on the saved test splits, and compared."""
+    from horizonkit.operators.study import compare_saved, saved_predictions
+    root = scratch_path(spark, "study")
+    _write_study(spark, d, root)
+    out = compare_saved(saved_predictions(spark, root))
+    return out.select("horizon_dir", "model", F.col("Metric").alias("metric"), K.r6("Score").alias("score"))
+
+
+@query("report_roundtrip", sql=f"""
+WITH {Q.SCORES}, {Q.THRESHOLDS}, {Q.BEST},
+best AS (SELECT CASE WHEN score > 0 THEN t ELSE 0.5 END AS t FROM b),
+pr AS (SELECT label, CASE WHEN p >= best.t THEN 1 ELSE 0 END AS pred FROM scores, best),
+{Q.REPORT},
+rep AS (SELECT class, f1, support FROM f
+        UNION ALL SELECT 'macro avg', avg(f1), sum(support) FROM f
+        UNION ALL SELECT 'weighted avg', sum(f1 * support) / sum(support), sum(support) FROM f
+        UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(support) FROM f)
+SELECT '5anos' AS horizon_dir, 'chars_mod' AS model_dir, class, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM rep""")
+def report_roundtrip(spark, d):
+    """The text report written and read back, tagged by its folder."""
+    sc = R.scores(spark, d)
+    t = EV.best_threshold(EV.threshold_sweep(sc)).first()["best_threshold"]
+    root = scratch_path(spark, "results")
+    SK.write_report(EV.classification_report(EV.predict_at(sc, "p", t)), f"{root}/5anos/chars_mod/report")
+    return SK.read_report(spark, root).select("horizon_dir", "model_dir", "class", K.r6("f1").alias("f1"), "support")
+
+
+@query("merged_table_roundtrip", sql=f"""
+WITH {Q.MERGED}
+SELECT ID, Name, Data_MSC, Tempo, quantity FROM merged""")
+def merged_table_roundtrip(spark, d):
+    """The merged table written and scanned back."""
+    path = scratch_path(spark, "merged")
+    SK.write_table(merged(spark, d), path)
+    return TB.read_table(spark, path, fmt="parquet").select("ID", "Name", "Data_MSC", "Tempo", "quantity")

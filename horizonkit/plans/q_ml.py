@@ -242,10 +242,10 @@ WITH x AS (SELECT vec_id AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label,
                   CAST(embedding[3] AS DOUBLE) AS f2, CAST(embedding[4] AS DOUBLE) AS f3 FROM embeddings),
 own AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(id || ':10049'), 1, 8) AS BIGINT), id) AS rid FROM x),
 n AS (SELECT count(*) AS n FROM x),
-m AS (SELECT r, min(a) AS a, ((r + 1) * 40503 + 42 * 7919) % min(n) AS b
+mul AS (SELECT r, min(a) AS a, ((r + 1) * 40503 + 42 * 7919) % min(n) AS b
       FROM (SELECT r, n, unnest(range(1 + ((r + 1) * 2654435761 + 42) % n, 1000 + ((r + 1) * 2654435761 + 42) % n)) AS a FROM n, range(10) t(r))
       WHERE gcd(a, n) = 1 GROUP BY r),
-src AS (SELECT m.r, o.rid, s.f0, s.f1, s.f2, s.f3 FROM own o, m, n JOIN own s ON s.rid = 1 + (m.a * (o.rid - 1) + m.b) % n.n),
+src AS (SELECT mul.r, o.rid, s.f0, s.f1, s.f2, s.f3 FROM own o, mul, n, own s WHERE s.rid = 1 + (mul.a * (o.rid - 1) + mul.b) % n.n),
 c AS (SELECT label, r, f, CASE WHEN f = 'f0' THEN s.f0 ELSE o.f0 END AS f0, CASE WHEN f = 'f1' THEN s.f1 ELSE o.f1 END AS f1,
              CASE WHEN f = 'f2' THEN s.f2 ELSE o.f2 END AS f2, CASE WHEN f = 'f3' THEN s.f3 ELSE o.f3 END AS f3
       FROM own o JOIN src s USING (rid), (SELECT unnest(['f0', 'f1', 'f2', 'f3']) AS f)),
@@ -297,23 +297,51 @@ def oof_coverage(spark, d):
     return o.select("id", "fold", F.col("label").cast("int").alias("label"), F.col("p").between(0, 1).alias("in_range"))
 
 
-@query("horizon_study")
-def horizon_study(spark, d):
-    """horizons x models on the merged cohort (prep, split, weights, fit,
-    out-of-fold threshold, test metrics, summaries written to the shared folder)."""
+#: The study's declared space: two draws of each model, searched whole.
+STUDY_SPACE = {
+    "RandomForest": [{"n_estimators": 100, "max_depth": 10, "max_features": "sqrt", "min_samples_leaf": 4, "k": 10},
+                     {"n_estimators": 100, "max_depth": 10, "max_features": 0.6, "min_samples_leaf": 4, "criterion": "entropy", "k": 10}],
+    "GradientBoosting": [{"n_estimators": 100, "learning_rate": r, "max_depth": 3, "subsample": 0.8, "k": 10} for r in (0.05, 0.1)],
+    "XGBoost": [{"n_estimators": 100, "learning_rate": r, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8, "k": 10} for r in (0.05, 0.1)],
+    "LightGBM": [{"n_estimators": 100, "learning_rate": r, "num_leaves": 20, "max_depth": -1, "k": 10} for r in (0.05, 0.1)],
+    "MLPClassifier": [{"hidden_layer_sizes": [50], "activation": a, "solver": "adam", "alpha": 0.0001, "k": 10} for a in ("tanh", "relu")],
+}
+
+
+def _study(spark, d, **more):
     from horizonkit.operators import cohort as C
     from horizonkit.operators.study import run_horizon_study
     from horizonkit.plans.q_cohort import merged
-    from horizonkit.session import scratch_path
     lab = C.label_horizons(merged(spark, d), event_col="Obito_MS", time_col="Tempo")
     lab = lab.withColumnRenamed("exam_ts", "Date Holter")
-    out = run_horizon_study(
-        lab, drop_cols=["ID", "Name", "Obito_MS", "Time"], nominal=["o_orderpriority"],
-        models={"RandomForest": {"n_estimators": 20, "max_depth": 8}}, out_dir=scratch_path(spark, "study"))
-    return out.select("horizon", "model", "k", K.r6("threshold").alias("threshold"), "n_train", "n_test",
+    return run_horizon_study(lab, drop_cols=["ID", "Name", "Obito_MS", "Time"], nominal=["o_orderpriority"], **more)
+
+
+@query("horizon_study")
+def horizon_study(spark, d):
+    """horizons x five models on the merged cohort: each one's declared space searched whole, refit,
+    out-of-fold threshold, test metrics; pipelines, summaries, reports and test splits written to the shared folder."""
+    from horizonkit.session import scratch_path
+    out = _study(spark, d, spaces=STUDY_SPACE, out_dir=scratch_path(spark, "study"), parallelism=5).summary
+    return out.select("horizon", "model", "k", K.r6("threshold").alias("threshold"), K.r6("cv_gmean").alias("cv_gmean"), "n_train", "n_test",
                       *[K.r6(c).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1", "gmean")])
 
 
+@query("study_rejects", sql="""
+SELECT CAST(h AS INTEGER) AS horizon, m AS model, s AS step FROM (
+  VALUES (3, 'NoSuchModel', 'search'), (5, 'NoSuchModel', 'search'), (3, 'MLPClassifier', 'search'), (5, 'MLPClassifier', 'search')) t(h, m, s)
+WHERE EXISTS (SELECT 1 FROM lineitem)
+UNION ALL SELECT 99, NULL, 'prepare' WHERE EXISTS (SELECT 1 FROM lineitem)""")
+def study_rejects(spark, d):
+    """Models that fail and a horizon without rows are left out and reported; the study survives them."""
+    spaces = {"NoSuchModel": [{"k": 10}], "MLPClassifier": [{"solver": "lbfgs", "k": 10}],
+              "LightGBM": [{"n_estimators": 2, "num_leaves": 4, "k": 100}]}
+    study = _study(spark, d, horizons=(3, 5, 99), spaces=spaces)
+    if study.summary.count() != 2:
+        raise RuntimeError("the models that can be fitted were not")
+    return study.rejects.select("horizon", "model", "step")
+
+
 @query("pipeline_roundtrip")
 def pipeline_roundtrip(spark, d):
     """A10: fitted pipeline saved to the shared folder, loaded, used to score."""

@@ -28,7 +28,8 @@ def read_signal_dir(spark: SparkSession, path: str, id_pattern: str = DEFAULT_ID
     ``mode="lines"`` (default) reads files split by split in parallel and
     rebuilds the sample index from each split's start offset: lines inside a
     split arrive in order, so index = lines in earlier splits of the file +
-    position inside the split. ``mode="whole"`` reads each file as one value.
+    position inside the split. Several files of one patient are one signal, in the
+    order of their names. ``mode="whole"`` reads each file as one value (and numbers each by itself).
     """
     src = F.col("_metadata.file_name") if on == "name" else F.col("_metadata.file_path")
     if mode == "whole":
@@ -46,9 +47,10 @@ def read_signal_dir(spark: SparkSession, path: str, id_pattern: str = DEFAULT_ID
                   .withColumn("__pid", F.regexp_extract(F.col("file"), id_pattern, 1)))
         files = lines.select("file", "__pid")
         ok = lines.where((F.col("__pid") != "") & (F.col("tok") != ""))
-        blocks = ok.groupBy("file", "__blk").agg(F.count("*").alias("__n"))
-        w = Window.partitionBy("file").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))   # splits per file
+        blocks = ok.groupBy("__pid", "file", "__blk").agg(F.count("*").alias("__n"))
+        # splits of a patient: its files in the order of their names, and inside a file by offset
+        w = Window.partitionBy("__pid").orderBy("file", "__blk").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__pid")
         # numbered after blank lines are gone, inside one split of one file
         place = F.row_number().over(Window.partitionBy("file", "__blk").orderBy("__mid")) - 1
         toks = (ok.withColumn("__at", place).join(blocks, ["file", "__blk"])
@@ -61,11 +63,12 @@ def read_signal_dir(spark: SparkSession, path: str, id_pattern: str = DEFAULT_ID
 
 
 def write_signal_dir(df: DataFrame, path: str, key: str, idx: str, value: str, fmt: str | None = None) -> None:
-    """Write one text folder per patient (``key=<id>/part-*.txt``), samples in order.
+    """Write one text folder per patient (``key=<id>/part-<task>-*.txt``), samples in order.
 
-    Values keep all their digits unless ``fmt`` is given. ``repartition(key)`` puts each patient in one task, so each folder holds
-    one file; ``sortWithinPartitions`` keeps the sample order inside it.
+    Values keep all their digits unless ``fmt`` is given. Rows are dealt to tasks by ranges of
+    (patient, sample): a long signal is written by several tasks, and as a
+    file's name begins with its task's number, the names' order is the samples'.
     """
     (df.select(key, idx, (F.format_string(fmt, F.col(value)) if fmt else F.col(value).cast("string")).alias("value"))
-       .repartition(key).sortWithinPartitions(key, idx)
+       .repartitionByRange(key, idx).sortWithinPartitions(key, idx)
        .drop(idx).write.mode("overwrite").partitionBy(key).text(path))

@@ -25,10 +25,44 @@ def write_horizons(df: DataFrame, path: str, horizon_col: str = "horizon", fmt:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Merged table, test split and feature names travel as columns."""
+    """A merged table."""
     df.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_test_split(test: DataFrame, features: list[str], folder: str) -> None:
+    """The held-out rows of a horizon, and the names of its features in their order."""
+    write_table(test, f"{folder}/test")
+    names = test.sparkSession.createDataFrame(list(enumerate(features)), "place int, feature string")
+    write_table(names.coalesce(1), f"{folder}/features")
+
+
+def read_test_split(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    names = spark.read.parquet(f"{folder}/features").orderBy("place").collect()  # a row for each column
+    return spark.read.parquet(f"{folder}/test"), [r["feature"] for r in names]
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """``(horizon_dir, model_dir)`` of the folders that hold both a summary and a fitted pipeline.
+
+    Only file names are read; a folder with one of the two is left out.
+    """
+    def dirs(pattern: str, inner: str) -> DataFrame:
+        files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/{pattern}").select("path")
+        found = [F.regexp_extract("path", rf"/([^/]+)/([^/]+)/{inner}/[^/]*$", i) for i in (1, 2)]
+        return files.select(found[0].alias("horizon_dir"), found[1].alias("model_dir")).distinct()
+
+    return dirs("summary/*.json", "summary").join(dirs("pipeline/metadata/part-*", "pipeline/metadata"), ["horizon_dir", "model_dir"])
+
+
+def read_report(spark: SparkSession, root: str) -> DataFrame:
+    """The text reports below ``root/<horizon>/<model>/report``, tagged by path."""
+    schema = "class string, precision double, recall double, f1 double, support long"
+    df = spark.read.option("header", True).schema(schema).csv(f"{root.rstrip('/')}/*/*/report")
+    p = F.col("_metadata.file_path")
+    return df.select(F.regexp_extract(p, r"/([^/]+)/([^/]+)/report/", 1).alias("horizon_dir"),
+                     F.regexp_extract(p, r"/([^/]+)/report/", 1).alias("model_dir"), "*")
+
+
 def save_pipeline(model: PipelineModel, path: str) -> None:
     """A10."""
     model.write().overwrite().save(path)
@@ -68,4 +102,4 @@ def read_summaries(spark: SparkSession, root: str) -> DataFrame:
 
 def write_report(report: DataFrame, path: str) -> None:
     """The report as a small CSV (one file)."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    report.select("class", "precision", "recall", "f1", "support").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
