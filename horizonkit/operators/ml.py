@@ -326,6 +326,8 @@ def search(train: DataFrame, name: str, cols: list[str], draws: list[dict], fold
 def search_scores(train: DataFrame, name: str, cols: list[str], draws: list[dict], fold_col: str = "fold", weight_col: str | None = None,
                   label: str = "label", n_folds: int = 5, id_col: str = "id") -> list[tuple[dict, float]]:
     """Every draw with its mean G-Mean over the folds (a row for each draw comes back)."""
+    for d in draws:
+        make_classifier(name, split_best(d)[0])  # a draw that cannot be made fails before any job
     if all(d["k"] >= len(cols) for d in draws):
         ranked = [list(range(len(cols)))] * n_folds
     else:

@@ -240,14 +240,21 @@ def histogram(bins: np.ndarray, rows: np.ndarray, node: np.ndarray, candidates:
 def best_cuts(spec: Spec, hist: np.ndarray, candidates: np.ndarray):
     """For each open node: feature, bin, relative gain, weight, rows left and in all (ties: smallest feature, then bin)."""
     n, d, g = np.cumsum(hist, axis=3)
-    (nt, dt, gt), shape = (x[:, :, -1:] for x in (n, d, g)), n.shape
-    ok = (n >= spec.min_leaf) & (nt - n >= spec.min_leaf) & (n > 0) & (nt > n) & (d >= spec.min_weight) & (dt - d >= spec.min_weight)
+    nodes, m, bins = n.shape
+    ok = (hist[0] > 0) & (n < n[:, :, -1:])  # a cut behind an empty bin is the one before it
+    if spec.min_leaf > 1:
+        ok &= (n >= spec.min_leaf) & (n[:, :, -1:] - n >= spec.min_leaf)
+    if spec.min_weight > 0:
+        ok &= (d >= spec.min_weight) & (d[:, :, -1:] - d >= spec.min_weight)
+    at = np.flatnonzero(ok)
+    dl, gl, dt, gt = d.ravel()[at], g.ravel()[at], d[:, :, -1].ravel()[at // bins], g[:, :, -1].ravel()[at // bins]
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = (_parts(spec, g, d) + _parts(spec, gt - g, dt - d) - _parts(spec, gt, dt)) / dt
-    gain = np.where(ok, np.round(np.nan_to_num(gain, nan=0.0, posinf=0.0, neginf=0.0), DIGITS), 0.0).reshape(shape[0], -1)
-    best = gain.argmax(1)
-    i, (f, b) = np.arange(shape[0]), np.divmod(best, shape[2])
-    return candidates[i, f], b, gain[i, best], dt[:, 0, 0], n[i, f, b], nt[:, 0, 0]
+        found = (_parts(spec, gl, dl) + _parts(spec, gt - gl, dt - dl) - _parts(spec, gt, dt)) / dt
+    gain = np.zeros((nodes, m * bins))
+    gain.ravel()[at] = np.round(np.nan_to_num(found, nan=0.0, posinf=0.0, neginf=0.0), DIGITS)
+    best, i = gain.argmax(1), np.arange(nodes)
+    f, b = np.divmod(best, bins)
+    return candidates[i, f], b, gain[i, best], d[:, 0, -1], n[i, f, b], n[:, 0, -1]
 
 
 def _weights(spec: Spec, w: np.ndarray, h: np.ndarray | None) -> np.ndarray:
