@@ -92,10 +92,10 @@ def test_quality_edges(spark):
     good, bad = "the river runs to the sea and the hills", "### $$$ ### %%% ### &&&"
     rows = [(i, good + f" w{i}" if i % 2 else bad + f" w{i}") for i in range(80)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, None), (None, 1), (1, 1)], "id long, y int")
-    scored = quality.score_quality(docs(spark, rows + MIXED[:6]), labels)
+    scored = quality.score_quality(docs(spark, rows + MIXED), labels)
     assert scored.columns == [*docs(spark, []).columns, "score"]
     got = [(r[0], r[len(r) - 1]) for r in scored.collect()]
-    assert len(got) == 86 and all(0 <= s <= 1 for _, s in got)
+    assert len(got) == 87 and all(0 <= s <= 1 for _, s in got)
     held = {i: s for i, s in got if i is not None and i >= 60}
     assert all((s > 0.5) == bool(i % 2) for i, s in held.items())
     empty = labels.where("false")
@@ -211,9 +211,9 @@ def test_each_word_has_its_own_vector(spark, monkeypatch):
 def test_toxicity_edges(spark):
     rows = [(i, f"some plain words here number{i % 7}" + (" vilething" if i % 4 == 0 else "")) for i in range(160)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)] + [(None, 1), (1, None)], "id long, y int")
-    scored = toxicity.score_toxicity(docs(spark, rows + MIXED[:6]), labels)
+    scored = toxicity.score_toxicity(docs(spark, rows + MIXED), labels)
     got = [(r["doc_id"], r["toxicity"]["toxic"]) for r in scored.collect()]
-    assert len(got) == 166 and all(0 <= p <= 1 for _, p in got)
+    assert len(got) == 167 and all(0 <= p <= 1 for _, p in got)
     assert all((p >= 0.5) == (i % 4 == 0) for i, p in got if i is not None and i >= 120)
     none = toxicity.score_toxicity(docs(spark, rows[:2]), labels.where("y = 0")).collect()
     assert {r["toxicity"]["toxic"] for r in none} == {0.0}
@@ -317,14 +317,15 @@ def test_ann_edges(spark):
 def test_pipeline_stages_keep_clashing_columns(spark):
     import corpus_pipeline
     names = "doc_id long, text string, lang string, source string, n_chars long, __score string, __LEAKS string, __k string"
-    rows = [(i, t, None, None, None, "a", "b", "c") for i, t in [*MIXED[:6], (9, "the river runs to the sea " * 9)]]
+    rows = [(i, t, None, None, None, "a", "b", "c") for i, t in [*MIXED, (9, "the river runs to the sea " * 9)]]
     for table in (rows, []):
         frame = spark.createDataFrame(table, names)
         for _, stage in corpus_pipeline.STAGES[:-1]:
             kept = stage(spark, frame, "/root/testdata/sf0.001")
             assert kept.columns == frame.columns
             assert {(r["__score"], r["__LEAKS"], r["__k"]) for r in kept.collect()} <= {("a", "b", "c")}
-        assert corpus_pipeline.STAGES[-1][1](spark, frame, "/root/testdata/sf0.001").count() == len(table)
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, "/root/testdata/sf0.001")
+        assert packed.where("piece = 0").count() == len(table) and dict(packed.dtypes)["piece"] == "int"
 
 
 def test_tested_tokens_touch_no_base_span():
@@ -485,3 +486,45 @@ def test_mark_of_many_edges(spark):
     moved = edges.where("v <> 5").union(spark.createDataFrame([(4 * 7919, 6)], "u long, v long"))
     a, b, c = (tuple(components._mark(x)) for x in (edges, edges.repartition(3), moved))
     assert a == b and a[0] == 24_000_000 and a != c
+
+
+def test_secret_behind_a_long_text(spark):
+    text = LONG + " password=hunter2xyz"
+    found = secrets.find_secrets(docs(spark, [(1, text)])).collect()[0]["secret_spans"]
+    assert [(x["kind"], x["start"], x["end"]) for x in found if x["kind"] == "assign"] == [("assign", len(LONG) + 1, len(text))]
+
+
+def names_of(rng, words, n):
+    """Ordinary identifiers, paths, camel case, made up otherwise than the operator makes them."""
+    out = []
+    for _ in range(n):
+        some = [rng.choice(words) for _ in range(rng.randint(4, 8))]
+        out.append(rng.choice(["".join(w.title() for w in some), "_".join(some) + str(rng.randint(1, 2025)), "/".join(some) + "/v2",
+                               "get" + "".join(w.title() for w in some) + "ById", "-".join(some) + "-" + str(rng.randint(10, 99)),
+                               "/".join(w.title() for w in some), "_".join(w.upper() for w in some) + "_64"]))
+    return [x for x in out if len(x) >= 20]
+
+
+def test_false_discoveries_are_controlled(spark):
+    rng = random.Random(12)
+    words = ("time person year way day thing world school state family student group country problem hand part place case week company system "
+             "program question work government number night point home water room mother area money story fact month lot right study book").split()
+    names = names_of(rng, words, 1500)
+    text = lambda x: " ".join(rng.choices(words, k=40)) + f" {x} " + " ".join(rng.choices(words, k=20))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=40)) for _ in range(60)]
+    ordinary = spark.createDataFrame([(i, text(x)) for i, x in enumerate(names)], "doc_id long, text string").repartition(4)
+    alone = secrets.find_secrets(ordinary).where(F.size("secret_spans") > 0).count()
+    assert alone <= 0.05 * len(names)  # without any secret there is nothing right to find
+    both = ordinary.union(spark.createDataFrame([(10_000 + i, text(k)) for i, k in enumerate(keys)], "doc_id long, text string"))
+    found = [r["doc_id"] for r in secrets.find_secrets(both).where(F.size("secret_spans") > 0).collect()]
+    false = sum(i < 10_000 for i in found)
+    assert len(found) - false >= 50 and false <= 0.1 * len(found)
+
+
+def test_ordinary_names_among_constant_tokens(spark):
+    rows = [(i, "see aaaaAAAA1111bbbbBBBB2222ccccCCCC end") for i in range(200)]
+    names = ["pages/News/2024/ThisWeekInTech", "HelloWorldThisIsATestOfNaming42", "ISO8859-1ToUnicodeConverterMap", "getUserNameByAccountId2"]
+    rows += [(1000 + i, f"the name {x} stands here") for i, x in enumerate(names)]
+    found = secrets.find_secrets(docs(spark, rows)).where(F.size("secret_spans") > 0)
+    assert found.count() == 0
