@@ -19,6 +19,10 @@ from horizonkit.session import written
 
 #: Rows that fit the index at most (those of smallest id hash), and neighbours of each in the graph.
 SAMPLE, NEIGHBOURS = 8_192, 10
+#: Parts: a quarter of the square root of the rows, each with so many rows of the sample at least.
+ROWS_OF_PART = 32
+#: Share of neighbours that the routing is to find among rows it has not seen, one in ``HELD_OUT`` of the sample.
+RECALL, HELD_OUT = 0.93, 8
 #: Rows and queries that meet in one task at most.
 ROWS_AT_ONCE, QUERIES_AT_ONCE = 4_096, 1_024
 
@@ -134,6 +138,48 @@ def fit_index(x: np.ndarray, parts: int) -> Router:
     return fit_router(x, target / target.sum(1, keepdims=True))
 
 
+@dataclass
+class Routing:
+    """A row stands in its ``spread`` most probable parts, a query opens its ``probes`` most probable ones."""
+
+    router: Router
+    spread: int
+    probes: int
+
+
+def by_probability(router: Router, x: np.ndarray, count: int) -> np.ndarray:
+    return np.argsort(-router.logits(x), axis=1, kind="stable")[:, :count]
+
+
+def fit_routing(x: np.ndarray, parts: int, recall: float = RECALL, share: float | None = None, spread: int | None = None) -> Routing:
+    """Fit on most rows of a sample, then choose spread and probes by the neighbours that the rest find.
+
+    A row and its neighbours in the sample are farther apart than in the whole table, so the recall there is
+    rather higher. ``share`` and ``spread`` fix what would be chosen.
+    """
+    parts = max(1, min(parts, len(x)))
+    held = np.arange(len(x)) % HELD_OUT == HELD_OUT - 1
+    own, rest = x[~held], x[held]
+    if share is not None or len(own) <= NEIGHBOURS or not len(rest):
+        router = fit_index(x, parts)
+        return Routing(router, spread or 2, max(1, int(np.ceil((1.0 if share is None else share) * len(router.b2)))))
+    router = fit_index(own, parts)
+    count = len(router.b2)
+    square = (own * own).sum(1)
+    near = np.concatenate([np.argpartition(square - 2 * rest[at:at + 512] @ own.T, NEIGHBOURS - 1, axis=1)[:, :NEIGHBOURS]
+                           for at in range(0, len(rest), 512)])
+    place = np.empty((len(rest), count), np.int64)  # of each part in a query's order
+    np.put_along_axis(place, by_probability(router, rest, count), np.arange(count)[None], axis=1)
+    best = None
+    for s in (spread,) if spread else (1, 2):
+        stands = by_probability(router, own, min(s, count))
+        first = np.min([place[np.arange(len(rest))[:, None], stands[near, k]] for k in range(stands.shape[1])], axis=0)
+        probes = 1 + int(np.quantile(first, recall, method="higher"))
+        if best is None or s * probes < best.spread * best.probes:
+            best = Routing(router, s, probes)
+    return best
+
+
 def closest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """Exact (query, row, distance) of the k nearest rows of each query among these rows.
 
@@ -166,15 +212,17 @@ def closest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None, share: float = 0.5, spread: int = 2,
-           id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None, share: float | None = None,
+           spread: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE,
+           recall: float = RECALL) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest rows found for each query, its own row aside.
 
     ``score`` is the Euclidean distance in double precision, ties go to the
-    smaller id. ``queries`` has the same columns as ``vectors``. ``parts``: about a
-    part for 1,500 rows, from 16 to 64, unless given; a row stands in its ``spread`` most
-    probable ones, a query looks into ``share`` of them. At most ``sample`` rows fit
-    the index; every row is in it.
+    smaller id. ``queries`` has the same columns as ``vectors``. ``parts``: a quarter of the
+    square root of the rows, each with ``ROWS_OF_PART`` of the sample at least, unless given. A row stands in its
+    ``spread`` most probable ones, a query looks into ``share`` of them; what is not given
+    is chosen for ``recall`` by ``fit_routing``. At most ``sample`` rows fit
+    the index (more parts than that allows need a larger one); every row is in it.
 
     Vectors that are null, empty, all zero or hold null or non-finite
     components take no part, nor do null ids, nor vectors of another length
@@ -198,15 +246,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | Non
     dim, n = sizes["d"], sizes["n"]
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     fit = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()]
-    router = spark.sparkContext.broadcast(fit_index(np.array(fit), parts or min(64, max(16, n // 1500))))
-    probes = max(1, int(np.ceil(share * len(router.value.b2))))
+    wanted = parts or min(max(1, len(fit) // ROWS_OF_PART), int(np.ceil(np.sqrt(n) / 4)))
+    routing = fit_routing(np.array(fit), wanted, recall, share, spread)
+    router = spark.sparkContext.broadcast(routing.router)
+    spread, probes = routing.spread, routing.probes
 
     def route(count: int):
         def run(batches):
             for b in batches:
                 if b.num_rows:
                     x = np.array(b.column(1).flatten()).reshape(-1, dim)
-                    top = np.argsort(-router.value.logits(x), axis=1, kind="stable")[:, :count]
+                    top = by_probability(router.value, x, count)
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.tolist(), pa.list_(pa.int32()))], ["id", "v", "parts"])
         return run
 

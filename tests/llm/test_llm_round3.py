@@ -246,3 +246,29 @@ def test_bounds_are_never_too_large():
         to, distance, checked = centroids.nearest(x, near, c, own, gaps)
         assert [int(d) for d in distance] == [min(r) for r in exact.tolist()] and to.tolist() == [r.index(min(r)) for r in exact.tolist()]
         assert not line or checked < 200 * 12 / 2  # on a line the bounds are tight
+
+
+# ---------------------------------------------------------------- nearest neighbours
+def test_routing_opens_few_parts_where_vectors_cluster(spark):
+    """Below a quarter of the rows compared for a query, and nine of ten neighbours found."""
+    from horizonkit.llm import ann
+    rng = np.random.RandomState(7)
+    mid = rng.randn(60, 16) * 4
+    x = (mid[rng.randint(60, size=6000)] + rng.randn(6000, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.search(frame, frame.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 600
+    routing = ann.fit_routing(x[:4096], 20)
+    stands, opens = (ann.by_probability(routing.router, v, c) for v, c in ((x, routing.spread), (x[::100], routing.probes)))
+    sizes = np.bincount(stands.ravel(), minlength=20)
+    assert sizes[opens].sum(1).mean() < 0.25 * len(x)
+    one = ann.fit_routing(x[:5], 3)
+    assert one.probes == len(one.router.b2)  # too few rows to measure: every part is opened
