@@ -297,14 +297,14 @@ def oof_coverage(spark, d):
     return o.select("id", "fold", F.col("label").cast("int").alias("label"), F.col("p").between(0, 1).alias("in_range"))
 
 
-#: The study's declared space: two draws of each model, searched whole.
+#: The study's declared space: two draws of each model, searched whole; networks train for 60 epochs at most.
 STUDY_SPACE = {
     "RandomForest": [{"n_estimators": 100, "max_depth": 10, "max_features": "sqrt", "min_samples_leaf": 4, "k": 10},
                      {"n_estimators": 100, "max_depth": 10, "max_features": 0.6, "min_samples_leaf": 4, "criterion": "entropy", "k": 10}],
     "GradientBoosting": [{"n_estimators": 100, "learning_rate": r, "max_depth": 3, "subsample": 0.8, "k": 10} for r in (0.05, 0.1)],
     "XGBoost": [{"n_estimators": 100, "learning_rate": r, "max_depth": 3, "subsample": 0.8, "colsample_bytree": 0.8, "k": 10} for r in (0.05, 0.1)],
     "LightGBM": [{"n_estimators": 100, "learning_rate": r, "num_leaves": 20, "max_depth": -1, "k": 10} for r in (0.05, 0.1)],
-    "MLPClassifier": [{"hidden_layer_sizes": [50], "activation": a, "solver": "adam", "alpha": 0.0001, "k": 10} for a in ("tanh", "relu")],
+    "MLPClassifier": [{"hidden_layer_sizes": [50], "activation": a, "solver": "adam", "alpha": 0.0001, "max_iter": 60, "k": 10} for a in ("tanh", "relu")],
 }
 
 
