@@ -328,6 +328,17 @@ def search_scores(train: DataFrame, name: str, cols: list[str], draws: list[dict
     """Every draw with its mean G-Mean over the folds (a row for each draw comes back)."""
     for d in draws:
         make_classifier(name, split_best(d)[0])  # a draw that cannot be made fails before any job
+    capped, ranked, rows = _search_inputs(train, name, cols, draws, fold_col, weight_col, label, n_folds, id_col)
+    if name == "MLPClassifier":
+        counts = NN.search_counts(NN.matrix(rows, len(cols)), capped, ranked)
+    else:
+        counts = TR.search_counts(TR.binned(rows, len(cols)), name, capped, ranked)
+    found = {r["draw"]: r["g"] for r in counts.select("draw", M.gmean_strict().alias("g")).groupBy("draw").agg(F.avg("g").alias("g")).collect()}
+    return [(d, found[i]) for i, d in enumerate(draws)]
+
+
+def _search_inputs(train, name, cols, draws, fold_col, weight_col, label, n_folds, id_col):
+    """Draws with k within the columns, the folds' rankings, and the rows ``id, x, y, w, fold``."""
     if all(d["k"] >= len(cols) for d in draws):
         ranked = [list(range(len(cols)))] * n_folds
     else:
@@ -336,12 +347,17 @@ def search_scores(train: DataFrame, name: str, cols: list[str], draws: list[dict
     rows = train.select(F.col(id_col).alias("id"), F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x"),
                         F.col(label).cast("double").alias("y"),
                         (F.col(weight_col) if weight_col and name in WEIGHTED else F.lit(1.0)).alias("w"), F.col(fold_col).alias("fold"))
+    return capped, ranked, rows
+
+
+def oof_side_by_side(train: DataFrame, name: str, params: dict, k: int, cols: list[str], fold_col: str = "fold", weight_col: str | None = None,
+                     label: str = "label", n_folds: int = 5, id_col: str = "id") -> DataFrame:
+    """``id, fold, label, p`` of every training row, the folds' models trained at once over one table."""
+    [draw], ranked, rows = _search_inputs(train, name, cols, [params | {"k": k}], fold_col, weight_col, label, n_folds, id_col)
+    chosen = [sorted(r[:draw["k"]]) for r in ranked]
     if name == "MLPClassifier":
-        counts = NN.search_counts(NN.matrix(rows, len(cols)), capped, ranked)
-    else:
-        counts = TR.search_counts(TR.binned(rows, len(cols)), name, capped, ranked)
-    found = {r["draw"]: r["g"] for r in counts.select("draw", M.gmean_strict().alias("g")).groupBy("draw").agg(F.avg("g").alias("g")).collect()}
-    return [(d, found[i]) for i, d in enumerate(draws)]
+        return NN.held_out(NN.matrix(rows, len(cols)), NN.net_of(params), chosen)
+    return TR.held_out(TR.binned(rows, len(cols)), TR.spec_of(name, params), chosen)
 
 
 def split_best(best: dict) -> tuple[dict, int]:

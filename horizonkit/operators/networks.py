@@ -443,3 +443,20 @@ def search_counts(table: Matrix, draws: list[dict], ranked: list[list[int]], see
                                       "draw int, fold int, tp long, fp long, fn long, tn long")
     of = spark.createDataFrame([(i, same[k]) for i, k in enumerate(keys)], "draw int, trained int")
     return of.join(found.withColumnRenamed("draw", "trained"), "trained").drop("trained")
+
+
+def held_out(table: Matrix, net: Net, columns: list, seed: int = 42) -> DataFrame:
+    """``id, fold, label, p``: every row's probability by the network of the other folds, all folds trained side by side."""
+    made, width = train(table, [job(table, net, c, f, seed) for f, c in enumerate(columns)]), table.width
+    sent = table.rows.sparkSession.sparkContext.broadcast(made)
+
+    def score(blocks):
+        for b in blocks:
+            ids, fold, y, x = _rows(b, width)
+            for j in sent.value:
+                own = fold == j.left_out
+                z = np.clip(logits(j.inputs(x[own]), j.state.weights, j.state.net), -700, 700)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(fold[own], pa.int32()), pa.array(y[own].astype(np.int32)),
+                                                  pa.array(1 / (1 + np.exp(-z)))], ["id", "fold", "label", "p"])
+
+    return table.rows.mapInArrow(score, "id long, fold int, label int, p double")

@@ -702,10 +702,29 @@ def search_counts(table: Binned, name: str, draws: list[dict], ranked: list[list
     plan = [(spec_of(name, {k: v for k, v in d.items() if k != "k"}), [np.sort(np.array(r[:d["k"]])) for r in ranked]) for d in draws]
     if not table.small:
         return _search_by_rounds(table, plan, folds, schema, seed, n_bins)
+    sent, sums = _held_out_sums(table, plan, folds, seed, n_bins)
+
+    def count(key, t):
+        (_, fold, y, _, _), plan = sent.value
+        i, f = key[0].as_py(), key[1].as_py()
+        return pa.table([[v] for v in (i, f, *_counted(y[fold == f], _from_sums(plan[i][0], t)))], schema=_COUNTS)
+
+    return sums.groupBy("draw", "fold").applyInArrow(count, schema)
+
+
+def _from_sums(spec: Spec, t: pa.Table) -> np.ndarray:
+    """Probabilities from the parts of a model's sums (a few parts of one forest, or a boosted model's whole)."""
+    total = np.sum([np.frombuffer(x, "<f8") for x in t["sums"].to_pylist()], axis=0)
+    return 1 / (1 + np.exp(-np.clip(total, -700, 700))) if spec.boost else total / spec.trees
+
+
+def _held_out_sums(table: Binned, plan: list, folds: int, seed: int, n_bins: int):
+    """What was sent, and ``draw, fold, sums``: the trees' sums for the held-out rows, in the order of ``at_hand``."""
+    spark = table.rows.sparkSession
     sent = spark.sparkContext.broadcast((at_hand(table), plan))
     jobs = [(i, f, k, min(k + TREES_AT_ONCE, spec.trees)) for i, (spec, _) in enumerate(plan) if not spec.boost
             for f in range(folds) for k in range(0, spec.trees, TREES_AT_ONCE)]
-    jobs += [(i, -1, 0, spec.trees) for i, (spec, _) in enumerate(plan) if spec.boost]
+    jobs += [(i, f, 0, spec.trees) for i, (spec, _) in enumerate(plan) if spec.boost for f in (range(folds) if len(plan) < 8 else (-1,))]
 
     def run(batches):
         (ids, fold, y, w, bins), plan = sent.value
@@ -721,16 +740,36 @@ def search_counts(table: Binned, name: str, draws: list[dict], ranked: list[list
                     yield pa.RecordBatch.from_pydict({"draw": pa.array([i], pa.int32()), "fold": pa.array([x], pa.int32()),
                                                       "sums": pa.array([part.astype("<f8").tobytes()], pa.binary())})
 
-    def count(key, t):
-        (_, fold, y, _, _), plan = sent.value
-        i, f = key[0].as_py(), key[1].as_py()
-        total = np.sum([np.frombuffer(x, "<f8") for x in t["sums"].to_pylist()], axis=0)  # a few parts of one forest
-        p = total / plan[i][0].trees if not plan[i][0].boost else 1 / (1 + np.exp(-np.clip(total, -700, 700)))
-        return pa.table([[v] for v in (i, f, *_counted(y[fold == f], p))], schema=_COUNTS)
-
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(jobs) // 8))
-    return (spark.createDataFrame(jobs, "draw int, fold int, first int, last int").repartition(parts)
-            .mapInArrow(run, "draw int, fold int, sums binary").groupBy("draw", "fold").applyInArrow(count, schema))
+    return sent, (spark.createDataFrame(jobs, "draw int, fold int, first int, last int").repartition(parts)
+                  .mapInArrow(run, "draw int, fold int, sums binary"))
+
+
+def held_out(table: Binned, spec: Spec, features: list[np.ndarray], seed: int = 42, n_bins: int = BINS) -> DataFrame:
+    """``id, fold, label, p``: every row's probability by the model of the other folds, all folds' models side by side."""
+    folds, schema = len(features), "id long, fold int, label int, p double"
+    names = ["id", "fold", "label", "p"]
+    if table.small:
+        sent, sums = _held_out_sums(table, [(spec, features)], folds, seed, n_bins)
+
+        def rows(key, t):
+            (ids, fold, y, _, _), _ = sent.value
+            own = fold == key[1].as_py()
+            return pa.table([pa.array(ids[own]), pa.array(fold[own], pa.int32()), pa.array(y[own].astype(np.int32)), pa.array(_from_sums(spec, t))], names=names)
+
+        return sums.groupBy("draw", "fold").applyInArrow(rows, schema)
+    made = fit_by_rounds(table, spec, features, list(range(folds)), lambda trees: np.array([tree_seeds(seed, 0, f, trees) for f in range(folds)]), n_bins)
+    models, width = table.rows.sparkSession.sparkContext.broadcast(made), len(table.edges)
+
+    def score(batches):
+        for b in batches:
+            ids, fold, y, _, bins = _block(b, width)
+            for f in range(folds):
+                own = fold == f
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(fold[own], pa.int32()), pa.array(y[own].astype(np.int32)),
+                                                  pa.array(models.value[f].probability(bins[own]))], names)
+
+    return table.rows.mapInArrow(score, schema)
 
 
 _COUNTS = pa.schema([("draw", pa.int32()), ("fold", pa.int32()), *[(c, pa.int64()) for c in ("tp", "fp", "fn", "tn")]])

@@ -322,7 +322,7 @@ def horizon_study(spark, d):
     """horizons x five models on the merged cohort: each one's declared space searched whole, refit,
     out-of-fold threshold, test metrics; pipelines, summaries, reports and test splits written to the shared folder."""
     from horizonkit.session import scratch_path
-    out = _study(spark, d, spaces=STUDY_SPACE, out_dir=scratch_path(spark, "study"), parallelism=5).summary
+    out = _study(spark, d, spaces=STUDY_SPACE, out_dir=scratch_path(spark, "study"), parallelism=10).summary
     return out.select("horizon", "model", "k", K.r6("threshold").alias("threshold"), K.r6("cv_gmean").alias("cv_gmean"), "n_train", "n_test",
                       *[K.r6(c).alias(c) for c in ("accuracy", "precision", "recall", "specificity", "f1", "gmean")])
 

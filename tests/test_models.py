@@ -214,3 +214,17 @@ def test_saved_evaluator_keeps_its_columns(tmp_path):
     ML.GMeanEvaluator(labelCol="truth", predictionCol="said").save(str(tmp_path / "e"))
     got = ML.GMeanEvaluator.load(str(tmp_path / "e"))
     assert (got.getOrDefault("labelCol"), got.getOrDefault("predictionCol")) == ("truth", "said")
+
+
+@pytest.mark.parametrize("name,params", [("RandomForest", {"n_estimators": 5, "max_depth": 3}), ("XGBoost", {"n_estimators": 3, "max_depth": 2}),
+                                         ("MLPClassifier", {"hidden_layer_sizes": [5], "max_iter": 3})])
+def test_out_of_fold_side_by_side(spark, monkeypatch, name, params):
+    _, _, df = rows_of(spark)
+    data = df.select("id", *[F.col("x")[i].alias(f"c{i}") for i in range(5)], F.col("y").alias("label"), F.col("w").alias("weight"), "fold")
+    got = []
+    for size in (TR.SMALL_BYTES, 0):
+        monkeypatch.setattr(TR, "SMALL_BYTES", size)
+        monkeypatch.setattr(NN, "SMALL_BYTES", size)
+        rows = ML.oof_side_by_side(data, name, params, 5, [f"c{i}" for i in range(5)], weight_col="weight", n_folds=3).collect()
+        got.append({r["id"]: (r["fold"], r["label"], round(r["p"], 9)) for r in rows})
+    assert got[0] == got[1] and len(got[0]) == 240 and all(f == i % 3 for i, (f, _, _) in got[0].items())
