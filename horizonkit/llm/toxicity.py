@@ -125,16 +125,19 @@ class Chain:
         return out
 
 
-def fit_chain(names: list[str], sets: list[np.ndarray], targets: np.ndarray, folds: int = FOLDS) -> Chain:
-    chain, earlier = Chain(names), np.empty((len(sets), 0))
+def fit_chain(sets: list[np.ndarray], toxic: np.ndarray, folds: int = FOLDS) -> Chain:
+    """The chain of ``categories``. A row's out-of-fold probabilities come from models, and from targets, that never saw its fold."""
     fold = np.arange(len(sets)) % folds
+    names, targets = categories(sets, toxic, fold >= 0)
+    others = [categories(sets, toxic, fold != f)[1] if (fold != f).any() else targets for f in range(folds)]
+    chain, earlier = Chain(names), np.empty((len(sets), 0))
     for k in range(len(names)):
-        rows, y = Rows.of(sets, earlier), targets[:, k]
-        chain.models.append(fit_linear(rows, y))
+        rows = Rows.of(sets, earlier)
+        chain.models.append(fit_linear(rows, targets[:, k]))
         unseen = np.empty(len(sets))
         for f in range(folds):
             held = fold == f
-            own = fit_linear(rows.take(~held), y[~held]) if (~held).any() else chain.models[-1]
+            own = fit_linear(rows.take(~held), others[f][~held, k]) if (~held).any() else chain.models[-1]
             unseen[held] = own.score(rows.take(held))
         earlier = np.column_stack((earlier, unseen))
     return chain
@@ -149,12 +152,12 @@ def lexicon(sets: list[np.ndarray], toxic: np.ndarray, least: int = 10, times: f
     return (bad >= least) & (odds >= times)
 
 
-def categories(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
+def categories(sets: list[np.ndarray], toxic: np.ndarray, learn: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Targets of the chain from one label: wording that marks toxic texts, several such words, the label.
 
-    The first two are derived: a text holds a word of ``lexicon``, or three of them.
+    The first two are derived: a text holds a word of the ``lexicon`` of the rows ``learn``, or three of them.
     """
-    bad = lexicon(sets, toxic)
+    bad = lexicon([s for s, own in zip(sets, learn, strict=True) if own], toxic[learn])
     hits = np.array([bad[s].sum() for s in sets])
     return ["insult", "severe", "toxic"], np.column_stack((hits >= 1, hits >= 3, toxic > 0)).astype(float)
 
@@ -189,8 +192,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     plain, schema, old = added(docs, [T.StructField("p", kind)])
     if len(set(y)) < 2:
         return plain.withColumn("p", F.struct(*[F.lit(0.0).alias(n) for n in names])).toDF(*docs.columns, out)
-    names, targets = categories(sets, y)
-    sent = docs.sparkSession.sparkContext.broadcast(fit_chain(names, sets, targets))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_chain(sets, y))
     at = list(old).index(text_col)
 
     def run(batches):
