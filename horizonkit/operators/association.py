@@ -105,6 +105,26 @@ def kinds(long: DataFrame, numeric: dict[str, bool], proven: DataFrame | None =
                   .unionByName(route(cells, numeric).select("feature", "kind")))
 
 
+def bounded_kinds(long: DataFrame) -> DataFrame:
+    """``(feature, n, constant, kind)`` as ``route`` gives it, without an exchange on the values of wide columns.
+
+    One aggregate of fixed size per feature: ten set bits of 64 prove ten
+    values, and equal extremes prove one. Only a numeric column that shows
+    fewer bits than ``MIN_NUMERIC_LEVELS`` and is not constant has its values
+    grouped, and few values set few bits.
+    """
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(x + 0.0D), 64) as int))")
+    per = long.groupBy("feature", "is_num").agg(
+        F.count("*").alias("n"), F.bit_count(F.bit_or(F.when(F.col("is_num"), bit))).alias("bits"),
+        F.coalesce(F.min("x") == F.max("x"), F.min("level") == F.max("level")).alias("constant"))
+    doubt = per.where(F.col("is_num") & ~F.col("constant") & (F.col("bits") < MIN_NUMERIC_LEVELS)).select("feature")
+    levels = (long.join(F.broadcast(doubt), "feature", "left_semi")  # a row per column of the table
+              .groupBy("feature", F.expr("x + 0.0D")).count().groupBy("feature").agg(F.count("*").alias("levels")))
+    many = (F.col("bits") >= MIN_NUMERIC_LEVELS) | (F.col("levels") >= MIN_NUMERIC_LEVELS)
+    kind = F.when(F.col("constant"), "skip").when(F.col("is_num") & many, "numeric").otherwise("categorical")
+    return per.join(levels, "feature", "left").select("feature", "n", "constant", kind.alias("kind"))
+
+
 def numeric_tests(long: DataFrame, routes: DataFrame) -> DataFrame:
     """Point-biserial r, |r|, ANOVA F per numeric feature, one pass.
 

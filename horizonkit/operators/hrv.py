@@ -34,22 +34,28 @@ def _epoch_us(ts: Column) -> Column:
 
 # ---------------------------------------------------------------------- G1
 def sample_index(df: DataFrame, key: str, ts: str, tie: str, chunk_seconds: int = 3600,
-                 out: str = "sample_idx") -> DataFrame:
+                 out: str = "sample_idx", total: str | None = None) -> DataFrame:
     """0-based sample number per key in (ts, tie) order.
 
     Time chunks (monotone in ts) are the window buckets of the row number.
+    ``total``: a column for the key's number of samples (see ``tumble_index``).
     """
     b = df.withColumn("__chunk", F.floor(_epoch_us(F.col(ts)) / F.lit(chunk_seconds * 1_000_000)))
-    r = bucketed_row_number(b, [key], [F.col(ts), F.col(tie)], "__chunk", "__rn")
+    r = bucketed_row_number(b, [key], [F.col(ts), F.col(tie)], "__chunk", "__rn", total)
     return r.withColumn(out, F.col("__rn") - 1).drop("__rn", "__chunk")
 
 
-def tumble_index(df: DataFrame, key: str, idx: str, size: int, out: str = "window_idx") -> DataFrame:
-    """Windows of ``size`` samples from sample 0; the incomplete tail is dropped."""
-    n = df.groupBy(key).agg(F.count("*").alias("__n"))
-    w = F.floor(F.col(idx) / F.lit(size))
-    return (df.join(n, key).withColumn(out, w.cast("long"))
-              .where(F.col(out) < F.floor(F.col("__n") / F.lit(size))).drop("__n"))
+def tumble_index(df: DataFrame, key: str, idx: str, size: int, out: str = "window_idx", total: str | None = None) -> DataFrame:
+    """Windows of ``size`` samples from sample 0; the incomplete tail is dropped.
+
+    ``total``: a column that holds the key's number of samples; it is dropped.
+    Without it the samples are read once more to count them; a null key then has no rows.
+    """
+    n = total or "__n"
+    if total is None:
+        df = df.join(df.groupBy(key).agg(F.count("*").alias(n)), key)
+    return (df.withColumn(out, F.floor(F.col(idx) / F.lit(size)).cast("long"))
+              .where(F.col(out) < F.floor(F.col(n) / F.lit(size))).drop(n))
 
 
 def tumble_time(df: DataFrame, key: str, ts: str, seconds: float, out: str = "window_idx") -> DataFrame:
@@ -298,21 +304,23 @@ def window_features(rr: DataFrame, keys: list[str], freq: dict | None = None) ->
 
 
 def signal_features(samples: DataFrame, key: str, idx: str, value: str, window_samples: int, rate: float,
-                    clean: dict | None = None, peaks: dict | None = None, freq: dict | None = None) -> DataFrame:
+                    clean: dict | None = None, peaks: dict | None = None, freq: dict | None = None,
+                    total: str | None = None) -> DataFrame:
     """Samples -> windows -> cleaned -> peaks -> RR -> all families -> mean and std per patient.
 
     Every ordered step stays inside one window. A window without RR intervals
     has no features; a patient without any such window has no row
     (``feature_rejects``). An incomplete last window is left out.
     """
-    return patient_stats(signal_windows(samples, key, idx, value, window_samples, rate, clean, peaks, freq), key, WINDOW_FEATURES)
+    return patient_stats(signal_windows(samples, key, idx, value, window_samples, rate, clean, peaks, freq, total), key, WINDOW_FEATURES)
 
 
 def signal_windows(samples: DataFrame, key: str, idx: str, value: str, window_samples: int, rate: float,
-                   clean: dict | None = None, peaks: dict | None = None, freq: dict | None = None) -> DataFrame:
+                   clean: dict | None = None, peaks: dict | None = None, freq: dict | None = None,
+                   total: str | None = None) -> DataFrame:
     """The windows' features that ``signal_features`` sums up by patient."""
     keys = [key, "window_idx"]
-    w = tumble_index(samples, key, idx, window_samples)
+    w = tumble_index(samples, key, idx, window_samples, total=total)
     beats = detect_peaks(clean_signal(w, keys, idx, value, **(clean or {})), keys, idx, **(peaks or {}))
     return window_features(rr_from_peaks(beats, keys, idx, rate), keys, freq)
 

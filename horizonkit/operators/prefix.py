@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _offsets(df: DataFrame, part: list[str], bucket: str, sums: dict[str, Column]) -> DataFrame:
+def _offsets(df: DataFrame, part: list[str], bucket: str, sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
+    """Sums of the earlier buckets, and over all of a partition's (``totals``: name of the sum -> column)."""
     agg = df.groupBy(*part, bucket).agg(*[e.alias(k) for k, e in sums.items()])
     w = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
     return agg.select(*part, bucket, *[
-        F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"__off_{k}") for k in sums])
+        F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"__off_{k}") for k in sums],
+        *[F.sum(k).over(whole).alias(c) for k, c in (totals or {}).items()])
 
 
 def _joined(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,12 +37,13 @@ def _joined(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bucketed_row_number(df: DataFrame, part: list[str], order: list, bucket: str,
-                        out: str = "rn") -> DataFrame:
+                        out: str = "rn", total: str | None = None) -> DataFrame:
     """``row_number() over (partition by part order by order)``, exactly.
 
     ``bucket`` must be non-decreasing in ``order`` within each partition.
+    ``total``: a column for the partition's row count, which the offsets table holds anyway.
     """
-    offs = _offsets(df, part, bucket, {"n": F.count("*")})
+    offs = _offsets(df, part, bucket, {"n": F.count("*")}, {"n": total} if total else None)
     w = Window.partitionBy(*part, bucket).orderBy(*order)
     return (_joined(df, offs, part + [bucket])
               .withColumn(out, F.col("__off_n") + F.row_number().over(w))

@@ -129,6 +129,12 @@ def feature_router(spark, d):
     return routes
 
 
+@query("feature_kinds", sql=f"WITH {LINE_SQL}\nSELECT feature, CAST(n AS BIGINT) AS n, n_unique <= 1 AS \"constant\", kind FROM routes")
+def feature_kinds(spark, d):
+    """The router's decision without counting the distinct values of wide columns."""
+    return A.bounded_kinds(A.to_long(_wide(spark, d, "lineitem", LINE_FEATURES, LINE_TARGET), "y", [n for n, *_ in LINE_FEATURES]))
+
+
 @query("point_biserial", sql=f"WITH {EMB_SQL}\nSELECT feature, round(r, 6) AS r, round(abs_r, 6) AS abs_r FROM numres")
 def point_biserial(spark, d):
     """R between each numeric feature and the binary target."""

@@ -18,7 +18,7 @@ TS_SQL = repr(T_SCALE)
 
 def _indexed(spark, d):
     s = R.signal(spark, d)
-    return H.tumble_index(H.sample_index(s, "user_id", "ts", "event_id"), "user_id", "sample_idx", W_SAMPLES)
+    return H.tumble_index(H.sample_index(s, "user_id", "ts", "event_id", total="n"), "user_id", "sample_idx", W_SAMPLES, total="n")
 
 
 _IDX_SQL = f"""
@@ -357,13 +357,13 @@ _JOB_ARGS = {"clean": {"a": 1, "b": 3}, "peaks": {"c": 1, "k": 0.3, "refractory"
 
 def _job_samples(spark, d):
     """Every 11th user's leads are silent, so it has no beats."""
-    s = H.sample_index(R.signal(spark, d), "user_id", "ts", "event_id")
+    s = H.sample_index(R.signal(spark, d), "user_id", "ts", "event_id", total="n")
     return s.withColumn("value", F.when(F.col("user_id") % 11 == 0, 0.0).otherwise(F.col("value")))
 
 
 def _job(spark, d):
     """Features per user and the patient table."""
-    f = H.signal_features(_job_samples(spark, d), "user_id", "sample_idx", "value", _W_JOB, 1.0, **_JOB_ARGS)
+    f = H.signal_features(_job_samples(spark, d), "user_id", "sample_idx", "value", _W_JOB, 1.0, total="n", **_JOB_ARGS)
     return f, R.study(spark, d).where(F.col("ID") % 7 != 0)
 
 
@@ -403,5 +403,5 @@ UNION ALL SELECT user_id, window_idx, unnest(list_filter([CASE WHEN SDNN IS NULL
 def signal_window_rejects(spark, d):
     """Incomplete windows, windows without RR intervals, and families without a value, each with its reason."""
     s = _job_samples(spark, d)
-    f = cut_lineage(H.signal_windows(s, "user_id", "sample_idx", "value", _W_JOB, 1.0, **_JOB_ARGS))
+    f = cut_lineage(H.signal_windows(s, "user_id", "sample_idx", "value", _W_JOB, 1.0, total="n", **_JOB_ARGS))
     return H.window_rejects(s, f, "user_id", _W_JOB)

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 DEFAULT_ID_PATTERN = r"^sinal(\d+)\.txt$"
 
 
-def read_signal_dir(spark: SparkSession, path: str, id_pattern: str = DEFAULT_ID_PATTERN,
+def read_signal_dir(spark: SparkSession, path: str | list[str], id_pattern: str = DEFAULT_ID_PATTERN,
                     on: str = "name", recursive: bool = False,
                     mode: str = "lines") -> tuple[DataFrame, DataFrame]:
-    """Return ``(samples, rejects)``.
+    """Return ``(samples, rejects)`` of the files of a folder, or of the named files.
 
     samples: ``(patient_id LONG, sample_idx LONG, value FLOAT)``; bad tokens
     give NULL values (kept, so indices stay aligned); blank lines are not

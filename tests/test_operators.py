@@ -324,12 +324,27 @@ def test_correlation_reducer_constant_column_kept(spark):
     assert out == {"a": 1, "b": 0, "c": 1, "d": 1}
 
 
+def test_bounded_kinds_is_the_router(spark):
+    rows = [(i % 2, float(i % 10), i % 9, 3, -0.0 if i % 3 else 0.0, i, str(i), "one", None if i % 4 else "few") for i in range(400)]
+    df = spark.createDataFrame(rows, "y int, ten double, nine int, same int, zeros double, wide int, text string, alone string, gaps string")
+    names = df.columns[1:]
+    long = A.to_long(df, "y", names)
+    numeric = {c: c not in ("text", "alone", "gaps") for c in names}
+    want = {r.feature: (r.n, r.n_unique <= 1, r.kind) for r in A.route(A.raw_cells(long), numeric).collect()}
+    assert {r.feature: (r.n, r.constant, r.kind) for r in A.bounded_kinds(long).collect()} == want
+    assert want["ten"][2] == "numeric" and want["nine"][2] == "categorical" and want["zeros"][1] and want["gaps"][0] == 100
+
+
 # ---------------------------------------------------------------- HRV
 def test_tumble_tail_dropped_and_one_window_std(spark):
     rows = [(1, i, float(i)) for i in range(10)] + [(2, i, float(i)) for i in range(3)]
     df = spark.createDataFrame(rows, "k int, idx long, v double")
     t = H.tumble_index(df, "k", "idx", 4)
     assert sorted({(r.k, r.window_idx) for r in t.collect()}) == [(1, 0), (1, 1)]
+    numbered = H.sample_index(df.withColumn("ts", F.timestamp_seconds("idx")), "k", "ts", "idx", chunk_seconds=3, total="n")
+    assert {(r.k, r.n) for r in numbered.collect()} == {(1, 10), (2, 3)}
+    got = H.tumble_index(numbered.drop("idx"), "k", "sample_idx", 4, total="n")
+    assert sorted((r.k, r.sample_idx, r.window_idx) for r in got.collect()) == [(1, i, i // 4) for i in range(8)] and "n" not in got.columns
     feats = spark.createDataFrame([(1, 0, 800.0)], "k int, w int, MeanNN double")
     s = H.patient_stats(feats, "k", ["MeanNN"]).first()
     assert s.HRV_MeanNN == 800.0 and s.std_HRV_MeanNN is None

@@ -26,13 +26,24 @@ def test_stream_appends_features_per_file(spark):
     _write_signal(os.path.join(src, "other.txt"), 300, 25, 3)          # rejected by name
     args = dict(window_samples=100, rate=100.0, checkpoint=ck,
                 clean_args={"a": 0, "b": 3}, peak_args={"c": 1, "k": 1.5, "refractory": 5})
+    args |= dict(rejects_dir=os.path.join(root, "rejects"), files_per_batch=2)
     q = SS.start(spark, src, out, **args)
     q.awaitTermination()
+    assert [r.file for r in spark.read.parquet(args["rejects_dir"]).collect()] == ["other.txt"]
+    assert {r.batch_id for r in spark.read.parquet(out).collect()} <= {0, 1}
     rows = {r.patient_id: r for r in spark.read.parquet(out).collect()}
     assert set(rows) == {1, 2}
     assert rows[1].n_windows == 4 and rows[2].n_windows == 3
     assert math.isclose(rows[1].HRV_MeanNN, 200.0, rel_tol=0.05)       # ~20 samples at 100 Hz
     assert math.isclose(rows[2].HRV_MeanNN, 250.0, rel_tol=0.05)
+    # every family, as the batch job over the folder gives it
+    from horizonkit.operators import hrv as H
+    from horizonkit.sources import signals as SG
+    samples, _ = SG.read_signal_dir(spark, src)
+    batch = H.signal_features(samples, "patient_id", "sample_idx", "value", 100, 100.0, args["clean_args"], args["peak_args"])
+    for r in batch.collect():
+        for c in batch.columns:
+            assert (r[c] is None and rows[r.patient_id][c] is None) or math.isclose(r[c], rows[r.patient_id][c], rel_tol=1e-9, abs_tol=1e-9), c
     # a second run with no new files appends nothing
     SS.start(spark, src, out, **args).awaitTermination()
     assert spark.read.parquet(out).count() == 2
