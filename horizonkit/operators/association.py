@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from horizonkit.functions import tails as TL
 from horizonkit.functions.coerce import nan_to_null
+from horizonkit.session import cut_lineage
 
 # A numeric column with at least this many distinct values is
 # tested as numeric, otherwise as categorical (reference rule).
@@ -109,20 +110,21 @@ def bounded_kinds(long: DataFrame) -> DataFrame:
     """``(feature, n, constant, kind)`` as ``route`` gives it, without an exchange on the values of wide columns.
 
     One aggregate of fixed size per feature: ten set bits of 64 prove ten
-    values, and equal extremes prove one. Only a numeric column that shows
-    fewer bits than ``MIN_NUMERIC_LEVELS`` and is not constant has its values
-    grouped, and few values set few bits.
+    values, and two hashes prove two. Only a numeric column that shows
+    fewer bits than ``MIN_NUMERIC_LEVELS``, and a text column that shows one hash,
+    have their values grouped, and few values are few groups.
     """
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(x + 0.0D), 64) as int))")
-    per = long.groupBy("feature", "is_num").agg(
-        F.count("*").alias("n"), F.bit_count(F.bit_or(F.when(F.col("is_num"), bit))).alias("bits"),
-        F.coalesce(F.min("x") == F.max("x"), F.min("level") == F.max("level")).alias("constant"))
-    doubt = per.where(F.col("is_num") & ~F.col("constant") & (F.col("bits") < MIN_NUMERIC_LEVELS)).select("feature")
-    levels = (long.join(F.broadcast(doubt), "feature", "left_semi")  # a row per column of the table
-              .groupBy("feature", F.expr("x + 0.0D")).count().groupBy("feature").agg(F.count("*").alias("levels")))
+    value = F.when(F.col("is_num"), F.xxhash64(F.expr("x + 0.0D"))).otherwise(F.xxhash64("level"))  # -0.0 and 0.0 are one value
+    per = cut_lineage(long.withColumn("h", value).groupBy("feature", "is_num").agg(
+        F.count("*").alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 64) as int))"))).alias("bits"),
+        (F.bit_or("h") == F.bit_and("h")).alias("alike")))  # a row per column of the table
+    doubt = per.where(F.when(F.col("is_num"), F.col("bits") < MIN_NUMERIC_LEVELS).otherwise(F.col("alike"))).select("feature")
+    levels = (long.join(F.broadcast(doubt), "feature", "left_semi").groupBy("feature", F.expr("x + 0.0D"), "level").count()
+              .groupBy("feature").agg(F.count("*").alias("levels")))
     many = (F.col("bits") >= MIN_NUMERIC_LEVELS) | (F.col("levels") >= MIN_NUMERIC_LEVELS)
+    out = per.join(levels, "feature", "left").withColumn("constant", F.coalesce(F.col("levels") == 1, F.lit(False)))
     kind = F.when(F.col("constant"), "skip").when(F.col("is_num") & many, "numeric").otherwise("categorical")
-    return per.join(levels, "feature", "left").select("feature", "n", "constant", kind.alias("kind"))
+    return out.select("feature", "n", "constant", kind.alias("kind"))
 
 
 def numeric_tests(long: DataFrame, routes: DataFrame) -> DataFrame:
