@@ -615,3 +615,9 @@ def test_block_correlation(spark):
         assert all(math.isclose(got[j], max(r[i, j] for i in good if i < j), rel_tol=1e-9) for j in got)
     kept = {v["feature"]: v["kept"] for v in FE.correlation_reducer(df, cols).collect()}
     assert [c for c in cols if not kept[c]] == ["c4", "c10"]
+
+
+def test_auc_of_classes_whose_product_passes_an_int(spark):
+    df = spark.range(100_000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 97 / 97).alias("p"))
+    auc = EV.auc_from_points(EV.roc_points(df)).first().auc
+    assert 0.49 < auc < 0.51
