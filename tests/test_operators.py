@@ -621,3 +621,14 @@ def test_auc_of_classes_whose_product_passes_an_int(spark):
     df = spark.range(100_000).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 97 / 97).alias("p"))
     auc = EV.auc_from_points(EV.roc_points(df)).first().auc
     assert 0.49 < auc < 0.51
+
+
+def test_each_repeat_has_a_shuffle_of_its_own(spark):
+    """Ranks by the repeat's own hash; no repeat is a stride through the order of another."""
+    import hashlib
+    ids = [7 * i + 3 for i in range(60)]
+    order = lambda s: sorted(ids, key=lambda i: (int(hashlib.md5(f"{i}:{s}".encode()).hexdigest()[:8], 16), i))
+    df = spark.createDataFrame([(i, 100 + i) for i in ids], "id long, a int").repartition(3)
+    got = {(r["__r"], r.id): r.a - 100 for r in ML.permuted_copies(df, ["a"], repeats=4).collect()}
+    own = order(42 + 10_007)
+    assert got == {(r, i): s for r in range(4) for i, s in zip(own, order(42 + r), strict=True)}
