@@ -6,7 +6,7 @@ the alphabet, runs about its middle, serial correlation. Their weighted normal
 scores make one p-value, which is uniform for a random token and near 0 for
 most ordinary ones; letters tell names from keys far better than order does.
 
-How far ordinary tokens reach up is learnt from the corpus: of each text's own
+How far ordinary tokens reach up is learnt from the corpus: of all of each text's own
 words names are made up as people make them (camel case, snake case, paths, with
 numbers), for every length class, and run through the same battery; some names of
 common words are always among them. A token's second p-value, that an ordinary
@@ -56,8 +56,6 @@ WEIGHTS = (4, 1, 1)
 _NORMAL = NormalDist()
 #: Steps of the p-values' histogram.
 STEPS = 50
-#: Bytes of a text from whose words names are made up, at a place that the text's checksum gives.
-WORDS_FROM = 2048
 _NAME_WORD = re.compile(rb"[A-Za-z]{2,}")
 #: Common words of programs and files, and how many texts are made of them.
 COMMON = (b"account address array base build byte cache call change check class client code config content context count create data date "
@@ -67,6 +65,8 @@ COMMON = (b"account address array base build byte cache call change check class
           b"result return root row save schema search send server service session set size source start state status string system table target "
           b"task test text thread time token type update upload user util value version view window world write").split()
 COMMON_TEXTS = 2400
+#: Made-up names that go through the battery together.
+NAMES_AT_ONCE = 2048
 
 
 def _codes(alphabet: bytes) -> np.ndarray:
@@ -139,6 +139,67 @@ def randomness_p(token: bytes) -> tuple[int, float] | None:
     return _NUMBER[name], _NORMAL.cdf(z / math.sqrt(sum(w * w for w in WEIGHTS)))
 
 
+#: For each byte a bit for each alphabet that holds it, and bits for digits, small letters, capitals and all others.
+_HELD = sum(((table >= 0).astype(np.uint8) << i for i, (_, _, table) in enumerate(_TABLES)), np.zeros(256, np.uint8))
+_SORT = np.array([1 if 48 <= c <= 57 else 2 if 97 <= c <= 122 else 4 if 65 <= c <= 90 else 8 for c in range(256)], np.uint8)
+_SIZES = np.array([size for _, size, _ in _TABLES])
+_CODES = np.array([table for _, _, table in _TABLES])
+#: Symbols in each cell of the chi-squared test, by alphabet and number of cells.
+_IN_CELL = np.zeros((len(_TABLES), _SIZES.max() + 1, _SIZES.max()))
+for _e, _size in enumerate(_SIZES.tolist()):
+    for _cells in range(2, _size + 1):
+        _IN_CELL[_e, _cells, :_cells] = np.bincount(np.arange(_size) * _cells // _size, minlength=_cells)
+
+
+def randomness_ps(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``randomness_p`` of many tokens at once: numbers of the encodings (-1: none fits) and combined p-values."""
+    encoding, p = np.full(len(tokens), -1), np.zeros(len(tokens))
+    if not tokens:
+        return encoding, p
+    n = np.array([len(t) for t in tokens])
+    raw, at = np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], np.cumsum(n)[:-1]))
+    sorts, held = np.bitwise_or.reduceat(_SORT[raw], at), np.bitwise_and.reduceat(_HELD[raw], at)
+    one_case = ((sorts & 6) == 2) | ((sorts & 6) == 4)
+    capitals = np.add.reduceat((_SORT[raw] == 4).astype(np.int64), at)
+    name_like = ((sorts & 9) == 0) & (one_case | ((capitals == 1) & (_SORT[raw[at]] == 4)))
+    good = (held > 0) & (sorts != 1) & ~name_like & ~(((sorts & 1) == 0) & one_case)
+    if not good.any():
+        return encoding, p
+    raw, n = raw[np.repeat(good, n)], n[good]
+    own, e = np.repeat(np.arange(len(n)), n), np.log2(held[good] & -held[good].astype(np.int64)).astype(np.int64)
+    at, size = np.concatenate(([0], np.cumsum(n)[:-1])), _SIZES[e]
+    codes = _CODES[e[own], raw].astype(np.int64)
+    erfc = lambda x: np.array([math.erfc(v) for v in x.tolist()])
+
+    cells = np.maximum(2, np.minimum(size, n // 3))
+    first = np.concatenate(([0], np.cumsum(cells)[:-1]))
+    of = np.repeat(np.arange(len(n)), cells)
+    expected = _IN_CELL[e[of], cells[of], np.arange(len(of)) - first[of]] * (n / size)[of]
+    count = np.bincount(first[own] + codes * cells[own] // size[own], minlength=len(of))
+    x, df = np.add.reduceat((count - expected) ** 2 / expected, first), cells - 1
+    chi = 0.5 * erfc(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df)) / math.sqrt(2))
+
+    inside = (own[1:] == own[:-1])
+    high = codes * 2 >= size[own]
+    n1 = np.bincount(own[high], minlength=len(n))
+    n2 = n - n1
+    turns = np.bincount(own[1:][inside & (high[1:] != high[:-1])], minlength=len(n))
+    mean = 2 * n1 * n2 / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = np.where(var > 0, erfc(np.abs(1 + turns - mean) / np.sqrt(2 * np.where(var > 0, var, 1.0))), 1.0)
+    runs = np.where((n1 == 0) | (n2 == 0), 0.5 ** (n - 1.0), runs)
+
+    c = codes - (np.add.reduceat(codes, at) / n)[own]
+    total = np.add.reduceat(c * c, at)
+    follow = np.bincount(own[1:][inside], (c[1:] * c[:-1])[inside], len(n))
+    serial = np.where(total > 0, erfc(np.abs(follow / np.where(total > 0, total, 1.0) + 1 / n) * np.sqrt(n / 2)), 0.0)
+
+    z = sum(w * np.array([_NORMAL.inv_cdf(v) for v in np.clip(q, 1e-15, 1 - 1e-15).tolist()])
+            for w, q in zip(WEIGHTS, (chi, runs, serial), strict=True)) / math.sqrt(sum(w * w for w in WEIGHTS))
+    encoding[good], p[good] = e, 0.5 * erfc(-z / math.sqrt(2))
+    return encoding, p
+
+
 def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS) - 1
 
@@ -164,22 +225,22 @@ def tested(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
-def made_up_names(text: bytes, classes: range | None = None) -> list[bytes]:
-    """A name of a text's own words, of a length class and in a style that its checksum picks (or of each of ``classes``).
+def made_up_names(text: bytes, classes: range = range(len(LENGTHS))) -> list[bytes]:
+    """Names of all of a text's own words, one after the other, in styles that its checksum picks.
 
-    Words of tokens that are long enough to be tested are left out, and a name has no
-    word twice; a text of too few words makes no name of that length.
+    The text's distinct words are dealt to names in their order: a name takes as many as its length asks for, the
+    lengths go round the ``classes``, and the last name of each class closes with words from the start. Words of tokens
+    that are long enough to be tested are left out, and a name has no word twice; a text of too few words makes no
+    name of that length.
     """
-    h = zlib.crc32(text)
-    at = h % max(1, len(text) - WORDS_FROM + 1)
-    part = text[at:at + WORDS_FROM].split()
-    part = part[at > 0:len(part) - (at + WORDS_FROM < len(text))]  # what the cut may have halved
-    words = list(dict.fromkeys(w.lower() for w in _NAME_WORD.findall(TOKEN.sub(b" ", b" ".join(part)))))
-    out = []
-    for k in classes or (h // 8 % len(LENGTHS),):
-        least = LENGTHS[k]
-        pick = zlib.crc32(text[:64], h + k)
-        style, first, until = pick % 8, pick // 8, least + pick // 64 % 8
+    words = list(dict.fromkeys(_NAME_WORD.findall(TOKEN.sub(b" ", text).lower())))
+    seed = zlib.crc32(text)
+    out, first, n = [], 0, 0
+    while first < len(words) or n < len(classes):
+        least = LENGTHS[classes[n % len(classes)]]
+        pick = zlib.crc32(b"%d" % n, seed)
+        style = pick % 8
+        until = least + pick // 64 % 8 + (2 <= style != 4)  # the last word has no separator behind it
         parts, size = [], 0
         while size < until and len(parts) < len(words):
             word = words[(first + len(parts)) % len(words)]
@@ -187,6 +248,7 @@ def made_up_names(text: bytes, classes: range | None = None) -> list[bytes]:
                 word += str(pick // 512 % 100).encode()  # numbers inside or at the end
             parts.append(word.capitalize() if style in (0, 4, 6) or (style == 1 and parts) else word.upper() if style == 5 else word)
             size += len(word) + (2 <= style != 4)
+        first, n = first + len(parts), n + 1
         name = (b"", b"", b"_", b"-", b"", b"_", b"/", b"/")[style].join(parts)
         if style < 4 and pick // 1024 % 2:
             name += str(pick // 2048 % 100).encode()
@@ -234,18 +296,30 @@ def bounds_of(tokens: np.ndarray, names: np.ndarray, fdr: float) -> Bounds:
     return Bounds(tuple(map(tuple, np.where(good.any(-1), good.argmax(-1) / STEPS, 2.0).tolist())))
 
 
+def name_counts(names: list[bytes]) -> np.ndarray:
+    """How many of the names have each encoding, length class and step of p."""
+    e, p = randomness_ps(names)
+    size = np.searchsorted(LENGTHS, [len(x) for x in names], "right") - 1
+    cell = ((e * len(LENGTHS) + size) * STEPS + np.minimum(STEPS - 1, (p * STEPS).astype(np.int64)))[e >= 0]
+    shape = (len(ALPHABETS), len(LENGTHS), STEPS)
+    return np.bincount(cell, minlength=math.prod(shape)).reshape(shape)
+
+
 def fit_bounds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> Bounds:
     """One pass over all texts; a task sends two small histograms, so what is gathered does not grow with them."""
     shape = (2, len(ALPHABETS), len(LENGTHS), STEPS)
 
     def run(batches):
-        counts = np.zeros(shape, np.int64)
+        counts, names = np.zeros(shape, np.int64), []
         for b in slices(batches):
             for text in as_bytes(b.column(0)):
-                some = [(0, z - a, found) for a, z, found in tested(text, base_spans(text))]
-                some += [(1, len(name), found) for name in made_up_names(text) if (found := randomness_p(name)) is not None]
-                for kind, size, (e, p) in some:
-                    counts[kind, e, length_class(size), min(STEPS - 1, int(p * STEPS))] += 1
+                for a, z, (e, p) in tested(text, base_spans(text)):
+                    counts[0, e, length_class(z - a), min(STEPS - 1, int(p * STEPS))] += 1
+                names += made_up_names(text)
+                if len(names) >= NAMES_AT_ONCE:
+                    counts[1] += name_counts(names)
+                    names = []
+        counts[1] += name_counts(names)
         at = np.flatnonzero(counts)
         if len(at):
             yield pa.RecordBatch.from_pydict({"at": at, "n": counts.ravel()[at]})
@@ -254,9 +328,7 @@ def fit_bounds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> Bo
     part = docs.select(F.col(text_col).cast("string").alias("text"))
     for r in part.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row a cell at most
         counts.ravel()[r["at"]] = r["n"]
-    for name in common_names():
-        if (found := randomness_p(name)) is not None:
-            counts[1, found[0], length_class(len(name)), min(STEPS - 1, int(found[1] * STEPS))] += 1
+    counts[1] += name_counts(common_names())
     return bounds_of(counts[0], counts[1], fdr)
 
 

@@ -528,3 +528,28 @@ def test_ordinary_names_among_constant_tokens(spark):
     rows += [(1000 + i, f"the name {x} stands here") for i, x in enumerate(names)]
     found = secrets.find_secrets(docs(spark, rows)).where(F.size("secret_spans") > 0)
     assert found.count() == 0
+
+
+def test_names_are_made_of_all_words_of_a_text():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3000)]
+    names = secrets.made_up_names(" ".join(words).encode())
+    letters = "".join(c for x in names for c in x.decode().lower() if c.isalpha())
+    at = 0
+    for w in dict.fromkeys(words):  # in the text's order, none left out
+        assert (at := letters.find(w, at)) >= 0
+        at += len(w)
+    assert {secrets.length_class(len(x)) for x in names} == set(range(len(secrets.LENGTHS)))
+    assert secrets.made_up_names(b"") == [] == secrets.made_up_names(b"two words")
+
+
+def test_battery_of_many_tokens_is_the_battery_of_each():
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+    tokens = ["".join(rng.choices(letters[:rng.choice((5, 26, 52, 62, 66))], k=rng.randint(20, 150))).encode() for _ in range(300)]
+    tokens += [b"1" * 20, b"A" * 30, b"Abbbbbbbbbbbbbbbbbbbbb", b"aaaaAAAA1111bbbbBBBB2222", b"a1" * 12, b"+" * 25, b".abc1" * 6]
+    e, p = secrets.randomness_ps(tokens)
+    for t, i, q in zip(tokens, e.tolist(), p.tolist(), strict=True):
+        one = secrets.randomness_p(t)
+        assert i == (-1 if one is None else one[0]) and (one is None or abs(one[1] - q) < 1e-9)
+    assert [len(x) for x in secrets.randomness_ps([])] == [0, 0]
