@@ -228,3 +228,53 @@ def test_out_of_fold_side_by_side(spark, monkeypatch, name, params):
         rows = ML.oof_side_by_side(data, name, params, 5, [f"c{i}" for i in range(5)], weight_col="weight", n_folds=3).collect()
         got.append({r["id"]: (r["fold"], r["label"], round(r["p"], 9)) for r in rows})
     assert got[0] == got[1] and len(got[0]) == 240 and all(f == i % 3 for i, (f, _, _) in got[0].items())
+
+
+def test_the_larger_sibling_is_not_counted(monkeypatch):
+    rng = np.random.RandomState(2)
+    bins, n = rng.randint(0, 16, (600, 6)).astype(np.uint8), 600
+    y = (bins[:, 0] + bins[:, 1] > 14).astype(float) - 0.4
+    counted, plain = [], TR.histogram
+    monkeypatch.setattr(TR, "histogram", lambda b, rows, *more: counted.append(len(rows)) or plain(b, rows, *more))
+    spec = TR.Spec(boost=True, trees=1, depth=4, score="variance")
+    growth = TR.Growth(spec, np.arange(6)[None], np.array([1], np.uint64))
+    values, leaf = TR.grow(bins, growth, np.ones((1, n)), y[None], np.ones((1, n)), 16)
+    assert counted[0] == n and len(counted) == 4 and max(counted[1:]) <= n / 2
+    assert np.allclose(values[leaf[0]], [y[leaf[0] == i].mean() for i in leaf[0]])
+
+
+def test_trees_of_long_tables_are_dealt_to_tasks():
+    assert len(TR._blocks(100, 8_205)) >= 12 and TR._blocks(5, 240) == [(0, 5)]
+    assert TR.trees_at_once(500_000) == 1 and TR.trees_at_once(240) == TR.TREES_AT_ONCE
+    assert [k for a, z in TR._blocks(100, 500_000) for k in range(a, z)] == list(range(100))
+
+
+def test_sums_of_a_step(spark, monkeypatch):
+    """Added where they arrive or by Spark, they are the sums over all rows; a task's BLAS keeps to one thread."""
+    x, y, df = rows_of(spark)
+    table = NN.matrix(df, 5)
+    jobs = [NN.job(table, NN.Net((4,), "tanh"), range(5), f) for f in (0, None)]
+    near = NN._step_sums(table, jobs, 0, 1, 3)
+    monkeypatch.setattr(NN, "TASK_SUMS", 0)
+    far = NN._step_sums(table, jobs, 0, 1, 3)
+    for i, j in enumerate(jobs):
+        own = np.arange(240) % 3 != (-1 if j.left_out is None else j.left_out)
+        loss, g = NN.summed_gradient(j.inputs(x[own]), y[own], j.state.weights, j.state.net)
+        for n, lost, got in (near[i], far[i]):
+            assert n == own.sum() and math.isclose(lost, loss, rel_tol=1e-9) and np.allclose(got, g)
+
+
+def test_the_cohort_is_read_once_for_all_horizons(spark):
+    from horizonkit.operators.study import run_horizon_study
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        seen.add(1)
+        return float(i % 17)
+
+    df = (spark.range(80).select(F.explode(F.array(F.lit(3), F.lit(5))).alias("horizon"), (F.col("id") % 2).cast("int").alias("Target"), "id")
+          .withColumn("a", value("id")).withColumn("b", F.col("id") * 0.5).drop("id"))
+    study = run_horizon_study(df, horizons=(3, 5, 99), spaces={"RandomForest": []})
+    assert seen.value == 160
+    assert sorted((r.horizon, r.step) for r in study.rejects.collect()) == [(3, "search"), (5, "search"), (99, "prepare")]
