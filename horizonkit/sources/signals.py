@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # The reference's signal file naming.
 DEFAULT_ID_PATTERN = r"^sinal(\d+)\.txt$"
+#: Folders over the patients' folders: a listing has a task for each, not one for each patient.
+GROUPS = 256
 
 
 def read_signal_dir(spark: SparkSession, path: str | list[str], id_pattern: str = DEFAULT_ID_PATTERN,
@@ -47,7 +49,9 @@ def read_signal_dir(spark: SparkSession, path: str | list[str], id_pattern: str
                   .withColumn("__pid", F.regexp_extract(F.col("file"), id_pattern, 1)))
         files = lines.select("file", "__pid")
         ok = lines.where((F.col("__pid") != "") & (F.col("tok") != ""))
-        blocks = ok.groupBy("__pid", "file", "__blk").agg(F.count("*").alias("__n"))
+        # dealt once: as the count names every column that the numbering needs, both read one shuffle and a file is opened once
+        ok = ok.repartition("file", "__blk")
+        blocks = ok.groupBy("__pid", "file", "__blk").agg(F.count_if((F.col("tok") != "") & (F.col("__mid") >= 0)).alias("__n"))
         # splits of a patient: its files in the order of their names, and inside a file by offset
         w = Window.partitionBy("__pid").orderBy("file", "__blk").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__pid")
@@ -63,12 +67,16 @@ def read_signal_dir(spark: SparkSession, path: str | list[str], id_pattern: str
 
 
 def write_signal_dir(df: DataFrame, path: str, key: str, idx: str, value: str, fmt: str | None = None) -> None:
-    """Write one text folder per patient (``key=<id>/part-<task>-*.txt``), samples in order.
+    """Write one text folder per patient (``__group=<g>/key=<id>/part-<task>-*.txt``), samples in order.
 
     Values keep all their digits unless ``fmt`` is given. Rows are dealt to tasks by ranges of
-    (patient, sample): a long signal is written by several tasks, and as a
+    (group, patient, sample): a long signal is written by several tasks, and as a
     file's name begins with its task's number, the names' order is the samples'.
+    Patients are dealt to at most ``GROUPS`` folders, by a hash. There are as many tasks as a shuffle has
+    partitions however short the samples are, as it is the number of files that takes the time.
     """
-    (df.select(key, idx, (F.format_string(fmt, F.col(value)) if fmt else F.col(value).cast("string")).alias("value"))
-       .repartitionByRange(key, idx).sortWithinPartitions(key, idx)
-       .drop(idx).write.mode("overwrite").partitionBy(key).text(path))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.pmod(F.xxhash64(F.col(key)), F.lit(GROUPS)).alias("__group")
+    (df.select(group, key, idx, (F.format_string(fmt, F.col(value)) if fmt else F.col(value).cast("string")).alias("value"))
+       .repartitionByRange(tasks, "__group", key, idx).sortWithinPartitions("__group", key, idx)
+       .drop(idx).write.mode("overwrite").partitionBy("__group", key).text(path))

@@ -632,3 +632,18 @@ def test_each_repeat_has_a_shuffle_of_its_own(spark):
     got = {(r["__r"], r.id): r.a - 100 for r in ML.permuted_copies(df, ["a"], repeats=4).collect()}
     own = order(42 + 10_007)
     assert got == {(r, i): s for r in range(4) for i, s in zip(own, order(42 + r), strict=True)}
+
+
+def test_signals_of_many_patients_take_few_folders_and_one_reading(spark, tmp_path):
+    from horizonkit.sources import signals as SG
+    rows = [(p, i, p + i / 8) for p in range(600) for i in range(1 + p % 3)]
+    path = str(tmp_path / "signals")
+    SG.write_signal_dir(spark.createDataFrame(rows, "user_id long, sample_idx long, value double").repartition(3), path, "user_id", "sample_idx", "value")
+    folders = [x for x in (tmp_path / "signals").iterdir() if x.is_dir()]
+    assert len(folders) <= SG.GROUPS       # a listing has a task for each
+    tasks = {x.name.split("-")[1] for x in (tmp_path / "signals").rglob("part-*.txt")}
+    assert len(tasks) == 8                 # a shuffle's partitions, few as the bytes are
+    samples, rejects = SG.read_signal_dir(spark, path, r"user_id=(\d+)/", on="path", recursive=True)
+    assert sorted(map(tuple, samples.collect())) == rows and rejects.count() == 0
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan        # the counts and the numbering come from one scan of the files
