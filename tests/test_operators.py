@@ -647,3 +647,27 @@ def test_signals_of_many_patients_take_few_folders_and_one_reading(spark, tmp_pa
     assert sorted(map(tuple, samples.collect())) == rows and rejects.count() == 0
     plan = samples._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan        # the counts and the numbering come from one scan of the files
+
+
+def test_horizons_are_written_with_open_files_not_sorted(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from horizonkit.sources import sinks as SK
+    name, seen, save = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.save
+    before = spark.conf.get(name)
+
+    def noted(self, *a, **k):
+        seen.append(int(spark.conf.get(name)))
+        return save(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "save", noted)
+    rows = [(i, h, (i + (h or 0)) % 2) for i in range(50) for h in (3, 5, 7, None)]
+    df = spark.createDataFrame(rows, "id long, horizon int, target int").repartition(2)
+    for fmt in ("parquet", "csv"):
+        SK.write_horizons(df, str(tmp_path / fmt), fmt=fmt)
+    assert seen == [SK.OPEN_HORIZONS] * 2 and spark.conf.get(name) == before
+    back = spark.read.parquet(str(tmp_path / "parquet")).select("id", "horizon", "target").collect()
+    key = lambda r: (r[0], r[1] is None, r[1] or 0)
+    assert sorted(map(tuple, back), key=key) == sorted(rows, key=key)
+    text = spark.read.option("header", True).csv(str(tmp_path / "csv" / "horizon=5"))
+    assert sorted((int(r.id), int(r.target)) for r in text.collect()) == [(i, (i + 5) % 2) for i in range(50)]
