@@ -278,3 +278,23 @@ def test_the_cohort_is_read_once_for_all_horizons(spark):
     study = run_horizon_study(df, horizons=(3, 5, 99), spaces={"RandomForest": []})
     assert seen.value == 160
     assert sorted((r.horizon, r.step) for r in study.rejects.collect()) == [(3, "search"), (5, "search"), (99, "prepare")]
+
+
+def test_nodes_of_one_class_are_not_searched_for_cuts(monkeypatch):
+    rng = np.random.default_rng(5)
+    y = (rng.random(400) < 0.5).astype(float)
+    bins = rng.integers(0, 8, (400, 6)).astype(np.uint8)
+    bins[:, 0] = np.where(y == 1, bins[:, 0], bins[:, 0] // 2)
+    w, searched, histogram = np.where(y == 1, 1.3, 0.8), [], TR.histogram
+
+    def noted(columns, rows, node, candidates, d, g, n_bins):
+        of = np.bincount(node, minlength=len(candidates))
+        searched.extend(((np.bincount(node, x, len(candidates)) < of).all() for x in (g == 0, g == d)))
+        return histogram(columns, rows, node, candidates, d, g, n_bins)
+
+    monkeypatch.setattr(TR, "histogram", noted)
+    for score in ("gini", "entropy"):
+        spec = TR.spec_of("RandomForest", {"n_estimators": 5, "criterion": score, "max_features": 0.8})
+        model = TR.fit_in_task(np.arange(400), y, w[None], bins, spec, [np.arange(6)], lambda t: TR.tree_seeds(1, 0, 0, t)[None], 8)[0]
+        assert sum(len(g.left) for g in model.groups) > 50
+    assert searched and all(searched)
