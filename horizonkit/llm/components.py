@@ -3,7 +3,9 @@
 Each round joins an edge with the smallest neighbour of one end. Edges stay in
 Spark; a round is written to the shared folder, so a lost executor repeats at
 most one round. The minima are pre-aggregated before their shuffle, and the
-joins can be split at a hub by adaptive execution.
+joins can be split at a hub by adaptive execution. They are merge joins: a
+round's files repeat few nodes, so their size says little of the rows that a
+broadcast would bring to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     near = edges.union(edges.select(F.col("v"), F.col("u"))) if large else edges.select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    both = near.join(least, near.u == least.k)
+    both = near.hint("merge").join(least, near.u == least.k)
     if large:
         out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

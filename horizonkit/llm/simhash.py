@@ -103,7 +103,9 @@ def near_pairs(fps: DataFrame, radius: int = 3, hot: int = HOT_VARIANT) -> DataF
             .select("fp", "k.*"))
     many = keys.groupBy("i", "bits").agg(F.count("*").alias("n")).where("n > 1")
     pieces = F.array(*[_outside(F.col("fp"), o, w, radius + 1) for o, w in segs])
-    keyed = keys.join(many, ["i", "bits"]).select(
+    # merge: Spark sizes these sides by the few bytes before the explode, or by Parquet files that repeat
+    # their values, and would collect millions of rows to broadcast them
+    keyed = keys.hint("merge").join(many, ["i", "bits"]).select(
         "fp", "i", "bits", F.explode(F.when(F.col("n") > hot, F.element_at(pieces, F.col("s") + 1))
                                      .otherwise(F.array(F.lit(-1).cast("long")))).alias("piece"))
     keyed = written(keyed, "variants")
@@ -111,7 +113,7 @@ def near_pairs(fps: DataFrame, radius: int = 3, hot: int = HOT_VARIANT) -> DataF
     x = F.col("u").bitwiseXOR(F.col("v"))
     first = F.coalesce(*[F.when(F.bit_count(d) <= 1, F.lit(o) + F.when(d == 0, 0).otherwise(F.bit_count(d - 1)))
                          for o, d in ((o, _bits(x, o, w)) for o, w in segs)])
-    return (a.join(b, ["i", "bits", "piece"])
+    return (a.hint("merge").join(b, ["i", "bits", "piece"])
             .where((F.col("u") < F.col("v")) & (F.bit_count(x) <= radius) & (F.col("i") == first))
             .select("u", "v").distinct())
 
@@ -120,7 +122,7 @@ def _groups(fps: DataFrame, radius: int) -> DataFrame:
     """``(fp, root)``: fingerprints of one group have one root."""
     distinct = fps.select("fp").distinct()
     roots = connected_components(near_pairs(distinct, radius)).withColumnRenamed("node", "fp")
-    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots.hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
