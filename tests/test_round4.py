@@ -65,3 +65,15 @@ def test_bins_looked_up_once_give_the_same_histogram():
                 assert np.allclose(TR.histogram(bins, rows, node, candidates, d, g, 9, known), want)
         finally:
             TR.LONG = before
+
+
+def test_a_table_is_turned_round_once_for_all_trees(monkeypatch):
+    rng, turned = np.random.default_rng(4), []
+    bins, y = rng.integers(0, 8, (90, 5)).astype(np.uint8), rng.integers(0, 2, 90).astype(float)
+    monkeypatch.setattr(TR, "trees_at_once", lambda rows: 1)
+    monkeypatch.setattr(TR.np, "asfortranarray", lambda a, turn=np.asfortranarray: turned.append(len(a)) or turn(a))
+    for name in ("RandomForest", "XGBoost"):
+        turned.clear()
+        spec = TR.spec_of(name, {"n_estimators": 4, "max_depth": 3})
+        made = TR.fit_in_task(np.arange(90), y, np.ones((1, 90)), bins, spec, [np.arange(5)], lambda t: TR.tree_seeds(1, 0, 0, t)[None])[0]
+        assert sum(g.count for g in made.groups) == 4 and turned == [90]
